@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, media, packing, reshard, token_counts
+from . import bpe_codec, exact_dedup, media, near_dedup, packing, reshard, token_counts, toxicity
 from .common import documents
 
 #: Vocabulary files; a deployment passes its own paths to the operators.
@@ -18,6 +18,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return index.add(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -37,6 +41,11 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.reshard(documents(spark, sf_dir), by_source, 40)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_documents(spark, documents(spark, sf_dir), labels, modulus=4, held_out=2, threshold=0.3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER, PATTERN, limit=1024)
 
@@ -47,10 +56,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_packing": op5_packing,
         "op6_resharding": op6_resharding,
+        "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
         "op10_media_columns": op10_media_columns,
     }
