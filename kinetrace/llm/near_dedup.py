@@ -10,15 +10,19 @@ the longer the prefix that its neighbours share.  Sorting is by signature and
 node, so a region of any size spreads over tasks and no group is ever gathered.
 
 Candidates are kept if their lengths and signatures allow the similarity, and
-are confirmed on the full sets of both texts.  This is done in two rounds: a few
+are confirmed on the full sets of both texts.  This is done in rounds: a few
 candidates of each node first, whose links give components, then every other
-candidate whose ends are still apart.
+candidate whose ends are still apart.  A third round goes through the regions
+that hold more nodes than a neighbourhood reaches, and more than one component:
+there the depth adapts to the region, so that the nodes outside its largest
+component are few and are compared with all of it.
 
 What can be missed: a link of similarity 0.8 shares the first two minima in an
 order with chance 0.64, so it is in none of 16 with chance 8e-8, and its
-signatures agree in fewer than 35 of 64 places with chance 4e-6.  In a region
-where more than ``NEIGHBOURS`` nodes share longer prefixes in all orders a link
-can go unseen, and matters only if no chain of other links joins its ends.
+signatures agree in fewer than 35 of 64 places with chance 4e-6.  Where a region
+is crowded by many components the chance is that of the depth to which it is
+divided: 1e-5 for three shared minima, 2e-4 for four.  A lost link matters only
+if no chain of other links joins its ends.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text, or one without words, has no shingle and is linked with nothing; equal
@@ -41,6 +45,8 @@ from .graphs import connected_components
 HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 12
 #: Places of 64 in which signatures agree at least (with 8 bits a place).
 LEAST_AGREEMENT = 35
+#: Nodes outside a crowded region's largest component that are compared with all of it.
+ODD = 64
 SALTS = 64
 #: Words whose hash a worker keeps.
 CACHE = 1_000_000
@@ -171,6 +177,53 @@ def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def crowded_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): candidates that neighbourhoods missed, where regions hold more nodes than a neighbourhood.
+
+    A region is a shared prefix of an order.  Regions as small as a neighbourhood
+    have been seen whole, and a region of one component needs no more links.  In
+    the others, each node outside the region's largest component is compared
+    with all nodes of other components, if there are at most ``ODD`` such nodes;
+    else the region is divided by the next minimum.
+    """
+
+    def regions(df: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        prefix = [F.shiftrightunsigned("key", 64 - 16 * min(depth, 4)) if depth < 4 else F.col("key")]
+        prefix += [F.shiftright("deeper", 15)] if depth == 5 else [F.col("deeper")] if depth == 6 else []
+        df = df.withColumn("region", F.xxhash64("order", F.lit(depth), *prefix))
+        by_label = df.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
+        sizes = by_label.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+        crowded = sizes.where(f"size > {NEIGHBOURS + 1} and size > top.c").select("region", F.col("top.label").alias("top_label"), (F.col("size") - F.col("top.c")).alias("odd"))
+        found = materialize(df.join(crowded, "region"), f"regions-{depth}")
+        ready = found if depth == LEVELS else found.where(F.col("odd") <= ODD)
+        return ready.select("region", "node", "n", "label", "top_label"), found.where(F.col("odd") > ODD).drop("region", "top_label", "odd")
+
+    left = rows.select("order", "key", "deeper", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = []
+    for depth in range(LEAST_DEPTH, LEVELS + 1):
+        ready, left = regions(left, depth)
+        parts.append(ready)
+        if left.isEmpty():
+            break
+    ready = parts[0]
+    for part in parts[1:]:
+        ready = ready.union(part)
+    odd = ready.where("label <> top_label").select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    others = ready.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "top_label")
+    near_size = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    pairs = odd.join(others, "region").where("la <> lb and (lb = top_label or a < b)").where(near_size)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= LEAST_AGREEMENT))
+
+    signs = nodes.select("node", "minima")
+    signed = pairs.join(signs.toDF("b", "minima_b"), "b").join(signs.toDF("a", "minima_a"), "a").select("a", "b", "minima_a", "minima_b")
+    return signed.mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
@@ -206,13 +259,17 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     nodes = worded.groupBy("digest").agg(of_set).select("digest", "first.doc_id", "first.text_hash", "first.n_shingles", "first.minima")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    pairs = materialize(neighbour_pairs(forest_rows(nodes), percent / 100), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     text = text_or_empty(text_col)
     source = df.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    same_row = (source["text_hash"] == wanted["__hash"]) & source[id_col].eqNullSafe(wanted["__id"])
-    texts = materialize(source.join(wanted, same_row).select("node", "text"), "candidate-texts")
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        same_row = (source["text_hash"] == wanted["__hash"]) & source[id_col].eqNullSafe(wanted["__id"])
+        return materialize(source.join(wanted, same_row).select("node", "text"), "candidate-texts")
+
+    pairs = materialize(neighbour_pairs(forest_rows(nodes), percent / 100), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(ends)
 
     # Round 1: of each node the most similar candidate, the smallest, and one by chance.
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(pairs.select("b", "a", "agree"))
@@ -230,6 +287,16 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     confirmed = confirmed.union(confirm(apart, texts, width, percent))
     labels = connected_components(confirmed)
 
+    # Round 3: crowded regions, where a neighbourhood does not reach all nodes.
+    seen = picked.union(apart.select("a", "b"))
+    crowded = materialize(crowded_pairs(forest_rows(nodes), nodes, labels, percent / 100).join(seen, ["a", "b"], "left_anti"), "crowded")
+    if not crowded.isEmpty():
+        more = crowded.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node"), "node", "left_anti")
+        if not more.isEmpty():
+            texts = texts.union(texts_of(more))
+        confirmed = confirmed.union(confirm(crowded, texts, width, percent))
+        labels = connected_components(confirmed)
+
     links = confirmed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
