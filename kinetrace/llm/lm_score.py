@@ -157,7 +157,7 @@ def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
 def requests(order: int, bits: int):
     """Of a block of documents, for each order and bucket, its distinct n-grams and their training counts."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         grams = BlockGrams(table.column("text").to_pylist(), order)
         training = ~table.column("held_out").to_numpy()
         rows: list[tuple] = []
@@ -172,7 +172,7 @@ def requests(order: int, bits: int):
     return run
 
 
-def add_up(table: pa.Table) -> pa.Table:
+def add_up(table):
     """Totals over all blocks of a bucket's n-grams, for each block in its own order."""
     n_all, totals = table.column("n").to_numpy(), [b""] * len(table)
     known = tokens = 0
@@ -244,7 +244,7 @@ def lm_scores(
     answered = asked.groupBy("bucket").applyInArrow(add_up, "block int, bucket int, n byte, totals binary, known long, tokens long")
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(table, answers):
         grams = BlockGrams(table.column("text").to_pylist(), order)
         bucket, of_order, raw = answers.column("bucket").to_numpy(), answers.column("n").to_numpy(), answers.column("totals").to_pylist()
         totals = []
