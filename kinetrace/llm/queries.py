@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity
+from . import bpe_codec, exact_dedup, licenses, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity
 from .common import documents
 
 #: Vocabulary files; a deployment passes its own paths to the operators.
@@ -54,6 +54,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER, PATTERN, limit=1024)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_resharding": op6_resharding,
         "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
+        "op9_license_scan": op9_license_scan,
         "op10_media_columns": op10_media_columns,
     }
 
