@@ -10,19 +10,21 @@ the longer the prefix that its neighbours share.  Sorting is by signature and
 node, so a region of any size spreads over tasks and no group is ever gathered.
 
 Candidates are kept if their lengths and signatures allow the similarity, and
-are confirmed on the full sets of both texts.  This is done in rounds: a few
-candidates of each node first, whose links give components, then every other
-candidate whose ends are still apart.  A third round goes through the regions
-that hold more nodes than a neighbourhood reaches, and more than one component:
-there the depth adapts to the region, so that the nodes outside its largest
-component are few and are compared with all of it.
+are confirmed on the full sets of both texts: first two candidates of each node
+and two hubs of its crowded regions, whose links give components, then all others
+whose ends are still apart.
+
+A region that holds more nodes than a neighbourhood reaches is crowded.  Depth
+adapts to it in two ways: its nodes' neighbours share longer prefixes, and once
+most of it is one component, the nodes outside that component are compared with
+all its members, by posting lists, and sorted again without them, so that they
+become neighbours of each other.  This goes on until no component grows.
 
 What can be missed: a link of similarity 0.8 shares the first two minima in an
 order with chance 0.64, so it is in none of 16 with chance 8e-8, and its
-signatures agree in fewer than 35 of 64 places with chance 4e-6.  Where a region
-is crowded by many components the chance is that of the depth to which it is
-divided: 1e-5 for three shared minima, 2e-4 for four.  A lost link matters only
-if no chain of other links joins its ends.
+signatures agree in fewer than 35 of 64 places with chance 4e-6.  In a region
+crowded by many components a link between two small ones can be out of reach in
+all orders; it matters only if no chain of other links joins its ends.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text, or one without words, has no shingle and is linked with nothing; equal
@@ -42,11 +44,13 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, text_or_empty
 from .graphs import connected_components
 
-HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 12
+HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4
 #: Places of 64 in which signatures agree at least (with 8 bits a place).
 LEAST_AGREEMENT = 35
-#: Nodes outside a crowded region's largest component that are compared with all of it.
-ODD = 64
+#: Agreement that makes a link likely; only an order of work depends on it.
+LIKELY_AGREEMENT = 48
+#: Shingles of the members that a task compares queries with at once.
+CHUNK_SHINGLES = 2_000_000
 SALTS = 64
 #: Words whose hash a worker keeps.
 CACHE = 1_000_000
@@ -177,51 +181,89 @@ def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def crowded_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): candidates that neighbourhoods missed, where regions hold more nodes than a neighbourhood.
+def region_of(depth: int):
+    """A number for the prefix of ``depth`` minima in an order."""
+    prefix = [F.shiftrightunsigned("key", 64 - 16 * depth) if depth < 4 else F.col("key")]
+    prefix += [F.shiftright("deeper", 15)] if depth == 5 else [F.col("deeper")] if depth == 6 else []
+    return F.xxhash64("order", F.lit(depth), *prefix)
 
-    A region is a shared prefix of an order.  Regions as small as a neighbourhood
-    have been seen whole, and a region of one component needs no more links.  In
-    the others, each node outside the region's largest component is compared
-    with all nodes of other components, if there are at most ``ODD`` such nodes;
-    else the region is divided by the next minimum.
-    """
 
-    def regions(df: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        prefix = [F.shiftrightunsigned("key", 64 - 16 * min(depth, 4)) if depth < 4 else F.col("key")]
-        prefix += [F.shiftright("deeper", 15)] if depth == 5 else [F.col("deeper")] if depth == 6 else []
-        df = df.withColumn("region", F.xxhash64("order", F.lit(depth), *prefix))
-        by_label = df.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
-        sizes = by_label.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
-        crowded = sizes.where(f"size > {NEIGHBOURS + 1} and size > top.c").select("region", F.col("top.label").alias("top_label"), (F.col("size") - F.col("top.c")).alias("odd"))
-        found = materialize(df.join(crowded, "region"), f"regions-{depth}")
-        ready = found if depth == LEVELS else found.where(F.col("odd") <= ODD)
-        return ready.select("region", "node", "n", "label", "top_label"), found.where(F.col("odd") > ODD).drop("region", "top_label", "odd")
-
-    left = rows.select("order", "key", "deeper", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = []
-    for depth in range(LEAST_DEPTH, LEVELS + 1):
-        ready, left = regions(left, depth)
-        parts.append(ready)
-        if left.isEmpty():
-            break
-    ready = parts[0]
-    for part in parts[1:]:
-        ready = ready.union(part)
-    odd = ready.where("label <> top_label").select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    others = ready.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "top_label")
-    near_size = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    pairs = odd.join(others, "region").where("la <> lb and (lb = top_label or a < b)").where(near_size)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def crowded_rows(rows: DataFrame) -> DataFrame:
+    """The rows of regions that hold more nodes than a neighbourhood reaches."""
+    rows = rows.select("order", "key", "deeper", "node", "n").withColumn("region", region_of(LEAST_DEPTH))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(f"size > {NEIGHBOURS + 1}")
+    return rows.join(sizes.select("region"), "region", "left_semi").drop("region")
+
+
+def mixed_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, top_label, top_count): the nodes outside the largest component of a crowded region."""
+    rows = rows.select("node", region_of(LEAST_DEPTH).alias("region")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_label.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+    mixed = sizes.where(f"size > {NEIGHBOURS + 1} and size > top.c").select("region", F.col("top.label").alias("top_label"), F.col("top.c").alias("top_count"))
+    return rows.join(mixed, "region").where("label <> top_label").select("node", "label", "top_label", "top_count").distinct()
+
+
+def links_to_components(queries: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): for each query (node, label) a member of the component that the node is linked with, if any.
+
+    Members are dealt into chunks of bounded size, each of which sees all queries
+    of its component.  A chunk turns its members' sets into posting lists, so a
+    query costs as much as the postings of its own shingles.
+    """
+    sized = labels.join(queries.select("label").distinct(), "label", "left_semi").join(nodes.select("node", "n_shingles"), "node")
+    chunks = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    members = sized.join(chunks, "label").select("label", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", F.lit(False).alias("query"))
+    asked = queries.join(chunks, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("query"))
+    dealt = members.union(asked).join(texts, "node").select("label", "chunk", "node", "query", "text")
+
+    def run(table):
+        query, node = table.column("query").to_numpy(), table.column("node").to_numpy()
+        sets = [shingles(t, width) for t in table.column("text").to_pylist()]
+        own, asking = np.flatnonzero(~query), np.flatnonzero(query)
+        found = []
+        if len(own) and len(asking):
+            flat, of_member = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
+            order = np.argsort(flat, kind="stable")
+            flat, of_member = flat[order], of_member[order]
+            sizes = np.array([len(sets[i]) for i in own])
+            for i in asking:
+                first, last = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                hits = np.concatenate([of_member[x:y] for x, y in zip(first, last, strict=True) if y > x] or [np.array([], np.int64)])
+                both = np.bincount(hits, minlength=len(own))
+                linked = np.flatnonzero(100 * both >= percent * (sizes + len(sets[i]) - both))
+                if len(linked):
+                    found.append((node[i], node[own[linked[0]]]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("label", "chunk").applyInArrow(run, "a long, b long")
+
+
+def agreements(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, agree): places in which the signatures of pairs agree."""
 
     def run(batches):
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= LEAST_AGREEMENT))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
 
     signs = nodes.select("node", "minima")
     signed = pairs.join(signs.toDF("b", "minima_b"), "b").join(signs.toDF("a", "minima_a"), "a").select("a", "b", "minima_a", "minima_b")
-    return signed.mapInArrow(run, "a long, b long")
+    return signed.mapInArrow(run, "a long, b long, agree int")
+
+
+def hub_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, agree): each node of a crowded region with the region's smallest node, at two depths.
+
+    Where many copies of one text crowd, these links join most of them at once.
+    """
+    parts = []
+    for depth in (LEAST_DEPTH, 4):
+        placed = rows.select(region_of(depth).alias("region"), "node")
+        hubs = placed.groupBy("region").agg(F.min("node").alias("a"))
+        parts.append(placed.join(hubs, "region").where("a < node").select("a", F.col("node").alias("b")))
+    return agreements(parts[0].union(parts[1]).distinct(), nodes).where(F.col("agree") >= LIKELY_AGREEMENT)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -262,40 +304,45 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     text = text_or_empty(text_col)
     source = df.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
-    def texts_of(ends: DataFrame) -> DataFrame:
-        wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-        same_row = (source["text_hash"] == wanted["__hash"]) & source[id_col].eqNullSafe(wanted["__id"])
-        return materialize(source.join(wanted, same_row).select("node", "text"), "candidate-texts")
-
     pairs = materialize(neighbour_pairs(forest_rows(nodes), percent / 100), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(ends)
-
-    # Round 1: of each node the most similar candidate, the smallest, and one by chance.
+    crowd = materialize(crowded_rows(forest_rows(nodes)), "crowded-rows")
+    # Texts of all nodes that may be compared, fetched once.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same_row = (source["text_hash"] == wanted["__hash"]) & source[id_col].eqNullSafe(wanted["__id"])
+    texts = materialize(source.join(wanted, same_row).select("node", "text"), "candidate-texts")
+
+    # First: of each node the most similar candidate and the smallest, and the two most similar hubs.
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(pairs.select("b", "a", "agree"))
-    chance = F.xxhash64(F.least("node", "other"), F.greatest("node", "other"))
-    picked = sides.groupBy("node").agg(F.max(F.struct("agree", chance.alias("h"), "other")).alias("best"), F.min("other").alias("least"), F.min(F.struct(chance.alias("h"), "other")).alias("any"))
-    picked = picked.select("node", F.explode(F.array("best.other", "least", "any.other")).alias("other"))
-    picked = materialize(picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "picked")
-    confirmed = confirm(picked, texts, width, percent)
+    picked = sides.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("best"), F.min("other").alias("least"))
+    picked = picked.select("node", F.explode(F.array("best.other", "least")).alias("other"))
+    picked = picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    near = hub_pairs(crowd, nodes).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("first"), F.min("a").alias("least"))
+    near = near.select(F.explode(F.array("first.a", "least")).alias("a"), "b")
+    picked = materialize(picked.union(near).distinct(), "picked")
+    confirmed, tried = confirm(picked, texts, width, percent), picked
     labels = connected_components(confirmed)
 
-    # Round 2: every other candidate whose ends are in different components.
-    rest = pairs.join(picked, ["a", "b"], "left_anti")
-    label_a, label_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    apart = rest.join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    confirmed = confirmed.union(confirm(apart, texts, width, percent))
-    labels = connected_components(confirmed)
-
-    # Round 3: crowded regions, where a neighbourhood does not reach all nodes.
-    seen = picked.union(apart.select("a", "b"))
-    crowded = materialize(crowded_pairs(forest_rows(nodes), nodes, labels, percent / 100).join(seen, ["a", "b"], "left_anti"), "crowded")
-    if not crowded.isEmpty():
-        more = crowded.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node"), "node", "left_anti")
-        if not more.isEmpty():
-            texts = texts.union(texts_of(more))
-        confirmed = confirmed.union(confirm(crowded, texts, width, percent))
-        labels = connected_components(confirmed)
+    # Then: all other candidates whose ends are still in different components, and crowded regions.
+    while True:
+        label_a, label_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        odd = materialize(mixed_regions(crowd, labels), "odd")
+        nearer = neighbour_pairs(forest_rows(nodes.join(odd.select("node").distinct(), "node", "left_semi")), percent / 100)
+        others = pairs.select("a", "b").union(nearer.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
+        apart = others.join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        apart = materialize(apart, "apart")
+        queries = odd.where(F.col("top_count") >= NEIGHBOURS).select("node", F.col("top_label").alias("label")).distinct()
+        to_crowd = materialize(links_to_components(queries, labels, nodes, texts, width, percent), "links-to-crowds")
+        more = confirm(apart, texts, width, percent).union(to_crowd)
+        tried = tried.union(apart)
+        # Components of components: only links between them are left.
+        bridges = more.join(label_a, "a", "left").join(label_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = connected_components(bridges).toDF("label", "merged")
+        if merged.isEmpty():
+            break
+        confirmed = confirmed.union(more)
+        joined_nodes = confirmed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = materialize(joined_nodes.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
 
     links = confirmed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
