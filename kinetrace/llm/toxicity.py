@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, small_batches, text_or_empty
 
 #: Labelled rows that the fit sees at most; documents that a word must be in to count.
-MAX_LABELLED, MIN_DOCUMENTS = 12_000, 3
+MAX_LABELLED, MIN_DOCUMENTS = 6_000, 3
 #: Beginnings of words that are features beside the word.
 PREFIXES = (3, 4, 5)
 STEPS, RATE, DECAY, FIRST_BIAS = 200, 0.25, 1e-5, -10.0
@@ -135,6 +135,7 @@ def fit(bags: Iterable[tuple[int, str]], steps: int = STEPS) -> Model:
     values = np.zeros(len(keys) + 1)
     values[-1] = FIRST_BIAS
     mean, square = np.zeros_like(values), np.zeros_like(values)
+    vocabulary.clear()
     for step in range(1, steps + 1):
         of_word = np.bincount(word, values[feature], len(keys_of))
         logits = np.bincount(of_sentence, of_word[words], n_sentences) + values[-1]
