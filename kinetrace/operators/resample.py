@@ -24,18 +24,19 @@ def uniform_grid(df: DataFrame, step_ns: int) -> DataFrame:
 def interpolate(grid: DataFrame, source: DataFrame, columns: list[str], clamp_ends: bool) -> DataFrame:
     """Values of ``source`` on the times of ``grid``, between both neighbours.
 
-    Grid and source rows are sorted together once; the last row before and the
-    first row after are taken over ranges of time, so rows at the same time see
-    each other.  Outside the source's span the value is the nearest one if
+    Grid and source rows are sorted together, once in each direction; the last row
+    before and the first row after are taken over ranges of time, so rows at the
+    same time see each other.  Outside the source's span the value is the nearest one if
     ``clamp_ends``, else null.
     """
     cell = F.struct(F.col(TIME).alias("t"), *columns)
     both = source.select(SEQUENCE, TIME, cell.alias("s"), F.lit(False).alias("on_grid")).unionByName(
         grid.select(SEQUENCE, TIME).withColumns({"s": F.lit(None).cast(source.select(cell.alias("s")).schema["s"].dataType), "on_grid": F.lit(True)})
     )
-    w = in_time()
-    before = F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames grow from their start, so each is one pass; a frame that looks ahead would be quadratic.
+    latest = F.last("s", ignorenulls=True)
+    before = latest.over(in_time().rangeBetween(Window.unboundedPreceding, 0))
+    after = latest.over(Window.partitionBy(SEQUENCE).orderBy(F.desc(TIME)).rangeBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"a": before, "b": after}).where("on_grid")
     part = F.when(F.col("a.t") == F.col("b.t"), 0.0).otherwise((F.col(TIME) - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
 
