@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 from .common import id_remainder, text_or_empty
 
 #: Length of n-grams, weight of the shorter context, bytes of text in a block.
-ORDER, STRENGTH, BLOCK_BYTES = 2, 500.0, 16 << 20
+ORDER, STRENGTH, BLOCK_BYTES = 2, 500.0, 8 << 20
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Words whose hash a worker keeps.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 def tokenize(text: str) -> list[bytes]:
@@ -154,6 +154,18 @@ def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte per count; those of 255 and more follow in full."""
+    large = counts[counts >= 255]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.uint64).tobytes()
+
+
+def unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(raw, np.uint64, offset=size)
+    return counts
+
+
 def requests(order: int, bits: int):
     """Of a block of documents, for each order and bucket, its distinct n-grams and their training counts."""
 
@@ -165,7 +177,7 @@ def requests(order: int, bits: int):
             counts, bounds = grams.counts(n, training), bucket_bounds(grams.keys[n - 1], bits)
             for bucket, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 if b > a or n == 1:  # every bucket hears of every block
-                    rows.append((bucket, n, grams.keys[n - 1][a:b].tobytes(), counts[a:b].tobytes()))
+                    rows.append((bucket, n, grams.keys[n - 1][a:b].tobytes(), pack_counts(counts[a:b])))
         bucket, n, keys, counts = zip(*rows, strict=True)
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array(n, pa.int8()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -179,15 +191,14 @@ def add_up(table):
     for n in np.unique(n_all):
         rows = np.flatnonzero(n_all == n)
         keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").take(pa.array(rows)).to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").take(pa.array(rows)).to_pylist()])
+        counts = np.concatenate([unpack_counts(c, len(k)) for c, k in zip(table.column("counts").take(pa.array(rows)).to_pylist(), keys, strict=True)])
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
         if n == 1:
             known, tokens = int((total > 0).sum()), int(total.sum())
-        kind = np.uint32 if not len(total) or total.max() < 1 << 32 else np.uint64
         ends = np.cumsum([len(k) for k in keys])
-        for row, part in zip(rows, np.split(total[inverse].astype(kind), ends[:-1]), strict=True):
-            totals[row] = part.tobytes()
+        for row, part in zip(rows, np.split(total[inverse], ends[:-1]), strict=True):
+            totals[row] = pack_counts(part)
     size = len(table)
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "totals": pa.array(totals, pa.binary()), "known": pa.array([known] * size, pa.int64()), "tokens": pa.array([tokens] * size, pa.int64())})
 
@@ -253,8 +264,7 @@ def lm_scores(
             parts = np.zeros(len(grams.keys[n - 1]), dtype=np.uint64)
             for row in np.flatnonzero(of_order == n):
                 a, b = bounds[bucket[row]], bounds[bucket[row] + 1]
-                if b > a:
-                    parts[a:b] = np.frombuffer(raw[row], np.uint32 if len(raw[row]) == 4 * (b - a) else np.uint64)
+                parts[a:b] = unpack_counts(raw[row], b - a)
             totals.append(parts)
         first = of_order == 1
         tokens = int(answers.column("tokens").to_numpy()[first].sum())
