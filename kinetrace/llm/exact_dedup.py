@@ -121,8 +121,9 @@ def keep_one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = materialize(index.unseen(groups), "fresh")
         index.append(fresh)
         keepers = fresh.withColumnRenamed("digest", "__digest")
-    keepers = keepers.select("__digest", F.col("keeper.doc_id").alias("__keep"))
-    rows = df.withColumn("__digest", digest)
-    kept = rows.join(keepers, (rows["__digest"] == keepers["__digest"]) & rows[id_col].eqNullSafe(keepers["__keep"]), "left_semi")
-    # Rows repeated with the same id and text pass the join together; one of them stays.
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    keepers = keepers.select("__digest", F.col("keeper.doc_id").alias("__keep"), F.xxhash64("keeper.doc_id").alias("__place"))
+    # Both keys are never null, so dropping repeated rows finds them where the join has put them.
+    rows = df.withColumns({"__digest": digest, "__place": F.xxhash64(F.col(id_col))})
+    same = (rows["__digest"] == keepers["__digest"]) & (rows["__place"] == keepers["__place"]) & rows[id_col].eqNullSafe(keepers["__keep"])
+    kept = rows.join(keepers, same, "left_semi")
+    return kept.dropDuplicates(["__digest", "__place"]).drop("__digest", "__place")

@@ -19,11 +19,13 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(documents(spark, sf_dir), modulus=7, held_out=2)
+    scores = lm_score.score_documents(documents(spark, sf_dir), modulus=7, held_out=2)
+    # Sums in any order agree to far more than six decimals.
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80).drop("n_links")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +79,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: SQL for the documents' words: lower-cased A-Z, parted by ASCII white space.
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+#: SQL for crc32 of an id as text, by the polynomial.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+        xor(c >> 8, list_reduce(list_concat([xor(c, b) & 255], [0, 0, 0, 0, 0, 0, 0, 0]), lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)), 4294967295), 4294967295)"""
+
+
+def _lm_sql() -> str:
+    """The smoothed bigram model as joins with its counts; the end is a blank, the start an empty word."""
+    k = lm_score.STRENGTH
+    return f"""
+        WITH docs AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, ' ') AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS tok, unnest(list_concat([''], list_slice(w, 1, len(w) - 1))) AS prev FROM docs),
+        c1 AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+        c2 AS (SELECT prev, tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+        n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c1),
+        p AS (SELECT doc_id, held_out, c1.c IS NOT NULL AS known, (coalesce(c1.c, 0) + 1) / (n + 1 * (v + 1))::DOUBLE AS p1, coalesce(c2.c, 0) AS seen,
+                     CASE WHEN t.prev = '' THEN (SELECT c FROM c1 WHERE tok = ' ') ELSE coalesce(h.c, 0) END AS context
+              FROM t CROSS JOIN n LEFT JOIN c1 ON c1.tok = t.tok LEFT JOIN c1 h ON h.tok = t.prev LEFT JOIN c2 ON c2.prev = t.prev AND c2.tok = t.tok)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, (SELECT n FROM n) AS train_tokens,
+               round(sum(log10(p1)), 6) AS base_score, round(sum(log10((seen + {k} * p1) / (context + {k}))), 6) AS score
+        FROM p GROUP BY doc_id, held_out
+    """
+
+
+#: Candidates share one of the rarest fifth of their shingles, as any linked pair must; links are counted in full.
+_NEAR_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    n AS (SELECT doc_id, len(s) AS n FROM s),
+    e AS (SELECT doc_id, unnest(s) AS g FROM s),
+    f AS (SELECT g, count(*) AS c FROM e GROUP BY 1),
+    k AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM e JOIN f USING (g)),
+    p AS (SELECT k.doc_id, g, n FROM k JOIN n USING (doc_id) WHERE r <= n - ceil(0.8 * n) + 1),
+    c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+    i AS (SELECT a, b, na, nb, count(*) AS shared FROM c JOIN e x ON x.doc_id = a JOIN e y ON y.doc_id = b AND y.g = x.g GROUP BY ALL),
+    l AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (na + nb - shared)),
+    u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach)
+    SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id, n.doc_id = min(reach) AS kept FROM r JOIN n USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lm_score": _lm_sql(),
+        "op2_near_dedup": _NEAR_SQL,
         "op3_exact_dedup": """
             SELECT doc_id,
                    max(doc_id) OVER same AS keep_id,
