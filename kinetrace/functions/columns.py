@@ -61,6 +61,25 @@ def platform_hint(name: str | Column) -> Column:
     return F.when(low.contains("ugv"), "ugv").when(low.contains("legrobot"), "legrobot").when(low.rlike(r"(^|_)rc([0-9_]|$)"), "rc").otherwise("unknown")
 
 
+def experiment_id(architecture: Column, feature_set: Column, mode: Column, batch: Column, rate: Column, seed: Column) -> Column:
+    """One name for an experiment's settings; the rate has one digit and an exponent of two."""
+    power = F.floor(F.log10(rate) + F.lit(1e-9)).cast("int")
+    digit = F.round(rate / F.pow(F.lit(10.0), power)).cast("int")
+    shown = F.concat(digit.cast("string"), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.concat(architecture, F.lit("-"), feature_set, F.lit("-"), mode, F.lit("-bs"), batch.cast("string"), F.lit("-lr"), shown, F.lit("-seed"), seed.cast("string"))
+
+
+def fold_number(name: Column) -> Column:
+    """Number of a fold; the job stops at names that number none, such as fold_0."""
+    n = F.regexp_extract(name, r"^fold_(\d+)$", 1).try_cast("int")
+    return F.when(n >= 1, n).otherwise(F.raise_error(F.concat(F.lit("no fold: "), name)).cast("int"))
+
+
+def list_of(text: Column) -> Column:
+    """Parts of comma-separated text, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def require_columns(df: DataFrame, names: list[str]) -> None:
     """Raise with the names that are missing."""
     if missing := [n for n in names if n not in df.columns]:

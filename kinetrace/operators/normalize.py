@@ -42,6 +42,23 @@ def fit_folds(df: DataFrame, folds: DataFrame, columns: list[str], mode: str) ->
     return fit(df.join(F.broadcast(sides), SEQUENCE), columns, mode, ["fold_name"])
 
 
+def as_payload(fitted: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:
+    """One row per fold as it is stored: mode, provenance, ordered columns, maps of centers and scales."""
+    pair = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.struct("column_name", v))))
+    maps = fitted.groupBy("fold_name").agg(pair("center").alias("center"), pair("scale").alias("scale"))
+    return maps.join(folds.select("fold_name", F.col("train").alias("fitted_sequence_names")), "fold_name").withColumns({"mode": F.lit(mode), "feature_columns": F.array(*map(F.lit, columns))})
+
+
+def payload_violations(stored: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:
+    """(fold, rule) of stored normalizers that do not fit their fold, mode or columns."""
+    wanted = F.array(*map(F.lit, columns))
+    covers = lambda m: F.array_sort(F.map_keys(m)) == F.array_sort(wanted)
+    rules = {"mode": F.col("mode") != mode, "provenance": F.col("fitted_sequence_names") != F.col("train"), "columns": F.col("feature_columns") != wanted, "center": ~covers("center"), "scale": ~covers("scale")}
+    joined = stored.join(folds.select("fold_name", "train"), "fold_name")
+    found = F.filter(F.array(*(F.when(bad, F.lit(rule)) for rule, bad in rules.items())), lambda x: x.isNotNull())
+    return joined.select("fold_name", F.explode(found).alias("rule"))
+
+
 def apply(df: DataFrame, normalizer: DataFrame, columns: list[str]) -> DataFrame:
     """(x - center) / scale with a one-row table of centers and scales."""
     picks = [F.max(F.when(F.col("column_name") == c, F.struct("center", "scale"))).alias(f"__{c}") for c in columns]

@@ -446,6 +446,9 @@ def oracle_sql() -> dict[str, str]:
             {r("avg((outside_event_alert_active_count > 0)::DOUBLE)", "trial_false_positive_active_rate")}, {r("median(score_lift_abs)", "median_score_lift_abs")}, {r("median(score_lift_ratio)", "median_score_lift_ratio")} FROM strict GROUP BY 1, 2""",
         "injected_summary": f"""WITH {ANN}, {EVENTS}, {LENIENT} SELECT anomaly_type, {r("coalesce(avg(event_detected), 0.0)", "event_detection_rate")}, {r("coalesce(median(time_to_detect_s) FILTER (WHERE event_detected > 0), 'inf'::DOUBLE)", "median_time_to_detect_s")},
             {r("coalesce(quantile_cont(time_to_detect_s, 0.9) FILTER (WHERE event_detected > 0), 'inf'::DOUBLE)", "p90_time_to_detect_s")}, {r("coalesce(avg(group_attribution_correct), 0.0)", "group_attribution_top1")}, 0.0::DOUBLE AS channel_top3_hit_rate FROM lenient GROUP BY 1""",
+        "experiment_ids": "SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'lstm-raw-zscore-bs64-lr3e-04-seed' ELSE 'tcn-raw-zscore-bs64-lr1e-03-seed' END || (s_suppkey % 10) AS experiment_id FROM supplier",
+        "normalizer_validation": "SELECT * FROM (VALUES ('fold_1', 'mode'), ('fold_2', 'columns')) t(fold_name, rule)",
+        "artifact_matrix": "SELECT 'fold_3' AS fold_name, feature_set, 'robust' AS mode FROM (VALUES ('raw'), ('raw_plus_derived')) t(feature_set)",
         "leaderboard": f"""WITH x AS (SELECT l_suppkey AS experiment_id, {r("avg(1 - l_discount)", "event_detection_rate")}, {r("coalesce(median(l_quantity / 10) FILTER (WHERE l_linenumber < 4), 'inf'::DOUBLE)", "median_time_to_detect_s")}, {r("avg(l_tax)", "clean_alerts_per_min")}, {r("avg(l_quantity / 50)", "group_attribution_top1")} FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1)
             SELECT *, row_number() OVER (ORDER BY event_detection_rate DESC, median_time_to_detect_s, clean_alerts_per_min, group_attribution_top1 DESC, experiment_id) AS overall_rank FROM x""",
         "adaptive_baseline": f"WITH {ADAPT} SELECT sequence_name, window_end_idx, {rr(['score', 'trailing_median', 'trailing_mad'])} FROM ab",

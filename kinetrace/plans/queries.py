@@ -9,9 +9,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_time, platform_hint, rounded
+from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
-from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, windows
+from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, trials, windows
 from ..sources import files
 from ..streaming import streams
 from . import base
@@ -351,6 +351,47 @@ def injected_summary(spark, d):
     return evaluate.injected_summary(event_eval_lenient(spark, d), ["anomaly_type"])
 
 
+def _smoke_trials(spark, d):
+    """All faults and severities at two places of each sequence, judged strictly."""
+    tel = base.telemetry(spark, d)
+    grid = trials.trial_grid(base.lengths(tel), list(inject.DURATION), list(inject.SEVERITY), [0.4, 0.7])
+    clean = score.window_scores(score.trailing_mean_residuals(tel))
+    limits = score.percentile_threshold(clean, 90.0)
+    injected_rows = trials.inject_trials(tel, grid, seed=1000)
+    annotated = score.annotate(score.window_scores(score.trailing_mean_residuals(injected_rows)), limits, 2)
+    return evaluate.event_eval_strict(annotated, trials.trial_events(grid))
+
+
+def heldout_smoke(spark, d):
+    return _smoke_trials(spark, d)
+
+
+def heldout_smoke_summary(spark, d):
+    return evaluate.trial_summary(_smoke_trials(spark, d))
+
+
+def experiment_ids(spark, d):
+    """Names of experiments: architecture, features, normalization, batch, rate, seed."""
+    li = base.table(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(F.lit("lstm"), F.lit("tcn")), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("architecture"), F.element_at(F.array(F.lit(3e-4), F.lit(1e-3)), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("rate"))
+    return li.select("s_suppkey", experiment_id(F.col("architecture"), F.lit("raw"), F.lit("zscore"), F.lit(64), F.col("rate"), F.col("s_suppkey") % 10).alias("experiment_id"))
+
+
+def normalizer_validation(spark, d):
+    """A fold's normalizers against its training sequences and columns; two are spoilt on purpose."""
+    folds = _folds(spark, d)
+    fitted = normalize.fit_folds(base.telemetry(spark, d), folds, RAW, "zscore")
+    stored = normalize.as_payload(fitted, folds, RAW, "zscore")
+    spoilt = stored.withColumns({"mode": F.when(F.col("fold_name") == "fold_1", "robust").otherwise(F.col("mode")), "feature_columns": F.when(F.col("fold_name") == "fold_2", F.slice("feature_columns", 1, 9)).otherwise(F.col("feature_columns"))})
+    return normalize.payload_violations(spoilt, folds, RAW, "zscore")
+
+
+def artifact_matrix(spark, d):
+    """Folds times experiments that have no artifact, of a store that lacks some."""
+    wanted = normalize.experiments(_folds(spark, d), ["raw", "raw_plus_derived"], ["zscore", "robust"]).select("fold_name", "feature_set", "mode")
+    there = wanted.where("not (fold_name = 'fold_3' and mode = 'robust')")
+    return wanted.join(there, ["fold_name", "feature_set", "mode"], "left_anti")
+
+
 def leaderboard(spark, d):
     """Suppliers stand for experiments, line items for their folds."""
     li = base.table(spark, d, "lineitem").where("l_suppkey % 10 = 0")
@@ -502,7 +543,7 @@ def queries() -> dict[str, Query]:
         loso_folds, normalizer_zscore, normalizer_robust, normalizer_full_dev, normalized_windows, window_dedup, tail_split, window_index_validation,
         sequence_feature_stats, fold_window_counts, feature_drift, top_drift, qa_summary, motion_signature, zscore_vectors, cohort_decision, nearest_neighbours,
         robust_scale, motion_gate, demo_schedule, anomaly_catalog, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
-        quiet_segments, quiet_segments_nms, trial_summary, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
+        quiet_segments, quiet_segments_nms, trial_summary, heldout_smoke, heldout_smoke_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
         odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels, pi_shim,
         pca_reconstruct, lstm_scores, tcn_scores, search_trials, stream_tumbling, stream_sliding, stream_sessions, stream_odom, stream_alerts, stream_adaptive, stream_pi_shim,
     ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import platform_hint, require_columns
 from kinetrace.functions.contracts import ACCEL, GYRO, QUATERNION, RAW, SEQUENCE, STEP, TIME
-from kinetrace.operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, resample, score, windows
+from kinetrace.operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, resample, score, trials, windows
 from kinetrace.sources import files
 
 
@@ -249,3 +249,23 @@ def test_files(spark, tmp_path):
     assert GYRO and ACCEL
     files.write_manifest(spark.createDataFrame([("a", float("inf"), [1, 2])], "n string, x double, l array<int>"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m/json")).columns == ["l", "n"]
+
+
+def test_trials_are_single_injections(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, 300, **{c: rng.normal(size=300) for c in RAW})
+    grid = trials.trial_grid(df.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n")), list(inject.DURATION), ["small", "large"], [0.5])
+    rows = trials.inject_trials(df, grid, seed=3, margin=1000).toPandas()
+    for t in grid.collect():
+        got = rows[rows[SEQUENCE] == f"seq_a#{t.trial}"].sort_values(STEP)
+        want = inject.inject(df, t.anomaly_type, t.severity, t.start_index, seed=3).orderBy(STEP).toPandas()
+        assert np.allclose(got[RAW].to_numpy(), want[RAW].to_numpy()), t
+
+
+def test_names(spark):
+    from kinetrace.functions.columns import fold_number, list_of
+
+    df = spark.createDataFrame([("fold_12", " a, ,b")], "f string, l string")
+    assert tuple(df.select(fold_number(F.col("f")), list_of(F.col("l"))).first()) == (12, ["a", "b"])
+    with pytest.raises(Exception, match="no fold"):
+        df.select(fold_number(F.lit("fold_0"))).collect()
