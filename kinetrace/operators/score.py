@@ -37,22 +37,28 @@ def window_scores(residuals: DataFrame, columns: list[str] = RAW, size: int = WI
     """Score timeline: a row per full window, with scores in all and by group.
 
     A window's score is the mean of the largest twentieth of its rows' residuals.
-    Rows are gathered once per window start in a frame that looks ahead.
+    Rows are first gathered in blocks of a stride, then blocks in a frame that
+    looks ahead, so a row is copied into as many windows as hold it and no more;
+    a size that strides do not divide is gathered row by row.  Sequences stay
+    where the residuals' windows have put them: there is no further shuffle.
     """
     k = max(1, -(-size // 20))
-    w = in_time()
-    ahead = w.rowsBetween(0, size - 1)
-    rows = residuals.select(SEQUENCE, TIME, STEP, mean_of([f"r_{c}" for c in columns]).alias("e"), *(mean_of([f"r_{c}" for c in group]).alias(f"e_{n}") for n, group in GROUPS.items()))
-    starts = rows.withColumns({"t0": F.min(TIME).over(Window.partitionBy(SEQUENCE)), "end_ns": F.lead(TIME, size - 1).over(w), "rows": F.collect_list(F.struct("e", *(f"e_{n}" for n in GROUPS))).over(ahead)})
-    starts = starts.where((F.col(STEP) % stride == 0) & F.col("end_ns").isNotNull())
-    return starts.select(
+    block = stride if size % stride == 0 else 1
+    cells = {"e": mean_of([f"r_{c}" for c in columns]), **{f"e_{n}": mean_of([f"r_{c}" for c in group]) for n, group in GROUPS.items()}}
+    rows = residuals.select(SEQUENCE, TIME, F.floor(F.col(STEP) / block).alias("b"), *(c.alias(n) for n, c in cells.items()))
+    blocks = rows.groupBy(SEQUENCE, "b").agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("first_ns"), F.max(TIME).alias("last_ns"), *(F.collect_list(n).alias(n) for n in cells))
+    ahead = Window.partitionBy(SEQUENCE).orderBy("b").rowsBetween(0, size // block - 1)
+    found = blocks.withColumns({"t0": F.min("first_ns").over(Window.partitionBy(SEQUENCE)), "end_ns": F.max("last_ns").over(ahead), "rows": F.sum("n").over(ahead), **{n: F.collect_list(n).over(ahead) for n in cells}})
+    found = found.where((F.col("rows") == size) & (F.col("n") == block) & (F.col("b") * block % stride == 0))
+    start = (F.col("b") * block).cast("long")
+    return found.select(
         SEQUENCE,
-        F.col(STEP).cast("long").alias("window_start_idx"),
-        (F.col(STEP) + size - 1).cast("long").alias(INDEX),
+        start.alias("window_start_idx"),
+        (start + size - 1).alias(INDEX),
         F.col("end_ns").alias(TIME),
         ((F.col("end_ns") - F.col("t0")) / 1e9).alias("time_s"),
-        top_mean(F.col("rows.e"), k).alias("score"),
-        *(top_mean(F.col(f"rows.e_{n}"), k).alias(f"{n}_score") for n in GROUPS),
+        top_mean(F.flatten("e"), k).alias("score"),
+        *(top_mean(F.flatten(f"e_{n}"), k).alias(f"{n}_score") for n in GROUPS),
     ).withColumn("top_group", top_group())
 
 
