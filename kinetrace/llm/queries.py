@@ -64,6 +64,33 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
+def _license_sql() -> str:
+    """The trained weights and the notices as values, joined with the lines' n-grams."""
+    model = licenses.train()
+    classes = range(len(licenses.CLASSES))
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    weights = ", ".join(f"({text(f)}, {', '.join(f'{w!r}::DOUBLE' for w in map(float, row))})" for f, row in zip(model.features, model.weights, strict=True))
+    notices = ", ".join(f"({text(family)}, {n}, {len(licenses.grams(t))}, {text(g)})" for family, texts in licenses.TEMPLATES.items() for n, t in enumerate(texts) for g in licenses.grams(t))
+    powers = ", ".join(f"(sum(w{k}) + {float(model.bias[k])!r}::DOUBLE) / {model.temperature!r}::DOUBLE" for k in classes)
+    names = ", ".join(map(text, licenses.TEMPLATES))
+    speaking = model.speaking_words()
+    return f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT doc_id, row_no, unnest(l) AS line, unnest(range(len(l))) AS paragraph FROM d),
+        w AS (SELECT doc_id, row_no, paragraph, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE regexp_matches(lower(line), '\\b({"|".join(speaking)})\\b')),
+        g AS (SELECT doc_id, row_no, paragraph, list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w WHERE list_has_any(w, [{", ".join(map(text, speaking))}])),
+        e AS (SELECT doc_id, row_no, paragraph, len(g) AS n, unnest(g) AS gram FROM g),
+        z AS (SELECT doc_id, row_no, paragraph, [{powers}] AS z FROM e JOIN (VALUES {weights}) t(gram, {", ".join(f"w{k}" for k in classes)}) USING (gram) GROUP BY ALL),
+        x AS (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS x FROM z),
+        b AS (SELECT doc_id, row_no, paragraph, list_max(list_slice(x, 1, {len(licenses.TEMPLATES)})) AS best, x[{len(licenses.CLASSES)}] AS none, list_sum(x) AS total, [{names}][list_position(x, list_max(list_slice(x, 1, {len(licenses.TEMPLATES)})))] AS likely FROM x),
+        j AS (SELECT *, best / total AS p, best / total >= {model.least!r}::DOUBLE AND best > none AS sure FROM b WHERE best / total >= {licenses.REPORTS}),
+        c AS (SELECT doc_id, row_no, paragraph, family, greatest(count(*) / any_value(size), count(*) / any_value(n)) AS share FROM e JOIN (VALUES {notices}) t(family, notice, size, gram) USING (gram) GROUP BY doc_id, row_no, paragraph, family, notice),
+        s AS (SELECT doc_id, row_no, paragraph, family, max(share) AS similarity FROM c GROUP BY ALL)
+        SELECT j.doc_id, j.paragraph, CASE WHEN sure THEN likely ELSE 'unknown' END AS family, round(p, 6) AS probability, round(coalesce(similarity, 0.0), 6) AS similarity, sure AND coalesce(similarity, 0.0) >= {licenses.CONFIRMS} AS confirmed
+        FROM j LEFT JOIN s ON s.row_no = j.row_no AND s.paragraph = j.paragraph AND s.family = j.likely
+    """
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -126,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_lm_score": _lm_sql(),
         "op2_near_dedup": _NEAR_SQL,
+        "op9_license_scan": _license_sql(),
         "op3_exact_dedup": """
             SELECT doc_id,
                    max(doc_id) OVER same AS keep_id,
