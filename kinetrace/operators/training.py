@@ -1,0 +1,148 @@
+"""Training of the LSTM autoencoder, a Spark task per fold and trial.
+
+A task holds the windows of one fold, at most ``MAX_WINDOWS`` of a split, chosen by
+hash; folds and trials are rows, so all of them train at once on a cluster.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.contracts import SEQUENCE
+from .models import _sigmoid, lstm_weights
+
+MAX_WINDOWS = 20_000
+
+
+def _layer(x, wx, wh, b, h, c):
+    """Outputs of a layer, its last state, and what going back needs."""
+    size, steps = h.shape[1], x.shape[1]
+    ahead, out, kept = x @ wx.T + b, np.empty((*x.shape[:2], size)), []
+    for t in range(steps):
+        z = ahead[:, t] + h @ wh.T
+        i, f, g, o = _sigmoid(z[:, :size]), _sigmoid(z[:, size : 2 * size]), np.tanh(z[:, 2 * size : 3 * size]), _sigmoid(z[:, 3 * size :])
+        before, c = c, f * c + i * g
+        kept.append((h, before, i, f, g, o, np.tanh(c)))
+        h = o * kept[-1][-1]
+        out[:, t] = h
+    return out, h, (x, wx, wh, kept)
+
+
+def _layer_back(d_out, d_last, cache):
+    """Gradients of inputs, weights and first state, from those of the outputs and the last state."""
+    x, wx, wh, kept = cache
+    size = wh.shape[1]
+    dz_all, dh, dc = np.empty((*x.shape[:2], 4 * size)), d_last, np.zeros_like(d_last)
+    dwh = np.zeros_like(wh)
+    for t in range(x.shape[1] - 1, -1, -1):
+        h, before, i, f, g, o, s = kept[t]
+        dh = dh + d_out[:, t]
+        dc = dc + dh * o * (1 - s * s)
+        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dc * i * (1 - g * g), dh * s * o * (1 - o)], axis=1)
+        dz_all[:, t] = dz
+        dwh += dz.T @ h
+        dh, dc = dz @ wh, dc * f
+    flat = dz_all.reshape(-1, 4 * size)
+    return dz_all @ wx, flat.T @ x.reshape(-1, x.shape[2]), dwh, flat.sum(axis=0), dh, dc
+
+
+def loss_and_gradients(x: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean squared reconstruction error and its gradient in every weight."""
+    n, steps, _ = x.shape
+    hidden = w["positions"].shape[1]
+    layers = sum(k.startswith("enc") and k.endswith("_b") for k in w)
+    y, caches = x, []
+    for k in range(layers):
+        y, last, cache = _layer(y, w[f"enc{k}_x"], w[f"enc{k}_h"], w[f"enc{k}_b"], np.zeros((n, hidden)), np.zeros((n, hidden)))
+        caches.append(cache)
+    latent = last @ w["latent_w"].T + w["latent_b"]
+    h = (latent @ w["h_w"].T + w["h_b"]).reshape(n, layers, hidden)
+    c = (latent @ w["c_w"].T + w["c_b"]).reshape(n, layers, hidden)
+    y, back = np.broadcast_to(w["positions"][:steps], (n, steps, hidden)), []
+    for k in range(layers):
+        y, _, cache = _layer(y, w[f"dec{k}_x"], w[f"dec{k}_h"], w[f"dec{k}_b"], h[:, k], c[:, k])
+        back.append(cache)
+    error = y @ w["out_w"].T + w["out_b"] - x
+    loss = float((error**2).mean())
+
+    g: dict[str, np.ndarray] = {}
+    d = 2 * error / error.size
+    g["out_w"], g["out_b"] = d.reshape(-1, d.shape[2]).T @ y.reshape(-1, hidden), d.sum(axis=(0, 1))
+    dy, none = d @ w["out_w"], np.zeros((n, hidden))
+    dh, dc = np.zeros_like(h), np.zeros_like(c)
+    for k in range(layers - 1, -1, -1):
+        dy, g[f"dec{k}_x"], g[f"dec{k}_h"], g[f"dec{k}_b"], dh[:, k], dc[:, k] = _layer_back(dy, none, back[k])
+    g["positions"] = np.zeros_like(w["positions"])
+    g["positions"][:steps] = dy.sum(axis=0)
+    dh, dc = dh.reshape(n, -1), dc.reshape(n, -1)
+    g["h_w"], g["h_b"], g["c_w"], g["c_b"] = dh.T @ latent, dh.sum(axis=0), dc.T @ latent, dc.sum(axis=0)
+    d_latent = dh @ w["h_w"] + dc @ w["c_w"]
+    g["latent_w"], g["latent_b"] = d_latent.T @ last, d_latent.sum(axis=0)
+    d_last, dy = d_latent @ w["latent_w"], np.zeros((n, steps, hidden))
+    for k in range(layers - 1, -1, -1):
+        dy, g[f"enc{k}_x"], g[f"enc{k}_h"], g[f"enc{k}_b"], _, _ = _layer_back(dy, d_last if k == layers - 1 else none, caches[k])
+    return loss, g
+
+
+def train(x: np.ndarray, validation: np.ndarray, hidden: int, latent: int, rate: float, batch: int, epochs: int, seed: int, patience: int = 10, least_gain: float = 1e-4, decay: float = 1e-4) -> tuple[dict, list[tuple[int, float, float]]]:
+    """AdamW with gradients clipped to norm 1 and early stopping: the best weights, and losses by epoch."""
+    w = lstm_weights(seed, x.shape[2], hidden, latent, positions=x.shape[1])
+    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    rng, step, best, waited, history, kept = np.random.default_rng(seed), 0, np.inf, 0, [], w
+    for epoch in range(1, epochs + 1):
+        total = 0.0
+        for rows in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
+            loss, g = loss_and_gradients(x[rows], w)
+            total += loss * len(rows)
+            scale = min(1.0, 1.0 / (np.sqrt(sum((v**2).sum() for v in g.values())) + 1e-6))
+            step += 1
+            for k, v in g.items():
+                v = v * scale
+                mean[k] = 0.9 * mean[k] + 0.1 * v
+                square[k] = 0.999 * square[k] + 0.001 * v * v
+                w[k] = w[k] * (1 - rate * decay) - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+        held = loss_and_gradients(validation, w)[0] if len(validation) else total / len(x)
+        history.append((epoch, total / len(x), held))
+        if held < best - least_gain:
+            best, waited, kept = held, 0, {k: v.copy() for k, v in w.items()}
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return kept, history
+
+
+def train_folds(windows: DataFrame, trials: DataFrame, epochs: int, seed: int = 7, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """(trial, fold_name, epoch, train_loss, validation_loss) for every trial and fold.
+
+    ``windows`` has fold_name, split_name and rows; ``trials`` has trial, hidden,
+    latent, rate, batch.
+    """
+    w = Window.partitionBy("fold_name", "split_name").orderBy(F.xxhash64(SEQUENCE, "start_row"), SEQUENCE, "start_row")
+    sample = windows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_windows)
+    dealt = sample.select("fold_name", "split_name", SEQUENCE, "start_row", "rows").join(F.broadcast(trials))
+
+    def run(table):
+        table = table.sort_by([(SEQUENCE, "ascending"), ("start_row", "ascending")])
+        x = np.asarray(table.column("rows").to_pylist(), dtype=np.float32).astype(float)
+        own = np.array(table.column("split_name").to_pylist()) == "train"
+        first = {c: table.column(c)[0].as_py() for c in ("trial", "fold_name", "hidden", "latent", "rate", "batch")}
+        if not own.any():
+            history = []
+        else:
+            _, history = train(x[own], x[~own], first["hidden"], first["latent"], first["rate"], first["batch"], epochs, seed)
+        epoch, fit, held = zip(*history, strict=True) if history else ((),) * 3
+        n = len(epoch)
+        return pa.table({"trial": pa.array([first["trial"]] * n, pa.int32()), "fold_name": pa.array([first["fold_name"]] * n, pa.string()), "epoch": pa.array(epoch, pa.int32()), "train_loss": pa.array(fit, pa.float64()), "validation_loss": pa.array(held, pa.float64())})
+
+    return dealt.groupBy("trial", "fold_name").applyInArrow(run, "trial int, fold_name string, epoch int, train_loss double, validation_loss double")
+
+
+def search_results(history: DataFrame) -> DataFrame:
+    """Trials by the mean of their folds' best validation losses; trials are few."""
+    best = history.groupBy("trial", "fold_name").agg(F.min("validation_loss").alias("best"))
+    means = best.groupBy("trial").agg(F.avg("best").alias("validation_loss"), F.count(F.lit(1)).alias("fold_count"))
+    return means.withColumn("overall_rank", F.row_number().over(Window.orderBy("validation_loss", "trial")))

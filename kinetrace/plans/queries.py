@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
-from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, trials, windows
+from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, training, trials, windows
 from ..sources import files
 from ..streaming import streams
 from . import base
@@ -460,6 +460,25 @@ def tcn_scores(spark, d):
     return models.reconstruction_scores(_windows(spark, d), models.tcn_reconstruct, models.tcn_weights(7, len(RAW)))
 
 
+def _training(spark, d):
+    """Two settings on folds 2 and 4, a few epochs of a small model on every third row of each window."""
+    tel = base.telemetry(spark, d)
+    folds = _folds(spark, d).where("fold_name in ('fold_2', 'fold_4')")
+    scaled = normalize.apply(tel, normalize.fit(tel, RAW, "zscore", []), RAW)
+    index = windows.window_index(tel, WINDOW, TRAIN_STRIDE)
+    arrays = windows.window_arrays(scaled, index, RAW).withColumn("rows", F.filter("rows", lambda r, i: i % 3 == 0))
+    trials_ = spark.createDataFrame([(1, 8, 4, 1e-2, 32), (2, 8, 4, 1e-3, 32)], "trial int, hidden int, latent int, rate double, batch int")
+    return training.train_folds(windows.fold_windows(folds, arrays), trials_, epochs=3)
+
+
+def fold_training(spark, d):
+    return _training(spark, d)
+
+
+def model_search(spark, d):
+    return training.search_results(_training(spark, d))
+
+
 def search_trials(spark, d):
     grid = {"architecture": ["lstm", "tcn"], "feature_set": ["raw", "raw_plus_derived"], "mode": ["zscore", "robust"], "batch_size": [64, 128, 256], "learning_rate": [1e-3, 3e-4]}
     return models.search_trials(spark, grid, 16, seed=7)
@@ -545,7 +564,7 @@ def queries() -> dict[str, Query]:
         robust_scale, motion_gate, demo_schedule, anomaly_catalog, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
         quiet_segments, quiet_segments_nms, trial_summary, heldout_smoke, heldout_smoke_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
         odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels, pi_shim,
-        pca_reconstruct, lstm_scores, tcn_scores, search_trials, stream_tumbling, stream_sliding, stream_sessions, stream_odom, stream_alerts, stream_adaptive, stream_pi_shim,
+        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, stream_tumbling, stream_sliding, stream_sessions, stream_odom, stream_alerts, stream_adaptive, stream_pi_shim,
     ]
     found: dict[str, Query] = {f.__name__: _rounded(f) for f in plain}
     return found | {f"inject_{kind}": _rounded(partial(injected, kind)) for kind in inject.DURATION}

@@ -269,3 +269,24 @@ def test_names(spark):
     assert tuple(df.select(fold_number(F.col("f")), list_of(F.col("l"))).first()) == (12, ["a", "b"])
     with pytest.raises(Exception, match="no fold"):
         df.select(fold_number(F.lit("fold_0"))).collect()
+
+
+def test_gradients_and_training():
+    from kinetrace.operators import training
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3, 5, 2))
+    w = models.lstm_weights(1, 2, hidden=4, latent=3, positions=5)
+    loss, g = training.loss_and_gradients(x, w)
+    assert loss == pytest.approx(((models.lstm_reconstruct(x, w) - x) ** 2).mean())
+    for name, values in w.items():
+        at = tuple(rng.integers(n) for n in values.shape)
+        values[at] += 1e-6
+        up = training.loss_and_gradients(x, w)[0]
+        values[at] -= 2e-6
+        down = training.loss_and_gradients(x, w)[0]
+        values[at] += 1e-6
+        assert g[name][at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-8), name
+    signal = np.sin(np.arange(20)[None, :, None] / 3 + rng.uniform(0, 6, (40, 1, 1)))
+    _, history = training.train(signal, signal[:8], 8, 4, 1e-2, 10, 25, seed=1)
+    assert history[-1][1] < 0.6 * history[0][1]
