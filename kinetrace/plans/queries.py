@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -487,7 +488,7 @@ def search_trials(spark, d):
 def _run_stream(spark: SparkSession, source: DataFrame, build, mode: str) -> DataFrame:
     """Write ``source`` to files, stream them through ``build`` until they end, return what came out."""
     folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-    folder = f"{folder}/stream-{spark.sparkContext.applicationId}-{id(build)}"
+    folder = f"{folder}/stream-{uuid.uuid4().hex}"
     source.repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2 if mode == "update" else 100).parquet(f"{folder}/in")
     out = build(stream)
