@@ -53,6 +53,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_place(name: str | Column) -> Column:
+    """An id as text that is never null: joins and grouping by it need no null-safe keys."""
+    column = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
 def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import id_place, materialize, text_or_empty
 
 #: Copies of one text are spread over so many tasks when verdicts are joined back.
 SALTS = 64
@@ -114,16 +114,14 @@ def keep_one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only (digest, row) pairs are grouped; texts move once, by id and digest, so
     a text with very many copies is never gathered in one task.
     """
-    digest = F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256))
+    digest = F.coalesce(F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)), F.lit(b""))
     keepers = _groups(df.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("row_no"), digest.alias("__digest")), "__digest")
     if index is not None:
         groups = materialize(keepers.withColumnRenamed("__digest", "digest"), "groups")
         fresh = materialize(index.unseen(groups), "fresh")
         index.append(fresh)
         keepers = fresh.withColumnRenamed("digest", "__digest")
-    keepers = keepers.select("__digest", F.col("keeper.doc_id").alias("__keep"), F.xxhash64("keeper.doc_id").alias("__place"))
-    # Both keys are never null, so dropping repeated rows finds them where the join has put them.
-    rows = df.withColumns({"__digest": digest, "__place": F.xxhash64(F.col(id_col))})
-    same = (rows["__digest"] == keepers["__digest"]) & (rows["__place"] == keepers["__place"]) & rows[id_col].eqNullSafe(keepers["__keep"])
-    kept = rows.join(keepers, same, "left_semi")
-    return kept.dropDuplicates(["__digest", "__place"]).drop("__digest", "__place")
+    keepers = keepers.select("__digest", id_place("keeper.doc_id").alias("__place"))
+    # Neither key is ever null, so repeated rows are dropped where the join has put them.
+    rows = df.withColumns({"__digest": digest, "__place": id_place(id_col)})
+    return rows.join(keepers, ["__digest", "__place"], "left_semi").dropDuplicates(["__digest", "__place"]).select(*df.columns)

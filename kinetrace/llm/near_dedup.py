@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import id_place, materialize, small_batches, text_or_empty
 from .graphs import connected_components
 
 HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4
@@ -364,9 +364,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 def keep_one_per_class(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one of each component."""
     found = classes(df, width, percent, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id").alias("__place"), F.col("text_hash").alias("__hash")).distinct()
-    # Both keys are never null, so dropping repeated rows finds them where the join has put them.
-    rows = df.withColumns({"__hash": F.xxhash64(text_or_empty(text_col)), "__place": F.xxhash64(F.col(id_col))})
-    same = (rows["__hash"] == stay["__hash"]) & (rows["__place"] == stay["__place"]) & rows[id_col].eqNullSafe(stay["__id"])
-    return rows.join(stay, same, "left_semi").dropDuplicates(["__hash", "__place"]).drop("__hash", "__place")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("text_hash").alias("__hash"), id_place("doc_id").alias("__place"))
+    # Neither key is ever null, so repeated rows are dropped where the join has put them.
+    rows = df.withColumns({"__hash": F.xxhash64(text_or_empty(text_col)), "__place": id_place(id_col)})
+    return rows.join(stay, ["__hash", "__place"], "left_semi").dropDuplicates(["__hash", "__place"]).select(*df.columns)
