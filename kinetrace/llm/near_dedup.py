@@ -136,27 +136,32 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n_shingles", "minima").mapInArrow(run, "order byte, key long, deeper int, node long, n int, short binary")
 
 
-def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, agree): candidates of the sorted orders, a < b.
+def _tables(batches, size=30_000):
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-    The border between two ranges parts a few neighbours in one of the orders.
-    """
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def chunks(batches, size=30_000):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= size:
-                yield pa.Table.from_batches(held)
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
+_PAIRS = "a long, b long, agree int"
+_SORTED = ["order", "key", "deeper", "node", "n", "short"]
+
+
+def _following(threshold: float, with_ends: bool):
+    """A pass over sorted rows that yields candidates and, if asked, the range's first and last rows."""
 
     def run(batches):
-        tail = None
-        for table in chunks(batches):
+        tail, head, total = None, None, 0
+        for table in _tables(batches):
+            table = table.select(_SORTED)
+            total += len(table)
+            if head is None:
+                head = table.slice(0, 2 * NEIGHBOURS)
             if tail is not None:
                 table = pa.concat_tables([tail, table])
             fresh = len(tail) if tail is not None else 0
@@ -175,10 +180,31 @@ def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
                 good = agree >= LEAST_AGREEMENT
                 found.append((node[first[good]], node[second[good]], agree[good]))
             a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+            pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))]
+            rest = [pa.nulls(len(a), f.type) for f in table.schema] if with_ends else []
+            yield pa.RecordBatch.from_arrays(pairs + rest, ["a", "b", "agree"] + _SORTED * with_ends)
+        if with_ends and total:
+            ends = head if total <= 2 * NEIGHBOURS else pa.concat_tables([head.slice(0, NEIGHBOURS), tail])
+            empty = [pa.nulls(len(ends), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            yield from pa.table(empty + ends.columns, ["a", "b", "agree"] + _SORTED).combine_chunks().to_batches()
+
+    return run
+
+
+def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, agree): candidates of the sorted orders, a < b.
 
-    placed = rows.repartitionByRange(ranges, "order", "key", "deeper", "node").sortWithinPartitions("order", "key", "deeper", "node")
-    return placed.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    Each range also hands on its first and last rows.  They are few, as ranges
+    are, and put in order they give the pairs that a border parts: a range too
+    small to fill both ends hands on all its rows, so pairs reach over it.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["order", "key", "deeper", "node"]
+    placed = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    found = materialize(placed.mapInArrow(_following(threshold, True), f"{_PAIRS}, order byte, key long, deeper int, node long, n int, short binary"), "neighbours")
+    ends = found.where("node is not null").select(*_SORTED).repartition(1).sortWithinPartitions(*keys)
+    pairs = found.where("a is not null").select("a", "b", "agree").union(ends.mapInArrow(_following(threshold, False), _PAIRS))
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def region_of(depth: int):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import DATA
 from helpers import EDGES, docs
+from pyspark.sql import functions as F
 
 from kinetrace.llm import graphs, near_dedup, queries
 from kinetrace.llm.near_dedup import shingles
@@ -91,3 +92,20 @@ def test_shingles_and_minima():
     other = np.concatenate([one[:3600], rng.integers(1 << 62, size=400, dtype=np.uint64)])
     signs = near_dedup.minima([one, other])
     assert abs((signs[0] == signs[1]).mean() - 3600 / 4400) < 0.15
+
+
+def test_more_ranges_than_rows(spark):
+    """Pairs meet over the borders of ranges, however many ranges there are."""
+    rng = random.Random(9)
+    pairs = []
+    for i in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        pairs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], f"n{i}"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "250")
+    try:
+        nodes = near_dedup.signatures(docs(spark, pairs), 2, "doc_id", "text").withColumn("node", F.col("doc_id"))
+        met = {(r.a, r.b) for r in near_dedup.neighbour_pairs(near_dedup.forest_rows(nodes), 0.8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert met >= {(2 * i, 2 * i + 1) for i in range(6)}
