@@ -14,17 +14,15 @@ are confirmed on the full sets of both texts: first two candidates of each node
 and two hubs of its crowded regions, whose links give components, then all others
 whose ends are still apart.
 
-A region that holds more nodes than a neighbourhood reaches is crowded.  Depth
-adapts to it in two ways: its nodes' neighbours share longer prefixes, and once
-most of it is one component, the nodes outside that component are compared with
-all its members, by posting lists, and sorted again without them, so that they
-become neighbours of each other.  This goes on until no component grows.
+A region that holds more nodes than a neighbourhood reaches is crowded.  Its
+nodes' neighbours share longer prefixes, which finds most links; the regions
+that then still hold more than one component are finished exactly: every pair of
+their nodes in different components that can be linked is found by a prefix
+filter on the sets' rarest shingles and confirmed on full sets.
 
 What can be missed: a link of similarity 0.8 shares the first two minima in an
-order with chance 0.64, so it is in none of 16 with chance 8e-8, and its
-signatures agree in fewer than 35 of 64 places with chance 4e-6.  In a region
-crowded by many components a link between two small ones can be out of reach in
-all orders; it matters only if no chain of other links joins its ends.
+order with chance 0.64, so it is in none of 16 with chance 8e-8; in a region that
+is not crowded its signatures agree in fewer than 35 of 64 places with chance 4e-6.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text, or one without words, has no shingle and is linked with nothing; equal
@@ -49,8 +47,8 @@ HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4
 LEAST_AGREEMENT = 35
 #: Agreement that makes a link likely; only an order of work depends on it.
 LIKELY_AGREEMENT = 48
-#: Shingles of the members that a task compares queries with at once.
-CHUNK_SHINGLES = 2_000_000
+#: Counters of shingles in crowded regions, and how many of them are added up together.
+COUNTERS, COUNTERS_A_PART = 1 << 20, 1 << 12
 SALTS = 64
 #: Words whose hash a worker keeps.
 CACHE = 1_000_000
@@ -221,49 +219,100 @@ def crowded_rows(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("region"), "region", "left_semi").drop("region")
 
 
-def mixed_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label, top_label, top_count): the nodes outside the largest component of a crowded region."""
-    rows = rows.select("node", region_of(LEAST_DEPTH).alias("region")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_label = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
-    sizes = by_label.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
-    mixed = sizes.where(f"size > {NEIGHBOURS + 1} and size > top.c").select("region", F.col("top.label").alias("top_label"), F.col("top.c").alias("top_count"))
-    return rows.join(mixed, "region").where("label <> top_label").select("node", "label", "top_label", "top_count").distinct()
+def mixed_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): all nodes of crowded regions that hold more than one component."""
+    labelled = rows.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    placed = rows.select("node", region_of(LEAST_DEPTH).alias("region")).join(labelled, "node")
+    mixed = placed.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return placed.join(mixed.select("region"), "region", "left_semi").select("node", "label").distinct()
 
 
-def links_to_components(queries: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): for each query (node, label) a member of the component that the node is linked with, if any.
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many sets hold a shingle, in COUNTERS counters by its first bits; shingles may share one.
 
-    Members are dealt into chunks of bounded size, each of which sees all queries
-    of its component.  A chunk turns its members' sets into posting lists, so a
-    query costs as much as the postings of its own shingles.
+    A task adds up its own rows; parts of the counters are then added up apart.
     """
-    sized = labels.join(queries.select("label").distinct(), "label", "left_semi").join(nodes.select("node", "n_shingles"), "node")
-    chunks = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    members = sized.join(chunks, "label").select("label", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", F.lit(False).alias("query"))
-    asked = queries.join(chunks, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("query"))
-    dealt = members.union(asked).join(texts, "node").select("label", "chunk", "node", "query", "text")
-
-    def run(table):
-        query, node = table.column("query").to_numpy(), table.column("node").to_numpy()
-        sets = [shingles(t, width) for t in table.column("text").to_pylist()]
-        own, asking = np.flatnonzero(~query), np.flatnonzero(query)
-        found = []
-        if len(own) and len(asking):
-            flat, of_member = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
-            order = np.argsort(flat, kind="stable")
-            flat, of_member = flat[order], of_member[order]
-            sizes = np.array([len(sets[i]) for i in own])
-            for i in asking:
-                first, last = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-                hits = np.concatenate([of_member[x:y] for x, y in zip(first, last, strict=True) if y > x] or [np.array([], np.int64)])
-                both = np.bincount(hits, minlength=len(own))
-                linked = np.flatnonzero(100 * both >= percent * (sizes + len(sets[i]) - both))
-                if len(linked):
-                    found.append((node[i], node[own[linked[0]]]))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("label", "chunk").applyInArrow(run, "a long, b long")
+    parts = COUNTERS // COUNTERS_A_PART
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _counter(shingles(text, width)), 1)
+        rows = total.reshape(parts, -1)
+        full = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[k].tobytes() for k in full], pa.binary())], ["part", "counts"])
+
+    def add(table):
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    out = np.zeros((parts, COUNTERS_A_PART), np.int32)
+    kind = "part int, counts binary"
+    for part, counts in texts.select("text").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect():
+        out[part] = np.frombuffer(counts, np.int32)
+    return out.ravel()
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(shingle, node, label, n, pos): a set's rarest shingles, as many as any set linked with it must meet.
+
+    Sets are put in one order, by count and shingle; which order it is matters
+    for speed alone.
+    """
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for text, node, label in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "label")), strict=True):
+                found = shingles(text, width)
+                n = len(found)
+                first = found[np.lexsort((found, counts[_counter(found)]))][: n + percent * n // -100 + 1]
+                held.append((first, node, label, n))
+                size += len(first)
+                if size > 200_000:
+                    yield pack(held)
+                    held, size = [], 0
+            if held:
+                yield pack(held)
+
+    def pack(held):
+        sizes = [len(h[0]) for h in held]
+        spread = [np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (1, 2, 3)]
+        columns = [np.concatenate([h[0] for h in held]).view(np.int64), *spread, np.concatenate([np.arange(k) for k in sizes])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "label", "n", "pos"])
+
+    return texts.select("text", "node", "label").mapInArrow(run, "shingle long, node long, label long, n long, pos long")
+
+
+def links_between(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): every pair of nodes (node, label) with different labels that can be linked, by prefix filter.
+
+    Of two linked sets the smaller has a shingle of the other among its first
+    ones (those with ``index``), and behind the first that they share enough is
+    left of both.  Pairs of a shingle's largest component are never formed, so a
+    crowd of copies costs its rows; what a task holds is a sorted run of a join.
+    """
+    labelled = texts.join(nodes, "node")
+    counts = shingle_counts(labelled, width)
+    rare = materialize(rare_shingles(labelled, counts, width, percent), "rare-shingles")
+    shared = rare.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    rare = materialize(rare.join(shared.select("shingle"), "shingle", "left_semi"), "shared-shingles")
+    by_label = rare.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_label.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top")).select("shingle", F.col("top.label").alias("top_label"))
+    rare = materialize(rare.join(largest, "shingle").withColumn("top", F.col("label") == F.col("top_label")).drop("top_label"), "shared-shingles")
+    index = rare.where(f"(n - pos) * {100 + percent} >= {2 * percent} * n").alias("i")
+    probe = rare.alias("q")
+    fits = F.expr(f"""i.shingle = q.shingle and i.label <> q.label and (q.n > i.n or q.n = i.n and q.node > i.node)
+        and least(i.n - i.pos, q.n - q.pos) * {100 + percent} >= {percent} * (i.n + q.n)""")
+    ends = [F.least("i.node", "q.node").alias("a"), F.greatest("i.node", "q.node").alias("b")]
+    odd = index.where("not i.top").join(probe, fits).select(*ends)
+    even = index.where("i.top").join(probe.where("not q.top"), fits).select(*ends)
+    return odd.union(even).distinct()
 
 
 def agreements(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,6 +362,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialize(joined.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
+def apart_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    label_a, label_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    return pairs.join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) after more links (a, b)."""
+    label_a, label_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    # Components of components: only links between them are left.
+    bridges = links.join(label_a, "a", "left").join(label_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = connected_components(bridges).toDF("label", "merged")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).union(labels.select("node")).distinct()
+    joined = ends.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return materialize(joined.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
+
+
 def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, n_links of each row.
 
@@ -349,26 +415,17 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     confirmed, tried = confirm(picked, texts, width, percent), picked
     labels = connected_components(confirmed)
 
-    # Then: all other candidates whose ends are still in different components, and crowded regions.
-    while True:
-        label_a, label_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        odd = materialize(mixed_regions(crowd, labels), "odd")
-        nearer = neighbour_pairs(forest_rows(nodes.join(odd.select("node").distinct(), "node", "left_semi")), percent / 100)
-        others = pairs.select("a", "b").union(nearer.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
-        apart = others.join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        apart = materialize(apart, "apart")
-        queries = odd.where(F.col("top_count") >= NEIGHBOURS).select("node", F.col("top_label").alias("label")).distinct()
-        to_crowd = materialize(links_to_components(queries, labels, nodes, texts, width, percent), "links-to-crowds")
-        more = confirm(apart, texts, width, percent).union(to_crowd)
-        tried = tried.union(apart)
-        # Components of components: only links between them are left.
-        bridges = more.join(label_a, "a", "left").join(label_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = connected_components(bridges).toDF("label", "merged")
-        if merged.isEmpty():
-            break
-        confirmed = confirmed.union(more)
-        joined_nodes = confirmed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labels = materialize(joined_nodes.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
+    # Then: all other candidates whose ends are still in different components.
+    others = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
+    apart = materialize(apart_ends(others, labels), "apart")
+    tried = tried.union(apart)
+    more = confirm(apart, texts, width, percent)
+    confirmed, labels = confirmed.union(more), merged_labels(labels, more)
+    # Last: all links between components of a crowded region.
+    mixed = materialize(mixed_nodes(crowd, labels), "mixed")
+    between = materialize(links_between(mixed, texts, width, percent).join(tried, ["a", "b"], "left_anti"), "between")
+    more = confirm(between, texts, width, percent)
+    confirmed, labels = confirmed.union(more), merged_labels(labels, more)
 
     links = confirmed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -109,3 +109,16 @@ def test_more_ranges_than_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert met >= {(2 * i, 2 * i + 1) for i in range(6)}
+
+
+def test_crowd_of_small_components(spark):
+    """Forms share a long passage: many pairs in the same regions, each its own component."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(160)]
+    pairs = []
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(40)]
+        other = [*own[:21], *(f"n{i}x{k}" for k in range(19))]
+        pairs += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    rng.shuffle(pairs)
+    assert found(docs(spark, pairs), 2) == brute(pairs, 2)
