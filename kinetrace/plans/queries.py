@@ -450,7 +450,7 @@ def pca_reconstruct(spark, d):
 def _windows(spark, d):
     tel = base.telemetry(spark, d)
     scaled = normalize.apply(tel, normalize.fit(tel, RAW, "zscore", []), RAW)
-    return windows.window_arrays(scaled, windows.window_index(tel, WINDOW, TRAIN_STRIDE), RAW)
+    return windows.window_arrays(scaled, windows.window_index(tel, WINDOW, SCORE_STRIDE), RAW)
 
 
 def lstm_scores(spark, d):

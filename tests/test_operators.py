@@ -290,3 +290,14 @@ def test_gradients_and_training():
     signal = np.sin(np.arange(20)[None, :, None] / 3 + rng.uniform(0, 6, (40, 1, 1)))
     _, history = training.train(signal, signal[:8], 8, 4, 1e-2, 10, 25, seed=1)
     assert history[-1][1] < 0.6 * history[0][1]
+
+
+@pytest.mark.parametrize("name", ["lstm_scores", "tcn_scores"])
+def test_models_score_every_score_window(spark, name):
+    from conftest import DATA
+
+    from kinetrace.plans import base, queries
+
+    wanted = windows.window_index(base.telemetry(spark, DATA), 150, 5).select(SEQUENCE, "start_row")
+    got = queries.queries()[name](spark, DATA).select(SEQUENCE, "start_row")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
