@@ -8,282 +8,446 @@ it.  Weights come from Dirichlet-smoothed counts,
 
     p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K),
 
-h' being h without its first token, so that log10 K / (c(h) + K) is the failure
-weight; the empty context has add-one counts with one place for unknown tokens.
-A text is scored by one traversal from left to right that carries the state and
-adds up log probabilities (``Automaton.score``).
-
-No machine holds the whole automaton.  Documents are dealt into blocks; a block
-asks for the counts of its own distinct n-grams, which are summed over all blocks
-in buckets by hash, and gets from each bucket the totals of what it asked for:
-the part of the automaton that its traversals touch.  A frequent n-gram is asked
-for once per block, so no key is hot.  In a block the states along all its texts
-are known beforehand, being the last tokens read, so the steps of all traversals
-are taken together (``BlockScorer``).
+h' being h without its first token and K depending on the length of h, so that
+log10 K / (c(h) + K) is the failure weight; the empty context has add-one counts
+with one place for unknown tokens.  A text is scored by one traversal from left to
+right that carries the state and adds up log probabilities.
+
+No machine holds the whole automaton.  Rows are packed into blocks of a few
+megabytes as they lie; a block asks for the counts of its own distinct n-grams,
+which are summed over all blocks, and builds from the totals the states, arcs and
+failure arcs that its traversals touch (``BlockAutomaton``).  Requests are parted
+by the highest bits of the n-grams' hashes, into as many parts as there are
+blocks but 2^``FAN_BITS`` at most.  Where there are more blocks than that, groups
+of so many are merged first and ask, as one, a level further up: rows grow with
+the n-grams, by one more pass for each factor 2^``FAN_BITS`` of blocks.  A frequent
+n-gram is asked for once per block or group, so no key is hot.
+
+All traversals of a block take their steps together, each with the state that it
+carries.  Texts are cut into pieces of ``PIECE`` tokens; a piece begins with the
+few tokens before it, after which it is in the state in which the piece before it ends.
 
 Defined results: a null text counts as empty and is scored as the end alone;
 words are runs of other bytes than ASCII white space, lower-cased A-Z, and the end
 is a token; a null id counts as empty text in the split; texts of any length are
-scored whole; repeated rows are scored, and learnt from, each; without training
-rows all tokens are unknown; an empty table gives no rows.  Words and n-grams are
-told apart by 64-bit hashes.
+scored whole; repeated rows are scored, and learnt from, each; other columns are
+never read, so their names may clash with any used here; without training rows
+all tokens are unknown; an empty table gives no rows.  Words and n-grams are told
+apart by 63-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
-from collections.abc import Iterable
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, text_or_empty
 
-#: Length of n-grams, weight of the shorter context, bytes of text in a block.
-ORDER, STRENGTH, BLOCK_BYTES = 2, 500.0, 8 << 20
+#: Weights of the shorter context, for contexts of one token, of two, and so on; there is one order more.
+STRENGTHS = (2000.0, 20.0)
+#: Bytes of text in a block, highest bits by which requests are parted, tokens of a piece.
+BLOCK_BYTES, FAN_BITS, PIECE = 8 << 20, 13, 128
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: Words whose hash a worker keeps.
-CACHE = 300_000
-
-
-def tokenize(text: str) -> list[bytes]:
-    """Lower-case words; the end is added by those who score."""
-    return text.encode().lower().split()
-
-
-class Automaton:
-    """The automaton of given training texts, for texts in memory."""
-
-    def __init__(self, texts: Iterable[str], order: int = ORDER, strength: float = STRENGTH):
-        self.order, self.strength = order, strength
-        counts: Counter = Counter()
-        for text in texts:
-            sequence = [None, *tokenize(text), b"\n"]  # the end is no word
-            for i in range(1, len(sequence)):
-                for n in range(1, min(order, i + 1) + 1):
-                    counts[tuple(sequence[i - n + 1 : i + 1])] += 1
-        self.tokens = sum(c for g, c in counts.items() if len(g) == 1)
-        self.known = {g[0]: c for g, c in counts.items() if len(g) == 1}
-        context = Counter()
-        for gram, c in counts.items():
-            if len(gram) > 1:
-                context[gram[:-1]] += c
-        self.failure = {h: math.log10(strength / (c + strength)) for h, c in context.items()}
-        self.arcs: dict[tuple, dict[bytes, float]] = defaultdict(dict)
-        for gram in sorted(counts, key=len):
-            h, w = gram[:-1], gram[-1]
-            p = (counts[gram] + 1) / (self.tokens + len(self.known) + 1) if not h else (counts[gram] + strength * 10 ** self.weight(h[1:], w)) / (context[h] + strength)
-            self.arcs[h][w] = math.log10(p)
-
-    def weight(self, state: tuple, token: bytes) -> float:
-        """Log probability of a token in a state, along failure arcs."""
-        total = 0.0
-        while token not in self.arcs.get(state, ()):
-            if not state:
-                return total - math.log10(self.tokens + len(self.known) + 1)
-            total += self.failure.get(state, 0.0)
-            state = state[1:]
-        return total + self.arcs[state][token]
-
-    def score(self, text: str) -> float:
-        state, total = (None,)[: self.order - 1], 0.0
-        for token in [*tokenize(text), b"\n"]:
-            total += self.weight(state, token)
-            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
-        return total
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _WordHashes()
+
+_REQUESTS = "sender long, path long, keys binary, counts binary"
+_ANSWERS = "sender long, path long, totals binary, known long, tokens long"
+
+
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """The places of 64-bit keys in the order of their upper half at least; the lower bits make room for the place."""
+    bits = np.uint64(max(1, len(keys)).bit_length())
+    packed = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of some numbers from 0 in order, and each value's place among them."""
+    bits = len(values).bit_length()
+    if not len(values) or int(values.max()).bit_length() + bits > 63:
+        return np.unique(values, return_inverse=True)
+    packed = (values << bits) | np.arange(len(values))  # sorting numbers is faster than sorting places
+    packed.sort()
+    place, packed = packed & ((1 << bits) - 1), packed >> bits
+    first = np.concatenate([[True], packed[1:] != packed[:-1]])
+    inverse = np.empty(len(values), np.int32)
+    inverse[place] = np.cumsum(first) - 1
+    return packed[first], inverse
 
 
 class BlockGrams:
-    """Hashed n-grams of a block's texts, each with its place in the sorted distinct ones."""
-
-    def __init__(self, texts: list[str], order: int):
-        codes = []
-        for text in texts:
-            words = tokenize(text)
-            row = np.empty(len(words) + 2, dtype=np.uint64)
-            row[0], row[-1] = START, END
-            row[1:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-            codes.append(row)
-        self.lengths = np.array([len(c) - 1 for c in codes])
-        flat = np.concatenate(codes) if codes else np.array([], dtype=np.uint64)
-        is_start = flat == START
-        place = np.arange(len(flat)) - np.maximum.accumulate(np.where(is_start, np.arange(len(flat)), 0))
-        #: Positions that are scored, and for each order those with a full context.
-        self.at = np.flatnonzero(~is_start)
-        self.document = np.repeat(np.arange(len(codes)), self.lengths)
-        self.after_start = place[self.at] == 1
-        self.keys, self.inverse, self.full = [], [], []
-        mixed = flat
-        for n in range(1, order + 1):
-            if n > 1:  # the n-gram that ends here: its first token, then the (n-1)-gram
-                first = np.roll(flat, n - 1)
-                mixed = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed = mixed ^ (mixed >> np.uint64(32))
-            full = place[self.at] >= n - 1
-            keys, inverse = np.unique(mixed[self.at[full]], return_inverse=True)
-            self.keys.append(keys)
-            self.inverse.append(inverse)
-            self.full.append(full)
-
-    def counts(self, n: int, training: np.ndarray) -> np.ndarray:
-        """How often each distinct n-gram occurs in the training documents."""
-        learnt = training[self.document][self.full[n - 1]]
-        return np.bincount(self.inverse[n - 1][learnt], minlength=len(self.keys[n - 1])).astype(np.uint32)
-
-
-def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys; buckets are the keys' highest bits."""
-    if not bits:
-        return np.array([0, len(keys)])
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    """The n-grams of a block's texts, as numbers from 0 for each length; words 0 and 1 are start and end."""
+
+    def __init__(self, texts: pa.Array, order: int):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        words = split.flatten()
+        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[real]
+        coded = words.filter(pa.array(real)).dictionary_encode()
+        n_words = np.bincount(owner, minlength=len(texts))
+        self.order, self.lengths = order, n_words + 1
+        #: Where each text's start stands, and the word at every place.
+        self.begins = np.cumsum(n_words + 2) - (n_words + 2)
+        self.flat = np.empty(len(owner) + 2 * len(texts), dtype=np.int32)
+        self.flat[self.begins], self.flat[self.begins + self.lengths] = 0, 1
+        inner = np.ones(len(self.flat), bool)
+        inner[self.begins] = inner[self.begins + self.lengths] = False
+        self.flat[inner] = coded.indices.to_numpy() + 2
+        distinct_words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        mixed = np.array([START, END, *map(xxhash.xxh3_64_intdigest, distinct_words)], dtype=np.uint64)
+        place = np.arange(len(self.flat)) - np.repeat(self.begins, self.lengths + 1)
+        words, self.n_words = mixed, len(mixed)
+        #: For each length: hashes, context, last word and longest suffix of the distinct n-grams; the n-gram that ends at each place, or -1.
+        self.hashes, self.context, self.last, self.suffix, self.at = [(words << np.uint64(1)) | np.uint64(1)], [None], [np.arange(len(words))], [None], [self.flat]
+        for n in range(2, order + 1):
+            here = np.flatnonzero(place >= n - 1)
+            pairs, inverse = distinct(self.at[-1][here - 1].astype(np.int64) * len(words) + self.flat[here])
+            context, last = np.divmod(pairs, len(words))
+            before = mixed[context]
+            mixed = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[last] * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(32)
+            suffix = np.empty(len(pairs), np.int32)
+            suffix[inverse] = self.at[-1][here]
+            at = np.full(len(self.flat), -1, np.int32)
+            at[here] = inverse
+            self.hashes.append(mixed << np.uint64(1))  # even, those of words are odd
+            self.context.append(context)
+            self.last.append(last)
+            self.suffix.append(suffix)
+            self.at.append(at)
+        #: The hashes of all n-grams but the start's, in order, and the places of the n-grams, shorter ones first, in it.
+        keys = np.concatenate(self.hashes)[1:]
+        self.places = in_order(keys)
+        self.keys = keys[self.places]
+
+    def counts(self, training: np.ndarray) -> np.ndarray:
+        """How often each of ``keys`` occurs in the training texts."""
+        learnt = np.repeat(training, self.lengths + 1)
+        by_length = [np.bincount(at[learnt & (at >= 0)], minlength=len(hashes)) for at, hashes in zip(self.at, self.hashes, strict=True)]
+        return np.concatenate(by_length)[1:][self.places].astype(np.uint64)
+
+    def by_length(self, totals: np.ndarray) -> list[np.ndarray]:
+        """Totals of ``keys`` as one array for each length."""
+        out = np.zeros(len(totals) + 1, np.uint64)
+        out[self.places + 1] = totals
+        return np.split(out, np.cumsum([len(h) for h in self.hashes])[:-1])
+
+
+class BlockAutomaton:
+    """States, arcs and failure arcs of the n-grams of a block, by their counts in all training texts.
+
+    State 0 is the empty context.  Arcs are sorted by state and word.
+    """
+
+    def __init__(self, grams: BlockGrams, totals: list[np.ndarray], known: int, tokens: int, strengths: tuple[float, ...]):
+        places = tokens + known + 1
+        p = (totals[0].astype(float) + 1) / places
+        self.unknown = -np.log10(places)
+        # A context's count: how often a token follows it. The end has no follower, each training text has one start.
+        contexts = [totals[n].astype(float) for n in range(len(strengths))]
+        if contexts:
+            contexts[0][0] = totals[0][1]
+        states, fails, weights, n_states = [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        for n, count in enumerate(contexts):
+            is_state = (count > 0) & (grams.last[n] != 1)
+            shorter = states[-1][grams.suffix[n]] if n else np.zeros(len(count), np.int64)
+            states.append(np.where(is_state, n_states + np.cumsum(is_state) - 1, shorter))
+            fails.append(shorter[is_state])
+            weights.append(np.log10(strengths[n] / (count[is_state] + strengths[n])))
+            n_states += int(is_state.sum())
+        self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(weights)
+        self.first = int(states[0][0]) if states else 0
+        sources, words, logs, following = [], [], [], []
+        for n, count in enumerate(totals):
+            if n:
+                weight, context = strengths[n - 1], grams.context[n]
+                p = (count + weight * p[grams.suffix[n]]) / (contexts[n - 1][context] + weight)
+            seen = np.flatnonzero(count > 0)
+            sources.append(states[n - 1][grams.context[n][seen]] if n else np.zeros(len(seen), np.int64))
+            words.append(grams.last[n][seen])
+            logs.append(np.log10(p[seen]))
+            following.append(states[n][seen] if n < len(states) else states[n - 1][grams.suffix[n][seen]] if n else np.zeros(len(seen), np.int64))
+        # N-grams are sorted by context and last word, and states numbered in that order: so are the arcs.
+        self.word, self.log, self.following = np.concatenate(words), np.concatenate(logs), np.concatenate(following)
+        #: Where the arcs of each state begin.
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(sources), minlength=n_states))])
+        self.grams = grams
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each state by a word, or -1: bisection among the state's arcs."""
+        out = np.full(len(state), -1, np.int64)
+        low, high, open_ = self.begin[state], self.begin[state + 1], np.arange(len(state))
+        while True:
+            more = low < high
+            low, high, open_, word = low[more], high[more], open_[more], word[more]
+            if not len(open_):
+                return out
+            middle = (low + high) >> 1
+            there = self.word[middle]
+            hit = there == word
+            out[open_[hit]] = middle[hit]
+            low, high = np.where(there < word, middle + 1, low), np.where(there < word, high, np.where(hit, low, middle))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word each, and its log probabilities."""
+        total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            arc = self.arc(state, word)
+            found = arc >= 0
+            done, arc = open_[found], arc[found]
+            total[done] += self.log[arc]
+            after[done] = self.following[arc]
+            total[open_[~found & (state == 0)]] += self.unknown
+            on = ~found & (state > 0)
+            open_, state, word = open_[on], state[on], word[on]
+            total[open_] += self.fail_weight[state]
+            state = self.fail[state]
+        return after, total
+
+    def scores(self, piece: int = PIECE) -> np.ndarray:
+        """Log probability of each text."""
+        g, memory = self.grams, self.grams.order - 1
+        if not len(g.lengths):
+            return np.array([])
+        pieces = -(-g.lengths // piece)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        warm = np.where(number > 0, min(memory, piece), 0)
+        length = np.minimum(g.lengths[text] - number * piece, piece) + warm
+        order = np.argsort(-length, kind="stable")
+        text, number, warm, length = text[order], number[order], warm[order], length[order]
+        at = g.begins[text] + 1 + number * piece - warm
+        state, total = np.where(number > 0, 0, self.first), np.zeros(len(text))
+        active = len(text)
+        for i in range(int(length[0])):
+            active = int(np.searchsorted(-length[:active], -i, side="left"))  # those longer than i
+            state[:active], log = self.step(state[:active], g.flat[at[:active] + i])
+            total[:active] += np.where(warm[:active] <= i, log, 0)
+        return np.bincount(text, total, len(g.lengths))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: the first upper half and the distances of the others, byte by byte, then the lower halves."""
+    if not len(keys):
+        return b""
+    upper = keys >> np.uint64(32)
+    steps = np.diff(upper)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    planes = steps.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return np.array([len(keys), width], np.uint32).tobytes() + upper[:1].tobytes() + planes.tobytes() + keys.astype(np.uint32).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.array([], dtype=np.uint64)
+    size, width = np.frombuffer(raw, np.uint32, 2).astype(int)
+    steps = np.zeros((size, 8), np.uint8)
+    steps[1:, :width] = np.frombuffer(raw, np.uint8, (size - 1) * width, 16).reshape(width, size - 1).T
+    steps = steps.view(np.uint64).ravel()
+    steps[0] = np.frombuffer(raw, np.uint64, 1, 8)[0]
+    return (np.cumsum(steps, dtype=np.uint64) << np.uint64(32)) | np.frombuffer(raw, np.uint32, size, 16 + (size - 1) * width)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte per count; those of 255 and more follow in full."""
+    """A byte per count, those of 255 and more in full behind them; compressed, as most are small."""
     large = counts[counts >= 255]
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.uint64).tobytes()
+    return zstandard.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.uint64).tobytes(), 1)
 
 
 def unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    raw = zstandard.decompress(raw)
     counts = np.frombuffer(raw, np.uint8, size).astype(np.uint64)
     counts[counts == 255] = np.frombuffer(raw, np.uint64, offset=size)
     return counts
 
 
+def _bounds(keys: np.ndarray, used: int, bits: int) -> np.ndarray:
+    """Where each part begins in sorted keys that agree in ``used`` bits; parts are the next ``bits`` bits."""
+    part = (keys << np.uint64(used) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    return np.searchsorted(part, np.arange((1 << bits) + 1))
+
+
+def _bits(senders: int, fan_bits: int) -> int:
+    return min(fan_bits, max(0, senders - 1).bit_length())
+
+
+def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, docs): rows (doc_id, held_out, text) as they lie, packed into blocks."""
+
+    def pack(batches, block):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in batches:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            begin = 0
+            for end, n in enumerate(sizes, 1):
+                size += int(n)
+                if size >= block_bytes:
+                    yield pack([*held, batch.slice(begin, end - begin)], block)
+                    block, begin, held, size = block + 1, end, [], 0
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield pack(held, block)
+
+    return df.mapInArrow(run, "block long, docs binary")
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
 def requests(order: int, bits: int):
-    """Of a block of documents, for each order and bucket, its distinct n-grams and their training counts."""
-
-    def run(key, table):
-        grams = BlockGrams(table.column("text").to_pylist(), order)
-        training = ~table.column("held_out").to_numpy()
-        rows: list[tuple] = []
-        for n in range(1, order + 1):
-            counts, bounds = grams.counts(n, training), bucket_bounds(grams.keys[n - 1], bits)
-            for bucket, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                if b > a or n == 1:  # every bucket hears of every block
-                    rows.append((bucket, n, grams.keys[n - 1][a:b].tobytes(), pack_counts(counts[a:b])))
-        bucket, n, keys, counts = zip(*rows, strict=True)
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array(n, pa.int8()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    """Of each block, for each part of the hashes, its distinct n-grams and their training counts."""
+
+    def run(batches):
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                docs = _unpacked(raw)
+                grams = BlockGrams(docs.column("text").combine_chunks(), order)
+                yield _parts(block, 0, grams.keys, grams.counts(~docs.column("held_out").to_numpy()), 0, bits)
 
     return run
 
 
-def add_up(table):
-    """Totals over all blocks of a bucket's n-grams, for each block in its own order."""
-    n_all, totals = table.column("n").to_numpy(), [b""] * len(table)
-    known = tokens = 0
-    for n in np.unique(n_all):
-        rows = np.flatnonzero(n_all == n)
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").take(pa.array(rows)).to_pylist()]
-        counts = np.concatenate([unpack_counts(c, len(k)) for c, k in zip(table.column("counts").take(pa.array(rows)).to_pylist(), keys, strict=True)])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)
-        if n == 1:
-            known, tokens = int((total > 0).sum()), int(total.sum())
-        ends = np.cumsum([len(k) for k in keys])
-        for row, part in zip(rows, np.split(total[inverse], ends[:-1]), strict=True):
-            totals[row] = pack_counts(part)
-    size = len(table)
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "totals": pa.array(totals, pa.binary()), "known": pa.array([known] * size, pa.int64()), "tokens": pa.array([tokens] * size, pa.int64())})
-
-
-class BlockScorer:
-    """Takes the steps of all traversals of a block together."""
-
-    def __init__(self, grams: BlockGrams, totals: list[np.ndarray], known: int, tokens: int, strength: float):
-        self.grams, self.totals, self.places, self.tokens, self.strength = grams, totals, tokens + known + 1, tokens, strength
-
-    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, base score and score of each document."""
-        g, docs = self.grams, len(self.grams.lengths)
-        count = self.totals[0][g.inverse[0]].astype(float)
-        ends = self.totals[0][np.searchsorted(g.keys[0], END)] if len(g.keys[0]) else 0
-        p = (count + 1) / self.places
-        known, base = np.bincount(g.document, count > 0, docs), np.bincount(g.document, np.log10(p), docs)
-        #: Count of the context that a step starts from: of the n-gram that ended before it.
-        context = np.where(g.after_start, float(ends), np.roll(count, 1))
-        for n in range(2, len(self.totals) + 1):
-            full = g.full[n - 1]
-            count = np.zeros(len(p))
-            count[full] = self.totals[n - 1][g.inverse[n - 1]]
-            # An arc where the n-gram was seen; else the failure arc, count being 0.
-            p = np.where(full, (count + self.strength * p) / (context + self.strength), p)
-            context = np.roll(count, 1)
-        return known, base, np.bincount(g.document, np.log10(p), docs)
+def _parts(sender: int, path: int, keys: np.ndarray, counts: np.ndarray, used: int, bits: int) -> pa.RecordBatch:
+    """A row for each part, also where it is empty: all hear of the words and tokens that are known."""
+    bounds = _bounds(keys, used, bits)
+    pairs = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    columns = [
+        pa.array([sender] * len(pairs), pa.int64()),
+        pa.array([(path << bits) + i for i in range(len(pairs))], pa.int64()),
+        pa.array([pack_keys(keys[a:b]) for a, b in pairs], pa.binary()),
+        pa.array([pack_counts(counts[a:b]) for a, b in pairs], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["sender", "path", "keys", "counts"])
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The senders' distinct keys, in no order, their summed counts, and each sender's places among them."""
+    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+    counts = [unpack_counts(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
+    inverse, merged = pd.factorize(np.concatenate(keys))
+    totals = np.bincount(inverse, np.concatenate(counts), len(merged)).astype(np.uint64)
+    return merged, totals, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _answers(table: pa.Table, totals: np.ndarray, places: list[np.ndarray], known: int, tokens: int) -> pa.Table:
+    rows = len(table)
+    return pa.table(
+        {
+            "sender": table.column("sender"),
+            "path": table.column("path"),
+            "totals": pa.array([pack_counts(totals[p]) for p in places], pa.binary()),
+            "known": pa.array([known] * rows, pa.int64()),
+            "tokens": pa.array([tokens] * rows, pa.int64()),
+        }
+    )
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals for all senders of a part, and its known words and tokens."""
+    keys, totals, places = _merged(table)
+    words = keys & np.uint64(1) == 1
+    return _answers(table, totals, places, int((totals[words] > 0).sum()), int(totals[words].sum()))
+
+
+def exchange(asked: DataFrame, senders: int, fan_bits: int, used: int) -> DataFrame:
+    """Answers to requests whose keys are parted by ``used`` bits so far."""
+    groups = -(-senders >> fan_bits) if senders else 1
+    if groups <= 1:
+        return asked.groupBy("path").applyInArrow(_answer, _ANSWERS)
+    bits = _bits(groups, fan_bits)
+
+    def merge(key, table):
+        keys, totals, _ = _merged(table)
+        order = in_order(keys)
+        return pa.Table.from_batches([_parts(key[0].as_py(), key[1].as_py(), keys[order], totals[order], used, bits)])
+
+    def hand_down(table, above):
+        keys, _, places = _merged(table)
+        order = in_order(keys)
+        bounds, totals = _bounds(keys[order], used, bits), np.zeros(len(keys), np.uint64)
+        for part, raw in zip(above.column("part").to_pylist(), above.column("totals").to_pylist(), strict=True):
+            a, b = bounds[part], bounds[part + 1]
+            totals[order[a:b]] = unpack_counts(raw, b - a)
+        known, tokens = (int(pc.sum(above.column(c)).as_py()) for c in ("known", "tokens"))
+        return _answers(table, totals, places, known, tokens)
+
+    placed = asked.withColumn("group", F.pmod(F.xxhash64("sender"), F.lit(groups)))
+    above = exchange(placed.groupBy("group", "path").applyInArrow(merge, _REQUESTS), groups, fan_bits, used + bits)
+    above = above.select(
+        F.col("sender").alias("group"), F.shiftright("path", bits).alias("path"), F.pmod("path", F.lit(1 << bits)).alias("part"), "totals", "known", "tokens"
+    )
+    return placed.groupBy("group", "path").cogroup(above.groupBy("group", "path")).applyInArrow(hand_down, _ANSWERS)
 
 
 def lm_scores(
     df: DataFrame,
     held_out,
-    order: int = ORDER,
-    strength: float = STRENGTH,
+    strengths: tuple[float, ...] = STRENGTHS,
     block_bytes: int = BLOCK_BYTES,
+    fan_bits: int = FAN_BITS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    The model learns from the rows where ``held_out`` is false.
+    The model learns from the rows where ``held_out`` is false; its n-grams have
+    up to one token more than there are ``strengths``.
     """
-    text = text_or_empty(text_col)
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    bits = max(0, (blocks - 1).bit_length())
-    docs = df.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("text"),
-        held_out.alias("held_out"),
-        F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"),
-    )
-    asked = docs.groupBy("block").applyInArrow(requests(order, bits), "bucket int, block int, n byte, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(add_up, "block int, bucket int, n byte, totals binary, known long, tokens long")
+    order, text = len(strengths) + 1, text_or_empty(text_col)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    senders = max(1, -(-size // block_bytes))
+    bits = _bits(senders, fan_bits)
+    blocks = pack_blocks(df.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text.alias("text")), block_bytes)
+    answered = exchange(blocks.mapInArrow(requests(order, bits), _REQUESTS), senders, fan_bits, bits)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(table, answers):
-        grams = BlockGrams(table.column("text").to_pylist(), order)
-        bucket, of_order, raw = answers.column("bucket").to_numpy(), answers.column("n").to_numpy(), answers.column("totals").to_pylist()
-        totals = []
-        for n in range(1, order + 1):
-            bounds = bucket_bounds(grams.keys[n - 1], bits)
-            parts = np.zeros(len(grams.keys[n - 1]), dtype=np.uint64)
-            for row in np.flatnonzero(of_order == n):
-                a, b = bounds[bucket[row]], bounds[bucket[row] + 1]
-                parts[a:b] = unpack_counts(raw[row], b - a)
-            totals.append(parts)
-        first = of_order == 1
-        tokens = int(answers.column("tokens").to_numpy()[first].sum())
-        scorer = BlockScorer(grams, totals, int(answers.column("known").to_numpy()[first].sum()), tokens, strength)
-        n_known, base, score = scorer.scores()
+    def run(packed, answers):
+        docs = _unpacked(packed.column("docs")[0].as_py())
+        grams = BlockGrams(docs.column("text").combine_chunks(), order)
+        bounds, totals = _bounds(grams.keys, 0, bits), np.zeros(len(grams.keys), np.uint64)
+        for path, raw in zip(answers.column("path").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+            a, b = bounds[path], bounds[path + 1]
+            totals[a:b] = unpack_counts(raw, b - a)
+        known, tokens = (int(pc.sum(answers.column(c)).as_py()) for c in ("known", "tokens"))
+        totals = grams.by_length(totals)
+        document = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
+        count = totals[0][np.delete(grams.flat, grams.begins)].astype(float)
+        score = BlockAutomaton(grams, totals, known, tokens, strengths).scores()
+        n = len(grams.lengths)
         return pa.table(
             {
-                "doc_id": table.column("doc_id"),
-                "held_out": table.column("held_out"),
+                "doc_id": docs.column("doc_id"),
+                "held_out": docs.column("held_out"),
                 "n_tokens": pa.array(grams.lengths, pa.int64()),
-                "n_known": pa.array(n_known.astype(np.int64), pa.int64()),
-                "train_tokens": pa.array(np.full(len(table), tokens), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
+                "n_known": pa.array(np.bincount(document, count > 0, n).astype(np.int64), pa.int64()),
+                "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
+                "base_score": pa.array(np.bincount(document, np.log10((count + 1) / (tokens + known + 1)), n), pa.float64()),
                 "score": pa.array(score, pa.float64()),
             }
         )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
+    answered = answered.withColumnRenamed("sender", "block")
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
 
 
 def score_documents(df: DataFrame, modulus: int = 7, held_out: int = 2, **options) -> DataFrame:

@@ -114,20 +114,24 @@ _CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lamb
 
 
 def _lm_sql() -> str:
-    """The smoothed bigram model as joins with its counts; the end is a blank, the start an empty word."""
-    k = lm_score.STRENGTH
+    """The smoothed trigram model as joins with its counts; the end is a blank, the start an empty word."""
+    k2, k3 = lm_score.STRENGTHS
     return f"""
         WITH docs AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, ' ') AS w FROM documents),
-        t AS (SELECT doc_id, held_out, unnest(w) AS tok, unnest(list_concat([''], list_slice(w, 1, len(w) - 1))) AS prev FROM docs),
+        t AS (SELECT doc_id, held_out, unnest(w) AS tok, unnest(list_concat([''], list_slice(w, 1, len(w) - 1))) AS prev,
+                     unnest(list_concat([NULL, ''], list_slice(w, 1, len(w) - 2))[1:len(w)]) AS first FROM docs),
         c1 AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
         c2 AS (SELECT prev, tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+        c3 AS (SELECT first, prev, tok, count(*) AS c FROM t WHERE NOT held_out AND first IS NOT NULL GROUP BY 1, 2, 3),
         n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c1),
-        p AS (SELECT doc_id, held_out, c1.c IS NOT NULL AS known, (coalesce(c1.c, 0) + 1) / (n + 1 * (v + 1))::DOUBLE AS p1, coalesce(c2.c, 0) AS seen,
-                     CASE WHEN t.prev = '' THEN (SELECT c FROM c1 WHERE tok = ' ') ELSE coalesce(h.c, 0) END AS context
-              FROM t CROSS JOIN n LEFT JOIN c1 ON c1.tok = t.tok LEFT JOIN c1 h ON h.tok = t.prev LEFT JOIN c2 ON c2.prev = t.prev AND c2.tok = t.tok)
-        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, (SELECT n FROM n) AS train_tokens,
-               round(sum(log10(p1)), 6) AS base_score, round(sum(log10((seen + {k} * p1) / (context + {k}))), 6) AS score
-        FROM p GROUP BY doc_id, held_out
+        p AS (SELECT doc_id, held_out, t.first, c1.c IS NOT NULL AS known, (coalesce(c1.c, 0) + 1) / (n + 1 * (v + 1))::DOUBLE AS p1, coalesce(c2.c, 0) AS seen2, coalesce(c3.c, 0) AS seen3,
+                     CASE WHEN t.prev = '' THEN coalesce((SELECT c FROM c1 WHERE tok = ' '), 0) ELSE coalesce(h.c, 0) END AS context2, coalesce(g.c, 0) AS context3
+              FROM t CROSS JOIN n LEFT JOIN c1 ON c1.tok = t.tok LEFT JOIN c1 h ON h.tok = t.prev LEFT JOIN c2 ON c2.prev = t.prev AND c2.tok = t.tok
+              LEFT JOIN c2 g ON g.prev = t.first AND g.tok = t.prev LEFT JOIN c3 ON c3.first = t.first AND c3.prev = t.prev AND c3.tok = t.tok),
+        q AS (SELECT *, (seen2 + {k2} * p1) / (context2 + {k2}) AS p2 FROM p)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, (SELECT n FROM n) AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
+               round(sum(log10(CASE WHEN first IS NULL THEN p2 ELSE (seen3 + {k3} * p2) / (context3 + {k3}) END)), 6) AS score
+        FROM q GROUP BY doc_id, held_out
     """
 
 
