@@ -280,31 +280,33 @@ def _bits(senders: int, fan_bits: int) -> int:
     return min(fan_bits, max(0, senders - 1).bit_length())
 
 
-def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, docs): rows (doc_id, held_out, text) as they lie, packed into blocks."""
+def _blocks(batches, block_bytes: int):
+    """(block, rows): rows (doc_id, held_out, text) as they lie in a task, of ``block_bytes`` of text; a task's blocks are the same whenever it runs."""
+    block = TaskContext.get().partitionId() << 32
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+        begin = 0
+        for end, n in enumerate(sizes, 1):
+            size += int(n)
+            if size >= block_bytes:
+                yield block, pa.Table.from_batches([*held, batch.slice(begin, end - begin)])
+                block, begin, held, size = block + 1, end, [], 0
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield block, pa.Table.from_batches(held)
+
 
-    def pack(batches, block):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in batches:
-                out.write_batch(batch)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, docs): blocks of rows, compressed."""
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
-        held, size = [], 0
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            begin = 0
-            for end, n in enumerate(sizes, 1):
-                size += int(n)
-                if size >= block_bytes:
-                    yield pack([*held, batch.slice(begin, end - begin)], block)
-                    block, begin, held, size = block + 1, end, [], 0
-            if begin < batch.num_rows:
-                held.append(batch.slice(begin))
-        if held:
-            yield pack(held, block)
+        for block, rows in _blocks(batches, block_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["block", "docs"])
 
     return df.mapInArrow(run, "block long, docs binary")
 
@@ -313,17 +315,15 @@ def _unpacked(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
-def requests(order: int, bits: int):
+def requests(df: DataFrame, block_bytes: int, order: int, bits: int) -> DataFrame:
     """Of each block, for each part of the hashes, its distinct n-grams and their training counts."""
 
     def run(batches):
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs = _unpacked(raw)
-                grams = BlockGrams(docs.column("text").combine_chunks(), order)
-                yield _parts(block, 0, grams.keys, grams.counts(~docs.column("held_out").to_numpy()), 0, bits)
+        for block, rows in _blocks(batches, block_bytes):
+            grams = BlockGrams(rows.column("text").combine_chunks(), order)
+            yield _parts(block, 0, grams.keys, grams.counts(~rows.column("held_out").to_numpy()), 0, bits)
 
-    return run
+    return df.mapInArrow(run, _REQUESTS)
 
 
 def _parts(sender: int, path: int, keys: np.ndarray, counts: np.ndarray, used: int, bits: int) -> pa.RecordBatch:
@@ -416,8 +416,9 @@ def lm_scores(
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     senders = max(1, -(-size // block_bytes))
     bits = _bits(senders, fan_bits)
-    blocks = pack_blocks(df.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text.alias("text")), block_bytes)
-    answered = exchange(blocks.mapInArrow(requests(order, bits), _REQUESTS), senders, fan_bits, bits)
+    rows = df.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
+    blocks = pack_blocks(rows, block_bytes)
+    answered = exchange(requests(rows, block_bytes, order, bits), senders, fan_bits, bits)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(packed, answers):

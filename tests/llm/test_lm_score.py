@@ -126,9 +126,9 @@ def test_request_rows_grow_with_the_blocks(spark):
     """Each block sends 2^fan_bits rows at most, however many blocks there are."""
     for n in (40, 80):
         table = docs(spark, [(i, f"w{i} w{i + 1} w{i + 2} " * 20) for i in range(n)])
-        blocks = lm_score.pack_blocks(table.select("doc_id", (table.doc_id < 0).alias("held_out"), "text"), 1000)
-        asked = blocks.mapInArrow(lm_score.requests(3, lm_score._bits(n, 2)), lm_score._REQUESTS)
-        assert asked.count() == 4 * blocks.count()
+        rows = table.select("doc_id", (table.doc_id < 0).alias("held_out"), "text")
+        asked = lm_score.requests(rows, 1000, 3, lm_score._bits(n, 2))
+        assert asked.count() == 4 * lm_score.pack_blocks(rows, 1000).count()
 
 
 def test_empty_table(spark):
