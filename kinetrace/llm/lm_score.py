@@ -306,7 +306,7 @@ def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["block", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
     return df.mapInArrow(run, "block long, docs binary")
 
