@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import slices, text_or_empty
 
 LONG = 200_000
 STEP = 100_000
@@ -66,11 +66,9 @@ def ids_to_bytes(ids) -> bytes:
 
 def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as an array of int."""
-    small_batches(df.sparkSession)
-
     def run(batches):
         enc = codec(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode_text(enc, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -80,11 +78,9 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
 
 def decode(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(id, bytes) of (id, ids): the raw bytes that the ids stand for."""
-    small_batches(df.sparkSession)
-
     def run(batches):
         enc = codec(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [enc.decode_bytes(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "bytes"])
 
@@ -97,11 +93,9 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
     One pass over the texts: ids never leave the task, only 64-byte digests do.
     """
-    small_batches(df.sparkSession)
-
     def run(batches):
         enc = codec(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encode_text(enc, text)

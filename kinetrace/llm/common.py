@@ -8,20 +8,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; texts may be long, so batches are short.
+#: Rows of an Arrow batch that are worked on together; texts may be long, so they are few.
 ARROW_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    set as checkpoint folder and used.
+    Only where the session names none and its workers run on the driver's machine
+    (tests, a laptop) a temporary folder is set as checkpoint folder and used.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,9 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batches, rows: int = ARROW_ROWS):
+    """Arrow batches cut into short ones, so that a worker turns few texts at a time into objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -59,6 +63,18 @@ def id_place(name: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, small_batches, text_or_empty
+from .common import materialize, scratch_path, slices, text_or_empty
 
 #: Samples of a row, bytes of a tar file before the next is begun, zlib's level.
 WIDTH, SHARD_BYTES, LEVEL = 64, 256 << 20, 6
@@ -134,11 +134,9 @@ def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
     The result is materialised: reading it again writes nothing.
     """
-    small_batches(df.sparkSession)
-
     def run(batches):
         tar = _TarWriter(folder)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.encode() for t in batch.column(1).to_pylist()]
             rows = [tar.put(pad(x)) for x in raw]
             digest, shard, offset, length = zip(*rows, strict=True) if rows else ((),) * 4
@@ -168,11 +166,9 @@ class _RangeReader:
 
 def media_header(rows: DataFrame) -> DataFrame:
     """Add width, height, bit_depth from header-only range reads."""
-    small_batches(rows.sparkSession)
-
     def run(batches):
         reader = _RangeReader()
-        for batch in batches:
+        for batch in slices(batches):
             names, offsets = batch.column("shard").to_pylist(), batch.column("offset").to_pylist()
             heads = [png_header(reader.read(n, o, HEADER_BYTES)) for n, o in zip(names, offsets, strict=True)]
             more = [pa.array([h[k] for h in heads], pa.int32()) for k in ("width", "height", "bit_depth")]
@@ -188,11 +184,9 @@ def read_features(rows: DataFrame) -> DataFrame:
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, width, height, digest, shard, offset.
     """
-    small_batches(rows.sparkSession)
-
     def run(batches):
         reader, seen = _RangeReader(), {}
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if (values := seen.get((name, offset))) is None:

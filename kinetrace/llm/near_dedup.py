@@ -14,21 +14,26 @@ are confirmed on the full sets of both texts: first two candidates of each node
 and two hubs of its crowded regions, whose links give components, then all others
 whose ends are still apart.
 
-A region that holds more nodes than a neighbourhood reaches is crowded.  Its
-nodes' neighbours share longer prefixes, which finds most links; the regions
+A region that holds more nodes than a neighbourhood reaches is crowded.  How deep
+it is searched follows from how many nodes it holds: its prefix is lengthened, part
+by part, until a part is no longer crowded, and a node is compared with the hub of
+the deepest region that still is, beside that of the shallowest.  The regions
 that then still hold more than one component are finished exactly: every pair of
 their nodes in different components that can be linked is found by a prefix
-filter on the sets' rarest shingles and confirmed on full sets.
+filter on the sets' rarest shingles and confirmed on full sets.  A region of any
+size is spread over ``SALTS`` keys, whose counts, hubs and labels are added up.
 
 What can be missed: a link of similarity 0.8 shares the first two minima in an
 order with chance 0.64, so it is in none of 16 with chance 8e-8; in a region that
-is not crowded its signatures agree in fewer than 35 of 64 places with chance 4e-6.
+is not crowded its signatures agree in fewer than 30 of 64 places with chance 1e-9.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text, or one without words, has no shingle and is linked with nothing; equal
 texts, and texts with equal sets, are linked; the component's id is its smallest
 document id, a null id being no candidate; rows repeated with the same id share
-its verdict; an empty table gives no rows.
+its verdict; a text of any length is read whole; other columns may have any name,
+as only id and text are taken into the work; an empty table gives no rows.
+Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -39,12 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_place, materialize, small_batches, text_or_empty
+from .common import free_names, id_place, materialize, slices, text_or_empty
 from .graphs import connected_components
 
 HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4
 #: Places of 64 in which signatures agree at least (with 8 bits a place).
-LEAST_AGREEMENT = 35
+LEAST_AGREEMENT = 30
 #: Agreement that makes a link likely; only an order of work depends on it.
 LIKELY_AGREEMENT = 48
 #: Counters of shingles in crowded regions, and how many of them are added up together.
@@ -93,10 +98,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest, minima) of each row; digest and minima are null without words."""
-    small_batches(df.sparkSession)
-
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             rows = iter(minima(full)) if full else iter(())
@@ -116,7 +119,7 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
     """A row for each node and order: its place in the order, and its signature in short."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             full = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
@@ -136,7 +139,7 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
 
 def _tables(batches, size=30_000):
     held, n = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         held.append(batch)
         n += batch.num_rows
         if n >= size:
@@ -212,19 +215,37 @@ def region_of(depth: int):
     return F.xxhash64("order", F.lit(depth), *prefix)
 
 
+def with_totals(rows: DataFrame, key: str, partial: list, total: list) -> DataFrame:
+    """``rows`` (with ``node``) and the totals over all rows of their key.
+
+    Rows of one key are spread over SALTS keys: aggregated there, then in the few
+    rows that come of it, and joined back by both.
+    """
+    salted = rows.withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    parts = salted.groupBy(key, "salt").agg(*partial)
+    routed = parts.select(key, "salt").join(parts.groupBy(key).agg(*total), key)
+    return salted.join(routed, [key, "salt"]).drop("salt")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows of crowded regions, with the region's smallest node as its hub."""
+    counted = [F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")]
+    return with_totals(rows, "region", counted, [F.sum("size").alias("size"), F.min("hub").alias("hub")]).where(f"size > {NEIGHBOURS + 1}").drop("size")
+
+
 def crowded_rows(rows: DataFrame) -> DataFrame:
     """The rows of regions that hold more nodes than a neighbourhood reaches."""
     rows = rows.select("order", "key", "deeper", "node", "n").withColumn("region", region_of(LEAST_DEPTH))
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(f"size > {NEIGHBOURS + 1}")
-    return rows.join(sizes.select("region"), "region", "left_semi").drop("region")
+    return _sized(rows).drop("region", "hub")
 
 
 def mixed_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): all nodes of crowded regions that hold more than one component."""
     labelled = rows.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     placed = rows.select("node", region_of(LEAST_DEPTH).alias("region")).join(labelled, "node")
-    mixed = placed.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    return placed.join(mixed.select("region"), "region", "left_semi").select("node", "label").distinct()
+    ends = [F.min("label").alias("least"), F.max("label").alias("most")]
+    mixed = with_totals(placed, "region", ends, [F.min("least").alias("least"), F.max("most").alias("most")]).where("least <> most")
+    return mixed.select("node", "label").distinct()
 
 
 def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
@@ -236,7 +257,7 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _counter(shingles(text, width)), 1)
         rows = total.reshape(parts, -1)
@@ -266,7 +287,7 @@ def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             held, size = [], 0
             for text, node, label in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "label")), strict=True):
                 found = shingles(text, width)
@@ -300,11 +321,15 @@ def links_between(nodes: DataFrame, texts: DataFrame, width: int, percent: int)
     labelled = texts.join(nodes, "node")
     counts = shingle_counts(labelled, width)
     rare = materialize(rare_shingles(labelled, counts, width, percent), "rare-shingles")
-    shared = rare.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    rare = materialize(rare.join(shared.select("shingle"), "shingle", "left_semi"), "shared-shingles")
+    ends = [F.min("label").alias("least"), F.max("label").alias("most")]
+    shared = with_totals(rare, "shingle", ends, [F.min("least").alias("least"), F.max("most").alias("most")]).where("least <> most").drop("least", "most")
+    rare = materialize(shared, "shared-shingles")
     by_label = rare.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = by_label.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top")).select("shingle", F.col("top.label").alias("top_label"))
-    rare = materialize(rare.join(largest, "shingle").withColumn("top", F.col("label") == F.col("top_label")).drop("top_label"), "shared-shingles")
+    salts = F.pmod("node", F.lit(SALTS)).alias("salt")
+    routed = rare.select("shingle", salts).distinct().join(largest, "shingle")
+    marked = rare.withColumn("salt", salts).join(routed, ["shingle", "salt"]).withColumn("top", F.col("label") == F.col("top_label"))
+    rare = materialize(marked.drop("top_label", "salt"), "shared-shingles")
     index = rare.where(f"(n - pos) * {100 + percent} >= {2 * percent} * n").alias("i")
     probe = rare.alias("q")
     fits = F.expr(f"""i.shingle = q.shingle and i.label <> q.label and (q.n > i.n or q.n = i.n and q.node > i.node)
@@ -319,7 +344,7 @@ def agreements(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, agree): places in which the signatures of pairs agree."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
 
@@ -329,16 +354,18 @@ def agreements(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def hub_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, agree): each node of a crowded region with the region's smallest node, at two depths.
+    """(a, b, agree): each node of a crowded region with two hubs in each order.
 
+    One is the hub of the shallowest region around the node, one that of the
+    deepest that is crowded: how deep, depends on how many nodes share its prefixes.
     Where many copies of one text crowd, these links join most of them at once.
     """
-    parts = []
-    for depth in (LEAST_DEPTH, 4):
-        placed = rows.select(region_of(depth).alias("region"), "node")
-        hubs = placed.groupBy("region").agg(F.min("node").alias("a"))
-        parts.append(placed.join(hubs, "region").where("a < node").select("a", F.col("node").alias("b")))
-    return agreements(parts[0].union(parts[1]).distinct(), nodes).where(F.col("agree") >= LIKELY_AGREEMENT)
+    at_depths = F.array(*(F.struct(F.lit(d).alias("depth"), region_of(d).alias("region")) for d in range(LEAST_DEPTH, LEVELS + 1)))
+    each = rows.select("order", "node", F.explode(at_depths).alias("at")).select("order", "node", "at.depth", "at.region")
+    hub = F.struct("depth", "hub")
+    hubs = _sized(each).groupBy("order", "node").agg(F.array(F.min(hub), F.max(hub)).alias("hubs"))
+    pairs = hubs.select(F.explode("hubs.hub").alias("a"), F.col("node").alias("b")).where("a < b")
+    return agreements(pairs.distinct(), nodes).where(F.col("agree") >= LIKELY_AGREEMENT)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -346,7 +373,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
     def run(batches):
         last_text, last_set = None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if one != last_text:
@@ -385,7 +412,6 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     n_links counts the confirmed links of the row's set that were looked at; a
     component is joined by at least as many as it needs.
     """
-    small_batches(df.sparkSession)
     rows = materialize(signatures(df, width, id_col, text_col).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "signatures")
     worded = rows.where("digest is not null")
     # Equal sets become one node; a set with very many copies is summed up before it moves.
@@ -447,7 +473,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 def keep_one_per_class(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one of each component."""
     found = classes(df, width, percent, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("text_hash").alias("__hash"), id_place("doc_id").alias("__place"))
+    key = free_names(df, "hash", "place")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("text_hash").alias(key[0]), id_place("doc_id").alias(key[1]))
     # Neither key is ever null, so repeated rows are dropped where the join has put them.
-    rows = df.withColumns({"__hash": F.xxhash64(text_or_empty(text_col)), "__place": id_place(id_col)})
-    return rows.join(stay, ["__hash", "__place"], "left_semi").dropDuplicates(["__hash", "__place"]).select(*df.columns)
+    rows = df.withColumns({key[0]: F.xxhash64(text_or_empty(text_col)), key[1]: id_place(id_col)})
+    return rows.join(stay, key, "left_semi").dropDuplicates(key).select(*(f"`{c}`" for c in df.columns))

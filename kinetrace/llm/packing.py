@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, slices, text_or_empty
 from .bpe_codec import safe_parts
 from .pieces import fast_encoder, id_type
 
@@ -77,11 +77,9 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def encode_documents(df: DataFrame, tokenizer_file: str, pattern: str, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, n_tokens, ids) of each document; ids are bytes, two or four per id."""
-    small_batches(df.sparkSession)
-
     def run(batches):
         encode, kind, table = fast_encoder(tokenizer_file, pattern), id_type(tokenizer_file), projection()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.concatenate([*map(encode, safe_parts(t)), [separator]]).astype(kind) for t in batch.column(1).to_pylist()]
             points = np.array([project(x[:-1], table) for x in ids]).reshape(-1, DIMS)
             cells = np.clip((points / 4 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
@@ -123,13 +121,12 @@ def pack(df: DataFrame, tokenizer_file: str, pattern: str, length: int = 1024, s
     doc_tokens, sequence_id, offset, token_ids (bytes, little-endian, unsigned,
     two per id for vocabularies up to 65,536, else four).
     """
-    small_batches(df.sparkSession)
     coded = materialize(encode_documents(df, tokenizer_file, pattern, separator, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id()), "token-ids")
     kind = id_type(tokenizer_file)
     placed = coded.select("row_no", "doc_id", "ids").join(curve_positions(coded), "row_no").select("doc_id", "first", "ids")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(7)]
             rows: list[int] = []
             for row, (first, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):

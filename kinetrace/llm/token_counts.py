@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import slices, text_or_empty
 from .pieces import PartCache, byte_alphabet, tokenizer
 
 #: Matches longer than this many bytes are given to the library.
@@ -192,11 +192,9 @@ def part_totals(tokenizer_file: str, pattern: str) -> PartCache:
 
 def token_counts(df: DataFrame, tokenizer_file: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row, in one pass."""
-    small_batches(df.sparkSession)
-
     def run(batches):
         parts = part_totals(tokenizer_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             n = [sum(parts.of(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -210,11 +208,9 @@ def token_counts(df: DataFrame, tokenizer_file: str, pattern: str, limit: int =
 
 def prefix_table(df: DataFrame, tokenizer_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts): tokens of every prefix, by characters; to be stored beside the texts."""
-    small_batches(df.sparkSession)
-
     def run(batches):
         table = prefix_counts(tokenizer_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [table.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "counts"])
 

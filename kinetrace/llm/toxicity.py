@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_batches, text_or_empty
+from .common import id_remainder, slices, text_or_empty
 
 #: Labelled rows that the fit sees at most; documents that a word must be in to count.
 MAX_LABELLED, MIN_DOCUMENTS = 6_000, 3
@@ -93,7 +93,6 @@ def noisy_or(logits: np.ndarray) -> float:
 
 def training_bags(docs: DataFrame, labels: DataFrame, learn_from, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(toxic, text) of the labelled sample: at most ``max_labelled`` ids, one row for each document with one of them."""
-    small_batches(docs.sparkSession)
     # At most ``max_labelled`` rows of two numbers each.
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn_from).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -165,11 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, max_labelled: int = MA
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         weights, bias = model.table(), model.bias
-        for batch in batches:
+        for batch in slices(batches):
             scores = [noisy_or(sentence_logits(t, weights, bias)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
@@ -179,12 +176,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows whose text is not predicted toxic, with all their columns."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         weights, bias = model.table(), model.bias
-        for batch in batches:
+        for batch in slices(batches):
             clean = [noisy_or(sentence_logits(t or "", weights, bias)) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
@@ -193,8 +189,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, start, end, score): byte spans of the sentences that reach the threshold."""
-    small_batches(docs.sparkSession)
-
     def spans(text: str, weights, bias):
         raw = text.encode().lower()
         ends = [m.span() for m in SENTENCE.finditer(raw)] + [(len(raw), len(raw))]
@@ -208,7 +202,7 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
 
     def run(batches):
         weights, bias = model.table(), model.bias
-        for batch in batches:
+        for batch in slices(batches):
             found = [(row, *span) for row, t in enumerate(batch.column(1).to_pylist()) for span in spans(t, weights, bias)]
             row, begin, end, p = zip(*found, strict=True) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "start", "end", "score"])

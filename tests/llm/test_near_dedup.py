@@ -51,7 +51,7 @@ def test_whole_table(spark):
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_edges(spark, width):
-    pairs = [(i, t) for i, t in EDGES if i != 7] + [(20, "one"), (21, "One"), (22, "one two"), (23, "ONE TWO")]
+    pairs = [*EDGES, (20, "one"), (21, "One"), (22, "one two"), (23, "ONE TWO"), (24, dict(EDGES)[7] + " tail")]
     assert found(docs(spark, pairs), width) == brute(pairs, width)
 
 
@@ -75,6 +75,7 @@ def test_empty_table(spark):
 
 def test_kept_rows(spark):
     df = docs(spark, [(3, "a b c d e f g"), (4, "a b c d e f g"), (5, ""), (6, None), (6, None)])
+    df = df.selectExpr("*", "'mine' as hash", "'too' as place", "'three' as `a.b`")
     kept = near_dedup.keep_one_per_class(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 6]
 
@@ -122,3 +123,27 @@ def test_crowd_of_small_components(spark):
         pairs += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
     rng.shuffle(pairs)
     assert found(docs(spark, pairs), 2) == brute(pairs, 2)
+
+
+def test_partitions_do_not_matter(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        test_whole_table(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_totals_of_a_hot_key(spark):
+    rows = spark.range(1000).selectExpr("id as node", "if(id < 900, 1L, id) as region")
+    got = near_dedup.with_totals(rows, "region", [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
+    assert got.count() == 1000 and {r.n for r in got.where("region = 1").collect()} == {900}
+
+
+def test_hubs_go_as_deep_as_the_crowd(spark):
+    """Two crowds that part below the shallowest region: a node meets the hub of its own."""
+    schema = "order byte, key long, deeper int, node long, n int"
+    rows = spark.createDataFrame([(0, (5 << 48) | (6 << 32) | (k % 2 << 16), 0, k, 10) for k in range(40)], schema)
+    nodes = rows.selectExpr("node", "unhex(repeat('00', 256)) as minima")
+    got = {(r.a, r.b) for r in near_dedup.hub_pairs(rows, nodes).collect()}
+    assert got == {(0, k) for k in range(1, 40)} | {(1, k) for k in range(3, 40, 2)}
