@@ -1,45 +1,45 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-The index is a table with one row per distinct text: its SHA-256, the row that
-stays and the number of copies seen.  A batch is reduced to (digest, row) pairs,
+The index is a table of SHA-256 digests: for each distinct text a row of the batch
+that brought it first, with the row that stays, and a row with the number of copies for
+each later batch that brought it again.  A batch is reduced to (digest, row) pairs,
 aggregated per digest before anything is joined, compared with the index by a
-sort-merge anti-join that shuffles only the batch's digests (the index is
-already bucketed and sorted), and the new digests are appended.
+sort-merge anti-join that shuffles only the batch's digests (the index is already
+bucketed and sorted), and what is new is appended.  ``compact`` rewrites the
+index as one row per text and one file per bucket.
+
+A batch has a name.  If it is added again, after a failure say, its own rows in the
+index do not count as earlier ones, what it has appended is not appended twice,
+and the verdicts are the same.  One writer at a time appends to an index.
 
 DataFrame functions only.  Defined results: a null text counts as empty; rows
 with equal texts form one group whatever their other columns hold; the row with
-the largest id stays, a null id being smaller than any other; of repeated rows
-with the same id and text exactly one is kept; an empty batch gives no rows and
-leaves the index as it is.  Other columns of the input are never read, so names
-that clash with the result's do no harm.
+the largest id of the batch that brought a text first stays, a null id being smaller than any other;
+of repeated rows with the same id and text exactly one is kept; texts of any
+length are hashed whole; an empty batch gives no rows and leaves the index as it
+is; other columns may have any name, also those used here.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_place, materialize, text_or_empty
+from .common import free_names, id_place, materialize, text_or_empty
 
 #: Copies of one text are spread over so many tasks when verdicts are joined back.
 SALTS = 64
 
 
-def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row_no, digest) of each row: about 50 bytes instead of a text."""
-    return df.select(
-        F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)).alias("digest"),
-    )
-
-
-def _groups(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.max(F.struct("doc_id", "row_no")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+def digest_of(text_col: str = "text"):
+    return F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256))
 
 
-def _merge_groups(groups: DataFrame, *keys: str) -> DataFrame:
-    return groups.groupBy(*keys).agg(F.max("keeper").alias("keeper"), F.sum("group_size").alias("group_size"))
+def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_no, digest) of each row: about 50 bytes instead of a text."""
+    return df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), digest_of(text_col).alias("digest"))
 
 
 class DigestIndex:
@@ -57,71 +57,118 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def read(self) -> DataFrame:
+        """(digest, keep_id, copies, first, batch)."""
         return self.spark.read.table(self.table)
 
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index does not hold."""
+    def unseen(self, groups: DataFrame, batch: str) -> DataFrame:
+        """The groups whose digest no other batch has brought."""
         if not self.exists():
             return groups
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-
-    def append(self, groups: DataFrame) -> None:
-        """Add one row per digest; each bucket gets one sorted file per call."""
-        (
-            groups.select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.row_no").alias("keep_row"), "group_size")
-            .repartition(self.buckets, "digest")
-            .sortWithinPartitions("digest")
-            .write.format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .saveAsTable(self.table)
-        )
-
-    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate a batch against the index and itself, and append what is new.
-
-        Returns a row per row of the batch: doc_id, row_no, digest, keep_id,
-        group_size, kept.  For a text that an earlier batch brought, keep_id is
-        the row that stayed then and nothing of this batch is kept.
-        """
-        rows = materialize(digest_rows(df, id_col, text_col).withColumn("salt", F.pmod(F.col("row_no"), F.lit(SALTS)).cast("int")), "digests")
-        # Copies of one text meet in at most SALTS partial groups, then in one row.
-        salted = materialize(_groups(rows, "digest", "salt"), "salted-groups")
-        fresh = self.unseen(_merge_groups(salted, "digest"))
-        earlier = self.read().select("digest") if self.exists() else None
-        known = materialize(salted.join(earlier.hint("merge"), "digest", "left_semi").select("digest").distinct(), "known") if earlier is not None else None
-        self.append(fresh)
-        verdict = self.read()
-        if known is not None:
-            verdict = verdict.join(known.withColumn("known", F.lit(True)), "digest", "left")
+        earlier = self.read().where(F.col("first") & (F.col("batch") != batch)).select("digest")
+        return groups.join(earlier.hint("merge"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the groups (digest, keep_id, copies): those not seen as first, others as more copies."""
+        if self.exists():
+            done = self.read().where(F.col("batch") == batch).select("digest")
+            groups = materialize(groups.join(done.hint("merge"), "digest", "left_anti"), "to-append")
+            fresh = materialize(self.unseen(groups, batch), "fresh")
+            known = groups.join(fresh.select("digest").hint("merge"), "digest", "left_anti")
+            groups = fresh.withColumn("first", F.lit(True)).unionByName(known.withColumn("first", F.lit(False)))
         else:
-            verdict = verdict.withColumn("known", F.lit(None).cast("boolean"))
-        routed = salted.select("digest", "salt").join(verdict.hint("merge"), "digest")
-        return rows.join(routed, ["digest", "salt"]).select(
-            "doc_id",
-            "row_no",
-            "digest",
-            "keep_id",
-            "group_size",
-            (F.col("known").isNull() & (F.col("row_no") == F.col("keep_row"))).alias("kept"),
-        )
-
-
-def keep_one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+            groups = groups.withColumn("first", F.lit(True))
+        self._write(groups.withColumn("batch", F.lit(batch)), self.table)
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        """Each bucket gets one sorted file."""
+        placed = rows.select("digest", "keep_id", "copies", "first", "batch").repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        placed.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+
+    def totals(self) -> DataFrame:
+        """(digest, keep_id, copies, batch): one row per text, batch being the first that brought it."""
+        first = F.max(F.when(F.col("first"), F.struct("batch", "keep_id")))
+        return self.read().groupBy("digest").agg(first.alias("at"), F.sum("copies").alias("copies")).select("digest", "at.keep_id", "copies", "at.batch")
+
+    def compact(self) -> None:
+        """Rewrite the index: a row per text, a file per bucket."""
+        beside = f"{self.table}_{uuid.uuid4().hex}"
+        self._write(self.totals().withColumn("first", F.lit(True)), beside)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.table}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def ingest(self, df: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> Batch:
+        """Deduplicate a batch against the index and itself, and append what is new."""
+        rows = materialize(digest_rows(df, id_col, text_col).withColumn("salt", F.pmod("row_no", F.lit(SALTS)).cast("int")), "digests")
+        # Copies of one text meet in at most SALTS partial groups, then in one row.
+        of_group = [F.max(F.struct("doc_id", "row_no")).alias("keeper"), F.count(F.lit(1)).alias("copies")]
+        salted = materialize(rows.groupBy("digest", "salt").agg(*of_group), "salted-groups")
+        groups = materialize(salted.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.sum("copies").alias("copies")), "groups")
+        self.append(groups.select("digest", F.col("keeper.doc_id").alias("keep_id"), "copies"), batch)
+        return Batch(self, batch, rows, salted, groups)
+
+    def add(self, df: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Ingest a batch and return the verdicts on its rows."""
+        return self.ingest(df, batch or uuid.uuid4().hex, id_col, text_col).verdicts()
+
+
+class Batch:
+    """A batch that an index has taken in."""
+
+    def __init__(self, index: DigestIndex, name: str, rows: DataFrame, salted: DataFrame, groups: DataFrame):
+        self.index, self.name, self.rows, self.salted, self.groups = index, name, rows, salted, groups
+
+    def verdicts(self) -> DataFrame:
+        """doc_id, row_no, digest, keep_id, group_size, kept of the batch's rows, as the index is now.
+
+        group_size counts the copies in all batches so far.  For a text that an
+        earlier batch brought, keep_id is the row that stayed then and nothing
+        of this batch is kept.
+        """
+        keepers = self.groups.select("digest", F.col("keeper.row_no").alias("keep_row")).hint("merge")
+        known = self.index.totals().join(keepers, "digest").withColumn("own", F.col("batch") == self.name)
+        routed = self.salted.select("digest", "salt").join(known.hint("merge"), "digest")
+        kept = F.col("own") & (F.col("row_no") == F.col("keep_row"))
+        return self.rows.join(routed, ["digest", "salt"]).select("doc_id", "row_no", "digest", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"))
+
+
+def halves(df: DataFrame, id_col: str = "doc_id") -> list[DataFrame]:
+    """The rows with the larger ids, then those with the smaller ones and the null ones."""
+    middle = df.agg(((F.min(id_col) + F.max(id_col)) / 2).alias("m")).first()["m"]
+    if middle is None:
+        return [df]
+    upper = F.coalesce(F.col(id_col) > middle, F.lit(False))
+    return [df.where(upper), df.where(~upper)]
+
+
+def deduplicate(df: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verdicts on all rows of a table that comes in two batches; in the second, texts of the first are found by the anti-join.
+
+    As the larger ids come first, the row with the largest id of all stays.
+    """
+    batch = batch or uuid.uuid4().hex
+    batches = [index.ingest(part, f"{batch}-{k}", id_col, text_col) for k, part in enumerate(halves(df, id_col))]
+    out = batches[0].verdicts()
+    for later in batches[1:]:
+        out = out.union(later.verdicts())
+    return out
+
+
+def keep_one_per_text(df: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Only (digest, row) pairs are grouped; texts move once, by id and digest, so
-    a text with very many copies is never gathered in one task.
+    The index takes in (digest, row) pairs, in two batches; texts move once, by id
+    and digest, so a text with very many copies is never gathered in one task.
     """
-    digest = F.coalesce(F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)), F.lit(b""))
-    keepers = _groups(df.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("row_no"), digest.alias("__digest")), "__digest")
-    if index is not None:
-        groups = materialize(keepers.withColumnRenamed("__digest", "digest"), "groups")
-        fresh = materialize(index.unseen(groups), "fresh")
-        index.append(fresh)
-        keepers = fresh.withColumnRenamed("digest", "__digest")
-    keepers = keepers.select("__digest", id_place("keeper.doc_id").alias("__place"))
+    digest, place = free_names(df, "digest", "place")
+    batch = batch or uuid.uuid4().hex
+    for k, part in enumerate(halves(df, id_col)):
+        groups = part.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        index.append(materialize(groups, "groups"), f"{batch}-{k}")
+    own = F.col("first") & F.col("batch").startswith(f"{batch}-")
+    keepers = index.read().where(own).select(F.coalesce("digest", F.lit(b"")).alias(digest), id_place("keep_id").alias(place))
     # Neither key is ever null, so repeated rows are dropped where the join has put them.
-    rows = df.withColumns({"__digest": digest, "__place": id_place(id_col)})
-    return rows.join(keepers, ["__digest", "__place"], "left_semi").dropDuplicates(["__digest", "__place"]).select(*df.columns)
+    rows = df.withColumns({digest: F.coalesce(digest_of(text_col), F.lit(b"")), place: id_place(id_col)})
+    return rows.join(keepers, [digest, place], "left_semi").dropDuplicates([digest, place]).select(*(f"`{c}`" for c in df.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, exact_dedup, licenses, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity
-from .common import documents
+from .common import documents, materialize
 
 #: Vocabulary files; a deployment passes its own paths to the operators.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,8 +29,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an index of its own, which is dropped once the verdicts are written."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    verdicts = exact_dedup.deduplicate(documents(spark, sf_dir), index)
+    verdicts = materialize(verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")), "verdicts")
+    index.drop()
+    return verdicts
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

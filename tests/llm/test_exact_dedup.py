@@ -35,27 +35,76 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert index(spark).add(docs(spark, EDGES).limit(0)).count() == 0
-    assert exact_dedup.keep_one_per_text(docs(spark, EDGES).limit(0)).count() == 0
+    assert exact_dedup.keep_one_per_text(docs(spark, EDGES).limit(0), index(spark)).count() == 0
 
 
 def test_later_batches_meet_earlier_ones(spark):
     i = index(spark)
-    i.add(docs(spark, {1: "a", 2: "b"})).count()
-    second = i.add(docs(spark, {3: "a", 4: "c", 5: "c"}))
-    assert rows(second, "doc_id", "keep_id", "kept") == [(3, 1, False), (4, 5, False), (5, 5, True)]
+    i.add(docs(spark, {1: "a", 2: "b"}), "one").count()
+    second = i.add(docs(spark, {3: "a", 4: "c", 5: "c"}), "two")
+    assert rows(second, "doc_id", "keep_id", "group_size", "kept") == [(3, 1, 2, False), (4, 5, 2, False), (5, 5, 2, True)]
+    third = i.add(docs(spark, {9: "a"}), "three")
+    assert rows(third, "doc_id", "keep_id", "group_size", "kept") == [(9, 1, 3, False)]
+    assert i.read().where("first").count() == 3 == i.read().where("first").select("digest").distinct().count()
+
+
+def test_a_batch_added_again_has_the_same_verdicts(spark):
+    i, batch = index(spark), docs(spark, {1: "a", 2: "a", 3: "b"})
+    i.add(docs(spark, {0: "b"}), "before")
+    once = rows(i.add(batch, "batch"), "doc_id", "keep_id", "group_size", "kept")
+    size = i.read().count()
+    assert rows(i.add(batch, "batch"), "doc_id", "keep_id", "group_size", "kept") == once == [(1, 2, 2, False), (2, 2, 2, True), (3, 0, 2, False)]
+    assert i.read().count() == size
+
+
+def test_half_of_an_append_is_completed(spark):
+    i = index(spark)
+    i.add(docs(spark, {0: "z"}), "before")
+    i.add(docs(spark, {1: "a"}), "batch")  # of the batch below, one row came through
+    assert rows(i.add(docs(spark, {1: "a", 2: "b"}), "batch"), "doc_id", "keep_id", "kept") == [(1, 1, True), (2, 2, True)]
     assert i.read().count() == 3
-    assert "bucketBy" in dir(i.read().write) and len(i.read().select("digest").distinct().collect()) == 3
+
+
+def test_compacted_index_knows_the_same(spark):
+    i = index(spark)
+    for k in range(3):
+        i.add(docs(spark, {10 * k + 1: "a", 10 * k + 2: f"own {k}"}), f"b{k}")
+    i.compact()
+    assert i.read().count() == 4 and rows(i.totals(), "keep_id", "copies") == [(1, 3), (12, 1), (2, 1), (22, 1)]
+    assert rows(i.add(docs(spark, {99: "a"}), "last"), "keep_id", "group_size", "kept") == [(1, 4, False)]
+
+
+def test_anti_join_moves_the_batch_alone(spark):
+    """A sort-merge anti-join, whose only exchange is on the batch's side."""
+    i = index(spark)
+    i.add(docs(spark, {n: f"text {n}" for n in range(50)}), "one")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = i.unseen(exact_dedup.digest_rows(docs(spark, {1: "a"})), "two")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin") :]
+    assert "LeftAnti" in join.splitlines()[0]
+    before_index, after = join.split("Scan parquet")[0], join
+    assert after.count("Exchange hashpartitioning") == 1 == before_index.count("Exchange hashpartitioning") + after.split("Scan parquet")[-1].count("Exchange hashpartitioning")
+
+
+def test_second_half_meets_the_first(spark):
+    i = index(spark)
+    got = exact_dedup.deduplicate(docs(spark, {1: "a", 2: "b", 8: "a", 9: "c"}), i)
+    assert rows(got, "doc_id", "keep_id", "group_size", "kept") == [(1, 8, 2, False), (2, 2, 1, True), (8, 8, 2, True), (9, 9, 1, True)]
+    assert i.read().where("not first").count() == 1
 
 
 def test_hot_text_is_spread(spark):
     many = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 > 0, 'copy', cast(id as string)) as text")
-    df = index(spark).add(many)
+    df = exact_dedup.deduplicate(many, index(spark))
     assert df.where("kept").count() == 1001 and df.where("group_size = 2000").count() == 2000
 
 
 def test_kept_rows_have_all_columns(spark):
-    df = docs(spark, EDGES)
-    kept = exact_dedup.keep_one_per_text(df)
+    df = docs(spark, EDGES).selectExpr("*", "'mine' as __digest", "'too' as place", "'three' as `a.b`")
+    kept = exact_dedup.keep_one_per_text(df, index(spark))
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "6", "7", "8", "None"]
-    assert exact_dedup.keep_one_per_text(df, index=index(spark)).count() == 7
+    assert {r["digest"] + r["__digest"] + r["place"] + r["a.b"] for r in kept.collect()} == {"dminetoothree"}

@@ -1,6 +1,8 @@
 """Each stage against a plain version of it, on its own input."""
 
 from conftest import DATA
+from helpers import EDGES
+from helpers import docs as edge_docs
 from test_near_dedup import brute
 
 import corpus_pipeline
@@ -35,7 +37,20 @@ def test_stages(spark):
 
 def test_run_and_extra_columns(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "'x' as digest", "1 as node", "2 as salt", "'k' as text_hash")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "'x' as digest", "1 as node", "2 as salt", "'k' as text_hash", "'d' as __digest", "3 as place", "'h' as hash")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and out.count() > 0
+
+
+def test_edges(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and a table without rows."""
+    docs = edge_docs(spark, EDGES)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, DATA).count() == len(EDGES)
+    assert sorted(str(r.doc_id) for r in stages["exact_dedup"](spark, docs, DATA).collect()) == ["2", "3", "5", "6", "7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in stages["near_dedup"](spark, docs, DATA).collect()) == ["1", "2", "3", "4", "6", "7", "8", "None"]
+    packed = stages["packing"](spark, docs, DATA)
+    assert packed.groupBy("doc_id").count().count() == len({i for i, _ in EDGES})
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
