@@ -9,23 +9,30 @@ ends is divided between its rows, by where a row's middle lies.
 Law ``bytes``: shards are equal in bytes up to the rows at the ends of flows.
 Equal texts carry no constraint: a group of copies may be larger than a shard.
 
-Defined results: a null text has no bytes and costs the overhead alone; a null
+The shards that gain or lose rows are then written anew (``rewrite_affected``): texts
+move once, to tasks of some hundred MB, of which a shard has as many as it needs.
+
+Defined results: a null text has no bytes and costs the overhead alone; a text
+of any length is one row; a null
 in the old layout is a shard of its own, -1; repeated rows are placed each, with
-a slot of their own; more shards than rows leave shards empty; an empty table
-gives no rows.
+a slot of their own; more shards than rows leave shards empty; other columns are
+written as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bytes that a row costs besides its text; blocks of an old shard.
-OVERHEAD, BLOCKS = 16, 512
+#: Bytes that a row costs besides its text; blocks of an old shard: at least, at most, and bytes beyond which there are more.
+OVERHEAD, BLOCKS, MOST_BLOCKS, BLOCK_BYTES = 16, 512, 4096, 4 << 30
+#: Bytes of a shard's files.
+FILE_BYTES = 256 << 20
 
 
 def near_equal(total: int, shards: int) -> list[int]:
@@ -102,65 +109,133 @@ def divide_blocks(blocks: list[tuple[int, int, int]], transfers: dict[tuple[int,
     return out
 
 
-def reshard(
-    df: DataFrame,
-    old_shard: Column,
-    new_shards: int | dict[int, int],
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    blocks: int = BLOCKS,
-) -> DataFrame:
-    """Assign every row a new shard and a slot in it, moving the fewest bytes.
+@dataclass
+class Transfers:
+    """What a flow of least cost comes to: block transfers, and the shards that gain or lose bytes."""
 
-    ``new_shards``: how many (near equal in bytes), or capacities in bytes by
-    shard.  Returns doc_id, size, text_crc32, law, old_shard, shard, slot,
-    grown_shard (null under this law).
-    """
-    spark = df.sparkSession
+    blocks: int
+    whole: DataFrame
+    divided: DataFrame
+    affected: list[int]
+
+
+def _addressed(df: DataFrame, old_shard: Column, text_col: str, blocks: int) -> DataFrame:
+    """Rows with size, crc, old shard, number and block; names are free to clash, as they are nested."""
     text = F.col(text_col).cast("string")
-    rows = df.select(
-        F.col(id_col).alias("doc_id"),
+    own = F.struct(
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"),
         F.monotonically_increasing_id().alias("row_no"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(blocks)).cast("int"))
-    rows = materialize(rows, "sizes")
+    )
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), own.alias("own")).select("row", "own.*")
+    return rows.withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int"))
 
-    # One row per old shard and block: a number that the shard counts fix.
+
+def _solve(rows: DataFrame, new_shards: int | dict[int, int], blocks: int) -> Transfers:
+    """Transfers for ``rows`` (old_shard, block, row_no, size)."""
+    spark = rows.sparkSession
+    # One row per old shard and block: a number that the shard counts and ``MOST_BLOCKS`` bound.
     sums = [tuple(r) for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()]
     supply: dict[int, int] = defaultdict(int)
     for i, _, n in sums:
         supply[i] += n
     if isinstance(new_shards, int):
         new_shards = dict(enumerate(near_equal(sum(supply.values()), new_shards)))
-    plan = divide_blocks(sums, min_cost_transfers(supply, new_shards))
-    plan_df = spark.createDataFrame(plan, "old_shard int, block int, from_byte long, to_byte long, shard int")
-
+    flow = min_cost_transfers(supply, new_shards)
+    plan = divide_blocks(sums, flow)
+    parts = Counter((i, block) for i, block, *_ in plan)
+    whole = spark.createDataFrame([(i, b, j) for i, b, _, _, j in plan if parts[i, b] == 1], "old_shard int, block int, shard int")
+    cut = spark.createDataFrame([p for p in plan if parts[p[0], p[1]] > 1], "old_shard int, block int, from_byte long, to_byte long, shard int")
     before = Window.partitionBy("old_shard", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        rows.withColumn("middle", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.expr("size div 2"))
-        .join(F.broadcast(plan_df), ["old_shard", "block"])
-        .where((F.col("middle") >= F.col("from_byte")) & (F.col("middle") < F.col("to_byte")))
-        .drop("middle", "from_byte", "to_byte")
-    )
-    placed = materialize(placed, "placed")
-    cell = ["shard", "old_shard", "block"]
-    # As many rows as the plan has; their running count fixes where a block's slots begin.
-    counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select(*cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
-    slot = F.row_number().over(Window.partitionBy(*cell).orderBy("row_no")) - 1
-    return placed.withColumn("in_block", slot).join(F.broadcast(begins), cell).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "old_shard",
-        "shard",
-        (F.col("begin") + F.col("in_block")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    inside = rows.join(F.broadcast(cut.select("old_shard", "block").distinct()), ["old_shard", "block"], "left_semi")
+    inside = inside.withColumn("middle", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.expr("size div 2"))
+    divided = inside.join(F.broadcast(cut), ["old_shard", "block"]).where("middle >= from_byte and middle < to_byte").select("row_no", "shard")
+    return Transfers(blocks, whole, materialize(divided, "divided-blocks"), sorted({k for i, j in flow if i != j for k in (i, j)}))
+
+
+def _placed(rows: DataFrame, moves: Transfers) -> DataFrame:
+    """``rows`` with their shard: a whole block's, or in a block that a flow divides, the row's own."""
+    of_block = moves.whole.withColumnRenamed("shard", "of_block")
+    of_row = moves.divided.withColumnRenamed("shard", "of_row")  # few rows; how they are joined is left to their size
+    joined = rows.join(F.broadcast(of_block), ["old_shard", "block"], "left").join(of_row, "row_no", "left")
+    return joined.withColumn("shard", F.coalesce("of_block", "of_row")).drop("of_block", "of_row")
+
+
+def _parts(total: int, shards: int) -> int:
+    """Files of a shard, of some hundred MB."""
+    return max(1, -(-total // max(1, shards) // FILE_BYTES))
+
+
+def _slotted(placed: DataFrame, narrow: DataFrame, parts: int) -> DataFrame:
+    """``placed`` with slots: rows of a part of a shard in order, the parts one after the other.
+
+    ``narrow`` are the same rows without payload, for counting.
+    """
+    part = F.pmod("block", F.lit(parts)).alias("part")
+    counts = narrow.groupBy("shard", part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    here = F.row_number().over(Window.partitionBy("shard", "part").orderBy("old_shard", "block", "row_no")) - 1
+    return placed.withColumn("part", part).withColumn("slot", here).join(begins, ["shard", "part"]).withColumn("slot", F.col("begin") + F.col("slot")).drop("begin")
+
+
+def _prepared(df: DataFrame, old_shard: Column, new_shards: int | dict[int, int], text_col: str, blocks: int) -> tuple[DataFrame, DataFrame, Transfers, int]:
+    """Addressed rows, the same without payload and with shards, the transfers, and the parts of a shard."""
+    total = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + OVERHEAD)).first()[0] or 0
+    blocks = max(blocks, min(MOST_BLOCKS, -(-total // BLOCK_BYTES)))
+    rows = _addressed(df, old_shard, text_col, blocks)
+    sizes = materialize(rows.select("old_shard", "block", "row_no", "size"), "sizes")
+    moves = _solve(sizes, new_shards, blocks)
+    return rows, materialize(_placed(sizes, moves), "placed"), moves, _parts(total, new_shards if isinstance(new_shards, int) else len(new_shards))
+
+
+def reshard(df: DataFrame, old_shard: Column, new_shards: int | dict[int, int], id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """Assign every row a new shard and a slot in it, moving the fewest bytes; no file is written.
+
+    ``new_shards``: how many (near equal in bytes), or capacities in bytes by
+    shard.  Returns doc_id, size, text_crc32, law, old_shard, shard, slot,
+    grown_shard (null under this law).
+    """
+    rows, narrow, moves, parts = _prepared(df, old_shard, new_shards, text_col, blocks)
+    slim = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "text_crc32", "old_shard", "block", "row_no")
+    return _slotted(_placed(slim, moves), narrow, parts).select("doc_id", "size", "text_crc32", *map(F.expr, _LAW), "old_shard", "shard", "slot")
+
+
+_LAW = ["'bytes' AS law", "CAST(NULL AS int) AS grown_shard"]
+
+
+def rewrite_affected(df: DataFrame, old_shard: Column, new_shards: int | dict[int, int], path: str, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> tuple[DataFrame, list[int]]:
+    """Write the shards that gain or lose rows anew under ``path``/shard=N, whole rows in order of slots.
+
+    Returns the placement of all rows (as ``reshard``), that of written rows as
+    read back from the files, and the shards affected.  Shards not affected keep
+    their old files; an affected one without a folder under ``path`` has become
+    empty.  ``path`` is a new folder, so the old layout is whole until a reader
+    is pointed to the new one.  Rows are placed by their number in the scan, not by
+    id: repeated and null ids are written as often as they occur.  ``df`` must give
+    the same rows in the same partitions when it is read twice, as stored
+    tables do.
+    """
+    rows, narrow, moves, parts = _prepared(df, old_shard, new_shards, text_col, blocks)
+    placed = _slotted(_placed(rows, moves), narrow, parts)
+    of_affected = F.col("shard").isin(moves.affected)
+    out = placed.where(of_affected).select("row", "old_shard", "slot", "shard")
+    out.write.partitionBy("shard").parquet(path)
+    written = df.sparkSession.read.schema(out.schema).parquet(path)
+    text = F.col(f"row.`{text_col}`").cast("string")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+    seen = written.select(F.col(f"row.`{id_col}`").alias("doc_id"), size, crc, *map(F.expr, _LAW), "old_shard", "shard", "slot")
+    kept = reshard_rest(rows, moves, narrow, parts, id_col)
+    return seen.union(kept), moves.affected
+
+
+def reshard_rest(rows: DataFrame, moves: Transfers, narrow: DataFrame, parts: int, id_col: str) -> DataFrame:
+    """The placement of the rows of shards that are not affected."""
+    slim = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "text_crc32", "old_shard", "block", "row_no")
+    slim = slim.where(~F.col("old_shard").isin(moves.affected))
+    return _slotted(_placed(slim, moves), narrow, parts).select("doc_id", "size", "text_crc32", *map(F.expr, _LAW), "old_shard", "shard", "slot")
 
 
 def affected_shards(placed: DataFrame) -> DataFrame:
@@ -169,21 +244,3 @@ def affected_shards(placed: DataFrame) -> DataFrame:
     gains = moved.groupBy("shard").agg(F.sum("size").alias("gained"))
     loses = moved.groupBy(F.col("old_shard").alias("shard")).agg(F.sum("size").alias("lost"))
     return gains.join(loses, "shard", "full").select("shard", F.coalesce("gained", F.lit(0)).alias("gained"), F.coalesce("lost", F.lit(0)).alias("lost"))
-
-
-def rewrite_affected(placed: DataFrame, payload: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the affected shards' rows anew under ``path``/shard=N; leave the others.
-
-    ``payload`` holds the rows by a unique id.
-    """
-    shards = placed.join(F.broadcast(affected_shards(placed).select("shard")), "shard", "left_semi").select(F.col("doc_id").alias("__id"), "shard", "slot")
-    (
-        payload.join(shards, payload[id_col] == shards["__id"])
-        .drop("__id")
-        .repartition("shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("shard")
-        .parquet(path)
-    )

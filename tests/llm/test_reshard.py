@@ -13,8 +13,9 @@ def test_flow_moves_least():
     flow = reshard.min_cost_transfers(supply, capacity)
     moved = sum(n for (i, j), n in flow.items() if i != j)
     best = min(
-        12 - sum(min(x) for x in ((supply[0], a), (supply[1], b)))
-        for a, b in itertools.product([capacity[0]], [capacity[1]])
+        12 - sum(x[k] for k in (0, 1))  # what stays: old shard 0 in new 0, old 1 in new 1
+        for x in itertools.product(range(8), range(4))
+        if x[0] <= capacity[0] and x[1] <= capacity[1]
     )
     assert moved == best == 5
     for i, n in supply.items():
@@ -39,6 +40,16 @@ def test_whole_table(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert set(slots) <= set(range(40))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Near equal: within the rows at the ends of flows. Least movement: what stays is what old and new shard both hold.
+    sizes, old = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        old[r.old_shard] = old.get(r.old_shard, 0) + r.size
+    largest, mean = max(r.size for r in got), sum(sizes.values()) / 40
+    assert all(abs(sizes.get(k, 0) - mean) <= 2 * largest for k in range(40))
+    stays = sum(r.size for r in got if r.shard == r.old_shard)
+    best = sum(min(n, mean) for k, n in old.items() if k < 40)
+    assert stays >= best - 2 * largest * len(old)
 
 
 def test_near_equal_and_edges(spark):
@@ -56,7 +67,25 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     placed = reshard.reshard(df, F.pmod("doc_id", F.lit(2)).cast("int"), {0: 3480, 1: 2320, 2: 1160}).cache()
     affected = {r.shard: (r.gained, r.lost) for r in reshard.affected_shards(placed).collect()}
     assert set(affected) == {1, 2} and affected[1][1] == affected[2][0]
-    reshard.rewrite_affected(placed, df, str(tmp_path / "out"))
+    got, shards = reshard.rewrite_affected(df, F.pmod("doc_id", F.lit(2)).cast("int"), {0: 3480, 1: 2320, 2: 1160}, str(tmp_path / "out"))
+    assert shards == [1, 2] and sorted(map(tuple, got.collect())) == sorted(map(tuple, placed.select(got.columns).collect()))
     written = spark.read.parquet(str(tmp_path / "out"))
     assert {r.shard for r in written.select("shard").distinct().collect()} == {1, 2}
     assert written.count() == placed.where("shard in (1, 2)").count()
+    assert sorted(r.doc_id for r in written.select("row.doc_id").collect()) == sorted(r.doc_id for r in placed.where("shard in (1, 2)").collect())
+
+
+def test_repeated_and_null_ids_are_written_as_often_as_they_occur(spark, tmp_path):
+    rows = [*EDGES, (5, "same text here"), (None, None), (None, None)]
+    table = str(tmp_path / "in")
+    docs(spark, rows).selectExpr("*", "'mine' as size", "'too' as shard", "1 as slot").write.parquet(table)
+    df = spark.read.parquet(table)
+    got, shards = reshard.rewrite_affected(df, F.lit(7), 3, str(tmp_path / "out"))
+    assert 7 in shards and not (tmp_path / "out" / "shard=7").exists()  # it has become empty
+    key = lambda r: (str(r[0]), str(r[1]))
+    back = spark.read.parquet(str(tmp_path / "out")).select("row.*").collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=key) == sorted(rows, key=key) and {r.shard for r in back} == {"too"}
+    assert got.count() == len(rows)
+    for k in range(3):
+        slots = sorted(r.slot for r in got.where(F.col("shard") == k).collect())
+        assert slots == list(range(len(slots)))
