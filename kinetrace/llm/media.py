@@ -3,8 +3,8 @@
 A payload is padded to rows of 64 samples and stored as an 8-bit greyscale PNG
 image, 64 pixels wide.  Each task appends its images to tar files in a shared
 folder; a member's name is the SHA-256 of its payload, and a payload that the
-task has stored already is not stored again.  Rows carry digest, shard, offset
-and length; ``media_header`` fills metadata columns by reading the first 33
+task has stored already is not stored again; of copies that several tasks store,
+all rows point to one (``one_member_each``).  Rows carry digest, shard, offset and length; ``media_header`` fills metadata columns by reading the first 33
 bytes of a member, ``read_features`` reads members back by range.
 
 Folders are opened with pyarrow's file systems (file, hdfs, s3, gs).  A task
@@ -12,8 +12,9 @@ writes files under names of its own, so a task that is run again leaves no rows
 that point to a broken file.
 
 Defined results: a null text counts as empty and becomes 64 zero samples; texts
-of any length are stored whole; equal texts have equal values in all columns but
-shard and offset; an empty table gives no rows.
+of any length are stored whole; equal texts, and repeated rows, have equal values in
+all columns; other columns are never read, so their names may clash with any; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import materialize, scratch_path, slices, text_or_empty
 
 #: Samples of a row, bytes of a tar file before the next is begun, zlib's level.
 WIDTH, SHARD_BYTES, LEVEL = 64, 256 << 20, 6
+#: Entries of a task's tables of members, which are emptied beyond them; keys over which copies are spread.
+SEEN, SALTS = 1_000_000, 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, and the header chunk with length, name, 13 bytes and checksum.
 HEADER_BYTES = 33
@@ -117,6 +120,8 @@ class _TarWriter:
             info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.USTAR_FORMAT)
+            if len(self.seen) > SEEN:
+                self.seen.clear()
             self.seen[digest] = self.name, self.at + len(head), len(media)
             block = head + media + bytes(-len(media) % tarfile.BLOCKSIZE)
             self.out.write(block)
@@ -178,12 +183,22 @@ def media_header(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, width int, height int, bit_depth int")
 
 
-def read_features(rows: DataFrame) -> DataFrame:
-    """Read members back by range and compute their columns.
+def one_member_each(rows: DataFrame) -> DataFrame:
+    """Rows of equal digest point to one member, whichever tasks have stored it; the others are left unread.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, width, height, digest, shard, offset.
+    Only pointers move.  Rows of a digest meet as partial minima of SALTS keys.
     """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)))
+    parts = materialize(salted, "pointers")
+    at = F.min(F.struct("shard", "offset")).alias("at")
+    partial = parts.groupBy("digest", "salt").agg(at)
+    routed = partial.select("digest", "salt").join(partial.groupBy("digest").agg(F.min("at").alias("at")), "digest")
+    return parts.drop("shard", "offset").join(routed, ["digest", "salt"]).select("doc_id", "n_bytes", "digest", "at.shard", "at.offset", "length")
+
+
+def read_features(rows: DataFrame) -> DataFrame:
+    """Read members back by range and add payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+
     def run(batches):
         reader, seen = _RangeReader(), {}
         for batch in slices(batches):
@@ -191,27 +206,28 @@ def read_features(rows: DataFrame) -> DataFrame:
             for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if (values := seen.get((name, offset))) is None:
                     media = reader.read(name, offset, length)
-                    head, samples = png_header(media[:HEADER_BYTES]), from_png(media)
+                    samples = from_png(media)
                     payload = samples.tobytes()
-                    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples), head["width"], head["height"])
-                    if len(seen) > 50_000:
+                    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen[name, offset] = values
                 found.append(values)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             columns = [pa.array([v[i] for v in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *columns, batch.column("digest"), batch.column("shard"), batch.column("offset")],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run,
-        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, digest string, shard string, offset long",
-    )
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    more = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return rows.mapInArrow(run, f"{schema}, {more}")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Store all texts as media, read them back, return their columns."""
-    return read_features(store(df, folder or scratch_path(df.sparkSession, "media"), id_col, text_col))
+    """Store all texts as media; fill width, height and depth from headers alone, the rest from whole members.
+
+    Rows are sorted by place in the shards, so a task opens each file once.
+    """
+    stored = store(df, folder or scratch_path(df.sparkSession, "media"), id_col, text_col)
+    placed = one_member_each(stored).sortWithinPartitions("shard", "offset")
+    return read_features(materialize(media_header(placed), "media-headers"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, exact_dedup, licenses, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity
-from .common import documents, materialize
+from .common import documents, materialize, scratch_path
 
 #: Vocabulary files; a deployment passes its own paths to the operators.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,9 +46,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 32 shards by source, of very unequal size, to 40 near equal in bytes."""
+    """From 32 shards by source, of very unequal size, to 40 near equal in bytes; affected shards are written and read back."""
     by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(32))
-    return reshard.reshard(documents(spark, sf_dir), by_source, 40)
+    return reshard.rewrite_affected(documents(spark, sf_dir), by_source, 40, scratch_path(spark, "shards"))[0]
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset", "length")
 
 
 def _license_sql() -> str:

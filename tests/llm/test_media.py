@@ -33,7 +33,9 @@ def test_edges_and_tar_files(spark, tmp_path):
     by_id = {}
     for i, t in EDGES:
         by_id.setdefault(i, t)
-    for r in media.read_features(rows).collect():
+    features = media.read_features(rows).collect()
+    assert len(features) == len(EDGES)
+    for r in features:
         check(r, by_id[r.doc_id])
     heads = media.media_header(rows).collect()
     assert all(h.width == 64 and h.bit_depth == 8 for h in heads)
@@ -53,3 +55,10 @@ def test_copies_are_stored_once_a_task(spark, tmp_path):
 def test_image_round_trip():
     payload = np.random.default_rng(0).integers(0, 256, 64 * 7, dtype=np.uint8).tobytes()
     assert media.from_png(media.to_png(payload)).tobytes() == payload
+
+
+def test_copies_of_all_tasks_share_a_member(spark):
+    df = docs(spark, [(i, "copy" if i % 3 else f"own {i}") for i in range(60)]).repartition(4)
+    got = media.media_columns(df).collect()
+    assert len(got) == 60 and len({(r.shard, r.offset, r.digest) for r in got}) == 21
+    assert all((r.width, r.height) == (64, r.payload_bytes // 64) for r in got)
