@@ -16,16 +16,19 @@ whose ends are still apart.
 
 A region that holds more nodes than a neighbourhood reaches is crowded.  How deep
 it is searched follows from how many nodes it holds: its prefix is lengthened, part
-by part, until a part is no longer crowded, and a node is compared with the hub of
-the deepest region that still is, beside that of the shallowest.  The regions
-that then still hold more than one component are finished exactly: every pair of
-their nodes in different components that can be linked is found by a prefix
-filter on the sets' rarest shingles and confirmed on full sets.  A region of any
-size is spread over ``SALTS`` keys, whose counts, hubs and labels are added up.
+by part, until a part is no longer crowded, so that all its pairs are candidates.
+Unrelated texts part quickly; parts that are still crowded at ``FINISH_DEPTH`` minima
+hold copies or texts that share a form.  There a node is compared with the hubs of
+the shallowest and of the deepest crowded part, and parts that then still hold more than
+one component are finished exactly: every pair of their nodes in different
+components that can be linked is found by a prefix filter on the sets' rarest
+shingles and confirmed on full sets.  A region of any size is spread over ``SALTS``
+keys, whose counts, hubs and labels are added up.
 
 What can be missed: a link of similarity 0.8 shares the first two minima in an
-order with chance 0.64, so it is in none of 16 with chance 8e-8; in a region that
-is not crowded its signatures agree in fewer than 30 of 64 places with chance 1e-9.
+order with chance 0.64, so it is in none of 16 with chance 8e-8; where regions are
+crowded at all depths below, it has to share four, and is missed with chance 2e-4 (1e-7 at
+similarity 0.9). Its signatures agree in fewer than 30 of 64 places with chance 1e-9.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text, or one without words, has no shingle and is linked with nothing; equal
@@ -47,13 +50,13 @@ from pyspark.sql import functions as F
 from .common import free_names, id_place, materialize, slices, text_or_empty
 from .graphs import connected_components
 
-HASHES, ORDERS, LEVELS, LEAST_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4
+HASHES, ORDERS, LEVELS, LEAST_DEPTH, FINISH_DEPTH, NEIGHBOURS = 64, 16, 6, 2, 4, 4
 #: Places of 64 in which signatures agree at least (with 8 bits a place).
 LEAST_AGREEMENT = 30
 #: Agreement that makes a link likely; only an order of work depends on it.
 LIKELY_AGREEMENT = 48
-#: Counters of shingles in crowded regions, and how many of them are added up together.
-COUNTERS, COUNTERS_A_PART = 1 << 20, 1 << 12
+#: Counters of shingles in crowded regions, as powers of two: one a shingle, within these bounds; how many are added up together.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTERS_A_PART = 16, 24, 12
 SALTS = 64
 #: Words whose hash a worker keeps.
 CACHE = 1_000_000
@@ -234,32 +237,32 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def crowded_rows(rows: DataFrame) -> DataFrame:
-    """The rows of regions that hold more nodes than a neighbourhood reaches."""
-    rows = rows.select("order", "key", "deeper", "node", "n").withColumn("region", region_of(LEAST_DEPTH))
+    """The rows of regions that are crowded at the depth where they are finished exactly."""
+    rows = rows.select("order", "key", "deeper", "node", "n").withColumn("region", region_of(FINISH_DEPTH))
     return _sized(rows).drop("region", "hub")
 
 
 def mixed_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): all nodes of crowded regions that hold more than one component."""
     labelled = rows.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    placed = rows.select("node", region_of(LEAST_DEPTH).alias("region")).join(labelled, "node")
+    placed = rows.select("node", region_of(FINISH_DEPTH).alias("region")).join(labelled, "node")
     ends = [F.min("label").alias("least"), F.max("label").alias("most")]
     mixed = with_totals(placed, "region", ends, [F.min("least").alias("least"), F.max("most").alias("most")]).where("least <> most")
     return mixed.select("node", "label").distinct()
 
 
-def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """How many sets hold a shingle, in COUNTERS counters by its first bits; shingles may share one.
+def shingle_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
+    """How many sets hold a shingle, in 2^bits counters by its first bits; shingles may share one.
 
     A task adds up its own rows; parts of the counters are then added up apart.
     """
-    parts = COUNTERS // COUNTERS_A_PART
+    parts = 1 << (bits - COUNTERS_A_PART)
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                np.add.at(total, _counter(shingles(text, width)), 1)
+                np.add.at(total, _counter(shingles(text, width), bits), 1)
         rows = total.reshape(parts, -1)
         full = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[k].tobytes() for k in full], pa.binary())], ["part", "counts"])
@@ -268,15 +271,15 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
         total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    out = np.zeros((parts, COUNTERS_A_PART), np.int32)
+    out = np.zeros((parts, 1 << COUNTERS_A_PART), np.int32)
     kind = "part int, counts binary"
     for part, counts in texts.select("text").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect():
         out[part] = np.frombuffer(counts, np.int32)
     return out.ravel()
 
 
-def _counter(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+def _counter(found: np.ndarray, bits: int) -> np.ndarray:
+    return (found >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -286,13 +289,15 @@ def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int
     for speed alone.
     """
 
+    bits = len(counts).bit_length() - 1
+
     def run(batches):
         for batch in slices(batches):
             held, size = [], 0
             for text, node, label in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "label")), strict=True):
                 found = shingles(text, width)
                 n = len(found)
-                first = found[np.lexsort((found, counts[_counter(found)]))][: n + percent * n // -100 + 1]
+                first = found[np.lexsort((found, counts[_counter(found, bits)]))][: n + percent * n // -100 + 1]
                 held.append((first, node, label, n))
                 size += len(first)
                 if size > 200_000:
@@ -319,7 +324,9 @@ def links_between(nodes: DataFrame, texts: DataFrame, width: int, percent: int)
     crowd of copies costs its rows; what a task holds is a sorted run of a join.
     """
     labelled = texts.join(nodes, "node")
-    counts = shingle_counts(labelled, width)
+    total = labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_COUNTERS, max(LEAST_COUNTERS, (total // 4).bit_length()))
+    counts = shingle_counts(labelled, width, bits)
     rare = materialize(rare_shingles(labelled, counts, width, percent), "rare-shingles")
     ends = [F.min("label").alias("least"), F.max("label").alias("most")]
     shared = with_totals(rare, "shingle", ends, [F.min("least").alias("least"), F.max("most").alias("most")]).where("least <> most").drop("least", "most")
@@ -356,11 +363,10 @@ def agreements(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def hub_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, agree): each node of a crowded region with two hubs in each order.
 
-    One is the hub of the shallowest region around the node, one that of the
-    deepest that is crowded: how deep, depends on how many nodes share its prefixes.
+    One is the hub of the shallowest region here, one that of the deepest that is crowded: how deep, depends on how many nodes share its prefixes.
     Where many copies of one text crowd, these links join most of them at once.
     """
-    at_depths = F.array(*(F.struct(F.lit(d).alias("depth"), region_of(d).alias("region")) for d in range(LEAST_DEPTH, LEVELS + 1)))
+    at_depths = F.array(*(F.struct(F.lit(d).alias("depth"), region_of(d).alias("region")) for d in range(FINISH_DEPTH, LEVELS + 1)))
     each = rows.select("order", "node", F.explode(at_depths).alias("at")).select("order", "node", "at.depth", "at.region")
     hub = F.struct("depth", "hub")
     hubs = _sized(each).groupBy("order", "node").agg(F.array(F.min(hub), F.max(hub)).alias("hubs"))
@@ -402,8 +408,9 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     bridges = links.join(label_a, "a", "left").join(label_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = connected_components(bridges).toDF("label", "merged")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).union(labels.select("node")).distinct()
-    joined = ends.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return materialize(joined.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
+    joined = ends.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.pmod("node", F.lit(SALTS)).alias("salt"))
+    routed = joined.select("label", "salt").distinct().join(merged, "label")
+    return materialize(joined.join(routed, ["label", "salt"], "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
 
 
 def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,8 +462,8 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
 
     links = confirmed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "label").join(links, "node", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    smallest = [F.min("doc_id").alias("component_id")]
+    named = with_totals(named, "label", smallest, [F.min("component_id").alias("component_id")]).join(links, "node", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # Copies of one set are spread over SALTS keys before the verdict is joined to them.
     routed = worded.select("digest", "salt").distinct().join(named, "digest")
     joined = worded.join(routed, ["digest", "salt"]).select("doc_id", "text_hash", "n_shingles", "component_id", "n_links")

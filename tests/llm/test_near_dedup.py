@@ -141,9 +141,9 @@ def test_totals_of_a_hot_key(spark):
 
 
 def test_hubs_go_as_deep_as_the_crowd(spark):
-    """Two crowds that part below the shallowest region: a node meets the hub of its own."""
+    """Two crowds that part below the depth at which regions are finished: a node meets the hub of its own."""
     schema = "order byte, key long, deeper int, node long, n int"
-    rows = spark.createDataFrame([(0, (5 << 48) | (6 << 32) | (k % 2 << 16), 0, k, 10) for k in range(40)], schema)
+    rows = spark.createDataFrame([(0, (5 << 48) | (6 << 32) | (7 << 16) | 8, k % 2 << 15, k, 10) for k in range(40)], schema)
     nodes = rows.selectExpr("node", "unhex(repeat('00', 256)) as minima")
     got = {(r.a, r.b) for r in near_dedup.hub_pairs(rows, nodes).collect()}
     assert got == {(0, k) for k in range(1, 40)} | {(1, k) for k in range(3, 40, 2)}
