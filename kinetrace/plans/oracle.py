@@ -449,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_ids": "SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'lstm-raw-zscore-bs64-lr3e-04-seed' ELSE 'tcn-raw-zscore-bs64-lr1e-03-seed' END || (s_suppkey % 10) AS experiment_id FROM supplier",
         "normalizer_validation": "SELECT * FROM (VALUES ('fold_1', 'mode'), ('fold_2', 'columns')) t(fold_name, rule)",
         "artifact_matrix": "SELECT 'fold_3' AS fold_name, feature_set, 'robust' AS mode FROM (VALUES ('raw'), ('raw_plus_derived')) t(feature_set)",
-        "leaderboard": f"""WITH x AS (SELECT l_suppkey AS experiment_id, {r("avg(1 - l_discount)", "event_detection_rate")}, {r("coalesce(median(l_quantity / 10) FILTER (WHERE l_linenumber < 4), 'inf'::DOUBLE)", "median_time_to_detect_s")}, {r("avg(l_tax)", "clean_alerts_per_min")}, {r("avg(l_quantity / 50)", "group_attribution_top1")} FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1)
+        "leaderboard": f"""WITH x AS (SELECT l_suppkey AS experiment_id, {r("avg(1 - l_discount)", "event_detection_rate")}, {r("coalesce(median(l_quantity / 10) FILTER (WHERE l_linenumber < 4), 'inf'::DOUBLE)", "median_time_to_detect_s")}, {r("avg(l_tax)", "clean_alerts_per_min")}, {r("avg(l_quantity / 50)", "group_attribution_top1")} FROM lineitem GROUP BY 1)
             SELECT *, row_number() OVER (ORDER BY event_detection_rate DESC, median_time_to_detect_s, clean_alerts_per_min, group_attribution_top1 DESC, experiment_id) AS overall_rank FROM x""",
         "adaptive_baseline": f"WITH {ADAPT} SELECT sequence_name, window_end_idx, {rr(['score', 'trailing_median', 'trailing_mad'])} FROM ab",
         "adaptive_alerts": adaptive(2.0),
@@ -465,10 +465,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_sessions": f"""WITH {EV}, o AS (SELECT user_id, timestamp_ns // 1000 AS t, CASE WHEN timestamp_ns // 1000 - lag(timestamp_ns // 1000) OVER (PARTITION BY user_id ORDER BY timestamp_ns) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM ev),
             s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t {UP_TO_HERE}) AS k FROM o) SELECT user_id, count(*) AS n, min(t) AS window_start_us FROM s GROUP BY user_id, k""",
         "stream_odom": ODOM,
-        "stream_alerts": f"""WITH {TIMELINE}, a AS (SELECT sequence_name, window_end_idx, score, sum((score > 0.2)::INT) OVER ({IDX} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS alert_active FROM timeline)
+        "stream_alerts": f"""WITH {TIMELINE}, a AS (SELECT sequence_name, window_end_idx, score, sum((score > 0.163)::INT) OVER ({IDX} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS alert_active FROM timeline)
             SELECT sequence_name, window_end_idx, {r("score", "score")}, alert_active, alert_active AND NOT lag(alert_active, 1, false) OVER ({IDX}) AS alert_onset FROM a""",
     }
-    out["stream_adaptive"] = f"SELECT sequence_name, window_end_idx, alert_active, alert_onset FROM ({adaptive(5.0)})"
+    out["stream_adaptive"] = f"SELECT sequence_name, window_end_idx, alert_active, alert_onset FROM ({adaptive(2.0)})"
     return out | {f"inject_{kind}": injection(kind) for kind in DURATION}
 
 

@@ -395,7 +395,7 @@ def artifact_matrix(spark, d):
 
 def leaderboard(spark, d):
     """Suppliers stand for experiments, line items for their folds."""
-    li = base.table(spark, d, "lineitem").where("l_suppkey % 10 = 0")
+    li = base.table(spark, d, "lineitem")
     folds = li.select(F.col("l_suppkey").alias("experiment_id"), (1 - F.col("l_discount")).alias("event_detection_rate"), F.when(F.col("l_linenumber") < 4, F.col("l_quantity") / 10).otherwise(float("inf")).alias("median_time_to_detect_s"), F.col("l_tax").alias("clean_alerts_per_min"), (F.col("l_quantity") / 50).alias("group_attribution_top1"))
     return evaluate.leaderboard(rounded(evaluate.experiment_means(folds)))
 
@@ -462,12 +462,12 @@ def tcn_scores(spark, d):
 
 
 def _training(spark, d):
-    """Two settings on folds 2 and 4, a few epochs of a small model on every third row of each window."""
+    """Two settings on folds 2 and 4, a few epochs of a small model."""
     tel = base.telemetry(spark, d)
     folds = _folds(spark, d).where("fold_name in ('fold_2', 'fold_4')")
     scaled = normalize.apply(tel, normalize.fit(tel, RAW, "zscore", []), RAW)
     index = windows.window_index(tel, WINDOW, TRAIN_STRIDE)
-    arrays = windows.window_arrays(scaled, index, RAW).withColumn("rows", F.filter("rows", lambda r, i: i % 3 == 0))
+    arrays = windows.window_arrays(scaled, index, RAW)
     trials_ = spark.createDataFrame([(1, 8, 4, 1e-2, 32), (2, 8, 4, 1e-3, 32)], "trial int, hidden int, latent int, rate double, batch int")
     return training.train_folds(windows.fold_windows(folds, arrays), trials_, epochs=3)
 
@@ -485,13 +485,26 @@ def search_trials(spark, d):
     return models.search_trials(spark, grid, 16, seed=7)
 
 
-def _run_stream(spark: SparkSession, source: DataFrame, build, mode: str) -> DataFrame:
-    """Write ``source`` to files, stream them through ``build`` until they end, return what came out."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-    folder = f"{folder}/stream-{uuid.uuid4().hex}"
-    source.repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2 if mode == "update" else 100).parquet(f"{folder}/in")
-    out = build(stream)
+#: Micro-batches of a query's stream.
+TRIGGERS = 4
+#: A score that about a fifth of the windows of the test tables exceed.
+STREAM_THRESHOLD = 0.163
+
+
+def _run_stream(spark: SparkSession, source: DataFrame, build, mode: str, time: str) -> DataFrame:
+    """Write ``source`` to files in time, stream them through ``build`` in several micro-batches, return what came out."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source.write.parquet(f"{folder}/all")
+    stored = spark.read.schema(source.schema).parquet(f"{folder}/all")
+    at = F.col(time).cast("double")
+    first, last = stored.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - F.lit(first or 0.0)) * TRIGGERS / F.lit(((last or 0.0) - (first or 0.0)) * 1.0001 + 1e-9))
+    for k in range(TRIGGERS):  # one file after the other, as a stream of records would leave them
+        stored.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
     if mode == "append":
         query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     else:  # the last batch holds the whole result
@@ -509,36 +522,36 @@ def _window_start(df: DataFrame) -> DataFrame:
 
 
 def stream_tumbling(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.tumbling_counts(s, "at", "1 day", "2 days"), "complete"))
+    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.tumbling_counts(s, "at", "1 day", "2 days"), "complete", "at"))
 
 
 def stream_sliding(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sliding_counts(s, "at", "2 days", "1 day", "2 days"), "complete"))
+    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sliding_counts(s, "at", "2 days", "1 day", "2 days"), "complete", "at"))
 
 
 def stream_sessions(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sessions(s, "at", "6 hours", "2 days", "user_id"), "complete"))
+    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sessions(s, "at", "6 hours", "2 days", "user_id"), "complete", "at"))
 
 
 def stream_odom(spark, d):
     tel = base.telemetry(spark, d).withColumns({"vx": F.col("lin_acc_x"), "vy": F.col("lin_acc_y"), "vz": F.col("lin_acc_z")})
-    return _run_stream(spark, tel, streams.odometry, "append").select(*KEYS, *QUATERNION, "vx", "vy", "vz")
+    return _run_stream(spark, tel, streams.odometry, "append", TIME).select(*KEYS, *QUATERNION, "vx", "vy", "vz")
 
 
 def stream_alerts(spark, d):
     """Persistence over a fixed threshold, a stream of the score timeline."""
     timeline = _timeline(spark, d).select(SEQUENCE, "window_end_idx", "score")
-    return _run_stream(spark, timeline.repartition(1), lambda s: streams.threshold_alerts(s, 0.2, 2), "append")
+    return _run_stream(spark, timeline, lambda s: streams.threshold_alerts(s, STREAM_THRESHOLD, 2), "append", "window_end_idx")
 
 
 def stream_adaptive(spark, d):
     prepared = adaptive_baseline(spark, d)
-    return _run_stream(spark, prepared.repartition(1), lambda s: streams.adaptive_alerts(s), "append")
+    return _run_stream(spark, prepared, lambda s: streams.adaptive_alerts(s, z=2.0), "append", "window_end_idx")
 
 
 def stream_pi_shim(spark, d):
     ticks = base.drive_rows(spark, d).select("run", "t", (F.pmod(F.col("t"), F.lit(10.0)) / 15).alias("age"), F.col("cmd_speed").alias("speed"), F.col("yaw").alias("steer"), F.col("x").alias("acceleration"), "vx")
-    return _run_stream(spark, ticks, lambda s: streams.command_shim(s, "run"), "append")
+    return _run_stream(spark, ticks, lambda s: streams.command_shim(s, "run"), "append", "t")
 
 
 def listing_parse(spark, d):

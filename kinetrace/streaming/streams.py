@@ -1,4 +1,9 @@
-"""Live forms of the operators, on Structured Streaming."""
+"""Live forms of the operators, on Structured Streaming.
+
+Stateful ones fold a key's rows in time.  A trigger brings a key's rows in any
+order and in any number of Arrow chunks: they are gathered and sorted once
+before they are folded.  From trigger to trigger the order is the source's.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,11 @@ from ..operators.adaptive import AlertState
 from ..operators.drive import CommandShim, normalize_odometry
 
 
+def _in_time(frames: Iterator[pd.DataFrame], time: str) -> pd.DataFrame:
+    """All that a trigger brings for a key, in time; no more than the source's rows per trigger."""
+    return pd.concat(list(frames)).sort_values(time, kind="stable")
+
+
 def odometry(stream: DataFrame) -> DataFrame:
     """Stateless; the batch operator does."""
     return normalize_odometry(stream)
@@ -38,32 +48,29 @@ def threshold_alerts(scores: DataFrame, threshold: float, k: int) -> DataFrame:
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (length,) = state.get if state.exists else (0,)
-        for pdf in frames:
-            pdf = pdf.sort_values("window_end_idx")
-            active, onset = [], []
-            for positive in pdf["score"] > threshold:
-                was, length = length >= k, length + 1 if positive else 0
-                active.append(length >= k)
-                onset.append(length >= k and not was)
-            yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"], "score": pdf["score"], "alert_active": active, "alert_onset": onset})
+        pdf, active, onset = _in_time(frames, "window_end_idx"), [], []
+        for positive in pdf["score"] > threshold:
+            was, length = length >= k, length + 1 if positive else 0
+            active.append(length >= k)
+            onset.append(length >= k and not was)
         state.update((length,))
+        yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"], "score": pdf["score"], "alert_active": active, "alert_onset": onset})
 
     schema = f"{SEQUENCE} string, window_end_idx long, score double, alert_active boolean, alert_onset boolean"
     return scores.groupBy(SEQUENCE).applyInPandasWithState(run, schema, "length int", "append", GroupStateTimeout.NoTimeout)
 
 
-def adaptive_alerts(scores: DataFrame, k: int = 2) -> DataFrame:
+def adaptive_alerts(scores: DataFrame, k: int = 2, **settings) -> DataFrame:
     """As the batch operator, from rows that bring their trailing median and distance."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = AlertState(k)
+        fold = AlertState(k, **settings)
         if state.exists:
             fold.active, fold.baseline, fold.scale, fold.run = state.get
-        for pdf in frames:
-            pdf = pdf.sort_values("window_end_idx")
-            rows = [fold.step(*r) for r in zip(pdf["score"], pdf["trailing_median"], pdf["trailing_mad"], strict=True)]
-            yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"].to_numpy(), "alert_active": [r[4] for r in rows], "alert_onset": [r[5] for r in rows]})
+        pdf = _in_time(frames, "window_end_idx")
+        rows = [fold.step(*r) for r in zip(pdf["score"], pdf["trailing_median"], pdf["trailing_mad"], strict=True)]
         state.update((fold.active, float(fold.baseline), float(fold.scale), fold.run))
+        yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"].to_numpy(), "alert_active": [r[4] for r in rows], "alert_onset": [r[5] for r in rows]})
 
     schema = f"{SEQUENCE} string, window_end_idx long, alert_active boolean, alert_onset boolean"
     return scores.groupBy(SEQUENCE).applyInPandasWithState(run, schema, "active boolean, baseline double, scale double, run int", "append", GroupStateTimeout.NoTimeout)
@@ -76,14 +83,13 @@ def command_shim(ticks: DataFrame, key: str, **settings) -> DataFrame:
         shim = CommandShim(**settings)
         integral, last = state.get if state.exists else (0.0, None)
         shim.integral = integral
-        for pdf in frames:
-            pdf, rows = pdf.sort_values("t"), []
-            for r in pdf.itertuples():
-                dt = max(r.t - last, 1e-6) if last is not None else 1e-6
-                last = r.t
-                rows.append((name[0], r.t, *shim.tick(dt, r.age, r.speed, r.steer, r.acceleration, -r.vx)))
-            yield pd.DataFrame(rows, columns=[key, "t", "raw_speed", "raw_steer", "raw_acceleration"])
+        rows = []
+        for r in _in_time(frames, "t").itertuples():
+            dt = max(r.t - last, 1e-6) if last is not None else 1e-6
+            last = r.t
+            rows.append((name[0], r.t, *shim.tick(dt, r.age, r.speed, r.steer, r.acceleration, -r.vx)))
         state.update((float(shim.integral), last))
+        yield pd.DataFrame(rows, columns=[key, "t", "raw_speed", "raw_steer", "raw_acceleration"])
 
     kind = ticks.schema[key].dataType.simpleString()
     return ticks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, t double, raw_speed double, raw_steer double, raw_acceleration double", "integral double, last double", "append", GroupStateTimeout.NoTimeout)
