@@ -26,7 +26,7 @@ def overlap_trim(imu: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame, D
     bounds = spans.select(SEQUENCE, "overlap_start_ns", "overlap_end_ns")
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(bounds), SEQUENCE).where(F.col(TIME).between(F.col("overlap_start_ns"), F.col("overlap_end_ns"))).select(df.columns)
+        return df.join(bounds, SEQUENCE).where(F.col(TIME).between(F.col("overlap_start_ns"), F.col("overlap_end_ns"))).select(df.columns)
 
     imu_cut, gt_cut = cut(imu), cut(gt)
     after = [d.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias(f"{n}_rows_after")) for d, n in ((imu_cut, "imu"), (gt_cut, "gt"))]

@@ -22,7 +22,7 @@ def motion_signature(df: DataFrame) -> DataFrame:
     df = df.withColumns({"g": norm(*GYRO), "a": norm(*ACCEL)})
     middle = df.groupBy(SEQUENCE).agg(F.percentile("a", 0.5).alias("m"))
     df = df.withColumns({"dg": F.col("g") - F.lag("g").over(w), "da": F.col("a") - F.lag("a").over(w)})
-    df = df.join(F.broadcast(middle), SEQUENCE).withColumn("d", F.abs(F.col("a") - F.col("m")))
+    df = df.join(middle, SEQUENCE).withColumn("d", F.abs(F.col("a") - F.col("m")))
 
     def stats(name: str, c: str):
         rank = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
@@ -36,7 +36,7 @@ def zscore_vectors(signatures: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     long = signatures.unpivot([SEQUENCE], keys, "key", "value")
     stats = long.groupBy("key").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     scale = F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
-    return long.join(F.broadcast(stats), "key").select(SEQUENCE, "key", ((F.col("value") - F.col("m")) / scale).alias("z"))
+    return long.join(stats, "key").select(SEQUENCE, "key", ((F.col("value") - F.col("m")) / scale).alias("z"))
 
 
 def cohort_decision(vectors: DataFrame, candidate: str, references: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def cohort_decision(vectors: DataFrame, candidate: str, references: list[str]) -
 def nearest_neighbours(vectors: DataFrame, candidate: str) -> DataFrame:
     """Other sequences by distance to the candidate."""
     own = vectors.where(F.col(SEQUENCE) == candidate).select("key", F.col("z").alias("own"))
-    others = vectors.where(F.col(SEQUENCE) != candidate).join(F.broadcast(own), "key")
+    others = vectors.where(F.col(SEQUENCE) != candidate).join(own, "key")
     distance = others.groupBy(SEQUENCE).agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("own"), F.lit(2.0)))).alias("distance"))
     return distance.withColumn("neighbour_rank", F.row_number().over(Window.orderBy("distance", SEQUENCE)))
 

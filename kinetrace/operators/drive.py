@@ -48,7 +48,7 @@ def phase_speed_metrics(rows: DataFrame, key: str = "phase", time: str = "t", le
     speed = F.when(dt > 1e-9, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) / dt)
     ends = rows.groupBy(key).agg(*(f(c, time).alias(f"{c}{n}") for n, f in ((0, F.min_by), (1, F.max_by)) for c in ("x", "y", "yaw")), F.min(time).alias("t0"), F.max(time).alias("t1"), F.count(F.lit(1)).alias("sample_count"))
     ends = ends.where(F.col("sample_count") >= least_rows).withColumns({"duration_s": F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), "displacement_m": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))})
-    df = rows.withColumn("speed", speed).join(F.broadcast(ends.drop("sample_count")), key)
+    df = rows.withColumn("speed", speed).join(ends.drop("sample_count"), key)
     across = (-(F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0")) + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0"))) / F.greatest("displacement_m", F.lit(1e-300))
     lateral = F.when(F.col("displacement_m") > 1e-9, F.abs(across)).otherwise(0.0)
     return df.groupBy(key).agg(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_time
 from ..functions.contracts import ACCEL, DERIVED, GYRO, RAW, SEQUENCE, SEVERITY, SPEED_GATE, STEP, VERTICAL_GATE, YAW_GATE
+from ..functions.faults import FAULTS
 from .derive import derive_imu_features
 
 #: Rows and target group of each fault. Fixed values.
@@ -41,7 +42,7 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(sequence, scale): median distance to the median, over all columns together; tiny ones count as 1."""
     long = df.unpivot([SEQUENCE], columns, "c", "x")
     middle = long.groupBy(SEQUENCE).agg(F.percentile("x", 0.5).alias("m"))
-    far = long.join(F.broadcast(middle), SEQUENCE).groupBy(SEQUENCE).agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("scale"))
+    far = long.join(middle, SEQUENCE).groupBy(SEQUENCE).agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("scale"))
     return far.withColumn("scale", F.when(F.col("scale") <= 1e-6, 1.0).otherwise(F.col("scale")))
 
 
@@ -100,7 +101,7 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
     columns = df.columns
     i = F.col(STEP)
     counts = df.groupBy(SEQUENCE).agg(F.max(STEP).alias("__last"))
-    df = df.join(F.broadcast(counts), SEQUENCE)
+    df = df.join(counts, SEQUENCE)
     end = F.least(F.col("__last"), F.lit(start + DURATION[kind] - 1))
     inside, offset, rows = (i >= start) & (i <= end), i - start, end - start + 1
     group = {"gyro": GYRO, "accel": ACCEL}.get(TARGET[kind], ACCEL + GYRO)
@@ -109,7 +110,7 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
         return table.withColumns({c: F.when(inside, v).otherwise(F.col(c)) for c, v in values.items()})
 
     def scaled(columns: list[str]) -> DataFrame:
-        return df.join(F.broadcast(robust_scale(df.select(SEQUENCE, *columns), columns)), SEQUENCE)
+        return df.join(robust_scale(df.select(SEQUENCE, *columns), columns), SEQUENCE)
 
     amount = F.col("scale") * SEVERITY[severity]
     if kind == "gyro_bias_step":
@@ -190,6 +191,7 @@ def demo_schedule(lengths: DataFrame, plan: list[tuple[str, str]], window: int)
 
 
 def catalog(spark) -> DataFrame:
-    """All faults: group, rows, and whether they need motion."""
-    rows = [(k, TARGET[k], DURATION[k], k in NEEDS_SPEED + NEEDS_TURN, "legacy" if k == "clipping" else "implemented") for k in DURATION]
-    return spark.createDataFrame(rows, "anomaly_type string, target_group string, duration_rows int, needs_motion boolean, tier string")
+    """All faults, made and planned; rows and whether they need motion of those that can be injected."""
+    made = lambda kind, tier: tier != "planned" and kind in DURATION
+    rows = [(k, tier, group, method, DURATION[k] if made(k, tier) else None, k in NEEDS_SPEED + NEEDS_TURN if made(k, tier) else None) for k, tier, group, method in FAULTS]
+    return spark.createDataFrame(rows, "anomaly_type string, tier string, target_group string, injection_method string, duration_rows int, needs_motion boolean")

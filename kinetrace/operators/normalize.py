@@ -39,7 +39,7 @@ def fit(df: DataFrame, columns: list[str], mode: str, by: list[str]) -> DataFram
 def fit_folds(df: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:
     """A normalizer per fold, from the sequences it trains on."""
     sides = folds.select("fold_name", F.explode("train").alias(SEQUENCE))
-    return fit(df.join(F.broadcast(sides), SEQUENCE), columns, mode, ["fold_name"])
+    return fit(df.join(sides, SEQUENCE), columns, mode, ["fold_name"])
 
 
 def as_payload(fitted: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:

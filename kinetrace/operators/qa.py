@@ -23,7 +23,7 @@ def sequence_feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         q.alias("q"),
         F.max("x").alias("max"),
     )
-    return stats.join(F.broadcast(spans), SEQUENCE).select(SEQUENCE, "feature_name", "row_count", "duration_s", "missing_rate", "mean", "std", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "max")
+    return stats.join(spans, SEQUENCE).select(SEQUENCE, "feature_name", "row_count", "duration_s", "missing_rate", "mean", "std", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "max")
 
 
 def feature_drift(df: DataFrame, folds: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def feature_drift(df: DataFrame, folds: DataFrame, columns: list[str]) -> DataFr
     long = df.unpivot([SEQUENCE], columns, "feature_name", "raw").withColumn("x", finite("raw"))
     sums = long.groupBy(SEQUENCE, "feature_name").agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     sides = folds.select("fold_name", F.explode("train").alias(SEQUENCE), F.lit("train").alias("side")).unionByName(folds.select("fold_name", F.col("validation").alias(SEQUENCE), F.lit("validation").alias("side")))
-    pooled = sides.join(F.broadcast(sums), SEQUENCE).groupBy("fold_name", "feature_name", "side").agg(
+    pooled = sides.join(sums, SEQUENCE).groupBy("fold_name", "feature_name", "side").agg(
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
         (F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / F.sum("n")).alias("square"),
         (F.lit(1.0) - F.sum("n") / F.sum("rows")).alias("missing"),

@@ -61,7 +61,7 @@ def inject_trials(df: DataFrame, trials: DataFrame, seed: int = 0, margin: int =
         base = base.join(read, [SEQUENCE, name])
 
     for name, columns in (("gyro", GYRO), ("accel", ACCEL), ("mixed", ACCEL + GYRO)):
-        base = base.join(F.broadcast(robust_scale(df, columns).withColumnRenamed("scale", f"scale_{name}")), SEQUENCE)
+        base = base.join(robust_scale(df, columns).withColumnRenamed("scale", f"scale_{name}"), SEQUENCE)
     noise = [(i, *map(float, row)) for i, row in enumerate(noise_table(seed, DURATION["noise_burst"]))]
     table = spark.createDataFrame(noise, ", ".join(["k long", *(f"noise_{c} double" for c in ACCEL + GYRO)]))
     base = base.join(F.broadcast(table), "k", "left")

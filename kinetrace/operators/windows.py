@@ -48,7 +48,7 @@ def tail_split(windows: DataFrame) -> DataFrame:
     counts = windows.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("c"))
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(SEQUENCE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = counts.agg(F.sum("c").alias("total"))
-    ranked = windows.withColumn("i", F.row_number().over(inside)).join(F.broadcast(before.join(total)), SEQUENCE)
+    ranked = windows.withColumn("i", F.row_number().over(inside)).join(before.join(total), SEQUENCE)
     cut = F.col("total") - F.greatest(F.lit(1), F.expr("total div 10"))
     return ranked.withColumn("split_name", F.when(F.col("before") + F.col("i") > cut, "validation").otherwise("train")).drop("i", "c", "before", "total")
 

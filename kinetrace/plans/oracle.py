@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW
+from ..functions.faults import FAULTS
 from ..operators.inject import DURATION, HARD_CLIP, LAG_ROWS, LEAKAGE, ROTATION_DEG, SEVERITY, TARGET, noise_table, warp_table
 from ..operators.resample import fir_weights
 
@@ -431,7 +432,9 @@ def oracle_sql() -> dict[str, str]:
         "demo_schedule": """WITH l AS (SELECT event_type AS sequence_name, count(*) AS n FROM events GROUP BY 1), p(k, t, g, d) AS (VALUES (1, 'gyro_bias_drift', 'gyro', 75), (2, 'accel_freeze', 'accel', 40), (3, 'clipping', 'accel', 20)),
             x AS (SELECT *, least(greatest(150, floor(150 + (n - 51 - 150) * (k / 4))::BIGINT), greatest(150, n - 51 - d)) AS s FROM l, p WHERE n - 1 > 200)
             SELECT sequence_name, k AS event_order, t AS anomaly_type, 'medium' AS severity, g AS target_group, s AS start_index, s + d - 1 AS end_index FROM x""",
-        "anomaly_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{TARGET[k]}', {DURATION[k]}, {str(k in ('impact_pulse', 'vibration_burst', 'angular_rate_burst')).lower()}, '{'legacy' if k == 'clipping' else 'implemented'}')" for k in DURATION) + ") t(anomaly_type, target_group, duration_rows, needs_motion, tier)",
+        "anomaly_catalog": "SELECT * FROM (VALUES " + ", ".join(
+            f"('{k}', '{tier}', '{group}', '{method}', {DURATION[k] if tier != 'planned' else 'NULL'}, {str(k in ('impact_pulse', 'vibration_burst', 'angular_rate_burst')).lower() if tier != 'planned' else 'NULL'})" for k, tier, group, method in FAULTS
+        ) + ") t(anomaly_type, tier, target_group, injection_method, duration_rows, needs_motion)",
         "clean_summary": f"""WITH {ANN}, {SEGMENTS}, l AS (SELECT event_type AS sequence_name, count(*) AS n FROM events GROUP BY 1), b AS (SELECT sequence_name, any_value(threshold) AS threshold, avg(alert_active::DOUBLE) AS ar, sum(alert_onset::BIGINT) AS s FROM ann GROUP BY 1), m AS (SELECT sequence_name, median(duration_s) AS m FROM seg GROUP BY 1)
             SELECT sequence_name, {r("threshold", "threshold")}, {r("ar", "clean_alert_rate")}, {r("s / greatest(n / 50.0 / 60.0, 1e-6)", "clean_alerts_per_min")}, {r("coalesce(m, 0.0)", "clean_median_alert_duration_s")} FROM b JOIN l USING (sequence_name) LEFT JOIN m USING (sequence_name)""",
         "clean_burden": f"WITH {ANN} SELECT sequence_name, count(*) AS window_count, sum(positive::BIGINT)::BIGINT AS positive_count, sum(alert_active::BIGINT)::BIGINT AS alert_active_count, sum(alert_onset::BIGINT)::BIGINT AS alert_onset_count, {r('avg(positive::DOUBLE)', 'positive_rate')}, {r('avg(alert_active::DOUBLE)', 'alert_active_rate')}, 'global' AS threshold_mode FROM ann GROUP BY 1",
