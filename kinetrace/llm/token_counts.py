@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
-from .pieces import PartCache, byte_alphabet, tokenizer
+from .pieces import PartCache, byte_alphabet
 
-#: Matches longer than this many bytes are given to the library.
-LONGEST = 2_000
+#: Prefixes of matches up to this many bytes are remembered; longer matches take the same steps in arrays of their own.
+REMEMBERED = 200
 #: Entries of a worker's tables; a table is emptied beyond them.
 ENTRIES = 1_000_000
 
@@ -48,11 +48,11 @@ class PrefixCounts:
         self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.ranks}
         self.tokens = {t for t in self.tokens if self.merge(t) == [t]}
         self.longest_token = max(map(len, self.tokens))
+        self.endings = {t[i:] for t in self.tokens for i in range(len(t))}
         self.match = regex.compile(pattern)
         self.space = regex.compile(r"\s+")
         self.special = special
         self.special_match = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
-        self.library = tokenizer(tokenizer_file)
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         #: Prefix of a match -> its tokens, and the last of them.
         self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
@@ -110,13 +110,31 @@ class PrefixCounts:
         return found
 
     def table(self, piece: bytes) -> list[int]:
-        """table[i]: tokens of the first i bytes of a match."""
-        self.last(piece)
-        return [self.states[piece[:i]][0] for i in range(len(piece) + 1)]
+        """table[i]: tokens of the first i bytes of a match of any length.
+
+        Time and memory grow with the length: for each end, tokens that end there
+        are tried from the shortest on, as long as some token has such an ending.
+        """
+        tokens, endings, apart = self.tokens, self.endings, self.apart
+        counts, last = [0] * (len(piece) + 1), [b""] * (len(piece) + 1)
+        for end in range(1, len(piece) + 1):
+            start = end
+            while start and (token := piece[start - 1 : end]) in endings:
+                start -= 1
+                if token not in tokens:
+                    continue
+                if start:
+                    pair = last[start], token
+                    fits = apart.get(pair)
+                    if not (self.stays_apart(pair) if fits is None else fits):
+                        continue
+                counts[end], last[end] = counts[start] + 1, token
+                break
+        return counts
 
     def match_total(self, match: str) -> int:
         raw = match.encode()
-        return self.last(raw)[0] if len(raw) <= LONGEST else len(self.library.encode(match, add_special_tokens=False).ids)
+        return self.last(raw)[0] if len(raw) <= REMEMBERED else self.table(raw)[-1]
 
     def total(self, text: str) -> int:
         """Tokens of a text: the last entry of its counts."""
@@ -155,10 +173,7 @@ class PrefixCounts:
         for m in self.match.finditer(text):
             match, begin, end = m.group(), at + m.start(), at + m.end()
             raw = match.encode()
-            if len(raw) > LONGEST:
-                inner = [len(self.library.encode(match[:i], add_special_tokens=False).ids) for i in range(1, len(match) + 1)]
-            else:
-                inner = np.asarray(self.table(raw))[np.cumsum([len(c.encode()) for c in match])]
+            inner = np.asarray(self.table(raw))[np.cumsum([len(c.encode()) for c in match])]
             out[begin + 1 : end + 1] = base + np.asarray(inner)
             if match[0] == "'" and match[1:] in ("re", "ve", "ll"):  # after one letter it is no contraction
                 out[begin + 2] = base + 2

@@ -79,6 +79,17 @@ def test_token_count_edges(spark):
     assert token_counts.token_counts(df.limit(0), TOKENIZER, PATTERN).count() == 0
 
 
+def test_long_matches_take_the_same_steps():
+    """Matches far beyond the remembered length, by prefixes too, against the library."""
+    counts = token_counts.prefix_counts(TOKENIZER, PATTERN)
+    rng = np.random.default_rng(5)
+    runs = ["a" * 3000, "the" * 1000, "é" * 900, "".join(rng.choice(list("abcdefghij"), 4000)), "-=" * 1500, "7" * 2500]
+    for run in runs:
+        assert counts.total(run) == len(library_ids(run))
+        got = counts.counts(run[:400])
+        assert [int(got[i]) for i in range(0, 401, 23)] == [len(library_ids(run[:i])) for i in range(0, 401, 23)]
+
+
 def test_budgets_from_stored_counts(spark):
     stored = token_counts.prefix_table(docs(spark, [(1, "hello there world"), (2, "")]), TOKENIZER, PATTERN)
     got = {r.doc_id: r.keep_chars for r in token_counts.fits(stored, 2).collect()}
