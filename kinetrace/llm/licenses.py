@@ -3,9 +3,10 @@
 Paragraphs are lines.  Their word 1- and 2-grams are features of a sparse
 multinomial logistic regression over licence families and an unknown class,
 trained from public notices, damaged at random, and from sentences that are
-none; a temperature and a least probability are calibrated on other damaged
-notices.  A prediction is confirmed by comparing the paragraph's n-grams with
-those of the family's notices.
+none and notices of licences outside the families; a temperature and a least
+probability are calibrated on other wordings and on licences that training never
+saw.  A prediction is confirmed by comparing the paragraph's n-grams with those
+of the family's notices: enough are shared, among them one that only this family has.
 
 Scanning uses DataFrame functions only.  Lines without any word that speaks for
 a family are left at once, inside the row and without a shuffle; the few others
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .license_templates import OTHERS, TEMPLATES
+from .license_templates import OTHERS, REWORDED, STRANGERS, STRANGERS_HELD_OUT, TEMPLATES
 
 UNKNOWN = "unknown"
 CLASSES = [*TEMPLATES, UNKNOWN]
@@ -40,7 +41,7 @@ FALSE_ALARMS = 0.01
 #: Least probability of a family, below which a line is no finding at all.
 REPORTS = 0.05
 #: Function words, which never make a line a suspect.
-FUNCTION_WORDS = {"all", "by", "for", "in", "is", "met", "of", "or", "that", "the", "this", "to", "under", "without", "later", "work"}
+FUNCTION_WORDS = {"all", "by", "for", "in", "is", "may", "met", "no", "of", "or", "that", "the", "this", "to", "under", "without", "later", "work"}
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -75,25 +76,36 @@ def _damaged(rng: np.random.Generator, text: str, others: list[str]) -> str:
     return " ".join([*around, *words] if rng.random() < 0.5 else [*words, *around])
 
 
-def _examples(rng: np.random.Generator, per_class: int) -> tuple[list[str], np.ndarray]:
+def _examples(rng: np.random.Generator, per_class: int, notices: dict[str, list[str]], strangers: list[str]) -> tuple[list[str], np.ndarray]:
+    """Damaged notices by family; other sentences, scattered words and damaged notices of other licences are unknown."""
     texts, labels = [], []
     every_word = sorted({w for family in TEMPLATES.values() for t in family for w in t.split()})
-    for k, family in enumerate(TEMPLATES.values()):
+    for k, family in enumerate(TEMPLATES):
         for i in range(per_class):
-            texts.append(_damaged(rng, family[i % len(family)], OTHERS))
+            texts.append(_damaged(rng, notices[family][i % len(notices[family])], OTHERS))
             labels.append(k)
     for i in range(3 * per_class):
         scattered = " ".join(rng.choice(every_word, size=int(rng.integers(1, 5))))
-        texts.append([OTHERS[i % len(OTHERS)], f"{OTHERS[i % len(OTHERS)]} {scattered}", scattered][i % 3])
+        stranger = _damaged(rng, strangers[i // 4 % len(strangers)], OTHERS)
+        texts.append([OTHERS[i % len(OTHERS)], f"{OTHERS[i % len(OTHERS)]} {scattered}", scattered, stranger][i % 4])
         labels.append(len(TEMPLATES))
     return texts, np.array(labels)
 
 
+def own_grams() -> set[tuple[str, str]]:
+    """(family, n-gram) of n-grams that no other family, no other licence and no other sentence has."""
+    has: dict[str, set[str]] = {}
+    for family, texts in [*TEMPLATES.items(), (UNKNOWN, [*OTHERS, *STRANGERS])]:
+        for gram in {g for t in texts for g in grams(t)}:
+            has.setdefault(gram, set()).add(family)
+    return {(*families, gram) for gram, families in has.items() if len(families) == 1 and UNKNOWN not in families}
+
+
 @lru_cache(maxsize=1)
 def train(seed: int = 11, per_class: int = 60, steps: int = 250) -> Classifier:
     """Fit by gradient descent with momentum and decay; a few thousand short paragraphs."""
     rng = np.random.default_rng(seed)
-    features = sorted({g for family in TEMPLATES.values() for t in family for g in grams(t)} | {g for t in OTHERS for g in grams(t)})
+    features = sorted({g for family in TEMPLATES.values() for t in family for g in grams(t)} | {g for t in [*OTHERS, *STRANGERS] for g in grams(t)})
     place = {f: i for i, f in enumerate(features)}
 
     def matrix(texts: list[str]) -> np.ndarray:
@@ -102,7 +114,7 @@ def train(seed: int = 11, per_class: int = 60, steps: int = 250) -> Classifier:
             x[row, [place[g] for g in grams(text) if g in place]] = 1
         return x
 
-    texts, labels = _examples(rng, per_class)
+    texts, labels = _examples(rng, per_class, TEMPLATES, STRANGERS)
     x, truth = matrix(texts), np.eye(len(CLASSES))[labels]
     w, b = np.zeros((len(features), len(CLASSES))), np.zeros(len(CLASSES))
     vw, vb = np.zeros_like(w), np.zeros_like(b)
@@ -113,8 +125,8 @@ def train(seed: int = 11, per_class: int = 60, steps: int = 250) -> Classifier:
         w, b = w + vw, b + vb
     w[np.abs(w).max(axis=1) < 0.02] = 0
 
-    # Calibration on other examples: the temperature of best likelihood, then the least probability.
-    texts, labels = _examples(np.random.default_rng(seed + 1), per_class)
+    # Calibration on what training has not seen: the temperature of best likelihood, then the least probability.
+    texts, labels = _examples(np.random.default_rng(seed + 1), per_class, REWORDED, STRANGERS_HELD_OUT)
     z = matrix(texts) @ w + b
     temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(labels)), labels] + 1e-12).mean())
     best = _softmax(z / temperature)[:, :-1].max(axis=1)
@@ -152,7 +164,8 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
 
     ``family`` is the most probable family, or ``unknown`` where that class is
     the most probable or no family is probable enough; ``similarity`` is the
-    largest share of n-grams that the line has in common with a notice of it.
+    largest share of n-grams that the line has in common with a notice of it;
+    a notice confirms only if an n-gram of the family alone is among them.
     """
     model = model or train()
     spark = df.sparkSession
@@ -173,11 +186,12 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
     judged = judged.select(*key, F.element_at(names, F.col("best.i") + 1).alias("likely"), probability.alias("probability"), sure.alias("sure"))
     judged = judged.where(F.col("probability") >= REPORTS)
 
-    notices = [(family, n, len(grams(text)), g) for family, texts in TEMPLATES.items() for n, text in enumerate(texts) for g in grams(text)]
-    notice_grams = spark.createDataFrame(notices, "family string, notice int, notice_size int, gram string")
-    common = each.join(F.broadcast(notice_grams), "gram").groupBy(*key, "family", "notice", "notice_size", "n_grams").agg(F.count(F.lit(1)).alias("common"))
+    own = own_grams()
+    notices = [(family, n, len(grams(text)), g, int((family, g) in own)) for family, texts in TEMPLATES.items() for n, text in enumerate(texts) for g in grams(text)]
+    notice_grams = spark.createDataFrame(notices, "family string, notice int, notice_size int, gram string, own int")
+    common = each.join(F.broadcast(notice_grams), "gram").groupBy(*key, "family", "notice", "notice_size", "n_grams").agg(F.count(F.lit(1)).alias("common"), F.max("own").alias("own"))
     share = F.greatest(F.col("common") / F.col("notice_size"), F.col("common") / F.col("n_grams"))
-    likeness = common.groupBy(*key, "family").agg(F.max(share).alias("similarity"))
+    likeness = common.groupBy(*key, "family").agg(F.max(share).alias("similarity"), F.max(F.when(F.col("own") == 1, share)).alias("own_similarity"))
 
     condition = [judged[k].eqNullSafe(likeness[k]) for k in key] + [judged["likely"] == likeness["family"]]
     joined = judged.join(likeness, condition, "left")
@@ -188,7 +202,7 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
         F.when(F.col("sure"), F.col("likely")).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"),
         F.round(similarity, 6).alias("similarity"),
-        (F.col("sure") & (similarity >= CONFIRMS)).alias("confirmed"),
+        (F.col("sure") & (F.coalesce("own_similarity", F.lit(0.0)) >= CONFIRMS)).alias("confirmed"),
     )
 
 

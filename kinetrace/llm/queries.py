@@ -74,7 +74,8 @@ def _license_sql() -> str:
     classes = range(len(licenses.CLASSES))
     text = lambda x: "'" + x.replace("'", "''") + "'"
     weights = ", ".join(f"({text(f)}, {', '.join(f'{w!r}::DOUBLE' for w in map(float, row))})" for f, row in zip(model.features, model.weights, strict=True))
-    notices = ", ".join(f"({text(family)}, {n}, {len(licenses.grams(t))}, {text(g)})" for family, texts in licenses.TEMPLATES.items() for n, t in enumerate(texts) for g in licenses.grams(t))
+    own = licenses.own_grams()
+    notices = ", ".join(f"({text(family)}, {n}, {len(licenses.grams(t))}, {text(g)}, {(family, g) in own})" for family, texts in licenses.TEMPLATES.items() for n, t in enumerate(texts) for g in licenses.grams(t))
     powers = ", ".join(f"(sum(w{k}) + {float(model.bias[k])!r}::DOUBLE) / {model.temperature!r}::DOUBLE" for k in classes)
     names = ", ".join(map(text, licenses.TEMPLATES))
     speaking = model.speaking_words()
@@ -88,9 +89,9 @@ def _license_sql() -> str:
         x AS (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS x FROM z),
         b AS (SELECT doc_id, row_no, paragraph, list_max(list_slice(x, 1, {len(licenses.TEMPLATES)})) AS best, x[{len(licenses.CLASSES)}] AS none, list_sum(x) AS total, [{names}][list_position(x, list_max(list_slice(x, 1, {len(licenses.TEMPLATES)})))] AS likely FROM x),
         j AS (SELECT *, best / total AS p, best / total >= {model.least!r}::DOUBLE AND best > none AS sure FROM b WHERE best / total >= {licenses.REPORTS}),
-        c AS (SELECT doc_id, row_no, paragraph, family, greatest(count(*) / any_value(size), count(*) / any_value(n)) AS share FROM e JOIN (VALUES {notices}) t(family, notice, size, gram) USING (gram) GROUP BY doc_id, row_no, paragraph, family, notice),
-        s AS (SELECT doc_id, row_no, paragraph, family, max(share) AS similarity FROM c GROUP BY ALL)
-        SELECT j.doc_id, j.paragraph, CASE WHEN sure THEN likely ELSE 'unknown' END AS family, round(p, 6) AS probability, round(coalesce(similarity, 0.0), 6) AS similarity, sure AND coalesce(similarity, 0.0) >= {licenses.CONFIRMS} AS confirmed
+        c AS (SELECT doc_id, row_no, paragraph, family, greatest(count(*) / any_value(size), count(*) / any_value(n)) AS share, bool_or(own) AS own FROM e JOIN (VALUES {notices}) t(family, notice, size, gram, own) USING (gram) GROUP BY doc_id, row_no, paragraph, family, notice),
+        s AS (SELECT doc_id, row_no, paragraph, family, max(share) AS similarity, max(share) FILTER (WHERE own) AS own_similarity FROM c GROUP BY ALL)
+        SELECT j.doc_id, j.paragraph, CASE WHEN sure THEN likely ELSE 'unknown' END AS family, round(p, 6) AS probability, round(coalesce(similarity, 0.0), 6) AS similarity, sure AND coalesce(own_similarity, 0.0) >= {licenses.CONFIRMS} AS confirmed
         FROM j LEFT JOIN s ON s.row_no = j.row_no AND s.paragraph = j.paragraph AND s.family = j.likely
     """
 
