@@ -4,6 +4,7 @@ from conftest import DATA
 from helpers import EDGES, docs
 
 from kinetrace.llm import queries, toxicity
+from kinetrace.llm.common import id_remainder
 
 
 def corpus(n=400, seed=1):
@@ -57,5 +58,16 @@ def test_kept_rows_have_all_columns(spark):
 
 
 def test_query(spark):
-    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert queries.op7_toxicity(spark, DATA).count() == n
+    """Every document of the table is scored; held-out ones are told apart well, and the score is the noisy-or of its sentences."""
+    larger = DATA.replace("sf0.001", "sf0.01")
+    docs_, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, larger).collect()}
+    assert len(got) == docs_.count()
+    model = toxicity.train(docs_, labels, id_remainder(4) != 2)
+    weights = model.table()
+    texts = {r.doc_id: r.text or "" for r in docs_.collect()}
+    assert all(abs(got[i].score - toxicity.noisy_or(toxicity.sentence_logits(t, weights, model.bias))) < 1e-6 for i, t in texts.items())
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(got[i].predicted, truth[i]) for i in got if got[i].held_out and truth.get(i) is not None]
+    assert sum(p for p, y in held if y) >= 0.7 * sum(y for _, y in held) > 0
+    assert sum(p for p, y in held if not y) <= 0.05 * sum(1 - y for _, y in held)
