@@ -154,7 +154,7 @@ def suspects(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     speaking = model.speaking_words()
     lines = df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("paragraph", "line"))
     # A cheap test of the whole line comes first; words are split only where it holds.
-    lines = lines.where(F.lower("line").rlike(rf"\b({'|'.join(speaking)})\b"))
+    lines = lines.where(F.lower("line").rlike(rf"(^|[^a-z0-9])({'|'.join(speaking)})([^a-z0-9]|$)"))
     words = lines.select("doc_id", "row_no", "paragraph", paragraph_words(F.col("line")).alias("words"))
     return words.where(F.exists("words", lambda w: w.isin(speaking))).select("doc_id", "row_no", "paragraph", paragraph_grams(F.col("words")).alias("grams"))
 

@@ -82,7 +82,7 @@ def _license_sql() -> str:
     return f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         l AS (SELECT doc_id, row_no, unnest(l) AS line, unnest(range(len(l))) AS paragraph FROM d),
-        w AS (SELECT doc_id, row_no, paragraph, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE regexp_matches(lower(line), '\\b({"|".join(speaking)})\\b')),
+        w AS (SELECT doc_id, row_no, paragraph, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE regexp_matches(lower(line), '(^|[^a-z0-9])({"|".join(speaking)})([^a-z0-9]|$)')),
         g AS (SELECT doc_id, row_no, paragraph, list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w WHERE list_has_any(w, [{", ".join(map(text, speaking))}])),
         e AS (SELECT doc_id, row_no, paragraph, len(g) AS n, unnest(g) AS gram FROM g),
         z AS (SELECT doc_id, row_no, paragraph, [{powers}] AS z FROM e JOIN (VALUES {weights}) t(gram, {", ".join(f"w{k}" for k in classes)}) USING (gram) GROUP BY ALL),
