@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_time, norm
 from ..functions.contracts import ACCEL, GYRO, SEQUENCE
+from .quantiles import exact_quantiles
 
 KEYS = [
     "gyro_norm_mean", "gyro_norm_std", "gyro_norm_p95", "accel_norm_mean", "accel_norm_std", "accel_norm_p95",
@@ -20,15 +21,18 @@ def motion_signature(df: DataFrame) -> DataFrame:
     """Eleven statistics of each sequence; percentiles are nearest ranks."""
     w = in_time()
     df = df.withColumns({"g": norm(*GYRO), "a": norm(*ACCEL)})
-    middle = df.groupBy(SEQUENCE).agg(F.percentile("a", 0.5).alias("m"))
+    middle = exact_quantiles(df, [SEQUENCE], "a", [0.5]).select(SEQUENCE, F.col("q")[0].alias("m"))
     df = df.withColumns({"dg": F.col("g") - F.lag("g").over(w), "da": F.col("a") - F.lag("a").over(w)})
     df = df.join(middle, SEQUENCE).withColumn("d", F.abs(F.col("a") - F.col("m")))
 
     def stats(name: str, c: str):
-        rank = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
-        return [F.avg(c).alias(f"{name}_mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"{name}_std"), rank.alias(f"{name}_p95")]
+        return [F.avg(c).alias(f"{name}_mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"{name}_std")]
 
-    return df.groupBy(SEQUENCE).agg(*stats("gyro_norm", "g"), *stats("accel_norm", "a"), *stats("dynamic_accel", "d"), F.coalesce(F.stddev_pop("dg"), F.lit(0.0)).alias("gyro_delta_std"), F.coalesce(F.stddev_pop("da"), F.lit(0.0)).alias("accel_delta_std"))
+    ranks = exact_quantiles(df.unpivot([SEQUENCE], ["g", "a", "d"], "name", "value"), [SEQUENCE, "name"], "value", [0.95], nearest=True)
+    names = {"g": "gyro_norm", "a": "accel_norm", "d": "dynamic_accel"}
+    ranks = ranks.groupBy(SEQUENCE).agg(*(F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(f"{name}_p95") for c, name in names.items()))
+    stats_ = df.groupBy(SEQUENCE).agg(*stats("gyro_norm", "g"), *stats("accel_norm", "a"), *stats("dynamic_accel", "d"), F.coalesce(F.stddev_pop("dg"), F.lit(0.0)).alias("gyro_delta_std"), F.coalesce(F.stddev_pop("da"), F.lit(0.0)).alias("accel_delta_std"))
+    return stats_.join(ranks, SEQUENCE).select(SEQUENCE, *KEYS)
 
 
 def zscore_vectors(signatures: DataFrame, keys: list[str] = KEYS) -> DataFrame:

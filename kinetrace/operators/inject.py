@@ -17,6 +17,7 @@ from ..functions.columns import in_time
 from ..functions.contracts import ACCEL, DERIVED, GYRO, RAW, SEQUENCE, SEVERITY, SPEED_GATE, STEP, VERTICAL_GATE, YAW_GATE
 from ..functions.faults import FAULTS
 from .derive import derive_imu_features
+from .quantiles import exact_quantiles
 
 #: Rows and target group of each fault. Fixed values.
 DURATION = {
@@ -41,8 +42,9 @@ NEEDS_SPEED, NEEDS_TURN = ("impact_pulse", "vibration_burst"), ("angular_rate_bu
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(sequence, scale): median distance to the median, over all columns together; tiny ones count as 1."""
     long = df.unpivot([SEQUENCE], columns, "c", "x")
-    middle = long.groupBy(SEQUENCE).agg(F.percentile("x", 0.5).alias("m"))
-    far = long.join(middle, SEQUENCE).groupBy(SEQUENCE).agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("scale"))
+    middle = exact_quantiles(long, [SEQUENCE], "x", [0.5]).select(SEQUENCE, F.col("q")[0].alias("m"))
+    far = long.join(middle, SEQUENCE).withColumn("away", F.abs(F.col("x") - F.col("m")))
+    far = exact_quantiles(far, [SEQUENCE], "away", [0.5]).select(SEQUENCE, F.col("q")[0].alias("scale"))
     return far.withColumn("scale", F.when(F.col("scale") <= 1e-6, 1.0).otherwise(F.col("scale")))
 
 

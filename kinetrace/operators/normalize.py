@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contracts import SEQUENCE
+from .quantiles import exact_quantiles
 
 
 def loso_folds(df: DataFrame) -> DataFrame:
@@ -31,8 +32,7 @@ def fit(df: DataFrame, columns: list[str], mode: str, by: list[str]) -> DataFram
     if mode == "zscore":
         stats = long.groupBy(*by, "column_name").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
     else:
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats = long.groupBy(*by, "column_name").agg(q.alias("q")).select(*by, "column_name", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
+        stats = exact_quantiles(long, [*by, "column_name"], "value", [0.25, 0.5, 0.75]).select(*by, "column_name", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
     return stats.withColumn("scale", F.when(F.abs("scale") <= 1e-12, 1.0).otherwise(F.col("scale")))
 
 

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contracts import SEQUENCE, TIME
+from .quantiles import exact_quantiles
 
 
 def timestamp_summary(df: DataFrame, file_order: str) -> DataFrame:
     """Span, median positive step, rate, repeated and backward steps, in file order."""
     step = F.col(TIME) - F.lag(TIME).over(Window.partitionBy(SEQUENCE).orderBy(file_order))
-    stats = df.withColumn("d", step).groupBy(SEQUENCE).agg(
+    steps = df.withColumn("d", step)
+    middle = exact_quantiles(steps.where("d > 0"), [SEQUENCE], "d", [0.5]).select(SEQUENCE, F.col("q")[0].alias("m"))
+    stats = steps.groupBy(SEQUENCE).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min(TIME).alias("first_ns"),
         F.max(TIME).alias("last_ns"),
-        F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5).alias("m"),
         F.count_if(F.col("d") == 0).alias("duplicate_count"),
         F.count_if(F.col("d") < 0).alias("non_monotonic_count"),
     )
-    return stats.select(
+    return stats.join(middle, SEQUENCE, "left").select(
         SEQUENCE,
         "row_count",
         "first_ns",

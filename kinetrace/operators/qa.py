@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.contracts import GT_CONTEXT, SEQUENCE, TIME
+from .quantiles import exact_quantiles
 
 
 def sequence_feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Statistics of each sequence's features over finite values."""
     spans = df.groupBy(SEQUENCE).agg(((F.max(TIME) - F.min(TIME)) / 1e9).alias("duration_s"))
     long = df.unpivot([SEQUENCE], columns, "feature_name", "raw").withColumn("x", finite("raw"))
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    q = exact_quantiles(long, [SEQUENCE, "feature_name"], "x", [0.01, 0.5, 0.99])
     stats = long.groupBy(SEQUENCE, "feature_name").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"),
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("std"),
         F.min("x").alias("min"),
-        q.alias("q"),
         F.max("x").alias("max"),
     )
-    return stats.join(spans, SEQUENCE).select(SEQUENCE, "feature_name", "row_count", "duration_s", "missing_rate", "mean", "std", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "max")
+    return stats.join(q, [SEQUENCE, "feature_name"], "left").join(spans, SEQUENCE).select(SEQUENCE, "feature_name", "row_count", "duration_s", "missing_rate", "mean", "std", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "max")
 
 
 def feature_drift(df: DataFrame, folds: DataFrame, columns: list[str]) -> DataFrame:

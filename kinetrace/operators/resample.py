@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import in_time, norm
 from ..functions.contracts import ACCEL, GYRO, QUATERNION, SEQUENCE, STEP, TIME
 from .clean import repair_quaternion_signs
+from .quantiles import exact_quantiles
 
 
 def uniform_grid(df: DataFrame, step_ns: int) -> DataFrame:
@@ -50,7 +51,7 @@ def interpolate(grid: DataFrame, source: DataFrame, columns: list[str], clamp_en
 def source_rate(df: DataFrame) -> DataFrame:
     """Samples a second: one over the median step."""
     steps = df.withColumn("d", F.col(TIME) - F.lag(TIME).over(in_time()))
-    return steps.groupBy(SEQUENCE).agg((F.lit(1e9) / F.percentile("d", 0.5)).alias("source_rate_hz"))
+    return exact_quantiles(steps, [SEQUENCE], "d", [0.5]).select(SEQUENCE, (F.lit(1e9) / F.col("q")[0]).alias("source_rate_hz"))
 
 
 def renormalize(df: DataFrame, columns: list[str] = QUATERNION) -> DataFrame:

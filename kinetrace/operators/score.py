@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_time, mean_of
 from ..functions.contracts import ADAPTIVE_ROWS, GROUPS, RATE_HZ, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, WINDOW
+from .quantiles import exact_quantiles
 
 INDEX = "window_end_idx"
 
@@ -64,7 +65,7 @@ def window_scores(residuals: DataFrame, columns: list[str] = RAW, size: int = WI
 
 def percentile_threshold(scores: DataFrame, percent: float, by: list[str] | None = None) -> DataFrame:
     """Threshold by linear interpolation between ranks."""
-    return scores.groupBy(*(by or [])).agg(F.percentile("score", percent / 100).alias("threshold"))
+    return exact_quantiles(scores, by or [], "score", [percent / 100]).select(*(by or []), F.col("q")[0].alias("threshold"))
 
 
 def persist(df: DataFrame, positive: str, k: int, order: str = INDEX) -> DataFrame:
