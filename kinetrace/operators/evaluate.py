@@ -9,6 +9,22 @@ from ..functions.contracts import GROUPS, RATE_HZ, SCORE_STRIDE, SEQUENCE
 from .score import INDEX, alert_segments
 
 START = "window_start_idx"
+#: Rows of a block, on which ranges of rows and windows meet.
+BLOCK = 512
+
+
+def overlapping(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """Spans (rows ``a`` to ``b`` of a sequence) with the windows that overlap them, each pair once.
+
+    They meet on blocks of rows, so work grows with the rows that spans cover and
+    not with spans times windows of a sequence; a pair counts in the first block
+    that both touch.
+    """
+    first = lambda c: F.floor(F.col(c) / BLOCK)
+    spans = spans.withColumn("block", F.explode(F.sequence(first("a"), first("b"))))
+    windows = windows.withColumn("block", F.explode(F.sequence(first(START), first(INDEX))))
+    near = spans.join(windows, [SEQUENCE, "block"]).where((F.col(INDEX) >= F.col("a")) & (F.col(START) <= F.col("b")))
+    return near.where(F.col("block") == F.greatest(first("a"), first(START))).drop("block")
 
 
 def clean_summary(annotated: DataFrame, rows: DataFrame, stride: int = SCORE_STRIDE) -> DataFrame:
@@ -38,8 +54,12 @@ def clean_burden(annotated: DataFrame, mode: str) -> DataFrame:
 def event_eval_lenient(annotated: DataFrame, events: DataFrame, grace_s: float = 1.0) -> DataFrame:
     """First alerting window at or after an event's start; an alert that goes on counts."""
     grace = int(grace_s * RATE_HZ)
-    near = events.join(annotated.where("alert_active").select(SEQUENCE, INDEX, "top_group"), SEQUENCE).where(F.col(INDEX) >= F.col("start_index"))
-    first = near.groupBy(SEQUENCE, "event_order").agg(F.min(INDEX).alias("i"), F.min_by("top_group", INDEX).alias("g"))
+    # Both are sorted together once: going backwards, the last alert met is the next one in time.
+    alerts = annotated.where("alert_active").select(SEQUENCE, F.col(INDEX).cast("long").alias("at"), F.lit(None).cast("string").alias("event_order"), F.struct(F.col(INDEX).alias("i"), F.col("top_group").alias("g")).alias("hit"))
+    asked = events.select(SEQUENCE, F.col("start_index").cast("long").alias("at"), F.col("event_order").cast("string").alias("event_order"), F.lit(None).cast(alerts.schema["hit"].dataType).alias("hit"))
+    backwards = Window.partitionBy(SEQUENCE).orderBy(F.desc("at"), F.col("event_order").isNotNull())
+    met = alerts.unionByName(asked).withColumn("next", F.last("hit", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
+    first = met.where("event_order is not null").select(SEQUENCE, F.col("event_order").cast(events.schema["event_order"].dataType).alias("event_order"), F.col("next.i").alias("i"), F.col("next.g").alias("g"))
     df = events.join(first, [SEQUENCE, "event_order"], "left")
     known = F.col("target_group").isin(list(GROUPS)) & F.col("g").isNotNull()
     return df.select(
@@ -58,7 +78,8 @@ def event_eval_lenient(annotated: DataFrame, events: DataFrame, grace_s: float =
 def event_eval_strict(annotated: DataFrame, events: DataFrame, grace_s: float = 1.0, quiet_s: float = 1.0) -> DataFrame:
     """A new onset inside the event, none going on in the second before; scores around it.
 
-    One join by sequence and conditional aggregates, whatever the regions.
+    Windows near an event meet it on blocks of rows; what lies outside of it is
+    the sequence's total less what lies inside.
     """
     grace, quiet = int(grace_s * RATE_HZ), int(quiet_s * RATE_HZ)
     keys = [SEQUENCE, "event_order", "anomaly_type", "severity", "target_group", "start_index", "end_index"]
@@ -67,20 +88,29 @@ def event_eval_strict(annotated: DataFrame, events: DataFrame, grace_s: float =
     inside = (i >= start) & (i <= end + grace)
     during = (i >= start) & (s <= end)
     post = (s > end) & (s <= end + quiet)
-    outside = (i < start) | (s > end + grace)
-    joined = events.join(annotated.select(SEQUENCE, START, INDEX, "score", "alert_active", "alert_onset", "top_group"), SEQUENCE, "left")
+    within = (i >= start) & (s <= end + grace)
     onset, active = F.col("alert_onset"), F.col("alert_active")
-    df = joined.groupBy(*keys).agg(
+    totals = annotated.groupBy(SEQUENCE).agg(F.count_if(onset).alias("onsets"), F.count_if(active).alias("actives"))
+    spans = events.select(*keys, F.greatest(F.lit(0), start - quiet).alias("a"), (end + max(grace, quiet)).alias("b"))
+    near = overlapping(spans, annotated.select(SEQUENCE, START, INDEX, "score", "alert_active", "alert_onset", "top_group"))
+    near = near.groupBy(*keys).agg(
         F.count_if(pre & onset).alias("pre_event_alert_onset_count"),
         F.count_if(pre & active).alias("pre_event_alert_active_count"),
-        F.count_if(outside & onset).alias("outside_event_alert_onset_count"),
-        F.count_if(outside & active).alias("outside_event_alert_active_count"),
+        F.count_if(within & onset).alias("onsets_within"),
+        F.count_if(within & active).alias("actives_within"),
         F.min(F.when(inside & onset, F.struct(i.alias("i"), F.col("top_group").alias("g")))).alias("first"),
         F.percentile(F.when(pre, F.col("score")), 0.5).alias("baseline_score"),
         F.max(F.when(during, F.col("score"))).alias("during_max_score"),
         F.percentile(F.when(during, F.col("score")), 0.5).alias("during_median_score"),
         F.percentile(F.when(post, F.col("score")), 0.5).alias("post_median_score"),
     )
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    df = events.select(*keys).join(near, keys, "left").join(totals, SEQUENCE, "left")
+    df = df.withColumns({
+        **{c: count(c) for c in ("pre_event_alert_onset_count", "pre_event_alert_active_count")},
+        "outside_event_alert_onset_count": count("onsets") - count("onsets_within"),
+        "outside_event_alert_active_count": count("actives") - count("actives_within"),
+    })
     before = F.col("pre_event_alert_active_count") > 0
     detected = F.col("first").isNotNull() & ~before
     delay = F.greatest(F.lit(0.0), (F.col("first.i") - start) / RATE_HZ)
@@ -106,8 +136,8 @@ def event_eval_strict(annotated: DataFrame, events: DataFrame, grace_s: float =
 
 def timeline_events(timeline: DataFrame, events: DataFrame) -> DataFrame:
     """Mark windows that overlap an event; of several the last one counts."""
-    spans = events.select(SEQUENCE, "event_order", "anomaly_type", "severity", F.col("target_group").alias("anomaly_group"), "start_index", "end_index")
-    hits = timeline.select(SEQUENCE, START, INDEX).join(spans, SEQUENCE).where((F.col(INDEX) >= F.col("start_index")) & (F.col(START) <= F.col("end_index")))
+    spans = events.select(SEQUENCE, "event_order", "anomaly_type", "severity", F.col("target_group").alias("anomaly_group"), F.col("start_index").alias("a"), F.col("end_index").alias("b"))
+    hits = overlapping(spans, timeline.select(SEQUENCE, START, INDEX))
     last = hits.groupBy(SEQUENCE, START).agg(F.max_by(F.struct("anomaly_type", "severity", "anomaly_group"), "event_order").alias("e"))
     df = timeline.join(last, [SEQUENCE, START], "left")
     return df.select(*timeline.columns, F.col("e").isNotNull().alias("anomaly_active"), *(F.coalesce(f"e.{c}", F.lit("")).alias(c) for c in ("anomaly_type", "severity", "anomaly_group")))
@@ -121,15 +151,10 @@ def quiet_segments(annotated: DataFrame, lengths: DataFrame, duration: int, stri
     plus a window.  Candidates and windows meet on blocks of rows, so work grows
     with the rows and not with candidates times windows.
     """
-    block = 512
     last = F.greatest(F.lit(pre), F.col("n") - duration - post - 1)
     starts = lengths.select(SEQUENCE, F.explode(F.sequence(F.lit(pre).cast("long"), last.cast("long"), F.lit(stride).cast("long"))).alias("start_index"))
     starts = starts.withColumns({"a": F.col("start_index") - pre, "b": F.col("start_index") + duration + post})
-    starts = starts.withColumn("block", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"b div {block}"))))
-    windows = annotated.select(SEQUENCE, START, INDEX, "score", "alert_active")
-    windows = windows.withColumn("block", F.explode(F.sequence(F.expr(f"{START} div {block}"), F.expr(f"{INDEX} div {block}"))))
-    near = starts.join(windows, [SEQUENCE, "block"]).where((F.col(INDEX) >= F.col("a")) & (F.col(START) <= F.col("b")))
-    near = near.where(F.col("block") == F.greatest(F.expr(f"a div {block}"), F.expr(f"{START} div {block}")))  # in the first block they share
+    near = overlapping(starts, annotated.select(SEQUENCE, START, INDEX, "score", "alert_active"))
     found = near.groupBy(SEQUENCE, "start_index").agg(
         F.bool_or("alert_active").alias("alert"),
         F.max("score").alias("region_max_score"),
