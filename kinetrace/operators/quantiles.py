@@ -28,20 +28,21 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     ends = [p - MARGIN for p in shares] + [p + MARGIN for p in shares]
     asked = F.array(*(F.lit(min(1.0, max(0.0, p))) for p in ends))
     sketch = values.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", asked, ACCURACY).alias("__s"))
-    brackets = []
-    for k, p in enumerate(shares):
+    ranges = []
+    for k in range(len(shares)):
         # The bracket of a few values holds them all: there a single rank is more than the margin.
         few = F.col("__n") <= ACCURACY
         low = F.when(few | F.lit(ends[k] <= 0), float("-inf")).otherwise(F.col("__s")[k])
         high = F.when(few | F.lit(ends[k + len(shares)] >= 1), float("nan")).otherwise(F.col("__s")[k + len(shares)])
-        brackets.append(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), low.alias("low"), high.alias("high")))
-    sketch = sketch.select(*(F.col(c).alias(f"__{c}") for c in by), "__n", F.array(*brackets).alias("__b"))
+        ranges += [low.alias(f"__low{k}"), high.alias(f"__high{k}")]
+    sketch = sketch.select(*(F.col(c).alias(f"__{c}") for c in by), "__n", *ranges)
     # One row without keys; with keys their sketches' size decides how they are joined.
     met = values.join(sketch, [values[c].eqNullSafe(sketch[f"__{c}"]) for c in by]) if by else values.join(F.broadcast(sketch))
 
-    reached = F.filter("__b", lambda b: F.col("__x") <= b["high"])
-    cell = F.transform(reached, lambda b: F.struct(b["k"].alias("k"), b["p"].alias("p"), F.when(F.col("__x") >= b["low"], F.col("__x")).alias("v")))
-    cells = met.select(*by, "__n", F.explode(cell).alias("__c")).groupBy(*by, "__n", F.col("__c.k").alias("__k"), F.col("__c.p").alias("__p"), F.col("__c.v").alias("__v")).agg(F.count(F.lit(1)).alias("__rows"))
+    x = F.col("__x")
+    cell = [F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), (x <= F.col(f"__high{k}")).alias("reached"), F.when(x >= F.col(f"__low{k}"), x).alias("v")) for k, p in enumerate(shares)]
+    reached = met.select(*by, "__n", F.explode(F.array(*cell)).alias("__c")).where("__c.reached")
+    cells = reached.groupBy(*by, "__n", F.col("__c.k").alias("__k"), F.col("__c.p").alias("__p"), F.col("__c.v").alias("__v")).agg(F.count(F.lit(1)).alias("__rows"))
     w = Window.partitionBy(*by, "__k").orderBy(F.asc_nulls_first("__v"))
     position = F.ceil(F.col("__p") * F.col("__n")) - 1 if nearest else F.col("__p") * (F.col("__n") - 1)
     ranked = cells.withColumns({"__upto": F.sum("__rows").over(w), "__at": position})
