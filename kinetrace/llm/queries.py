@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licenses, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity
+from . import bpe_codec, embedding_dedup, exact_dedup, hard_negatives, licenses, lm_score, media, near_dedup, packing, reshard, token_counts, toxicity, whitening
 from .common import documents, materialize, scratch_path
+from .vectors import embeddings
 
 #: Vocabulary files; a deployment passes its own paths to the operators.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +69,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset", "length")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(embeddings(spark, sf_dir), cosine=0.98)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir), keep=8)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are a hundredth of the rows; a seventh of the labels is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10)
+
+
 def _license_sql() -> str:
     """The trained weights and the notices as values, joined with the lines' n-grams."""
     model = licenses.train()
@@ -108,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
         "op10_media_columns": op10_media_columns,
+        "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_whitening": op12_whitening,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -158,8 +176,32 @@ _NEAR_SQL = f"""
 """
 
 
+#: Vectors whose components all are finite numbers.
+_VECTORS = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+        coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding), false) AS fits FROM embeddings)"""
+#: All pairs of a label.
+_COSINE_SQL = f"""
+    WITH RECURSIVE {_VECTORS},
+    x AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS n FROM u WHERE fits AND label IS NOT NULL AND list_inner_product(v, v) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / a.n / b.n >= 0.98),
+    r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = r.vec_id) AS n_links, min(reach) AS component_id, vec_id = min(reach) AS kept FROM r GROUP BY vec_id
+"""
+_NEGATIVES_SQL = f"""
+    WITH {_VECTORS},
+    x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(v, lambda c: floor(256 * c)) AS v FROM u WHERE fits AND label IS NOT NULL),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM x a JOIN x b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS r
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE nth <= 5)
+    SELECT anchor_id, positive_id, r::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_embedding_dedup": _COSINE_SQL,
+        "op13_hard_negatives": _NEGATIVES_SQL,
         "op1_lm_score": _lm_sql(),
         "op2_near_dedup": _NEAR_SQL,
         "op9_license_scan": _license_sql(),
