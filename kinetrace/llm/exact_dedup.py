@@ -4,9 +4,11 @@ The index is a table of SHA-256 digests: for each distinct text a row of the bat
 that brought it first, with the row that stays, and a row with the number of copies for
 each later batch that brought it again.  A batch is reduced to (digest, row) pairs,
 aggregated per digest before anything is joined, compared with the index by a
-sort-merge anti-join that shuffles only the batch's digests (the index is already
-bucketed and sorted), and what is new is appended.  ``compact`` rewrites the
-index as one row per text and one file per bucket.
+sort-merge anti-join that shuffles and sorts only the batch's digests, and what is new is appended.
+The index is bucketed, so it is never shuffled; while a bucket is one file, as after the first
+batch and after ``compact``, its order is used too and it is not sorted.  Each later batch
+adds a file per bucket, with which Spark sorts the bucket when it reads it, until
+``compact`` rewrites the index as one row per text and one file per bucket.
 
 A batch has a name.  If it is added again, after a failure say, its own rows in the
 index do not count as earlier ones, what it has appended is not appended twice,
@@ -17,20 +19,25 @@ with equal texts form one group whatever their other columns hold; the row with
 the largest id of the batch that brought a text first stays, a null id being smaller than any other;
 of repeated rows with the same id and text exactly one is kept; texts of any
 length are hashed whole; an empty batch gives no rows and leaves the index as it
-is; other columns may have any name, also those used here.
+is; ids may be of any type that has an order, such as text, and of any size; other
+columns may have any name, also those used here.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, id_place, materialize, text_or_empty
+from .common import free_names, id_place, materialize, shared_folder, text_or_empty
 
 #: Copies of one text are spread over so many tasks when verdicts are joined back.
 SALTS = 64
+#: Rows among whose ids the one is looked for that parts a table.
+ID_SAMPLE = 1001
+ORDERED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def digest_of(text_col: str = "text"):
@@ -42,11 +49,28 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), digest_of(text_col).alias("digest"))
 
 
+@contextmanager
+def trusted_order(spark: SparkSession):
+    """Jobs inside use the order of buckets that are one file each; the session's setting is put back."""
+    before = spark.conf.get(ORDERED_BUCKETS, None)
+    spark.conf.set(ORDERED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(ORDERED_BUCKETS) if before is None else spark.conf.set(ORDERED_BUCKETS, before)
+
+
+def scratch_index(spark: SparkSession) -> DigestIndex:
+    """An index of its own name in the shared folder, whatever the session's warehouse."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS digest_indexes LOCATION '{shared_folder(spark)}/digest-indexes'")
+    return DigestIndex(spark, f"digest_indexes.index_{uuid.uuid4().hex}")
+
+
 class DigestIndex:
     """A persistent table of digests, bucketed and sorted by digest.
 
-    ``table`` is a catalog table; ``buckets`` is fixed when it is created and
-    should be the index's size over some hundred MB.
+    ``table`` is a catalog table, in a database whose folder all executors share;
+    ``buckets`` is fixed when it is created and should be the index's size over some hundred MB.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
@@ -54,7 +78,17 @@ class DigestIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        """Whether there is an index; one whose compaction was cut off is put in its place first."""
+        if self.spark.catalog.tableExists(self.table):
+            return True
+        if self.spark.catalog.tableExists(self._former):
+            self.spark.sql(f"ALTER TABLE {self._former} RENAME TO {self.table}")
+            return True
+        return False
+
+    @property
+    def _former(self) -> str:
+        return f"{self.table}_before_compaction"
 
     def read(self) -> DataFrame:
         """(digest, keep_id, copies, first, batch)."""
@@ -71,8 +105,9 @@ class DigestIndex:
         """Add the groups (digest, keep_id, copies): those not seen as first, others as more copies."""
         if self.exists():
             done = self.read().where(F.col("batch") == batch).select("digest")
-            groups = materialize(groups.join(done.hint("merge"), "digest", "left_anti"), "to-append")
-            fresh = materialize(self.unseen(groups, batch), "fresh")
+            with trusted_order(self.spark):
+                groups = materialize(groups.join(done.hint("merge"), "digest", "left_anti"), "to-append")
+                fresh = materialize(self.unseen(groups, batch), "fresh")
             known = groups.join(fresh.select("digest").hint("merge"), "digest", "left_anti")
             groups = fresh.withColumn("first", F.lit(True)).unionByName(known.withColumn("first", F.lit(False)))
         else:
@@ -90,14 +125,23 @@ class DigestIndex:
         return self.read().groupBy("digest").agg(first.alias("at"), F.sum("copies").alias("copies")).select("digest", "at.keep_id", "copies", "at.batch")
 
     def compact(self) -> None:
-        """Rewrite the index: a row per text, a file per bucket."""
+        """Rewrite the index: a row per text, a file per bucket.
+
+        The former table goes only when the new one has its name; if the job ends in
+        between, ``exists`` puts the former one back.
+        """
+        if not self.exists():
+            return
         beside = f"{self.table}_{uuid.uuid4().hex}"
         self._write(self.totals().withColumn("first", F.lit(True)), beside)
-        self.drop()
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._former}")
+        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {self._former}")
         self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.table}")
+        self.spark.sql(f"DROP TABLE {self._former}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for table in (self.table, self._former):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def ingest(self, df: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> Batch:
         """Deduplicate a batch against the index and itself, and append what is new."""
@@ -134,12 +178,22 @@ class Batch:
         return self.rows.join(routed, ["digest", "salt"]).select("doc_id", "row_no", "digest", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"))
 
 
+def middle_id(df: DataFrame, id_col: str = "doc_id"):
+    """An id with about as many above as below it, without arithmetic on ids: the middle one of a sample in order.
+
+    The sample is ID_SAMPLE rows by hash, so the id is the same whenever it is asked for.
+    """
+    ids = df.select(F.col(id_col).alias("id")).where("id is not null")
+    sample = ids.orderBy(F.xxhash64("id")).limit(ID_SAMPLE)
+    return sample.agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.get("ids", F.expr("size(ids) div 2")).alias("m")).first()["m"]
+
+
 def halves(df: DataFrame, id_col: str = "doc_id") -> list[DataFrame]:
     """The rows with the larger ids, then those with the smaller ones and the null ones."""
-    middle = df.agg(((F.min(id_col) + F.max(id_col)) / 2).alias("m")).first()["m"]
+    middle = middle_id(df, id_col)
     if middle is None:
         return [df]
-    upper = F.coalesce(F.col(id_col) > middle, F.lit(False))
+    upper = F.coalesce(F.col(id_col) >= F.lit(middle).cast(df.schema[id_col].dataType), F.lit(False))
     return [df.where(upper), df.where(~upper)]
 
 

@@ -7,8 +7,6 @@ id and text are handed on untouched, whatever their names.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, near_dedup, packing, toxicity
@@ -25,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; null counts as empty, a null id as smallest, of repeated rows one stays."""
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    index = exact_dedup.scratch_index(spark)
     kept = materialize(exact_dedup.keep_one_per_text(docs, index), "kept-texts")
     index.drop()
     return kept

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -31,7 +30,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through an index of its own, which is dropped once the verdicts are written."""
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    index = exact_dedup.scratch_index(spark)
     verdicts = exact_dedup.deduplicate(documents(spark, sf_dir), index)
     verdicts = materialize(verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")), "verdicts")
     index.drop()

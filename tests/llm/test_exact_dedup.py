@@ -1,9 +1,11 @@
 import hashlib
 import uuid
 
+import pytest
 from compare import duck_rows, spark_rows
 from conftest import DATA
 from helpers import EDGES, docs, rows
+from pyspark.sql import functions as F
 
 from kinetrace.llm import exact_dedup, queries
 
@@ -74,19 +76,60 @@ def test_compacted_index_knows_the_same(spark):
     assert rows(i.add(docs(spark, {99: "a"}), "last"), "keep_id", "group_size", "kept") == [(1, 4, False)]
 
 
-def test_anti_join_moves_the_batch_alone(spark):
-    """A sort-merge anti-join, whose only exchange is on the batch's side."""
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anti_join_moves_and_sorts_the_batch_alone(spark):
+    """A sort-merge anti-join, whose only exchange and only sort are on the batch's side."""
     i = index(spark)
     i.add(docs(spark, {n: f"text {n}" for n in range(50)}), "one")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = i.unseen(exact_dedup.digest_rows(docs(spark, {1: "a"})), "two")._jdf.queryExecution().executedPlan().toString()
+        with exact_dedup.trusted_order(spark):
+            plan = plan_of(i.unseen(exact_dedup.digest_rows(docs(spark, {1: "a"})), "two"))
+            i.add(docs(spark, {n: f"text {n}" for n in range(9)}), "two")
+            i.compact()
+            compacted = plan_of(i.unseen(exact_dedup.digest_rows(docs(spark, {1: "a"})), "three"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    join = plan[plan.index("SortMergeJoin") :]
-    assert "LeftAnti" in join.splitlines()[0]
-    before_index, after = join.split("Scan parquet")[0], join
-    assert after.count("Exchange hashpartitioning") == 1 == before_index.count("Exchange hashpartitioning") + after.split("Scan parquet")[-1].count("Exchange hashpartitioning")
+    assert spark.conf.get(exact_dedup.ORDERED_BUCKETS, "false") == "false"
+    for text in (plan, compacted):
+        join = text[text.index("SortMergeJoin") :]
+        assert "LeftAnti" in join.splitlines()[0]
+        assert join.count("Exchange hashpartitioning") == 1 == join.count("Sort [digest")
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "decimal(38,0)", "timestamp", "double"])
+def test_ids_of_any_order_are_parted(spark, kind):
+    """Text ids, and ids at the ends of what a type holds."""
+    ids = {"string": ["a", "b", "zz", "ä", ""], "long": [2**63 - 1, 2**63 - 2, -(2**63), 0, 5], "decimal(38,0)": [10**37, -(10**37), 0, 1, 2], "timestamp": [f"20{k}0-01-01" for k in range(5)], "double": [1.5, -2.0, 1e308, -1e308, 0.0]}[kind]
+    df = spark.createDataFrame([(str(i), f"text {k % 2}") for k, i in enumerate(ids)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    upper, lower = exact_dedup.halves(df)
+    assert 0 < upper.count() < 5 and upper.count() + lower.count() == 5
+    assert upper.agg(F.min("doc_id")).first()[0] > lower.agg(F.max("doc_id")).first()[0]
+    got = exact_dedup.deduplicate(df, index(spark)).collect()
+    largest = {r.text: r.m for r in df.groupBy("text").agg(F.max("doc_id").alias("m")).collect()}
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(largest.values())
+    assert sorted(r.doc_id for r in exact_dedup.keep_one_per_text(df, index(spark)).collect()) == sorted(largest.values())
+
+
+def test_compaction_that_was_cut_off(spark):
+    i = index(spark)
+    i.add(docs(spark, {1: "a", 2: "b"}), "one")
+    spark.sql(f"ALTER TABLE {i.table} RENAME TO {i._former}")  # the job ended after this step
+    assert rows(i.add(docs(spark, {3: "a"}), "two"), "keep_id", "group_size", "kept") == [(1, 2, False)]
+    i.compact()
+    i.drop()
+    assert not i.exists()
+
+
+def test_scratch_index_lies_in_the_shared_folder(spark):
+    i = exact_dedup.scratch_index(spark)
+    i.add(docs(spark, {1: "a"}))
+    where = spark.sql(f"DESCRIBE EXTENDED {i.table}").where("col_name = 'Location'").first()["data_type"]
+    assert where.split(":", 1)[1].startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    i.drop()
 
 
 def test_second_half_meets_the_first(spark):
