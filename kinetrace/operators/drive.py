@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import yaw
+from ..functions.columns import clamp, yaw
 
 #: Metres a second for one raw unit of speed. Fixed value.
 VISUAL_MPS_PER_RAW = 0.44631542573761773
@@ -91,9 +90,14 @@ def drive_summary(rows: DataFrame, by: str, time: str = "t", straight: str = "A"
     )
 
 
+#: Columns of the control log. TICK_MS: 20 ticks a second; HOLD_MS: ticks pause when nothing has been heard for so long.
+TICK_LOG = ["desired_speed", "actual_visual_speed", "speed_error", "desired_steer", "desired_acceleration", "feedforward_raw_speed", "feedback_raw_speed", "raw_speed", "raw_steer", "raw_acceleration"]
+TICK_MS, HOLD_MS = 50, 1000
+
+
 @dataclass
 class CommandShim:
-    """Speed control with feed-forward and a PI term; one call per timer tick."""
+    """Speed control with feed-forward and a PI term; one call per timer tick. ``feedback`` is pi or off."""
 
     timeout_s: float = 0.5
     deadband: float = 1e-3
@@ -104,35 +108,161 @@ class CommandShim:
     max_steer: float = 0.6
     max_acceleration: float = 3.0
     sign: float = -1.0
+    feedback: str = "pi"
     integral: float = 0.0
 
-    def tick(self, dt: float, age: float, speed: float, steer: float, acceleration: float, actual: float) -> tuple[float, float, float]:
-        """Raw speed, steering and acceleration; a stale command counts as a stop."""
+    def log(self, dt: float, age: float, speed: float, steer: float, acceleration: float, actual: float) -> tuple[float, ...]:
+        """What a tick does, as TICK_LOG; a stale command counts as a stop."""
         limit = lambda v, most: max(-most, min(most, v))
         if age > self.timeout_s:
             speed = steer = acceleration = 0.0
-        raw = 0.0
-        if abs(speed) < self.deadband:
+        error, forward, back, raw = speed - actual, 0.0, 0.0, 0.0
+        if abs(speed) < self.deadband or self.feedback != "pi":
             self.integral = 0.0
         else:
-            error = speed - actual
             self.integral = limit(self.integral + error * dt, self.integral_limit)
-            raw = self.sign * limit(speed / VISUAL_MPS_PER_RAW + self.kp * error + self.ki * self.integral, self.max_speed)
-        return raw, limit(steer, self.max_steer), self.sign * limit(acceleration, self.max_acceleration)
+            back = self.kp * error + self.ki * self.integral
+        if abs(speed) >= self.deadband:
+            forward = speed / VISUAL_MPS_PER_RAW
+            raw = self.sign * limit(forward + back, self.max_speed)
+        return speed, actual, error, steer, acceleration, forward, back, raw, limit(steer, self.max_steer), self.sign * limit(acceleration, self.max_acceleration)
+
+    def tick(self, *reading: float) -> tuple[float, float, float]:
+        """Raw speed, steering and acceleration."""
+        return self.log(*reading)[-3:]
+
+
+def controlled(ticks: DataFrame, key: str, time: str, **settings) -> DataFrame:
+    """TICK_LOG of ticks (key, time, dt, age, speed, steer, acceleration, actual); a null age is stale.
+
+    Only the integral depends on ticks before, and it starts anew at every stop.  So
+    ticks are parted at stops, and a task carries the integral through the rows of its
+    parts as they come, whatever their number.
+    """
+    s = CommandShim(**settings)
+    stale = F.coalesce(F.col("age") > s.timeout_s, F.lit(True))
+    df = ticks.withColumns({n: F.when(stale, 0.0).otherwise(F.col(c)) for n, c in (("desired_speed", "speed"), ("desired_steer", "steer"), ("desired_acceleration", "acceleration"))})
+    stopped = F.abs("desired_speed") < s.deadband
+    w = Window.partitionBy(key).orderBy(time)
+    df = df.withColumns({"speed_error": F.col("desired_speed") - F.col("actual"), "_stopped": stopped, "_part": F.sum(stopped.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    df = df.withColumn("_step", F.when(stopped, None).otherwise(F.col("speed_error") * F.col("dt")))
+
+    def run(frames):
+        part, integral = None, 0.0
+        for pdf in frames:
+            out = []
+            for name, number, step in zip(pdf[key], pdf["_part"], pdf["_step"], strict=True):
+                if (name, number) != part:
+                    part, integral = (name, number), 0.0
+                if step == step and step is not None:
+                    integral = max(-s.integral_limit, min(s.integral_limit, integral + step))
+                out.append(integral)
+            yield pdf.assign(_integral=out)
+
+    if s.feedback == "pi":
+        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", _integral double"
+        df = df.repartition(key, "_part").sortWithinPartitions(key, "_part", time).mapInPandas(run, schema)
+        back = s.kp * F.col("speed_error") + s.ki * F.col("_integral")
+    else:
+        back = F.lit(0.0)
+    forward = F.col("desired_speed") / VISUAL_MPS_PER_RAW
+    moving = lambda c: F.when(F.col("_stopped"), 0.0).otherwise(c)
+    logged = {
+        "actual_visual_speed": F.col("actual"),
+        "feedforward_raw_speed": moving(forward),
+        "feedback_raw_speed": moving(back),
+        "raw_speed": moving(s.sign * clamp(forward + back, s.max_speed)),
+        "raw_steer": clamp(F.col("desired_steer"), s.max_steer),
+        "raw_acceleration": s.sign * clamp(F.col("desired_acceleration"), s.max_acceleration),
+    }
+    return df.withColumns(logged).drop("_stopped", "_part", "_step", "_integral")
 
 
 def run_shim(ticks: DataFrame, key: str, **settings) -> DataFrame:
-    """Control outputs for ticks (key, t, age, speed, steer, acceleration, vx), a fold per robot."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        shim, last = CommandShim(**settings), None
-        rows = []
-        for r in pdf.itertuples():
-            dt = max(r.t - last, 1e-6) if last is not None else 1e-6
-            last = r.t
-            rows.append(shim.tick(dt, r.age, r.speed, r.steer, r.acceleration, -r.vx))
-        return pd.concat([pdf[[key, "t"]].reset_index(drop=True), pd.DataFrame(rows, columns=["raw_speed", "raw_steer", "raw_acceleration"])], axis=1)
-
-    kind = ticks.schema[key].dataType.simpleString()
-    return ticks.groupBy(key).applyInPandas(run, f"{key} {kind}, t double, raw_speed double, raw_steer double, raw_acceleration double")
+    """Control outputs for ticks (key, t, age, speed, steer, acceleration, vx)."""
+    dt = F.coalesce(F.greatest(F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t")), F.lit(1e-6)), F.lit(1e-6))
+    read = ticks.withColumns({"dt": dt, "actual": -F.col("vx")})
+    return controlled(read, key, "t", **settings).select(key, "t", "raw_speed", "raw_steer", "raw_acceleration")
+
+
+def control_ticks(records: DataFrame, key: str, **settings) -> DataFrame:
+    """Control log of commands and odometry (key, at_ms, kind, speed, steer, acceleration, vx), as the live operator makes it.
+
+    Ticks lie on a grid of TICK_MS from a robot's first record.  Each record makes the ticks up to
+    the next one, at most those of HOLD_MS, with what is newest then; so there is no
+    tick in a pause, and no join.  Of several records of a kind at one time the largest counts.
+    """
+    command, odometry = F.col("kind") == "command", F.col("kind") == "odometry"
+    at = records.groupBy(key, "at_ms").agg(F.max(F.when(command, F.struct("at_ms", "speed", "steer", "acceleration"))).alias("c"), F.max(F.when(odometry, F.struct("at_ms", "vx"))).alias("o"))
+    w = Window.partitionBy(key).orderBy("at_ms")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    now = at.withColumns({"c": F.last("c", ignorenulls=True).over(upto), "o": F.last("o", ignorenulls=True).over(upto), "t0": F.first("at_ms").over(upto), "next": F.lead("at_ms").over(w)})
+    first = F.ceil((F.col("at_ms") - F.col("t0")) / TICK_MS)
+    last = F.floor((F.least(F.col("next") - 1, F.col("at_ms") + HOLD_MS) - F.col("t0")) / TICK_MS)
+    ticks = now.where(last >= first).withColumn("n", F.explode(F.sequence(first, last))).withColumn("tick_ms", F.col("t0") + F.col("n") * TICK_MS)
+    dt = F.greatest((F.col("tick_ms") - F.lag("tick_ms").over(Window.partitionBy(key).orderBy("tick_ms"))) / 1000, F.lit(1e-6))
+    read = ticks.select(key, "tick_ms", F.coalesce(dt, F.lit(1e-6)).alias("dt"), ((F.col("tick_ms") - F.col("c.at_ms")) / 1000).alias("age"), *(F.coalesce(f"c.{n}", F.lit(0.0)).alias(n) for n in ("speed", "steer", "acceleration")), (-F.coalesce("o.vx", F.lit(0.0))).alias("actual"))
+    return controlled(read, key, "tick_ms", **settings).select(key, "tick_ms", *TICK_LOG, F.col("age").alias("command_age_s"))
+
+
+def gate_opens(rows: DataFrame, key: str, time: str, ready: Column, hold_s: float) -> DataFrame:
+    """(key, opened): the first time at which ``ready`` has held for ``hold_s`` without a break."""
+    w = Window.partitionBy(key).orderBy(time)
+    flagged = rows.withColumn("_ready", F.coalesce(ready, F.lit(False)))
+    broken = F.sum((~F.col("_ready")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    islands = flagged.withColumn("_island", broken).where("_ready")
+    held = islands.withColumn("_since", F.min(time).over(Window.partitionBy(key, "_island").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
+    return held.where(F.col(time) - F.col("_since") >= hold_s).groupBy(key).agg(F.min(time).alias("opened"))
+
+
+def phase_schedule(rows: DataFrame, key: str, time: str, ready: Column, hold_s: float, plan: list[tuple[str, float, dict[str, float]]], before: str = "startup", after: str = "done") -> DataFrame:
+    """Rows with the phase of a plan in which they lie, the command given then, and the phase's start.
+
+    ``plan``: (name, seconds, command).  Phases follow each other from the moment the gate opens;
+    the first command also holds before, the last one after.  A run whose gate never opens stays in ``before``.
+    """
+    names, deadlines = list(plan[0][2]), [sum(p[1] for p in plan[: k + 1]) for k in range(len(plan))]
+    t = F.col(time) - F.col("opened")
+    found = rows.join(gate_opens(rows, key, time, ready, hold_s), key, "left")
+    steps = [(before, plan[0][2], None, t < 0), *((name, command, end - seconds, t < end) for (name, seconds, command), end in zip(plan, deadlines, strict=True))]
+
+    def chosen(value):
+        out = F.lit(value(after, plan[-1][2], deadlines[-1]))
+        for name, command, begin, within in reversed(steps):
+            out = F.when(within, F.lit(value(name, command, begin))).otherwise(out)
+        return F.when(F.col("opened").isNull(), F.lit(value(before, plan[0][2], None))).otherwise(out)
+
+    begin = chosen(lambda n, c, b: b).cast("double")
+    return found.withColumns({"phase_name": chosen(lambda n, c, b: n), **{f"cmd_{c}": chosen(lambda n, command, b, c=c: float(command[c])) for c in names}, "phase_start": F.col("opened") + begin}).drop("opened")
+
+
+def nearest(asked: DataFrame, rows: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
+    """``asked`` (key, ``at``, ...) with the row of ``rows`` nearest in time; the earlier of equally near ones, the first of equal times.
+
+    One sort of both by time: a row brings along the one that follows it, so the last row met
+    at or before a moment knows both neighbours.
+    """
+    cell = F.struct(F.col(time).alias("t"), *columns)
+    single = rows.groupBy(key, time).agg(F.min(F.struct(*columns)).alias("c")).select(key, time, *(F.col(f"c.{c}").alias(c) for c in columns))
+    w = Window.partitionBy(key).orderBy(time)
+    pairs = single.select(key, F.col(time).alias("_t"), F.struct(cell.alias("here"), F.lead(cell).over(w).alias("there")).alias("pair"))
+    row = F.struct(*asked.columns)
+    empty = lambda c, of: F.lit(None).cast(of.select(c).schema[0].dataType)
+    both = pairs.select(key, "_t", "pair", empty(row, asked).alias("row")).unionByName(asked.select(key, F.col("at").alias("_t"), empty("pair", pairs).alias("pair"), row.alias("row")))
+    order = Window.partitionBy(key).orderBy("_t", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("pair", F.last("pair", ignorenulls=True).over(order)).where("row is not null")
+    # Before its first row, a key's nearest row is the first.
+    firsts = rows.groupBy(key).agg(F.min(F.struct(F.col(time).alias("t"), *columns)).alias("first"))
+    met = met.join(firsts, key, "left")
+    here, there = F.col("pair.here"), F.col("pair.there")
+    at = F.col("row.at")
+    later = there.isNotNull() & (F.abs(there["t"] - at) < F.abs(here["t"] - at))
+    return met.withColumn("hit", F.when(here.isNull(), F.col("first")).when(later, there).otherwise(here)).select("row.*", F.col("hit.t").alias(time), *(F.col(f"hit.{c}").alias(c) for c in columns))
+
+
+def playheads(timeline: DataFrame, key: str, time: str, interval_s: float, speeds: list[int]) -> DataFrame:
+    """(key, speed, tick, at): where a playhead stands at each tick of the wall clock, for each speed, from the first row to the last."""
+    spans = timeline.groupBy(key).agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    step = F.lit(interval_s) * F.col("speed")
+    each = spans.withColumn("speed", F.explode(F.array(*map(F.lit, speeds)))).withColumn("tick", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("b") - F.col("a")) / step).cast("long"))))
+    return each.select(key, "speed", "tick", F.least(F.col("b"), F.col("a") + step * F.col("tick")).alias("at"))

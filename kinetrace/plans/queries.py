@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,8 +12,7 @@ from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
 from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, training, trials, windows
 from ..sources import files
-from ..streaming import streams
-from . import base
+from . import base, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 START_ROW, SEVERITY_USED = 100, "medium"
@@ -437,11 +434,6 @@ def phase_labels(spark, d):
     return drive.label_phases(base.drive_rows(spark, d).select("run", "t"), phases).groupBy("run", "phase_name").agg(F.count(F.lit(1)).alias("row_count"), F.min("t").alias("first_t"))
 
 
-def pi_shim(spark, d):
-    ticks = base.drive_rows(spark, d).select("run", "t", F.pmod(F.col("t"), F.lit(10.0)).alias("_age"), F.col("cmd_speed").alias("speed"), F.col("yaw").alias("steer"), F.col("x").alias("acceleration"), "vx")
-    return drive.run_shim(ticks.withColumn("age", F.col("_age") / 15), "run")
-
-
 def pca_reconstruct(spark, d):
     tel = base.telemetry(spark, d)
     return score.window_scores(models.pca_residuals(tel, RAW, models.pca_components(tel, RAW, 6))).select(SEQUENCE, "window_start_idx", "score", "top_group")
@@ -485,75 +477,6 @@ def search_trials(spark, d):
     return models.search_trials(spark, grid, 16, seed=7)
 
 
-#: Micro-batches of a query's stream.
-TRIGGERS = 4
-#: A score that about a fifth of the windows of the test tables exceed.
-STREAM_THRESHOLD = 0.163
-
-
-def _run_stream(spark: SparkSession, source: DataFrame, build, mode: str, time: str) -> DataFrame:
-    """Write ``source`` to files in time, stream them through ``build`` in several micro-batches, return what came out."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{folder}/all")
-    stored = spark.read.schema(source.schema).parquet(f"{folder}/all")
-    at = F.col(time).cast("double")
-    first, last = stored.agg(F.min(at), F.max(at)).first()
-    part = F.floor((at - F.lit(first or 0.0)) * TRIGGERS / F.lit(((last or 0.0) - (first or 0.0)) * 1.0001 + 1e-9))
-    for k in range(TRIGGERS):  # one file after the other, as a stream of records would leave them
-        stored.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    out = build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    if mode == "append":
-        query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    else:  # the last batch holds the whole result
-        query = out.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
-
-
-def _timed_events(spark, d):
-    return base.event_times(spark, d).select("event_type", "user_id", "value", F.timestamp_micros(F.expr(f"{TIME} div 1000")).alias("at"))
-
-
-def _window_start(df: DataFrame) -> DataFrame:
-    return df.withColumn("window_start_us", F.unix_micros("w.start")).drop("w")
-
-
-def stream_tumbling(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.tumbling_counts(s, "at", "1 day", "2 days"), "complete", "at"))
-
-
-def stream_sliding(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sliding_counts(s, "at", "2 days", "1 day", "2 days"), "complete", "at"))
-
-
-def stream_sessions(spark, d):
-    return _window_start(_run_stream(spark, _timed_events(spark, d), lambda s: streams.sessions(s, "at", "6 hours", "2 days", "user_id"), "complete", "at"))
-
-
-def stream_odom(spark, d):
-    tel = base.telemetry(spark, d).withColumns({"vx": F.col("lin_acc_x"), "vy": F.col("lin_acc_y"), "vz": F.col("lin_acc_z")})
-    return _run_stream(spark, tel, streams.odometry, "append", TIME).select(*KEYS, *QUATERNION, "vx", "vy", "vz")
-
-
-def stream_alerts(spark, d):
-    """Persistence over a fixed threshold, a stream of the score timeline."""
-    timeline = _timeline(spark, d).select(SEQUENCE, "window_end_idx", "score")
-    return _run_stream(spark, timeline, lambda s: streams.threshold_alerts(s, STREAM_THRESHOLD, 2), "append", "window_end_idx")
-
-
-def stream_adaptive(spark, d):
-    prepared = adaptive_baseline(spark, d)
-    return _run_stream(spark, prepared, lambda s: streams.adaptive_alerts(s, z=2.0), "append", "window_end_idx")
-
-
-def stream_pi_shim(spark, d):
-    ticks = base.drive_rows(spark, d).select("run", "t", (F.pmod(F.col("t"), F.lit(10.0)) / 15).alias("age"), F.col("cmd_speed").alias("speed"), F.col("yaw").alias("steer"), F.col("x").alias("acceleration"), "vx")
-    return _run_stream(spark, ticks, lambda s: streams.command_shim(s, "run"), "append", "t")
-
-
 def listing_parse(spark, d):
     """Lines of an object store's listing, made from nations and regions."""
     n = base.table(spark, d, "nation").select(F.concat(F.lit("   PRE "), F.col("n_name"), F.lit("/")).alias("value"))
@@ -577,8 +500,8 @@ def queries() -> dict[str, Query]:
         sequence_feature_stats, fold_window_counts, feature_drift, top_drift, qa_summary, motion_signature, zscore_vectors, cohort_decision, nearest_neighbours,
         robust_scale, motion_gate, demo_schedule, anomaly_catalog, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
         quiet_segments, quiet_segments_nms, trial_summary, heldout_smoke, heldout_smoke_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
-        odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels, pi_shim,
-        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, stream_tumbling, stream_sliding, stream_sessions, stream_odom, stream_alerts, stream_adaptive, stream_pi_shim,
+        odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels,
+        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, *live.QUERIES,
     ]
     found: dict[str, Query] = {f.__name__: _rounded(f) for f in plain}
     return found | {f"inject_{kind}": _rounded(partial(injected, kind)) for kind in inject.DURATION}

@@ -1,8 +1,7 @@
 """Live forms of the operators, on Structured Streaming.
 
-Stateful ones fold a key's rows in time.  A trigger brings a key's rows in any
-order and in any number of Arrow chunks: they are gathered and sorted once
-before they are folded.  From trigger to trigger the order is the source's.
+Stateful ones fold a key's rows in time, whatever the order in which files and
+triggers bring them: see ``ordered``.
 """
 
 from __future__ import annotations
@@ -12,16 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.contracts import SEQUENCE
 from ..operators.adaptive import AlertState
-from ..operators.drive import CommandShim, normalize_odometry
-
-
-def _in_time(frames: Iterator[pd.DataFrame], time: str) -> pd.DataFrame:
-    """All that a trigger brings for a key, in time; no more than the source's rows per trigger."""
-    return pd.concat(list(frames)).sort_values(time, kind="stable")
+from ..operators.drive import HOLD_MS, TICK_LOG, TICK_MS, CommandShim, normalize_odometry
+from .ordered import DAY_MS, STATE_STORE, Fold, in_order
 
 
 def odometry(stream: DataFrame) -> DataFrame:
@@ -30,7 +24,7 @@ def odometry(stream: DataFrame) -> DataFrame:
 
 
 def tumbling_counts(stream: DataFrame, time: str, length: str, late: str) -> DataFrame:
-    """Rows and sum per event-time window and type."""
+    """Rows and sum per event-time window and type; a window comes out, and leaves the state, when it has closed."""
     return stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -43,53 +37,182 @@ def sessions(stream: DataFrame, time: str, gap: str, late: str, key: str) -> Dat
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def threshold_alerts(scores: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Windows (sequence, window_end_idx, score) with persistence, carrying the run of positives."""
+class ThresholdAlerts(Fold):
+    """Persistence over a fixed threshold; the state is the run of positives."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (length,) = state.get if state.exists else (0,)
-        pdf, active, onset = _in_time(frames, "window_end_idx"), [], []
-        for positive in pdf["score"] > threshold:
-            was, length = length >= k, length + 1 if positive else 0
-            active.append(length >= k)
-            onset.append(length >= k and not was)
-        state.update((length,))
-        yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"], "score": pdf["score"], "alert_active": active, "alert_onset": onset})
+    added, kept = "alert_active boolean, alert_onset boolean", "length int"
 
-    schema = f"{SEQUENCE} string, window_end_idx long, score double, alert_active boolean, alert_onset boolean"
-    return scores.groupBy(SEQUENCE).applyInPandasWithState(run, schema, "length int", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, threshold: float, k: int):
+        self.threshold, self.k = threshold, k
 
+    def start(self, state: tuple | None) -> None:
+        (self.length,) = state or (0,)
 
-def adaptive_alerts(scores: DataFrame, k: int = 2, **settings) -> DataFrame:
-    """As the batch operator, from rows that bring their trailing median and distance."""
+    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
+        active, onset = [], []
+        for positive in rows["score"] > self.threshold:
+            was, self.length = self.length >= self.k, self.length + 1 if positive else 0
+            active.append(self.length >= self.k)
+            onset.append(self.length >= self.k and not was)
+        return rows.assign(alert_active=active, alert_onset=onset)
+
+    def state(self) -> tuple:
+        return (self.length,)
+
+
+class AdaptiveAlerts(Fold):
+    """The batch operator's state machine, over rows that bring their trailing median and distance."""
+
+    added, kept = "alert_active boolean, alert_onset boolean", "active boolean, baseline double, scale double, run int"
+
+    def __init__(self, k: int, **settings):
+        self.k, self.settings = k, settings
+
+    def start(self, state: tuple | None) -> None:
+        self.fold = AlertState(self.k, **self.settings)
+        if state:
+            self.fold.active, self.fold.baseline, self.fold.scale, self.fold.run = state
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = AlertState(k, **settings)
-        if state.exists:
-            fold.active, fold.baseline, fold.scale, fold.run = state.get
-        pdf = _in_time(frames, "window_end_idx")
-        rows = [fold.step(*r) for r in zip(pdf["score"], pdf["trailing_median"], pdf["trailing_mad"], strict=True)]
-        state.update((fold.active, float(fold.baseline), float(fold.scale), fold.run))
-        yield pd.DataFrame({SEQUENCE: key[0], "window_end_idx": pdf["window_end_idx"].to_numpy(), "alert_active": [r[4] for r in rows], "alert_onset": [r[5] for r in rows]})
+    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
+        steps = [self.fold.step(*r) for r in zip(rows["score"], rows["trailing_median"], rows["trailing_mad"], strict=True)]
+        return rows.assign(alert_active=[s[4] for s in steps], alert_onset=[s[5] for s in steps])
 
-    schema = f"{SEQUENCE} string, window_end_idx long, alert_active boolean, alert_onset boolean"
-    return scores.groupBy(SEQUENCE).applyInPandasWithState(run, schema, "active boolean, baseline double, scale double, run int", "append", GroupStateTimeout.NoTimeout)
+    def state(self) -> tuple:
+        return bool(self.fold.active), float(self.fold.baseline), float(self.fold.scale), int(self.fold.run)
 
 
-def command_shim(ticks: DataFrame, key: str, **settings) -> DataFrame:
-    """PI control of each robot's ticks (key, t, age, speed, steer, acceleration, vx)."""
+class ShimTicks(Fold):
+    """PI control of a robot's ticks (t, age, speed, steer, acceleration, vx)."""
 
-    def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shim = CommandShim(**settings)
-        integral, last = state.get if state.exists else (0.0, None)
+    added, kept = "raw_speed double, raw_steer double, raw_acceleration double", "integral double, last double"
+
+    def __init__(self, **settings):
+        self.settings = settings
+
+    def start(self, state: tuple | None) -> None:
+        self.shim = CommandShim(**self.settings)
+        self.shim.integral, self.last = state or (0.0, None)
+
+    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            dt = max(r.t - self.last, 1e-6) if self.last is not None else 1e-6
+            self.last = r.t
+            out.append(self.shim.tick(dt, r.age, r.speed, r.steer, r.acceleration, -r.vx)[:3])
+        return rows.assign(**dict(zip(["raw_speed", "raw_steer", "raw_acceleration"], zip(*out, strict=True), strict=True)))
+
+    def state(self) -> tuple:
+        return float(self.shim.integral), None if self.last is None else float(self.last)
+
+
+def threshold_alerts(scores: DataFrame, key: str, threshold: float, k: int, delay: float) -> DataFrame:
+    """Windows (key, window_end_idx, score) with persistence over ``threshold``."""
+    return in_order(scores, lambda: ThresholdAlerts(threshold, k), key, "window_end_idx", delay)
+
+
+def adaptive_alerts(scores: DataFrame, key: str, delay: float, k: int = 2, **settings) -> DataFrame:
+    """As the batch operator, from rows that bring their trailing median and distance."""
+    return in_order(scores, lambda: AdaptiveAlerts(k, **settings), key, "window_end_idx", delay)
+
+
+def command_shim(ticks: DataFrame, key: str, delay: float, **settings) -> DataFrame:
+    """PI control of each robot's ticks."""
+    return in_order(ticks, lambda: ShimTicks(**settings), key, "t", delay)
+
+
+class _CommandState(StatefulProcessor):
+    """The newest command and speed of a robot, and a control step every TICK_MS of its own time.
+
+    Records (at_ms, kind, speed, steer, acceleration, vx) wait until the watermark has
+    passed them.  A timer at the next tick wakes the robot when the watermark has reached it;
+    then all ticks up to the watermark are made, each with what was newest at its time.
+    Ticks pause while nothing has been heard for HOLD_MS.
+    """
+
+    def __init__(self, key: str, record: str, ttl_ms: int, settings: dict):
+        self.key, self.record, self.ttl_ms, self.settings = key, record, ttl_ms, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_ms long, kind string, speed double, steer double, acceleration double, vx double")
+        self.command = handle.getValueState("command", "at_ms long, speed double, steer double, acceleration double")
+        self.odometry = handle.getValueState("odometry", "at_ms long, vx double")
+        self.control = handle.getValueState("control", "tick long, last long, integral double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        records = list(new[["at_ms", "kind", "speed", "steer", "acceleration", "vx"]].itertuples(index=False, name=None))
+        self.waiting.appendList([tuple(None if isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v for v in r) for r in records])
+        self._wake_at(min(r[0] for r in self.waiting.get()) + HOLD_MS + TICK_MS, timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # All records up to the watermark are there; later ones may lack neighbours.
+        upto = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda r: (r[0], r[1]))
+        ready, rest = [r for r in waiting if r[0] <= upto], [r for r in waiting if r[0] > upto]
+        command, odometry = (s.get() if s.exists() else None for s in (self.command, self.odometry))
+        tick, last, integral = self.control.get() if self.control.exists() else (None, None, 0.0)
+        shim, out = CommandShim(**self.settings), []
         shim.integral = integral
-        rows = []
-        for r in _in_time(frames, "t").itertuples():
-            dt = max(r.t - last, 1e-6) if last is not None else 1e-6
-            last = r.t
-            rows.append((name[0], r.t, *shim.tick(dt, r.age, r.speed, r.steer, r.acceleration, -r.vx)))
-        state.update((float(shim.integral), last))
-        yield pd.DataFrame(rows, columns=[key, "t", "raw_speed", "raw_steer", "raw_acceleration"])
-
-    kind = ticks.schema[key].dataType.simpleString()
-    return ticks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, t double, raw_speed double, raw_steer double, raw_acceleration double", "integral double, last double", "append", GroupStateTimeout.NoTimeout)
+        for record in [*ready, None]:
+            heard = max((s[0] for s in (command, odometry) if s), default=None)
+            end = upto if record is None else record[0] - 1
+            if heard is not None:
+                while tick <= min(end, heard + HOLD_MS):
+                    age = (tick - command[0]) / 1000 if command else None
+                    dt = max((tick - last) / 1000, 1e-6) if last is not None else 1e-6
+                    wanted = command[1:] if command else (0.0, 0.0, 0.0)
+                    out.append((key[0], tick, *shim.log(dt, float("inf") if age is None else age, *wanted, -(odometry[1] if odometry else 0.0)), age))
+                    last, tick = tick, tick + TICK_MS
+            if record is None:
+                break
+            if tick is None:
+                tick = record[0]
+            elif tick < record[0]:  # after a pause the ticks go on where they would be
+                tick += -(-(record[0] - tick) // TICK_MS) * TICK_MS
+            if record[1] == "command":
+                command = (record[0], *record[2:5])
+            else:
+                odometry = (record[0], record[5])
+        if command:
+            self.command.update(command)
+        if odometry:
+            self.odometry.update(odometry)
+        if tick is not None:
+            self.control.update((tick, last, float(shim.integral)))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        heard = max((s[0] for s in (command, odometry) if s), default=None)
+        if rest:
+            self._wake_at(min(r[0] for r in rest) + HOLD_MS + TICK_MS, timerValues)
+        elif heard is not None and upto < heard + self.ttl_ms:
+            self._wake_at(heard + (HOLD_MS + TICK_MS if upto < heard + HOLD_MS else self.ttl_ms), timerValues)
+        else:  # the robot has been silent for long: nothing of it stays
+            for state in (self.command, self.odometry, self.control):
+                state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "tick_ms", *TICK_LOG, "command_age_s"])
+
+    def _wake_at(self, ms: int, timerValues) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(ms), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
+
+
+def command_state(records: DataFrame, key: str, time: str, late: str, ttl_ms: int = DAY_MS, **settings) -> DataFrame:
+    """Control log of each robot from its commands and odometry, 20 ticks a second of event time.
+
+    ``records``: key, ``time`` (timestamp), at_ms, kind (command or odometry), speed, steer,
+    acceleration, vx.  Records behind the watermark are dropped and counted by Spark as
+    ``numRowsDroppedByWatermark``.
+    """
+    records.sparkSession.conf.set(*STATE_STORE)
+    kind = records.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, tick_ms long, {', '.join(f'{n} double' for n in TICK_LOG)}, command_age_s double"
+    processor = _CommandState(key, "", ttl_ms, settings)
+    return records.withWatermark(time, late).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
