@@ -164,19 +164,20 @@ def quiet_segments(annotated: DataFrame, lengths: DataFrame, duration: int, stri
     return found.where(~F.col("alert")).select(SEQUENCE, "start_index", "region_max_score", F.coalesce("m", "r").alias("baseline_score"))
 
 
-def spaced_out(candidates: DataFrame, count: int, gap: int = 500) -> DataFrame:
-    """The best candidates that keep their distance, in order of choice.
+def spaced_out(candidates: DataFrame, count: int, gap: int = 500, keys: list[str] | None = None) -> DataFrame:
+    """The best candidates of each key that keep their distance, in order of choice.
 
     Greedy choice is sequential; ``count`` rounds each take the best candidate
-    that is left in every sequence and drop those near it.
+    that is left for every key and drop those near it.
     """
+    keys = keys or [SEQUENCE]
     left, chosen = candidates, None
     for n in range(count):
-        best = left.groupBy(SEQUENCE).agg(F.min(F.struct("region_max_score", "baseline_score", "start_index")).alias("b"))
-        picked = best.select(SEQUENCE, F.lit(n + 1).alias("choice"), F.col("b.start_index").alias("start_index"), F.col("b.region_max_score").alias("region_max_score"), F.col("b.baseline_score").alias("baseline_score"))
+        best = left.groupBy(*keys).agg(F.min(F.struct("region_max_score", "baseline_score", "start_index")).alias("b"))
+        picked = best.select(*keys, F.lit(n + 1).alias("choice"), F.col("b.start_index").alias("start_index"), F.col("b.region_max_score").alias("region_max_score"), F.col("b.baseline_score").alias("baseline_score"))
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        near = picked.select(SEQUENCE, F.col("start_index").alias("taken"))
-        left = left.join(near, SEQUENCE, "left").where(F.coalesce(F.abs(F.col("start_index") - F.col("taken")) >= gap, F.lit(True))).drop("taken")
+        near = picked.select(*keys, F.col("start_index").alias("taken"))
+        left = left.join(near, keys, "left").where(F.coalesce(F.abs(F.col("start_index") - F.col("taken")) >= gap, F.lit(True))).drop("taken")
     return chosen
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_time
 from ..functions.contracts import ACCEL, DERIVED, GYRO, RAW, SEQUENCE, SEVERITY, SPEED_GATE, STEP, VERTICAL_GATE, YAW_GATE
 from ..functions.faults import FAULTS
+from ..sources.scratch import materialize
 from .derive import derive_imu_features
 from .quantiles import exact_quantiles
 
@@ -36,16 +36,29 @@ LEAKAGE = {"small": 0.15, "medium": 0.35, "large": 0.6}
 ROTATION_DEG = {"small": 15.0, "medium": 35.0, "large": 60.0}
 JITTER = {"small": 0.35, "medium": 0.75, "large": 1.5}
 DROPOUT_PERIOD = {"small": 4, "medium": 2}
+#: Column with the row at which a sequence's fault begins.
+START = "__start"
 NEEDS_SPEED, NEEDS_TURN = ("impact_pulse", "vibration_burst"), ("angular_rate_burst",)
 
 
+def robust_scales(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(sequence, scale_<group>...): median distance to the median, over all columns of a group together; tiny ones count as 1.
+
+    All groups go through the same two passes.
+    """
+    of = {c: [g for g, columns in groups.items() if c in columns] for c in dict.fromkeys(c for columns in groups.values() for c in columns)}
+    cells = F.array(*(F.struct(F.lit(g).alias("g"), F.col(c).alias("x")) for c, gs in of.items() for g in gs))
+    long = df.select(SEQUENCE, F.explode(cells).alias("cell")).select(SEQUENCE, "cell.*")
+    middle = exact_quantiles(long, [SEQUENCE, "g"], "x", [0.5]).select(SEQUENCE, "g", F.col("q")[0].alias("m"))
+    far = long.join(middle, [SEQUENCE, "g"]).withColumn("away", F.abs(F.col("x") - F.col("m")))
+    far = exact_quantiles(far, [SEQUENCE, "g"], "away", [0.5]).select(SEQUENCE, "g", F.col("q")[0].alias("scale"))
+    scale = F.when(F.col("scale") <= 1e-6, 1.0).otherwise(F.col("scale"))
+    return far.groupBy(SEQUENCE).agg(*(F.max(F.when(F.col("g") == g, scale)).alias(f"scale_{g}") for g in groups))
+
+
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(sequence, scale): median distance to the median, over all columns together; tiny ones count as 1."""
-    long = df.unpivot([SEQUENCE], columns, "c", "x")
-    middle = exact_quantiles(long, [SEQUENCE], "x", [0.5]).select(SEQUENCE, F.col("q")[0].alias("m"))
-    far = long.join(middle, SEQUENCE).withColumn("away", F.abs(F.col("x") - F.col("m")))
-    far = exact_quantiles(far, [SEQUENCE], "away", [0.5]).select(SEQUENCE, F.col("q")[0].alias("scale"))
-    return far.withColumn("scale", F.when(F.col("scale") <= 1e-6, 1.0).otherwise(F.col("scale")))
+    """(sequence, scale) of one group of columns."""
+    return robust_scales(df, {"all": columns}).withColumnRenamed("scale_all", "scale")
 
 
 def motion_gates(kind: str, active_run: bool = True) -> Column:
@@ -96,15 +109,39 @@ def noise_table(seed: int, rows: int) -> np.ndarray:
 def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -> DataFrame:
     """Write one fault into every sequence, from row ``start``."""
     require_motion(df, kind, start)
+    return inject_at(df.withColumn(START, F.lit(start).cast("long")), kind, severity, seed).drop(START)
+
+
+def inject_in_turn(df: DataFrame, events: DataFrame, plan: list[tuple[str, str]], seed: int = 0) -> DataFrame:
+    """Write a plan's faults one after the other; each reads, and takes its scale from, what those before have written.
+
+    ``events``: sequence, event_order (1 for the plan's first fault) and start_index; a sequence without
+    an event is left as it is.  Starts come to the rows by one join; every fault is one more projection of
+    the same plan, with a join for what it reads from elsewhere in the sequence.  Rows are never
+    rewritten: only a fault's scales, a number a sequence, are worked out and written before the next one.
+    """
+    names = [f"__start{k}" for k in range(1, len(plan) + 1)]
+    starts = events.groupBy(SEQUENCE).agg(*(F.max(F.when(F.col("event_order") == k, F.col("start_index"))).alias(n) for k, n in enumerate(names, 1)))
+    out = df.join(starts, SEQUENCE, "left")
+    for k, (kind, severity) in enumerate(plan):
+        out = inject_at(out.withColumn(START, F.col(names[k])), kind, severity, seed + k, lambda scale: materialize(scale, "scale"))
+    return out.select(*df.columns)
+
+
+def inject_at(df: DataFrame, kind: str, severity: str, seed: int = 0, keep=lambda scale: scale) -> DataFrame:
+    """Write one fault into each sequence, from the row that its column START names; null: nowhere.
+
+    ``keep`` may write the scales, so that they are worked out once.
+    """
     if kind not in DURATION:
         raise ValueError(f"unknown fault: {kind}")
     if severity not in SEVERITY:
         raise ValueError(f"unknown severity: {severity}")
     columns = df.columns
-    i = F.col(STEP)
+    i, start, spark = F.col(STEP), F.col(START), df.sparkSession
     counts = df.groupBy(SEQUENCE).agg(F.max(STEP).alias("__last"))
     df = df.join(counts, SEQUENCE)
-    end = F.least(F.col("__last"), F.lit(start + DURATION[kind] - 1))
+    end = F.least(F.col("__last"), start + (DURATION[kind] - 1))
     inside, offset, rows = (i >= start) & (i <= end), i - start, end - start + 1
     group = {"gyro": GYRO, "accel": ACCEL}.get(TARGET[kind], ACCEL + GYRO)
 
@@ -112,7 +149,11 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
         return table.withColumns({c: F.when(inside, v).otherwise(F.col(c)) for c, v in values.items()})
 
     def scaled(columns: list[str]) -> DataFrame:
-        return df.join(robust_scale(df.select(SEQUENCE, *columns), columns), SEQUENCE)
+        return df.join(keep(robust_scale(df.select(SEQUENCE, *columns), columns)), SEQUENCE)
+
+    def by_offset(rows: list[tuple], schema: str) -> DataFrame:
+        """A short table of a fault's rows, by their offset from its start."""
+        return df.withColumn("__k", offset).join(F.broadcast(spark.createDataFrame(rows, f"__k long, {schema}")), "__k", "left")
 
     amount = F.col("scale") * SEVERITY[severity]
     if kind == "gyro_bias_step":
@@ -121,18 +162,16 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
         ramp = F.when(rows > 1, offset / F.greatest(rows - 1, F.lit(1))).otherwise(0.0)
         out = change({c: F.col(c) + amount * ramp for c in group}, scaled(group))
     elif kind in ("accel_freeze", "gyro_freeze"):
-        whole = Window.partitionBy(SEQUENCE)
-        out = change({c: F.max(F.when(i == start, F.col(c))).over(whole) for c in group})
+        out = _read_from(df, F.when(inside, start).otherwise(i), group)
     elif kind == "noise_burst":
         draws = noise_table(seed, DURATION[kind])
-        table = df.sparkSession.createDataFrame([(start + k, *map(float, row)) for k, row in enumerate(draws)], ", ".join([f"{STEP} long", *(f"__n{j} double" for j in range(6))]))
-        joined = scaled(ACCEL + GYRO).join(F.broadcast(table), STEP, "left")
-        out = change({c: F.col(c) + amount * F.col(f"__n{j}") for j, c in enumerate(ACCEL + GYRO)}, joined)
+        df = by_offset([(k, *map(float, row)) for k, row in enumerate(draws)], ", ".join(f"__n{j} double" for j in range(6)))
+        out = change({c: F.col(c) + amount * F.col(f"__n{j}") for j, c in enumerate(ACCEL + GYRO)}, scaled(ACCEL + GYRO))
     elif kind in ("clipping", "hard_clipping"):
         limit = amount if kind == "clipping" else F.col("scale") * HARD_CLIP[severity]
         out = change({c: F.greatest(-limit, F.least(limit, F.col(c))) for c in ACCEL}, scaled(ACCEL))
     elif kind == "packet_dropout":
-        stale = F.greatest(F.lit(0), F.lit(start - 1))
+        stale = F.greatest(F.lit(0), start - 1)
         if severity in DROPOUT_PERIOD:
             period = DROPOUT_PERIOD[severity]
             b = F.floor(offset / period)
@@ -144,10 +183,10 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
     elif kind == "sensor_lag":
         out = _read_from(df, F.when(inside, F.greatest(F.lit(0), i - LAG_ROWS[severity])).otherwise(i), ACCEL)
     elif kind == "timestamp_jitter":
-        warp = df.sparkSession.createDataFrame([(start + k, start + low, part) for k, low, part in warp_table(severity, seed, DURATION[kind])], f"{STEP} long, __low long, __part double")
-        joined = df.join(F.broadcast(warp), STEP, "left")
-        low = _read_from(joined, F.coalesce("__low", i), RAW, "__a_")
-        both = _read_from(low, F.coalesce(F.col("__low") + 1, i), RAW, "__b_")
+        warped = by_offset(warp_table(severity, seed, DURATION[kind]), "__low long, __part double")
+        source = F.when(inside, start + F.col("__low"))
+        low = _read_from(warped, F.coalesce(source, i), RAW, "__a_")
+        both = _read_from(low, F.coalesce(source + 1, i), RAW, "__b_", df)
         out = change({c: F.col(f"__a_{c}") + (F.col(f"__b_{c}") - F.col(f"__a_{c}")) * F.col("__part") for c in RAW}, both)
     elif kind == "cross_axis_leakage":
         share = LEAKAGE[severity]
@@ -165,21 +204,14 @@ def inject(df: DataFrame, kind: str, severity: str, start: int, seed: int = 0) -
     return derive_imu_features(out).select(*columns) if set(DERIVED) <= set(columns) else out
 
 
-def _read_from(df: DataFrame, source: Column, columns: list[str], prefix: str = "") -> DataFrame:
+def _read_from(df: DataFrame, source: Column, columns: list[str], prefix: str = "", table: DataFrame | None = None) -> DataFrame:
     """Take columns from the row of the same sequence that ``source`` numbers."""
     wanted = df.withColumn("__source", source.cast("long"))
-    rows = df.select(SEQUENCE, F.col(STEP).cast("long").alias("__source"), *(F.col(c).alias(f"__read_{c}") for c in columns))
+    rows = (df if table is None else table).select(SEQUENCE, F.col(STEP).cast("long").alias("__source"), *(F.col(c).alias(f"__read_{c}") for c in columns))
     joined = wanted.join(rows, [SEQUENCE, "__source"])
     return joined.withColumns({f"{prefix}{c}": F.col(f"__read_{c}") for c in columns}).drop("__source", *(f"__read_{c}" for c in columns))
 
 
-def event(df: DataFrame, order: int, kind: str, severity: str, start: int) -> DataFrame:
-    """The event's row for each sequence."""
-    last = df.groupBy(SEQUENCE).agg(F.max(STEP).alias("last"))
-    end = F.least(F.col("last"), F.lit(start + DURATION[kind] - 1)).cast("long")
-    return last.select(SEQUENCE, F.lit(order).alias("event_order"), F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), F.lit(TARGET[kind]).alias("target_group"), F.lit(start).cast("long").alias("start_index"), end.alias("end_index"))
-
-
 def demo_schedule(lengths: DataFrame, plan: list[tuple[str, str]], window: int) -> DataFrame:
     """Starts of a few faults, evenly spread inside each sequence that is long enough."""
     low, high = F.lit(window + 50), F.col("n") - 51

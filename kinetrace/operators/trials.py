@@ -2,7 +2,8 @@
 
 Each trial takes the rows around its event from its sequence by an equi-join on
 row number, so work grows with trials times the length of an event's
-surroundings, and all trials are injected, scored and judged by one plan.
+surroundings, and all trials are injected, scored and judged by one plan.  Only
+rows inside an event that read other rows are joined with them.
 """
 
 from __future__ import annotations
@@ -13,19 +14,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contracts import ACCEL, ADAPTIVE_ROWS, GYRO, RAW, SEQUENCE, SEVERITY, STEP, TIME, WINDOW
-from .inject import DROPOUT_PERIOD, DURATION, HARD_CLIP, JITTER, LAG_ROWS, LEAKAGE, ROTATION_DEG, TARGET, noise_table, robust_scale, warp_table
+from ..functions.contracts import ACCEL, ADAPTIVE_ROWS, GYRO, RAW, SCORE_STRIDE, SEQUENCE, SEVERITY, STEP, TIME, WINDOW
+from ..sources.scratch import materialize
+from .evaluate import quiet_segments, spaced_out
+from .inject import DROPOUT_PERIOD, DURATION, HARD_CLIP, JITTER, LAG_ROWS, LEAKAGE, ROTATION_DEG, TARGET, motion_gates, noise_table, robust_scales, warp_table
 
 SEPARATOR = "#"
 
 
-def trial_grid(lengths: DataFrame, kinds: list[str], severities: list[str], placements: list[float]) -> DataFrame:
-    """(sequence, trial, kind, severity, group, start, end): every kind and severity at shares of a sequence's length."""
-    rows = [F.struct(F.lit(k).alias("anomaly_type"), F.lit(s).alias("severity"), F.lit(TARGET[k]).alias("target_group"), F.lit(p).alias("place"), F.lit(DURATION[k]).alias("rows")) for k in kinds for s in severities for p in placements]
-    df = lengths.select(SEQUENCE, "n", F.posexplode(F.array(*rows)).alias("trial", "t")).select(SEQUENCE, "n", "trial", "t.*")
-    start = F.greatest(F.lit(0), F.least(F.col("n") - F.col("rows") - 1, F.floor(F.col("n") * F.col("place"))))
-    df = df.withColumn("start_index", start.cast("long"))
-    return df.withColumn("end_index", F.least(F.col("n") - 1, F.col("start_index") + F.col("rows") - 1).cast("long")).drop("n", "place", "rows")
+def quiet_placements(annotated: DataFrame, rows: DataFrame, kinds: list[str], count: int = 3, stride: int = SCORE_STRIDE, gap: int = 500) -> DataFrame:
+    """(sequence, anomaly_type, placement_index, start_index): where each fault is best tried.
+
+    ``annotated``: the clean score timeline with its alerts; ``rows``: row number and motion context.
+    A start is one whose surroundings hold no alert and whose motion lets the fault be injected; of
+    these the ones with the lowest scores that lie ``gap`` rows apart are chosen, best first.
+    """
+    lengths = rows.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n"))
+    by_duration = [quiet_segments(annotated, lengths, d, stride).withColumn("duration", F.lit(d)) for d in sorted({DURATION[k] for k in kinds})]
+    quiet = reduce(DataFrame.unionByName, by_duration)
+    named = F.array(*(F.struct(F.lit(k).alias("anomaly_type"), F.lit(DURATION[k]).alias("duration"), motion_gates(k).alias("fits")) for k in kinds))
+    fits = rows.select(SEQUENCE, F.col(STEP).alias("start_index"), F.explode(named).alias("f")).select(SEQUENCE, "start_index", "f.*").where("fits").drop("fits")
+    candidates = materialize(quiet.join(fits, [SEQUENCE, "start_index", "duration"]), "quiet-places")
+    chosen = spaced_out(candidates, count, gap, [SEQUENCE, "anomaly_type"])
+    return chosen.select(SEQUENCE, "anomaly_type", F.col("choice").alias("placement_index"), "start_index")
+
+
+def trial_grid(placements: DataFrame, lengths: DataFrame, severities: list[str]) -> DataFrame:
+    """(sequence, trial, kind, severity, group, placement, start, end): every severity at each placement."""
+    of_kind = F.create_map(*(F.lit(x) for k, d in DURATION.items() for x in (k, d)))
+    group = F.create_map(*(F.lit(x) for k, g in TARGET.items() for x in (k, g)))
+    df = placements.join(lengths.select(SEQUENCE, "n"), SEQUENCE).withColumn("severity", F.explode(F.array(*map(F.lit, severities))))
+    end = F.least(F.col("n") - 1, F.col("start_index") + of_kind[F.col("anomaly_type")] - 1).cast("long")
+    trial = F.concat_ws("/", "anomaly_type", "placement_index", "severity")
+    return df.withColumns({"trial": trial, "target_group": group[F.col("anomaly_type")], "end_index": end}).drop("n")
 
 
 def _by(column: str, values: dict[str, float], otherwise=None) -> Column:
@@ -35,36 +56,44 @@ def _by(column: str, values: dict[str, float], otherwise=None) -> Column:
     return out
 
 
-def inject_trials(df: DataFrame, trials: DataFrame, seed: int = 0, margin: int = WINDOW + ADAPTIVE_ROWS) -> DataFrame:
-    """Rows around each trial's event with its fault written in; the sequence's name becomes ``name#trial``."""
-    spark = df.sparkSession
-    kind, k, rows = F.col("anomaly_type"), F.col("k"), F.col("end_index") - F.col("start_index") + 1
-    start, step = F.col("start_index"), F.col(STEP)
-    wide = trials.withColumn(STEP, F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), start - margin), F.col("end_index") + margin)))
-    base = wide.join(df.select(SEQUENCE, TIME, STEP, *RAW), [SEQUENCE, STEP])
-    base = base.withColumns({"k": step - start, "inside": step.between(start, F.col("end_index"))})
-
-    # Rows that are read instead: frozen, stale, late or warped ones.
-    warps = [(s, i, low, part) for s in JITTER for i, low, part in warp_table(s, seed, DURATION["timestamp_jitter"])]
-    warp = spark.createDataFrame(warps, "severity string, k long, low long, part double").withColumn("anomaly_type", F.lit("timestamp_jitter"))
-    base = base.join(F.broadcast(warp), ["anomaly_type", "severity", "k"], "left")
+def _edits(df: DataFrame, trials: DataFrame, warps: DataFrame) -> DataFrame:
+    """(sequence, trial, step, read_<channel>...): what rows of frozen, stale, late or warped faults read instead of their own."""
+    kind, k, start, step = F.col("anomaly_type"), F.col("k"), F.col("start_index"), F.col(STEP)
+    reading = trials.where(kind.isin("accel_freeze", "gyro_freeze", "packet_dropout", "sensor_lag", "timestamp_jitter"))
+    inside = reading.withColumn(STEP, F.explode(F.sequence("start_index", "end_index"))).withColumn("k", step - start)
+    inside = inside.join(F.broadcast(warps), ["anomaly_type", "severity", "placement_index", "k"], "left")
     period = _by("severity", DROPOUT_PERIOD)
     b = F.floor(k / period)
     block = F.when(b % 2 == 1, b).otherwise(b - 1)
     stale = F.greatest(F.lit(0), start - 1)
     dropout = F.when(period.isNull(), stale).when(k % period == 0, step).when(block >= 0, start + period * block).otherwise(stale)
-    source = F.when(kind.endswith("_freeze"), start).when(kind == "packet_dropout", dropout).when(kind == "sensor_lag", F.greatest(F.lit(0), step - _by("severity", LAG_ROWS))).when(kind == "timestamp_jitter", start + F.col("low"))
-    base = base.withColumn("source", F.coalesce(F.when(F.col("inside"), source), step).cast("long"))
-    base = base.withColumn("after", F.when(F.col("inside") & (kind == "timestamp_jitter"), F.col("source") + 1).otherwise(F.col("source")))
+    source = F.when(kind.endswith("_freeze"), start).when(kind == "packet_dropout", dropout).when(kind == "sensor_lag", F.greatest(F.lit(0), step - _by("severity", LAG_ROWS))).otherwise(start + F.col("low"))
+    out = inside.select(SEQUENCE, "trial", STEP, F.coalesce("part", F.lit(0.0)).alias("part"), source.cast("long").alias("source"))
+    out = out.withColumn("after", F.when(F.col("part") > 0, F.col("source") + 1).otherwise(F.col("source")))
     for name in ("source", "after"):
         read = df.select(SEQUENCE, F.col(STEP).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in RAW))
-        base = base.join(read, [SEQUENCE, name])
+        out = out.join(read, [SEQUENCE, name])
+    return out.select(SEQUENCE, "trial", STEP, *((F.col(f"source_{c}") + (F.col(f"after_{c}") - F.col(f"source_{c}")) * F.col("part")).alias(f"read_{c}") for c in RAW))
+
 
-    for name, columns in (("gyro", GYRO), ("accel", ACCEL), ("mixed", ACCEL + GYRO)):
-        base = base.join(robust_scale(df, columns).withColumnRenamed("scale", f"scale_{name}"), SEQUENCE)
-    noise = [(i, *map(float, row)) for i, row in enumerate(noise_table(seed, DURATION["noise_burst"]))]
-    table = spark.createDataFrame(noise, ", ".join(["k long", *(f"noise_{c} double" for c in ACCEL + GYRO)]))
-    base = base.join(F.broadcast(table), "k", "left")
+def inject_trials(df: DataFrame, trials: DataFrame, seed: int = 0, placements: int = 3, margin: int = WINDOW + ADAPTIVE_ROWS) -> DataFrame:
+    """Rows around each trial's event with its fault written in; the sequence's name becomes ``name#trial``.
+
+    A placement draws its noise and its warps with ``seed`` plus its number, of 1 to ``placements``.
+    """
+    spark = df.sparkSession
+    kind, k, rows = F.col("anomaly_type"), F.col("k"), F.col("end_index") - F.col("start_index") + 1
+    start, step, seeds = F.col("start_index"), F.col(STEP), range(1, placements + 1)
+    warps = [("timestamp_jitter", s, p, i, low, part) for s in JITTER for p in seeds for i, low, part in warp_table(s, seed + p, DURATION["timestamp_jitter"])]
+    warp = spark.createDataFrame(warps, "anomaly_type string, severity string, placement_index int, k long, low long, part double")
+    wide = trials.withColumn(STEP, F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), start - margin), F.col("end_index") + margin)))
+    base = wide.join(df.select(SEQUENCE, TIME, STEP, *RAW), [SEQUENCE, STEP])
+    base = base.withColumns({"k": step - start, "inside": step.between(start, F.col("end_index"))})
+    base = base.join(_edits(df, trials, warp), [SEQUENCE, "trial", STEP], "left")
+    base = base.join(robust_scales(df, {"gyro": GYRO, "accel": ACCEL, "mixed": ACCEL + GYRO}), SEQUENCE)
+    noise = [(p, i, *map(float, row)) for p in seeds for i, row in enumerate(noise_table(seed + p, DURATION["noise_burst"]))]
+    table = spark.createDataFrame(noise, ", ".join(["placement_index int", "k long", *(f"noise_{c} double" for c in ACCEL + GYRO)]))
+    base = base.join(F.broadcast(table), ["placement_index", "k"], "left")
 
     factor = _by("severity", SEVERITY)
     amount = {n: F.col(f"scale_{n}") * factor for n in ("gyro", "accel", "mixed")}
@@ -75,7 +104,7 @@ def inject_trials(df: DataFrame, trials: DataFrame, seed: int = 0, margin: int =
 
     def value(c: str) -> Column:
         x, group = F.col(c), "gyro" if c in GYRO else "accel" if c in ACCEL else "quaternion"
-        read = F.col(f"source_{c}") + (F.col(f"after_{c}") - F.col(f"source_{c}")) * F.coalesce("part", F.lit(0.0))
+        read = F.col(f"read_{c}")
         cases: list[tuple[Column, Column]] = [(kind.isin("packet_dropout", "timestamp_jitter"), read)]
         if group != "quaternion":
             cases += [(kind == f"{group}_freeze", read), (kind == f"{group}_bias_drift", x + amount[group] * ramp), (kind == "noise_burst", x + amount["mixed"] * F.col(f"noise_{c}"))]

@@ -6,14 +6,14 @@ up to a bound and out of order, and a last record stands for the time that goes
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contracts import QUATERNION, SEQUENCE, STEP, TIME
 from ..operators import drive, score
+from ..sources.scratch import shared_folder
 from ..streaming import streams
 from ..streaming.ordered import DAY_MS
 from ..streaming.sinks import BatchLog
@@ -40,20 +40,13 @@ STRETCH, READY_S = 100.0, 30.0
 PLAYHEAD_S, PLAYHEAD_SPEEDS = 600.0, [1, 4, 10]
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replay(source: DataFrame, build, time: str, late: float = 0.0, clock: DataFrame | None = None, log: type[BatchLog] | None = None) -> DataFrame:
     """What ``build`` makes of ``source``, streamed in TRIGGERS micro-batches.
 
     A row arrives up to ``late`` after its ``time``, by its hash.  ``clock`` has records that
     arrive after all others.  Rows come out in append mode, into files or a log.
     """
-    spark, folder = source.sparkSession, _shared_folder(source.sparkSession)
+    spark, folder = source.sparkSession, f"{shared_folder(source.sparkSession)}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{folder}/all")
     stored = spark.read.schema(source.schema).parquet(f"{folder}/all")
     at = F.col(time).cast("double")

@@ -84,13 +84,20 @@ def _mean(names: list[str]) -> str:
 
 
 _AHEAD = f"OVER ({W} ROWS BETWEEN CURRENT ROW AND 149 FOLLOWING)"
+
+
+def timeline_of(source: str, name: str = "") -> str:
+    """CTEs up to ``<name>timeline``: the score timeline of ``source``."""
+    return f"""{name}res AS (SELECT {KEYS}, {", ".join(map(_residual, RAW))} FROM {source}),
+{name}err AS (SELECT {KEYS}, {_mean(RAW)} AS e, {", ".join(f"{_mean(g)} AS e_{n}" for n, g in GROUPS.items())} FROM {name}res),
+{name}win AS (SELECT *, min(timestamp_ns) OVER (PARTITION BY sequence_name) AS t0, lead(timestamp_ns, 149) OVER ({W}) AS end_ns, list(e) {_AHEAD} AS l, {", ".join(f"list(e_{n}) {_AHEAD} AS l_{n}" for n in GROUPS)} FROM {name}err),
+{name}scored AS (SELECT sequence_name, timestep_index AS window_start_idx, timestep_index + 149 AS window_end_idx, end_ns AS timestamp_ns, (end_ns - t0) / 1e9 AS time_s,
+        {top_mean("l")} AS score, {", ".join(f"{top_mean(f'l_{n}')} AS {n}_score" for n in GROUPS)} FROM {name}win WHERE timestep_index % 5 = 0 AND end_ns IS NOT NULL),
+{name}timeline AS (SELECT *, CASE WHEN quaternion_score >= gyro_score AND quaternion_score >= accel_score THEN 'quaternion' WHEN gyro_score >= accel_score THEN 'gyro' ELSE 'accel' END AS top_group FROM {name}scored)"""
+
+
 TIMELINE = f"""{TEL},
-res AS (SELECT {KEYS}, {", ".join(map(_residual, RAW))} FROM tel),
-err AS (SELECT {KEYS}, {_mean(RAW)} AS e, {", ".join(f"{_mean(g)} AS e_{n}" for n, g in GROUPS.items())} FROM res),
-win AS (SELECT *, min(timestamp_ns) OVER (PARTITION BY sequence_name) AS t0, lead(timestamp_ns, 149) OVER ({W}) AS end_ns, list(e) {_AHEAD} AS l, {", ".join(f"list(e_{n}) {_AHEAD} AS l_{n}" for n in GROUPS)} FROM err),
-scored AS (SELECT sequence_name, timestep_index AS window_start_idx, timestep_index + 149 AS window_end_idx, end_ns AS timestamp_ns, (end_ns - t0) / 1e9 AS time_s,
-        {top_mean("l")} AS score, {", ".join(f"{top_mean(f'l_{n}')} AS {n}_score" for n in GROUPS)} FROM win WHERE timestep_index % 5 = 0 AND end_ns IS NOT NULL),
-timeline AS (SELECT *, CASE WHEN quaternion_score >= gyro_score AND quaternion_score >= accel_score THEN 'quaternion' WHEN gyro_score >= accel_score THEN 'gyro' ELSE 'accel' END AS top_group FROM scored)"""
+{timeline_of("tel")}"""
 IDX = "PARTITION BY sequence_name ORDER BY window_end_idx"
 
 
@@ -299,41 +306,58 @@ lenient AS (SELECT sequence_name, event_order, anomaly_type, severity, target_gr
         coalesce(greatest(0.0, (i - start_index) / 50.0), 'inf'::DOUBLE) AS time_to_detect_s, coalesce(g, '') AS top_group_prediction, CASE WHEN g IS NOT NULL THEN (g = target_group)::DOUBLE END AS group_attribution_correct
         FROM inj LEFT JOIN first_hit USING (sequence_name, event_order))"""
 _PRE = "window_end_idx >= greatest(0, start_index - 50) AND window_end_idx < start_index"
-_IN = "window_end_idx >= start_index AND window_end_idx <= end_index + 50"
 _DUR = "window_end_idx >= start_index AND window_start_idx <= end_index"
 _POST = "window_start_idx > end_index AND window_start_idx <= end_index + 50"
-_OUT = "(window_end_idx < start_index OR window_start_idx > end_index + 50)"
-STRICT = f"""st0 AS (SELECT i.sequence_name, event_order, anomaly_type, severity, target_group, start_index, end_index,
+
+
+def strict_of(events: str, annotated: str, grace: int = 50) -> str:
+    """CTEs up to ``strict``: events judged against an annotated timeline."""
+    inside = f"window_end_idx >= start_index AND window_end_idx <= end_index + {grace}"
+    outside = f"(window_end_idx < start_index OR window_start_idx > end_index + {grace})"
+    return f"""st0 AS (SELECT i.sequence_name, event_order, anomaly_type, severity, target_group, start_index, end_index,
         count(*) FILTER (WHERE {_PRE} AND alert_onset) AS pre_event_alert_onset_count, count(*) FILTER (WHERE {_PRE} AND alert_active) AS pre_event_alert_active_count,
-        count(*) FILTER (WHERE {_OUT} AND alert_onset) AS outside_event_alert_onset_count, count(*) FILTER (WHERE {_OUT} AND alert_active) AS outside_event_alert_active_count,
-        min(window_end_idx) FILTER (WHERE {_IN} AND alert_onset) AS fi, arg_min(top_group, window_end_idx) FILTER (WHERE {_IN} AND alert_onset) AS fg,
+        count(*) FILTER (WHERE {outside} AND alert_onset) AS outside_event_alert_onset_count, count(*) FILTER (WHERE {outside} AND alert_active) AS outside_event_alert_active_count,
+        min(window_end_idx) FILTER (WHERE {inside} AND alert_onset) AS fi, arg_min(top_group, window_end_idx) FILTER (WHERE {inside} AND alert_onset) AS fg,
         median(score) FILTER (WHERE {_PRE}) AS baseline_score, max(score) FILTER (WHERE {_DUR}) AS during_max_score, median(score) FILTER (WHERE {_DUR}) AS during_median_score, median(score) FILTER (WHERE {_POST}) AS post_median_score
-        FROM inj i LEFT JOIN ann a ON a.sequence_name = i.sequence_name GROUP BY ALL),
+        FROM {events} i LEFT JOIN {annotated} a ON a.sequence_name = i.sequence_name GROUP BY ALL),
 strict AS (SELECT sequence_name, event_order, anomaly_type, severity, target_group, start_index, end_index, pre_event_alert_active_count > 0 AS preexisting_alert, pre_event_alert_onset_count, pre_event_alert_active_count,
         outside_event_alert_onset_count, outside_event_alert_active_count, (fi IS NOT NULL AND pre_event_alert_active_count = 0)::DOUBLE AS event_detected_strict,
         CASE WHEN fi IS NOT NULL AND pre_event_alert_active_count = 0 THEN greatest(0.0, (fi - start_index) / 50.0) ELSE 'inf'::DOUBLE END AS time_to_detect_s, coalesce(fg, '') AS alert_trigger_group,
-        CASE WHEN fi IS NOT NULL AND pre_event_alert_active_count = 0 THEN (fg = target_group)::DOUBLE END AS group_attribution_correct, baseline_score, during_max_score, during_median_score, post_median_score,
+        CASE WHEN fi IS NOT NULL AND pre_event_alert_active_count = 0 AND target_group IN ('quaternion', 'gyro', 'accel') THEN (fg = target_group)::DOUBLE END AS group_attribution_correct, baseline_score, during_max_score, during_median_score, post_median_score,
         during_max_score - baseline_score AS score_lift_abs, CASE WHEN abs(baseline_score) > 1e-12 THEN during_max_score / baseline_score END AS score_lift_ratio FROM st0)"""
+
+
+STRICT = strict_of("inj", "ann")
 QUIET = f"""{TIMELINE}, {alerts(0.97)}, lens AS (SELECT event_type AS sequence_name, count(*) AS n FROM events GROUP BY 1),
 cs AS (SELECT sequence_name, unnest(range(150, greatest(150, n - 191) + 1, 25)) AS start_index FROM lens),
 quiet AS (SELECT c.sequence_name, start_index, max(score) AS region_max_score, coalesce(median(score) FILTER (WHERE window_end_idx < start_index), median(score)) AS baseline_score
         FROM cs c JOIN ann a ON a.sequence_name = c.sequence_name AND window_end_idx >= start_index - 150 AND window_start_idx <= start_index + 190 GROUP BY ALL HAVING NOT bool_or(alert_active))"""
+def baseline_of(name: str = "") -> str:
+    """CTEs up to ``<name>ab``: trailing median and distance of ``<name>timeline``."""
+    return f"""{name}ab0 AS (SELECT *, row_number() OVER ({IDX}) AS rn, list(score) OVER ({IDX} ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING) AS past FROM {name}timeline),
+{name}ab1 AS (SELECT *, list_aggregate(past, 'median') AS m FROM {name}ab0),
+{name}ab AS (SELECT * EXCLUDE (past, m), coalesce(m, score) AS trailing_median, CASE WHEN len(past) > 0 THEN list_aggregate(list_transform(past, lambda x: abs(x - m)), 'median') ELSE 0.0 END AS trailing_mad FROM {name}ab1)"""
+
+
 ADAPT = f"""{TIMELINE},
-ab0 AS (SELECT *, row_number() OVER ({IDX}) AS rn, list(score) OVER ({IDX} ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING) AS past FROM timeline),
-ab1 AS (SELECT *, list_aggregate(past, 'median') AS m FROM ab0),
-ab AS (SELECT sequence_name, window_end_idx, score, rn, coalesce(m, score) AS trailing_median, CASE WHEN len(past) > 0 THEN list_aggregate(list_transform(past, lambda x: abs(x - m)), 'median') ELSE 0.0 END AS trailing_mad FROM ab1)"""
+{baseline_of()}"""
 _SCALE = "greatest(1.4826 * trailing_mad, 1e-6, 0.05 * greatest(abs(trailing_median), 1e-6))"
 
 
-def adaptive(z: float) -> str:
+def adaptive_of(z: float, name: str = "") -> str:
+    """CTEs up to ``<name>st``: the adaptive state after each row of ``<name>ab``; needs WITH RECURSIVE."""
     positive = lambda b, s: f"((t.score - {b}) / {s} > {z} AND t.score > {b})"
     ts = _SCALE.replace("trailing", "t.trailing")
     base, scale = "CASE WHEN p.active THEN p.baseline ELSE t.trailing_median END", f"CASE WHEN p.active THEN p.scale ELSE {ts} END"
     pos = positive(f"({base})", f"({scale})")
-    return f"""WITH RECURSIVE {ADAPT},
-st AS (SELECT t.sequence_name, t.rn, t.window_end_idx, t.score, t.trailing_median AS baseline, {ts} AS scale, false AS positive, 0 AS run, false AS active, false AS onset FROM ab t WHERE rn = 1
+    return f"""{name}st AS (SELECT t.sequence_name, t.rn, t.window_end_idx, t.score, t.trailing_median AS baseline, {ts} AS scale, false AS positive, 0 AS run, false AS active, false AS onset FROM {name}ab t WHERE rn = 1
         UNION ALL SELECT t.sequence_name, t.rn, t.window_end_idx, t.score, {base}, {scale}, {pos}, CASE WHEN {pos} THEN p.run + 1 ELSE 0 END, {pos} AND p.run + 1 >= 2, ({pos} AND p.run + 1 >= 2) AND NOT p.active
-        FROM st p JOIN ab t ON t.sequence_name = p.sequence_name AND t.rn = p.rn + 1)
+        FROM {name}st p JOIN {name}ab t ON t.sequence_name = p.sequence_name AND t.rn = p.rn + 1)"""
+
+
+def adaptive(z: float) -> str:
+    return f"""WITH RECURSIVE {ADAPT},
+{adaptive_of(z)}
 SELECT sequence_name, window_end_idx, {rr(["baseline", "scale"])}, {r("(score - baseline) / scale", "normalized_score")}, positive, active AS alert_active, onset AS alert_onset FROM st"""
 
 
@@ -432,9 +456,6 @@ def oracle_sql() -> dict[str, str]:
         "demo_schedule": """WITH l AS (SELECT event_type AS sequence_name, count(*) AS n FROM events GROUP BY 1), p(k, t, g, d) AS (VALUES (1, 'gyro_bias_drift', 'gyro', 75), (2, 'accel_freeze', 'accel', 40), (3, 'clipping', 'accel', 20)),
             x AS (SELECT *, least(greatest(150, floor(150 + (n - 51 - 150) * (k / 4))::BIGINT), greatest(150, n - 51 - d)) AS s FROM l, p WHERE n - 1 > 200)
             SELECT sequence_name, k AS event_order, t AS anomaly_type, 'medium' AS severity, g AS target_group, s AS start_index, s + d - 1 AS end_index FROM x""",
-        "anomaly_catalog": "SELECT * FROM (VALUES " + ", ".join(
-            f"('{k}', '{tier}', '{group}', '{method}', {DURATION[k] if tier != 'planned' else 'NULL'}, {str(k in ('impact_pulse', 'vibration_burst', 'angular_rate_burst')).lower() if tier != 'planned' else 'NULL'})" for k, tier, group, method in FAULTS
-        ) + ") t(anomaly_type, tier, target_group, injection_method, duration_rows, needs_motion)",
         "clean_summary": f"""WITH {ANN}, {SEGMENTS}, l AS (SELECT event_type AS sequence_name, count(*) AS n FROM events GROUP BY 1), b AS (SELECT sequence_name, any_value(threshold) AS threshold, avg(alert_active::DOUBLE) AS ar, sum(alert_onset::BIGINT) AS s FROM ann GROUP BY 1), m AS (SELECT sequence_name, median(duration_s) AS m FROM seg GROUP BY 1)
             SELECT sequence_name, {r("threshold", "threshold")}, {r("ar", "clean_alert_rate")}, {r("s / greatest(n / 50.0 / 60.0, 1e-6)", "clean_alerts_per_min")}, {r("coalesce(m, 0.0)", "clean_median_alert_duration_s")} FROM b JOIN l USING (sequence_name) LEFT JOIN m USING (sequence_name)""",
         "clean_burden": f"WITH {ANN} SELECT sequence_name, count(*) AS window_count, sum(positive::BIGINT)::BIGINT AS positive_count, sum(alert_active::BIGINT)::BIGINT AS alert_active_count, sum(alert_onset::BIGINT)::BIGINT AS alert_onset_count, {r('avg(positive::DOUBLE)', 'positive_rate')}, {r('avg(alert_active::DOUBLE)', 'alert_active_rate')}, 'global' AS threshold_mode FROM ann GROUP BY 1",
@@ -472,8 +493,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT sequence_name, window_end_idx, {r("score", "score")}, alert_active, alert_active AND NOT lag(alert_active, 1, false) OVER ({IDX}) AS alert_onset FROM a""",
     }
     out["stream_adaptive"] = f"SELECT sequence_name, window_end_idx, alert_active, alert_onset FROM ({adaptive(2.0)})"
-    from . import live_oracle  # which builds on this module
+    from . import heldout_oracle, live_oracle  # which build on this module
 
-    return out | {f"inject_{kind}": injection(kind) for kind in DURATION} | live_oracle.oracle_sql()
+    return out | {f"inject_{kind}": injection(kind) for kind in DURATION} | live_oracle.oracle_sql() | heldout_oracle.oracle_sql()
 
 

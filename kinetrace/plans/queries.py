@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
-from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, training, trials, windows
+from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, training, windows
 from ..sources import files
-from . import base, live
+from . import base, heldout, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 START_ROW, SEVERITY_USED = 100, "medium"
@@ -297,10 +297,6 @@ def demo_schedule(spark, d):
     return inject.demo_schedule(base.lengths(base.telemetry(spark, d)), PLAN, 100)
 
 
-def anomaly_catalog(spark, d):
-    return inject.catalog(spark)
-
-
 def _events(spark, d):
     """Two events in each sequence, a third and two thirds into it."""
     n = base.lengths(base.event_times(spark, d))
@@ -349,25 +345,6 @@ def injected_summary(spark, d):
     return evaluate.injected_summary(event_eval_lenient(spark, d), ["anomaly_type"])
 
 
-def _smoke_trials(spark, d):
-    """All faults and severities at two places of each sequence, judged strictly."""
-    tel = base.telemetry(spark, d)
-    grid = trials.trial_grid(base.lengths(tel), list(inject.DURATION), list(inject.SEVERITY), [0.4, 0.7])
-    clean = score.window_scores(score.trailing_mean_residuals(tel))
-    limits = score.percentile_threshold(clean, 90.0)
-    injected_rows = trials.inject_trials(tel, grid, seed=1000)
-    annotated = score.annotate(score.window_scores(score.trailing_mean_residuals(injected_rows)), limits, 2)
-    return evaluate.event_eval_strict(annotated, trials.trial_events(grid))
-
-
-def heldout_smoke(spark, d):
-    return _smoke_trials(spark, d)
-
-
-def heldout_smoke_summary(spark, d):
-    return evaluate.trial_summary(_smoke_trials(spark, d))
-
-
 def experiment_ids(spark, d):
     """Names of experiments: architecture, features, normalization, batch, rate, seed."""
     li = base.table(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(F.lit("lstm"), F.lit("tcn")), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("architecture"), F.element_at(F.array(F.lit(3e-4), F.lit(1e-3)), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("rate"))
@@ -498,10 +475,10 @@ def queries() -> dict[str, Query]:
         uniform_grid, interp_imu, gt_context_native, gt_context_aligned, yaw_unwrap_simple, source_rate, feature_table, lowpass_fir, lowpass_butterworth,
         loso_folds, normalizer_zscore, normalizer_robust, normalizer_full_dev, normalized_windows, window_dedup, tail_split, window_index_validation,
         sequence_feature_stats, fold_window_counts, feature_drift, top_drift, qa_summary, motion_signature, zscore_vectors, cohort_decision, nearest_neighbours,
-        robust_scale, motion_gate, demo_schedule, anomaly_catalog, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
-        quiet_segments, quiet_segments_nms, trial_summary, heldout_smoke, heldout_smoke_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
+        robust_scale, motion_gate, demo_schedule, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
+        quiet_segments, quiet_segments_nms, trial_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
         odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels,
-        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, *live.QUERIES,
+        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, *live.QUERIES, *heldout.QUERIES,
     ]
     found: dict[str, Query] = {f.__name__: _rounded(f) for f in plain}
     return found | {f"inject_{kind}": _rounded(partial(injected, kind)) for kind in inject.DURATION}

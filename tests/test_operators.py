@@ -254,14 +254,44 @@ def test_files(spark, tmp_path):
 def test_trials_are_single_injections(spark):
     rng = np.random.default_rng(6)
     df = frame(spark, 300, **{c: rng.normal(size=300) for c in RAW})
-    grid = trials.trial_grid(df.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n")), list(inject.DURATION), ["small", "large"], [0.5])
-    rows = trials.inject_trials(df, grid, seed=3, margin=1000).toPandas()
+    places = spark.createDataFrame([("seq_a", k, p, 150 + 40 * p) for k in inject.DURATION for p in (1, 2)], f"{SEQUENCE} string, anomaly_type string, placement_index int, start_index long")
+    grid = trials.trial_grid(places, df.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n")), ["small", "large"])
+    rows = trials.inject_trials(df, grid, seed=3, placements=2, margin=1000).toPandas()
     for t in grid.collect():
         got = rows[rows[SEQUENCE] == f"seq_a#{t.trial}"].sort_values(STEP)
-        want = inject.inject(df, t.anomaly_type, t.severity, t.start_index, seed=3).orderBy(STEP).toPandas()
+        want = inject.inject(df, t.anomaly_type, t.severity, t.start_index, seed=3 + t.placement_index).orderBy(STEP).toPandas()
         assert np.allclose(got[RAW].to_numpy(), want[RAW].to_numpy()), t
 
 
+def test_faults_in_turn_are_rewrites_one_after_the_other(spark):
+    """Overlapping faults: each reads, and is scaled by, what the ones before have left; a sequence without events stays."""
+    rng = np.random.default_rng(8)
+    df = frame(spark, 200, **{c: rng.normal(size=200) for c in RAW})
+    other = df.withColumn(SEQUENCE, F.lit("seq_b"))
+    plan = [("accel_bias_drift", "large"), ("packet_dropout", "small"), ("accel_freeze", "small"), ("clipping", "small"), ("noise_burst", "large")]
+    starts = [60, 90, 100, 110, 120]
+    events = spark.createDataFrame([("seq_a", k, s) for k, s in enumerate(starts, 1)], f"{SEQUENCE} string, event_order int, start_index long")
+    got = inject.inject_in_turn(df.unionByName(other), events, plan, seed=5)
+    want = df
+    for k, ((kind, severity), start) in enumerate(zip(plan, starts, strict=True)):
+        want = spark.createDataFrame(inject.inject(want, kind, severity, start, seed=5 + k).toPandas(), want.schema)
+    pairs = [(got.where(f"{SEQUENCE} = 'seq_a'"), want), (got.where(f"{SEQUENCE} = 'seq_b'"), other)]
+    for mine, theirs in pairs:
+        assert np.allclose(*(x.orderBy(STEP).toPandas()[RAW].to_numpy() for x in (mine, theirs)))
+
+
+def test_quiet_places_keep_their_distance_and_fit_the_motion(spark):
+    timeline = spark.createDataFrame([("s", 5 * k, 5 * k + 149, float(abs(k - 150)), 200 <= k < 230) for k in range(400)], f"{SEQUENCE} string, window_start_idx long, window_end_idx long, score double, alert_active boolean")
+    rows = spark.range(2149).select(F.lit("s").alias(SEQUENCE), F.col("id").alias(STEP), F.lit(0.0).alias("gt_speed_mps"), F.lit(0.0).alias("gt_vertical_speed_mps"), F.when(F.col("id") < 1500, 1.0).otherwise(0.0).alias("gt_yaw_rate_rps"))
+    got = {(r.anomaly_type, r.placement_index): r.start_index for r in trials.quiet_placements(timeline, rows, ["gyro_bias_step", "impact_pulse", "angular_rate_burst"], 3, gap=200).collect()}
+    kinds = {k for k, _ in got}
+    assert kinds == {"gyro_bias_step", "angular_rate_burst"}  # a pulse needs speed
+    for kind in kinds:
+        mine = [got[k, p] for k, p in sorted(got) if k == kind]
+        assert len(mine) >= 2 and all(abs(a - b) >= 200 for i, a in enumerate(mine) for b in mine[:i]) and max(mine) < 1500
+        assert not any(1000 - 149 - 150 - inject.DURATION[kind] - 150 <= s <= 1298 + 150 and s + inject.DURATION[kind] + 150 >= 1000 for s in mine)
+
+
 def test_names(spark):
     from kinetrace.functions.columns import fold_number, list_of
 
