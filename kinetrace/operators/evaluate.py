@@ -51,15 +51,20 @@ def clean_burden(annotated: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def event_eval_lenient(annotated: DataFrame, events: DataFrame, grace_s: float = 1.0) -> DataFrame:
-    """First alerting window at or after an event's start; an alert that goes on counts."""
-    grace = int(grace_s * RATE_HZ)
-    # Both are sorted together once: going backwards, the last alert met is the next one in time.
+def next_alerts(annotated: DataFrame, events: DataFrame) -> DataFrame:
+    """(sequence, event_order, i, g): the first alerting window that ends at or after each event's start.
+
+    Both are sorted together once: going backwards, the last alert met is the next one in time.
+    """
     alerts = annotated.where("alert_active").select(SEQUENCE, F.col(INDEX).cast("long").alias("at"), F.lit(None).cast("string").alias("event_order"), F.struct(F.col(INDEX).alias("i"), F.col("top_group").alias("g")).alias("hit"))
     asked = events.select(SEQUENCE, F.col("start_index").cast("long").alias("at"), F.col("event_order").cast("string").alias("event_order"), F.lit(None).cast(alerts.schema["hit"].dataType).alias("hit"))
     backwards = Window.partitionBy(SEQUENCE).orderBy(F.desc("at"), F.col("event_order").isNotNull())
     met = alerts.unionByName(asked).withColumn("next", F.last("hit", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
-    first = met.where("event_order is not null").select(SEQUENCE, F.col("event_order").cast(events.schema["event_order"].dataType).alias("event_order"), F.col("next.i").alias("i"), F.col("next.g").alias("g"))
+    return met.where("event_order is not null").select(SEQUENCE, F.col("event_order").cast(events.schema["event_order"].dataType).alias("event_order"), F.col("next.i").alias("i"), F.col("next.g").alias("g"))
+
+
+def judge_leniently(events: DataFrame, first: DataFrame, grace: int) -> DataFrame:
+    """Events by their first alerts (sequence, event_order, i, g)."""
     df = events.join(first, [SEQUENCE, "event_order"], "left")
     known = F.col("target_group").isin(list(GROUPS)) & F.col("g").isNotNull()
     return df.select(
@@ -75,6 +80,11 @@ def event_eval_lenient(annotated: DataFrame, events: DataFrame, grace_s: float =
     )
 
 
+def event_eval_lenient(annotated: DataFrame, events: DataFrame, grace_s: float = 1.0) -> DataFrame:
+    """First alerting window at or after an event's start; an alert that goes on counts."""
+    return judge_leniently(events, next_alerts(annotated, events), int(grace_s * RATE_HZ))
+
+
 def event_eval_strict(annotated: DataFrame, events: DataFrame, grace_s: float = 1.0, quiet_s: float = 1.0) -> DataFrame:
     """A new onset inside the event, none going on in the second before; scores around it.
 

@@ -1,6 +1,9 @@
-"""Reconstruction models applied to windows, in numpy over Arrow batches.
+"""Reconstruction by principal components, one model for each fold.
 
-Weights are small and fixed once trained, so they travel with the function.
+Second moments are summed up once per sequence; a fold's are the total less those
+of the sequence it leaves out, so no row is read twice for the folds.  Only a
+matrix of the channels' width goes to numpy, a row per fold, in tasks; scores are column
+expressions over rows that are joined with their fold's model.
 """
 
 from __future__ import annotations
@@ -8,143 +11,81 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contracts import SEQUENCE
 
+#: Components with more than this variance are kept; every channel has a variance of 1.
+LEAST_VARIANCE = 1.0
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def lstm_weights(seed: int, inputs: int, hidden: int = 64, latent: int = 32, layers: int = 2, positions: int = 150) -> dict[str, np.ndarray]:
-    """Random starting weights, uniform by layer size."""
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape: rng.uniform(-1, 1, shape) / np.sqrt(hidden)
-    w = {"positions": rng.standard_normal((positions, hidden)), "out_w": draw(inputs, hidden), "out_b": draw(inputs)}
-    w |= {"latent_w": draw(latent, hidden), "latent_b": draw(latent), "h_w": draw(layers * hidden, latent), "h_b": draw(layers * hidden), "c_w": draw(layers * hidden, latent), "c_b": draw(layers * hidden)}
-    for part, first in (("enc", inputs), ("dec", hidden)):
-        for k in range(layers):
-            w |= {f"{part}{k}_x": draw(4 * hidden, first if not k else hidden), f"{part}{k}_h": draw(4 * hidden, hidden), f"{part}{k}_b": draw(4 * hidden)}
-    return w
-
-
-def lstm_layer(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Outputs (n, steps, hidden) and the last hidden state; gates: input, forget, cell, output."""
-    size, out = h.shape[1], np.empty((*x.shape[:2], h.shape[1]))
-    ahead = x @ wx.T + b
-    for t in range(x.shape[1]):
-        z = ahead[:, t] + h @ wh.T
-        i, f, g, o = (z[:, k * size : (k + 1) * size] for k in range(4))
-        c = _sigmoid(f) * c + _sigmoid(i) * np.tanh(g)
-        h = _sigmoid(o) * np.tanh(c)
-        out[:, t] = h
-    return out, h
-
-
-def lstm_reconstruct(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Encode windows (n, steps, channels) to a latent vector and decode them from it."""
-    n, steps, _ = x.shape
-    positions, hidden = w["positions"].shape
-    if steps > positions:
-        raise ValueError(f"{steps} steps exceed {positions}")
-    layers = sum(k.startswith("enc") and k.endswith("_b") for k in w)
-    y = x
-    for k in range(layers):
-        y, last = lstm_layer(y, w[f"enc{k}_x"], w[f"enc{k}_h"], w[f"enc{k}_b"], np.zeros((n, hidden)), np.zeros((n, hidden)))
-    latent = last @ w["latent_w"].T + w["latent_b"]
-    h = (latent @ w["h_w"].T + w["h_b"]).reshape(n, layers, hidden)
-    c = (latent @ w["c_w"].T + w["c_b"]).reshape(n, layers, hidden)
-    y = np.broadcast_to(w["positions"][:steps], (n, steps, hidden))
-    for k in range(layers):
-        y, _ = lstm_layer(y, w[f"dec{k}_x"], w[f"dec{k}_h"], w[f"dec{k}_b"], h[:, k], c[:, k])
-    return y @ w["out_w"].T + w["out_b"]
-
-
-ENCODER, DECODER = ((1, 2), (4, 8), (16, 32)), ((32, 16), (8, 4), (2, 1))
-
-
-def tcn_weights(seed: int, inputs: int, width: int = 32, bottleneck: int = 32, kernel: int = 3) -> dict:
-    rng = np.random.default_rng(seed)
-    conv = lambda o, i, k: (rng.standard_normal((o, i, k)) / np.sqrt(i * k), np.zeros(o))
-    stage = lambda ds: [(d, conv(width, width, kernel), conv(width, width, kernel)) for d in ds]
-    return {"in": conv(width, inputs, 1), "enc": [stage(d) for d in ENCODER], "to": conv(bottleneck, width, 1), "from": conv(width, bottleneck, 1), "dec": [stage(d) for d in DECODER], "out": conv(inputs, width, 1)}
-
-
-def causal_conv(x: np.ndarray, weights: tuple[np.ndarray, np.ndarray], dilation: int = 1) -> np.ndarray:
-    """(n, channels, steps): each output sees its own step and earlier ones."""
-    w, b = weights
-    kernel, steps = w.shape[2], x.shape[2]
-    padded = np.pad(x, ((0, 0), (0, 0), ((kernel - 1) * dilation, 0)))
-    return sum(np.einsum("oi,nis->nos", w[:, :, k], padded[:, :, k * dilation : k * dilation + steps]) for k in range(kernel)) + b[None, :, None]
-
-
-def receptive_field(kernel: int = 3, dilations: tuple[tuple[int, ...], ...] = ENCODER) -> int:
-    return 1 + 2 * (kernel - 1) * sum(map(sum, dilations))
-
-
-def halve(x: np.ndarray) -> np.ndarray:
-    """Mean of neighbours; a last odd step stands alone."""
-    steps = x.shape[2]
-    even = x[:, :, : steps // 2 * 2].reshape(*x.shape[:2], steps // 2, 2).mean(axis=3)
-    return np.concatenate([even, x[:, :, -1:]], axis=2) if steps % 2 else even
-
-
-def tcn_reconstruct(x: np.ndarray, w: dict) -> np.ndarray:
-    steps = x.shape[1]
-
-    def stage(y: np.ndarray, blocks: list) -> np.ndarray:
-        for d, one, two in blocks:
-            y = y + np.maximum(causal_conv(np.maximum(causal_conv(y, one, d), 0), two, d), 0)
-        return y
-
-    y = causal_conv(x.transpose(0, 2, 1), w["in"])
-    y = stage(halve(stage(halve(stage(y, w["enc"][0])), w["enc"][1])), w["enc"][2])
-    y = causal_conv(causal_conv(y, w["to"]), w["from"])
-    y = stage(y, w["dec"][0])
-    for blocks in w["dec"][1:]:
-        y = stage(np.repeat(y, 2, axis=2), blocks)
-    y = causal_conv(y, w["out"])[:, :, :steps]
-    return np.pad(y, ((0, 0), (0, 0), (0, steps - y.shape[2]))).transpose(0, 2, 1)
-
-
-def reconstruction_scores(windows: DataFrame, reconstruct, weights, share: float = 0.05) -> DataFrame:
-    """(sequence, start_row, score) of windows (rows: array of rows); the largest twentieth of step residuals."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(2).to_pylist(), dtype=np.float32).astype(float)
-            residual = ((x - reconstruct(x, weights)) ** 2).mean(axis=2)
-            k = max(1, int(np.ceil(share * residual.shape[1])))
-            score = np.sort(residual, axis=1)[:, -k:].mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], [SEQUENCE, "start_row", "score"])
-
-    return windows.select(SEQUENCE, "start_row", "rows").mapInArrow(run, f"{SEQUENCE} string, start_row long, score double")
-
-
-def pca_components(df: DataFrame, columns: list[str], keep: int) -> np.ndarray:
-    """Leading directions of the centred columns; only their second moments come to the driver."""
-    cells = [F.avg(c) for c in columns] + [F.covar_pop(a, b) for a in columns for b in columns]
-    row = np.array(df.agg(*cells).first(), dtype=float)
-    n = len(columns)
-    values, vectors = np.linalg.eigh(row[n:].reshape(n, n))
-    return np.vstack([row[:n], vectors[:, np.argsort(values)[::-1][:keep]].T])
-
-
-def pca_residuals(df: DataFrame, columns: list[str], components: np.ndarray) -> DataFrame:
-    """Squared distance of each value to its projection, as column expressions."""
-    centre, axes = components[0], components[1:]
-    moved = [F.col(c) - float(m) for c, m in zip(columns, centre, strict=True)]
-    along = [sum((x * float(a) for x, a in zip(moved[1:], axis[1:], strict=True)), moved[0] * float(axis[0])) for axis in axes]
+
+def _pairs(columns: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+
+
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(sequence, n, sums, products): what a mean and a covariance are made of, added up per sequence."""
+    sums = F.array(*(F.sum(c) for c in columns))
+    products = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in _pairs(columns)))
+    return df.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), products.alias("products"))
+
+
+def total(moments: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the sum of all moments."""
+    width, pairs = len(columns), len(_pairs(columns))
+    add = lambda name, k: F.array(*(F.sum(F.col(name)[i]) for i in range(k)))
+    return moments.agg(F.sum("n").alias("n"), add("sums", width).alias("sums"), add("products", pairs).alias("products"))
+
+
+def all_but_own(moments: DataFrame, columns: list[str]) -> DataFrame:
+    """For each sequence the moments of all others."""
+    every = total(moments, columns).toDF("all_n", "all_sums", "all_products")
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    return moments.join(F.broadcast(every)).select(SEQUENCE, (F.col("all_n") - F.col("n")).alias("n"), less("all_sums", "sums").alias("sums"), less("all_products", "products").alias("products"))
+
+
+def fit(moments: DataFrame, columns: list[str], least: float = LEAST_VARIANCE) -> DataFrame:
+    """(sequence, mean, scale, projector, kept, explained) of each row of moments.
+
+    Channels are brought to mean 0 and variance 1; the projector goes to the directions with a
+    variance above ``least`` and back.  A channel that does not vary has a scale of 1; a row without
+    others to learn from has no model.
+    """
+    width, at = len(columns), np.triu_indices(len(columns))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for name, n, sums, products in zip(pdf[SEQUENCE], pdf["n"], pdf["sums"], pdf["products"], strict=True):
+                if n <= 0:
+                    continue
+                mean = np.asarray(sums, float) / n
+                second = np.zeros((width, width))
+                second[at] = np.asarray(products, float) / n
+                covariance = np.triu(second) + np.triu(second, 1).T - np.outer(mean, mean)
+                scale = np.sqrt(np.maximum(np.diag(covariance), 0))
+                scale = np.where(scale <= 1e-12, 1.0, scale)
+                values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
+                axes = vectors[:, values > least]
+                share = values[values > least].sum() / max(values.sum(), 1e-300)
+                out.append((name, mean.tolist(), scale.tolist(), (axes @ axes.T).ravel().tolist(), axes.shape[1], float(share)))
+            yield pd.DataFrame(out, columns=[SEQUENCE, "mean", "scale", "projector", "kept", "explained"])
+
+    return moments.mapInPandas(run, f"{SEQUENCE} string, mean array<double>, scale array<double>, projector array<double>, kept int, explained double")
+
+
+def pca_residuals(df: DataFrame, columns: list[str], models: DataFrame, key: str = SEQUENCE) -> DataFrame:
+    """Squared distance of each normalised value to its projection, with the model of the row's ``key``."""
+    width = len(columns)
+    joined = df.join(models.select(F.col(SEQUENCE).alias(key), "mean", "scale", "projector"), key)
+    joined = joined.withColumns({f"z_{c}": (F.col(c) - F.col("mean")[k]) / F.col("scale")[k] for k, c in enumerate(columns)})
     out = {}
-    for j, c in enumerate(columns):
-        back = sum((s * float(axis[j]) for s, axis in zip(along[1:], axes[1:], strict=True)), along[0] * float(axes[0][j]))
-        out[f"r_{c}"] = F.pow(moved[j] - back, F.lit(2.0))
-    return df.withColumns(out)
+    for k, c in enumerate(columns):
+        back = sum((F.col("projector")[k * width + j] * F.col(f"z_{o}") for j, o in enumerate(columns) if j), F.col("projector")[k * width] * F.col(f"z_{columns[0]}"))
+        out[f"r_{c}"] = F.pow(F.col(f"z_{c}") - back, F.lit(2.0))
+    return joined.withColumns(out).drop("mean", "scale", "projector", *(f"z_{c}" for c in columns))
 
 
 def search_trials(spark: SparkSession, grid: dict[str, list], count: int, seed: int) -> DataFrame:

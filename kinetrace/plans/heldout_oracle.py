@@ -41,11 +41,12 @@ q0 AS (SELECT qs.*, kind FROM qs JOIN kd USING (d) JOIN mv ON mv.sequence_name =
 places AS ({" UNION ALL ".join(picks)})"""
 
 
-def trials() -> str:
-    """CTEs up to ``strict``: all trials, injected, scored and judged."""
-    seeds = range(1, heldout.PLACEMENTS + 1)
-    warps = ", ".join(f"('{s}', {p}, {i}, {low}, {part!r}::DOUBLE)" for s in JITTER for p in seeds for i, low, part in warp_table(s, heldout.SEED + p, DURATION["timestamp_jitter"]))
-    noise = ", ".join("(" + ", ".join([str(p), str(i), *(f"{float(x)!r}::DOUBLE" for x in row)]) + ")" for p in seeds for i, row in enumerate(noise_table(heldout.SEED + p, DURATION["noise_burst"])))
+def injection_cells(rows: str, noise: str) -> str:
+    """CTEs up to ``inj``: ``rows`` of trials with their faults written in.
+
+    ``rows``: trial, seq, kind, severity, start_index, step, k, m, inside, low, part; ``noise`` joins the draws.
+    Scales are in ``gyro``, ``accel`` and ``mixed``, the rows of the sequences in ``tel``.
+    """
     period = by("severity", DROPOUT_PERIOD)
     dropout = f"CASE WHEN {period} IS NULL THEN greatest(0, start_index - 1) WHEN k % ({period})::INT = 0 THEN step WHEN (k // ({period})::INT) % 2 = 1 THEN start_index + ({period})::INT * (k // ({period})::INT) WHEN k // ({period})::INT >= 1 THEN start_index + ({period})::INT * (k // ({period})::INT - 1) ELSE greatest(0, start_index - 1) END"
     source = f"CASE WHEN NOT inside THEN step WHEN kind LIKE '%_freeze' THEN start_index WHEN kind = 'packet_dropout' THEN {dropout} WHEN kind = 'sensor_lag' THEN greatest(0, step - ({by('severity', LAG_ROWS)})::INT) WHEN kind = 'timestamp_jitter' THEN start_index + low ELSE step END"
@@ -61,7 +62,7 @@ def trials() -> str:
         if group == "accel":
             i = ACCEL.index(c)
             limit = f"{by('severity', HARD_CLIP)} * accel.scale"
-            cases |= {"sensor_lag": f"s.{c}", "hard_clipping": f"greatest(-({limit}), least({limit}, x.{c}))", "cross_axis_leakage": f"x.{c} + {by('severity', LEAKAGE)} * x.{ACCEL[(i + 1) % 3]}"}
+            cases |= {"sensor_lag": f"s.{c}", "clipping": f"greatest(-({factor} * accel.scale), least({factor} * accel.scale, x.{c}))", "hard_clipping": f"greatest(-({limit}), least({limit}, x.{c}))", "cross_axis_leakage": f"x.{c} + {by('severity', LEAKAGE)} * x.{ACCEL[(i + 1) % 3]}"}
             a, b = f"x.{ACCEL[0]}", f"x.{ACCEL[1]}"
             if i < 2:
                 cases["gyro_accel_inconsistency"] = f"{a} * cos({turn}) - {b} * sin({turn})" if i == 0 else f"{a} * sin({turn}) + {b} * cos({turn})"
@@ -71,6 +72,18 @@ def trials() -> str:
             cases["angular_rate_burst"] = f"x.{c} + {factor} * gyro.scale * sin(2 * pi() * k / greatest(m - 1, 1))"
         return f"CASE WHEN NOT inside THEN x.{c} " + " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE x.{c} END AS {c}"
 
+    channels = ", ".join(cell(c) if c in GYRO + ACCEL else f"CASE WHEN inside AND kind = 'packet_dropout' THEN s.{c} WHEN inside AND kind = 'timestamp_jitter' THEN s.{c} + (u.{c} - s.{c}) * part ELSE x.{c} END AS {c}" for c in RAW)
+    return f"""rd AS (SELECT *, {source} AS source FROM {rows}),
+inj AS (SELECT trial AS sequence_name, x.timestamp_ns, step AS timestep_index, {channels}
+       FROM rd JOIN tel x ON x.sequence_name = seq AND x.timestep_index = step JOIN tel s ON s.sequence_name = seq AND s.timestep_index = source LEFT JOIN tel u ON u.sequence_name = seq AND u.timestep_index = source + 1
+       {noise} JOIN gyro ON gyro.sequence_name = seq JOIN accel ON accel.sequence_name = seq JOIN mixed ON mixed.sequence_name = seq)"""
+
+
+def trials() -> str:
+    """CTEs up to ``strict``: all trials, injected, scored and judged."""
+    seeds = range(1, heldout.PLACEMENTS + 1)
+    warps = ", ".join(f"('{s}', {p}, {i}, {low}, {part!r}::DOUBLE)" for s in JITTER for p in seeds for i, low, part in warp_table(s, heldout.SEED + p, DURATION["timestamp_jitter"]))
+    noise = ", ".join("(" + ", ".join([str(p), str(i), *(f"{float(x)!r}::DOUBLE" for x in row)]) + ")" for p in seeds for i, row in enumerate(noise_table(heldout.SEED + p, DURATION["noise_burst"])))
     return f"""{placements()},
 tr AS (SELECT sequence_name AS seq, kind AS anomaly_type, placement_index, severity, grp AS target_group, start_index, least(n - 1, start_index + d - 1) AS end_index, sequence_name || '#' || kind || '/' || placement_index || '/' || severity AS sequence_name, 1 AS event_order
        FROM places JOIN kd USING (kind) JOIN len USING (sequence_name), (VALUES ('small'), ('medium'), ('large')) v(severity)),
@@ -79,10 +92,8 @@ wp(severity, placement_index, k, low, part) AS (VALUES {warps}),
 ns(np, nk, {", ".join(f"n_{c}" for c in ACCEL + GYRO)}) AS (VALUES {noise}),
 sg AS (SELECT tr.sequence_name AS trial, seq, anomaly_type AS kind, severity, placement_index, start_index, timestep_index AS step, timestep_index - start_index AS k, end_index - start_index + 1 AS m, timestep_index BETWEEN start_index AND end_index AS inside
        FROM tr JOIN tel ON tel.sequence_name = seq AND timestep_index BETWEEN start_index - 450 AND end_index + 450),
-ws AS (SELECT sg.*, low, part, {source} AS source FROM sg LEFT JOIN wp USING (severity, placement_index, k)),
-inj AS (SELECT trial AS sequence_name, x.timestamp_ns, step AS timestep_index, {", ".join(cell(c) if c in GYRO + ACCEL else f"CASE WHEN inside AND kind = 'packet_dropout' THEN s.{c} WHEN inside AND kind = 'timestamp_jitter' THEN s.{c} + (u.{c} - s.{c}) * part ELSE x.{c} END AS {c}" for c in RAW)}
-       FROM ws JOIN tel x ON x.sequence_name = seq AND x.timestep_index = step JOIN tel s ON s.sequence_name = seq AND s.timestep_index = source LEFT JOIN tel u ON u.sequence_name = seq AND u.timestep_index = source + 1
-       LEFT JOIN ns ON np = placement_index AND nk = k JOIN gyro ON gyro.sequence_name = seq JOIN accel ON accel.sequence_name = seq JOIN mixed ON mixed.sequence_name = seq),
+ws AS (SELECT sg.*, low, part FROM sg LEFT JOIN wp USING (severity, placement_index, k)),
+{injection_cells("ws", "LEFT JOIN ns ON np = placement_index AND nk = k")},
 {timeline_of("inj", "t_")}, {baseline_of("t_")}, {adaptive_of(5.0, "t_")},
 t_ann AS (SELECT t.*, active AS alert_active, onset AS alert_onset FROM t_timeline t JOIN t_st USING (sequence_name, window_end_idx)),
 {strict_of("tr", "t_ann", 25)}"""

@@ -493,8 +493,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT sequence_name, window_end_idx, {r("score", "score")}, alert_active, alert_active AND NOT lag(alert_active, 1, false) OVER ({IDX}) AS alert_onset FROM a""",
     }
     out["stream_adaptive"] = f"SELECT sequence_name, window_end_idx, alert_active, alert_onset FROM ({adaptive(2.0)})"
-    from . import heldout_oracle, live_oracle  # which build on this module
+    from . import experiments_oracle, heldout_oracle, live_oracle  # which build on this module
 
-    return out | {f"inject_{kind}": injection(kind) for kind in DURATION} | live_oracle.oracle_sql() | heldout_oracle.oracle_sql()
+    return out | {f"inject_{kind}": injection(kind) for kind in DURATION} | live_oracle.oracle_sql() | heldout_oracle.oracle_sql() | experiments_oracle.oracle_sql()
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
-from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, models, normalize, profile, qa, resample, score, training, windows
+from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, normalize, profile, qa, resample, score, windows
 from ..sources import files
-from . import base, heldout, live
+from . import base, experiments, heldout, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 START_ROW, SEVERITY_USED = 100, "medium"
@@ -411,49 +411,6 @@ def phase_labels(spark, d):
     return drive.label_phases(base.drive_rows(spark, d).select("run", "t"), phases).groupBy("run", "phase_name").agg(F.count(F.lit(1)).alias("row_count"), F.min("t").alias("first_t"))
 
 
-def pca_reconstruct(spark, d):
-    tel = base.telemetry(spark, d)
-    return score.window_scores(models.pca_residuals(tel, RAW, models.pca_components(tel, RAW, 6))).select(SEQUENCE, "window_start_idx", "score", "top_group")
-
-
-def _windows(spark, d):
-    tel = base.telemetry(spark, d)
-    scaled = normalize.apply(tel, normalize.fit(tel, RAW, "zscore", []), RAW)
-    return windows.window_arrays(scaled, windows.window_index(tel, WINDOW, SCORE_STRIDE), RAW)
-
-
-def lstm_scores(spark, d):
-    return models.reconstruction_scores(_windows(spark, d), models.lstm_reconstruct, models.lstm_weights(7, len(RAW)))
-
-
-def tcn_scores(spark, d):
-    return models.reconstruction_scores(_windows(spark, d), models.tcn_reconstruct, models.tcn_weights(7, len(RAW)))
-
-
-def _training(spark, d):
-    """Two settings on folds 2 and 4, a few epochs of a small model."""
-    tel = base.telemetry(spark, d)
-    folds = _folds(spark, d).where("fold_name in ('fold_2', 'fold_4')")
-    scaled = normalize.apply(tel, normalize.fit(tel, RAW, "zscore", []), RAW)
-    index = windows.window_index(tel, WINDOW, TRAIN_STRIDE)
-    arrays = windows.window_arrays(scaled, index, RAW)
-    trials_ = spark.createDataFrame([(1, 8, 4, 1e-2, 32), (2, 8, 4, 1e-3, 32)], "trial int, hidden int, latent int, rate double, batch int")
-    return training.train_folds(windows.fold_windows(folds, arrays), trials_, epochs=3)
-
-
-def fold_training(spark, d):
-    return _training(spark, d)
-
-
-def model_search(spark, d):
-    return training.search_results(_training(spark, d))
-
-
-def search_trials(spark, d):
-    grid = {"architecture": ["lstm", "tcn"], "feature_set": ["raw", "raw_plus_derived"], "mode": ["zscore", "robust"], "batch_size": [64, 128, 256], "learning_rate": [1e-3, 3e-4]}
-    return models.search_trials(spark, grid, 16, seed=7)
-
-
 def listing_parse(spark, d):
     """Lines of an object store's listing, made from nations and regions."""
     n = base.table(spark, d, "nation").select(F.concat(F.lit("   PRE "), F.col("n_name"), F.lit("/")).alias("value"))
@@ -478,7 +435,7 @@ def queries() -> dict[str, Query]:
         robust_scale, motion_gate, demo_schedule, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
         quiet_segments, quiet_segments_nms, trial_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
         odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels,
-        pca_reconstruct, lstm_scores, tcn_scores, search_trials, fold_training, model_search, *live.QUERIES, *heldout.QUERIES,
+        *experiments.QUERIES, *live.QUERIES, *heldout.QUERIES,
     ]
     found: dict[str, Query] = {f.__name__: _rounded(f) for f in plain}
     return found | {f"inject_{kind}": _rounded(partial(injected, kind)) for kind in inject.DURATION}

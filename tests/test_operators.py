@@ -213,18 +213,27 @@ def test_motion_signature(spark):
     assert (r.gyro_norm_mean, r.accel_norm_mean, r.dynamic_accel_mean, r.gyro_delta_std) == (5.0, 10.0, 0.0, 0.0)
 
 
-def test_models():
-    x = np.random.default_rng(0).normal(size=(2, 150, 10))
-    assert models.lstm_reconstruct(x, models.lstm_weights(1, 10)).shape == x.shape
-    w = models.tcn_weights(1, 10)
-    y = models.tcn_reconstruct(x, w)
-    assert y.shape == x.shape and models.receptive_field() >= 150
-    assert models.halve(models.halve(x.transpose(0, 2, 1))).shape[2] == 38
-    later = x.copy()
-    later[:, 100:] += 1
-    assert np.allclose(models.causal_conv(later.transpose(0, 2, 1), w["in"])[:, :, :100], models.causal_conv(x.transpose(0, 2, 1), w["in"])[:, :, :100])
-    with pytest.raises(ValueError):
-        models.lstm_reconstruct(np.zeros((1, 151, 10)), models.lstm_weights(1, 10))
+def test_fold_models_are_those_of_the_other_rows(spark):
+    """Total less own: the same means, scales and projectors as numpy's on the other sequences."""
+    rng = np.random.default_rng(3)
+    mixing = rng.normal(size=(10, 10))
+    parts = {name: (rng.normal(size=(60 + 20 * k, 10)) @ mixing + k)[:, :] for k, name in enumerate("abc")}
+    df = spark.createDataFrame([(name, *map(float, row)) for name, rows in parts.items() for row in rows], ", ".join([f"{SEQUENCE} string", *(f"{c} double" for c in RAW)]))
+    found = {r[SEQUENCE]: r for r in models.fit(models.all_but_own(models.moments(df, RAW), RAW), RAW).collect()}
+    for name in parts:
+        x = np.concatenate([rows for other, rows in parts.items() if other != name])
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        values, vectors = np.linalg.eigh(z.T @ z / len(z))
+        axes = vectors[:, values > 1]
+        assert np.allclose(found[name].mean, x.mean(axis=0)) and np.allclose(found[name].scale, x.std(axis=0))
+        assert np.allclose(np.array(found[name].projector).reshape(10, 10), axes @ axes.T, atol=1e-7) and found[name].kept == axes.shape[1]
+    scored = models.pca_residuals(df, RAW, models.fit(models.all_but_own(models.moments(df, RAW), RAW), RAW))
+    own = scored.where(f"{SEQUENCE} = 'a'").select(*(f"r_{c}" for c in RAW)).toPandas().to_numpy()
+    m = found["a"]
+    z = (parts["a"] - np.array(m.mean)) / np.array(m.scale)
+    assert np.allclose(np.sort(own.sum(axis=1)), np.sort(((z - z @ np.array(m.projector).reshape(10, 10)) ** 2).sum(axis=1)))
+    alone = df.where(f"{SEQUENCE} = 'a'")
+    assert models.fit(models.all_but_own(models.moments(alone, RAW), RAW), RAW).count() == 0
 
 
 def test_command_shim():
@@ -299,35 +308,3 @@ def test_names(spark):
     assert tuple(df.select(fold_number(F.col("f")), list_of(F.col("l"))).first()) == (12, ["a", "b"])
     with pytest.raises(Exception, match="no fold"):
         df.select(fold_number(F.lit("fold_0"))).collect()
-
-
-def test_gradients_and_training():
-    from kinetrace.operators import training
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(3, 5, 2))
-    w = models.lstm_weights(1, 2, hidden=4, latent=3, positions=5)
-    loss, g = training.loss_and_gradients(x, w)
-    assert loss == pytest.approx(((models.lstm_reconstruct(x, w) - x) ** 2).mean())
-    for name, values in w.items():
-        at = tuple(rng.integers(n) for n in values.shape)
-        values[at] += 1e-6
-        up = training.loss_and_gradients(x, w)[0]
-        values[at] -= 2e-6
-        down = training.loss_and_gradients(x, w)[0]
-        values[at] += 1e-6
-        assert g[name][at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-8), name
-    signal = np.sin(np.arange(20)[None, :, None] / 3 + rng.uniform(0, 6, (40, 1, 1)))
-    _, history = training.train(signal, signal[:8], 8, 4, 1e-2, 10, 25, seed=1)
-    assert history[-1][1] < 0.6 * history[0][1]
-
-
-@pytest.mark.parametrize("name", ["lstm_scores", "tcn_scores"])
-def test_models_score_every_score_window(spark, name):
-    from conftest import DATA
-
-    from kinetrace.plans import base, queries
-
-    wanted = windows.window_index(base.telemetry(spark, DATA), 150, 5).select(SEQUENCE, "start_row")
-    got = queries.queries()[name](spark, DATA).select(SEQUENCE, "start_row")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
