@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_time, norm
-from ..functions.contracts import QUATERNION, SEQUENCE, TIME
+from ..functions.contracts import QUATERNION, SEQUENCE, STEP, TIME
 
 
 def overlap_trim(imu: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both tables cut to the time that they share, and the manifest of it.
+    """Both tables cut to the time that they share, ends included, and the manifest of it.
 
-    One aggregate per table, then a row per sequence is broadcast: there are as
-    many as sequences.
+    One aggregate per table, then a join with a row per sequence.  A sequence whose tables share no
+    time stops the job with its name.
     """
 
     def span(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +23,8 @@ def overlap_trim(imu: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame, D
 
     spans = span(imu, "imu").join(span(gt, "gt"), SEQUENCE)
     spans = spans.withColumns({"overlap_start_ns": F.greatest("imu_first", "gt_first"), "overlap_end_ns": F.least("imu_last", "gt_last")})
+    apart = F.raise_error(F.concat(F.lit("no overlap in "), F.col(SEQUENCE))).cast("long")
+    spans = spans.withColumn("overlap_start_ns", F.when(F.col("overlap_start_ns") > F.col("overlap_end_ns"), apart).otherwise(F.col("overlap_start_ns")))
     bounds = spans.select(SEQUENCE, "overlap_start_ns", "overlap_end_ns")
 
     def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +36,17 @@ def overlap_trim(imu: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame, D
     return imu_cut, gt_cut, manifest.select(SEQUENCE, "overlap_start_ns", "overlap_end_ns", "imu_rows_before", "imu_rows_after", "gt_rows_before", "gt_rows_after")
 
 
+def first_seconds(df: DataFrame, seconds: float) -> DataFrame:
+    """Rows of each sequence's first seconds, for plots."""
+    first = df.groupBy(SEQUENCE).agg(F.min(TIME).alias("__first"))
+    return df.join(first, SEQUENCE).where(F.col(TIME) <= F.col("__first") + int(seconds * 1e9)).select(df.columns)
+
+
+def first_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Each sequence's first rows, for plots."""
+    return df.where(F.col(STEP) < rows)
+
+
 def order_violations(df: DataFrame, file_order: str) -> DataFrame:
     """Rows per sequence whose time does not exceed the one before, as they come."""
     step = F.col(TIME) - F.lag(TIME).over(Window.partitionBy(SEQUENCE).orderBy(file_order))

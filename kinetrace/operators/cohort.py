@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_time, norm
 from ..functions.contracts import ACCEL, GYRO, SEQUENCE
+from . import profile
 from .quantiles import exact_quantiles
 
 KEYS = [
@@ -43,25 +44,49 @@ def zscore_vectors(signatures: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return long.join(stats, "key").select(SEQUENCE, "key", ((F.col("value") - F.col("m")) / scale).alias("z"))
 
 
-def cohort_decision(vectors: DataFrame, candidate: str, references: list[str]) -> DataFrame:
+def with_roles(vectors: DataFrame, candidate: Column, reference: Column) -> DataFrame:
+    """Vectors with the name of the candidate, the first that fits, and whether a row is the candidate's or a reference's.
+
+    Without a candidate, or with fewer than two references, the job stops with a message.
+    """
+    fits = lambda c: F.coalesce(c, F.lit(False))
+    first = F.min(F.when(fits(candidate), F.struct(F.col(SEQUENCE).alias("name"), fits(reference).cast("int").alias("also"))))
+    roles = vectors.agg(first.alias("c"), F.count_distinct(F.when(fits(reference), F.col(SEQUENCE))).alias("n"))
+    error = lambda text: F.raise_error(F.lit(text)).cast("string")
+    told = F.when(F.col("c").isNull(), error("no candidate")).when(F.col("n") - F.col("c.also") < 2, error("fewer than two references")).otherwise(F.col("c.name"))
+    joined = vectors.join(F.broadcast(roles.select(told.alias("candidate"))))
+    own = F.col(SEQUENCE) == F.col("candidate")
+    return joined.withColumns({"is_candidate": own, "is_reference": fits(reference) & ~own})
+
+
+def cohort_decision(vectors: DataFrame, candidate: Column, reference: Column) -> DataFrame:
     """The candidate's distance to its references' centre against theirs to the others'."""
-    ref = vectors.where(F.col(SEQUENCE).isin(references))
+    roles = with_roles(vectors, candidate, reference)
+    ref = roles.where("is_reference")
     sums = ref.groupBy("key").agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("n"))
     others = (F.col("total") - F.col("z")) / (F.col("n") - 1)
     own = ref.join(sums, "key").groupBy(SEQUENCE).agg(F.sqrt(F.sum(F.pow(F.col("z") - others, F.lit(2.0)))).alias("d"))
     far = own.agg(F.max("d").alias("max_reference_distance"))
-    to_centre = vectors.where(F.col(SEQUENCE) == candidate).join(sums, "key").agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("total") / F.col("n"), F.lit(2.0)))).alias("candidate_distance"))
+    to_centre = roles.where("is_candidate").join(sums, "key").groupBy("candidate").agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("total") / F.col("n"), F.lit(2.0)))).alias("candidate_distance"))
     verdict = F.when(F.col("candidate_distance") <= F.col("max_reference_distance"), "merge").otherwise("separate")
-    return to_centre.join(far).select(F.lit(candidate).alias("candidate"), "candidate_distance", "max_reference_distance", verdict.alias("recommendation"))
+    return to_centre.join(far).select("candidate", "candidate_distance", "max_reference_distance", verdict.alias("recommendation"))
 
 
-def nearest_neighbours(vectors: DataFrame, candidate: str) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, candidate: Column) -> DataFrame:
     """Other sequences by distance to the candidate."""
-    own = vectors.where(F.col(SEQUENCE) == candidate).select("key", F.col("z").alias("own"))
-    others = vectors.where(F.col(SEQUENCE) != candidate).join(own, "key")
+    roles = with_roles(vectors, candidate, F.lit(True))
+    own = roles.where("is_candidate").select("key", F.col("z").alias("own"))
+    others = roles.where("not is_candidate").join(own, "key")
     distance = others.groupBy(SEQUENCE).agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("own"), F.lit(2.0)))).alias("distance"))
     return distance.withColumn("neighbour_rank", F.row_number().over(Window.orderBy("distance", SEQUENCE)))
 
 
+def signature_manifest(df: DataFrame, columns: list[str], file_order: str) -> DataFrame:
+    """One row per sequence: its times, its missing values and its motion signature."""
+    times = profile.timestamp_summary(df, file_order)
+    missing = profile.missing_counts(df, columns).groupBy(SEQUENCE).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column_name", "missing")))).alias("missing"))
+    return times.join(missing, SEQUENCE).join(motion_signature(df), SEQUENCE)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

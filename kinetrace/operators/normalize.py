@@ -37,9 +37,22 @@ def fit(df: DataFrame, columns: list[str], mode: str, by: list[str]) -> DataFram
 
 
 def fit_folds(df: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:
-    """A normalizer per fold, from the sequences it trains on."""
+    """A normalizer per fold, from the sequences it trains on.
+
+    Means and deviations are put together from one sum per sequence; quantiles need the rows of each fold.
+    """
     sides = folds.select("fold_name", F.explode("train").alias(SEQUENCE))
-    return fit(df.join(sides, SEQUENCE), columns, mode, ["fold_name"])
+    if mode != "zscore":
+        return fit(df.join(sides, SEQUENCE), columns, mode, ["fold_name"])
+    # Chan's formula, sequence by sequence: distances to a sequence's mean, then of the means to the fold's.
+    own = df.unpivot([SEQUENCE], columns, "column_name", "value").groupBy(SEQUENCE, "column_name").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    each = sides.join(own, SEQUENCE)
+    total = F.sum("n")
+    center = F.sum(F.col("n") * F.col("m")) / total
+    means = each.groupBy("fold_name", "column_name").agg(F.when(total > 0, center).alias("center"))
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("v") + F.pow(F.col("m") - F.col("center"), F.lit(2.0)))) / total)
+    stats = each.join(means, ["fold_name", "column_name"]).groupBy("fold_name", "column_name").agg(F.first("center").alias("center"), F.when(total > 0, spread).alias("scale"))
+    return stats.withColumn("scale", F.when(F.abs("scale") <= 1e-12, 1.0).otherwise(F.col("scale")))
 
 
 def as_payload(fitted: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:

@@ -444,6 +444,8 @@ def oracle_sql() -> dict[str, str]:
         "top_drift": f"WITH {FEATURES}, {DRIFT}, k AS (SELECT row_number() OVER (ORDER BY round(standardized_mean_difference, 6) DESC, fold_name, feature_name) AS drift_rank, * FROM drift) SELECT drift_rank, fold_name, feature_name, {r('standardized_mean_difference', 'standardized_mean_difference')} FROM k WHERE drift_rank <= 5",
         "qa_summary": f"""WITH {FEATURES}, {DRIFT}, s AS (SELECT (SELECT max(missing_rate) FROM stats WHERE feature_name NOT LIKE 'gt_%') AS a, (SELECT max(missing_rate) FROM stats WHERE feature_name LIKE 'gt_%') AS b, (SELECT max(standardized_mean_difference) FROM drift WHERE feature_name NOT LIKE 'gt_%') AS c)
             SELECT {r("a", "max_model_missing_rate")}, {r("b", "max_gt_missing_rate")}, {r("c", "max_standardized_mean_difference")}, CASE WHEN a > 0 THEN 'fix_before_modeling' WHEN b > 0.10 OR c > 5 THEN 'proceed_with_caveats' ELSE 'proceed' END AS recommendation FROM s""",
+        "signature_manifest": f"""WITH {SIGNATURE}, {TIMES.replace("FROM ev", "FROM tel")}, ms AS (SELECT sequence_name, '{{"read_lin_acc_x":' || count(*) FILTER (WHERE event_id % 5 = 0) || ',"read_lin_acc_y":' || count(*) FILTER (WHERE event_id % 7 = 0) || '}}' AS missing FROM tel GROUP BY 1)
+            SELECT sequence_name, row_count, first_ns, last_ns, {r('(last_ns - first_ns) / 1e9', 'duration_s')}, {r('m / 1e9', 'median_step_s')}, {r('1e9 / m', 'rate_hz')}, duplicate_count, non_monotonic_count, missing, {rr(SIG_KEYS)} FROM tsum JOIN ms USING (sequence_name) JOIN sig USING (sequence_name)""",
         "motion_signature": f"WITH {SIGNATURE} SELECT sequence_name, {rr(SIG_KEYS)} FROM sig",
         "zscore_vectors": f"WITH {ZSCORES} SELECT sequence_name, key, {r('z', 'z')} FROM zv",
         "cohort_decision": f"""WITH {ZSCORES}, ref AS (SELECT * FROM zv WHERE sequence_name <> (SELECT c FROM cand)), tot AS (SELECT key, sum(z) AS s, count(*) AS n FROM ref GROUP BY 1),
@@ -472,6 +474,9 @@ def oracle_sql() -> dict[str, str]:
             {r("coalesce(quantile_cont(time_to_detect_s, 0.9) FILTER (WHERE event_detected > 0), 'inf'::DOUBLE)", "p90_time_to_detect_s")}, {r("coalesce(avg(group_attribution_correct), 0.0)", "group_attribution_top1")}, 0.0::DOUBLE AS channel_top3_hit_rate FROM lenient GROUP BY 1""",
         "experiment_ids": "SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'lstm-raw-zscore-bs64-lr3e-04-seed' ELSE 'tcn-raw-zscore-bs64-lr1e-03-seed' END || (s_suppkey % 10) AS experiment_id FROM supplier",
         "normalizer_validation": "SELECT * FROM (VALUES ('fold_1', 'mode'), ('fold_2', 'columns')) t(fold_name, rule)",
+        "feature_dataset_manifest": f"""{tel}, {GRID_CTE} SELECT sequence_name, 'tables/build=1/folder=' || sequence_name AS table_path, count(*) AS row_count, {GRID}::BIGINT AS step_ns, min(timestamp_ns) AS timestamp_start_ns, max(timestamp_ns) AS timestamp_end_ns FROM grid GROUP BY 1""",
+        "normalized_by_fold": f"""{tel}, {FOLDS}, fit AS ({" UNION ALL ".join(f"SELECT fold_name, '{m}' AS mode, " + ", ".join(f"{c} AS c_{k}, CASE WHEN abs({s}) <= 1e-12 THEN 1.0 ELSE {s} END AS s_{k}" for k, c, s in ((k, *((f"avg({n})", f"stddev_pop({n})") if m == "zscore" else (f"quantile_cont({n}, 0.5)", f"(quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25))"))) for k, n in enumerate(RAW))) + " FROM folds JOIN tel ON sequence_name <> validation GROUP BY 1" for m in ("zscore", "robust"))})
+            SELECT fold_name, 'raw' AS feature_set, mode, {KEYS}, {", ".join(r(f"({n} - c_{k}) / s_{k}", n) for k, n in enumerate(RAW))} FROM fit JOIN folds USING (fold_name) JOIN tel ON sequence_name = validation""",
         "artifact_matrix": "SELECT 'fold_3' AS fold_name, feature_set, 'robust' AS mode FROM (VALUES ('raw'), ('raw_plus_derived')) t(feature_set)",
         "leaderboard": f"""WITH x AS (SELECT l_suppkey AS experiment_id, {r("avg(1 - l_discount)", "event_detection_rate")}, {r("coalesce(median(l_quantity / 10) FILTER (WHERE l_linenumber < 4), 'inf'::DOUBLE)", "median_time_to_detect_s")}, {r("avg(l_tax)", "clean_alerts_per_min")}, {r("avg(l_quantity / 50)", "group_attribution_top1")} FROM lineitem GROUP BY 1)
             SELECT *, row_number() OVER (ORDER BY event_detection_rate DESC, median_time_to_detect_s, clean_alerts_per_min, group_attribution_top1 DESC, experiment_id) AS overall_rank FROM x""",

@@ -12,13 +12,13 @@ from ..functions.columns import experiment_id, in_time, platform_hint, rounded
 from ..functions.contracts import ACCEL, DERIVED, GT_CONTEXT, GT_POSITION, GT_QUATERNION, GYRO, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
 from ..operators import adaptive, clean, cohort, derive, drive, evaluate, inject, normalize, profile, qa, resample, score, windows
 from ..sources import files
-from . import base, experiments, heldout, live
+from ..sources.scratch import materialize
+from . import base, experiments, heldout, live, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 START_ROW, SEVERITY_USED = 100, "medium"
 KEYS = [SEQUENCE, TIME, STEP]
 PLAN = [("gyro_bias_drift", "medium"), ("accel_freeze", "medium"), ("clipping", "medium")]
-CANDIDATE, REFERENCES = "click", 3
 
 
 def telemetry_base(spark, d):
@@ -266,17 +266,20 @@ def zscore_vectors(spark, d):
     return cohort.zscore_vectors(_signatures(spark, d))
 
 
-def _candidate(spark, d):
-    names = [r[0] for r in base.event_times(spark, d).select(SEQUENCE).distinct().orderBy(SEQUENCE).collect()]
-    return names[0], names[1:]
-
-
 def cohort_decision(spark, d):
-    return cohort.cohort_decision(cohort.zscore_vectors(_signatures(spark, d)), *_candidate(spark, d))
+    """The first sequence by name against all others."""
+    return cohort.cohort_decision(materialize(cohort.zscore_vectors(_signatures(spark, d)), "vectors"), F.lit(True), F.lit(True))
 
 
 def nearest_neighbours(spark, d):
-    return cohort.nearest_neighbours(cohort.zscore_vectors(_signatures(spark, d)), _candidate(spark, d)[0])
+    return cohort.nearest_neighbours(materialize(cohort.zscore_vectors(_signatures(spark, d)), "vectors"), F.lit(True))
+
+
+def signature_manifest(spark, d):
+    """Times, missing values and motion signature of each sequence, with nested counts as JSON."""
+    tel = base.telemetry(spark, d)
+    read = {f"read_{c}": F.when(F.col("event_id") % m != 0, F.col(c)) for c, m in zip(ACCEL[:2], (5, 7), strict=True)}
+    return files.flat(cohort.signature_manifest(tel.withColumns(read), list(read), "event_id"))
 
 
 def injected(kind, spark, d):
@@ -360,13 +363,6 @@ def normalizer_validation(spark, d):
     return normalize.payload_violations(spoilt, folds, RAW, "zscore")
 
 
-def artifact_matrix(spark, d):
-    """Folds times experiments that have no artifact, of a store that lacks some."""
-    wanted = normalize.experiments(_folds(spark, d), ["raw", "raw_plus_derived"], ["zscore", "robust"]).select("fold_name", "feature_set", "mode")
-    there = wanted.where("not (fold_name = 'fold_3' and mode = 'robust')")
-    return wanted.join(there, ["fold_name", "feature_set", "mode"], "left_anti")
-
-
 def leaderboard(spark, d):
     """Suppliers stand for experiments, line items for their folds."""
     li = base.table(spark, d, "lineitem")
@@ -431,11 +427,11 @@ def queries() -> dict[str, Query]:
         overlap_trim, order_violations, null_violations, quaternion_sign_repair, quaternion_norm_check, clean_validation,
         uniform_grid, interp_imu, gt_context_native, gt_context_aligned, yaw_unwrap_simple, source_rate, feature_table, lowpass_fir, lowpass_butterworth,
         loso_folds, normalizer_zscore, normalizer_robust, normalizer_full_dev, normalized_windows, window_dedup, tail_split, window_index_validation,
-        sequence_feature_stats, fold_window_counts, feature_drift, top_drift, qa_summary, motion_signature, zscore_vectors, cohort_decision, nearest_neighbours,
+        sequence_feature_stats, fold_window_counts, feature_drift, top_drift, qa_summary, motion_signature, zscore_vectors, cohort_decision, nearest_neighbours, signature_manifest,
         robust_scale, motion_gate, demo_schedule, clean_summary, clean_burden, event_eval_lenient, event_eval_strict, timeline_events,
-        quiet_segments, quiet_segments_nms, trial_summary, experiment_ids, normalizer_validation, artifact_matrix, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
+        quiet_segments, quiet_segments_nms, trial_summary, experiment_ids, normalizer_validation, injected_summary, leaderboard, adaptive_baseline, adaptive_alerts,
         odom_normalize, phase_speed_metrics, speed_fit, drive_summary, asof_clock, phase_labels,
-        *experiments.QUERIES, *live.QUERIES, *heldout.QUERIES,
+        *experiments.QUERIES, *stored.QUERIES, *live.QUERIES, *heldout.QUERIES,
     ]
     found: dict[str, Query] = {f.__name__: _rounded(f) for f in plain}
     return found | {f"inject_{kind}": _rounded(partial(injected, kind)) for kind in inject.DURATION}

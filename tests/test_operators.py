@@ -308,3 +308,35 @@ def test_names(spark):
     assert tuple(df.select(fold_number(F.col("f")), list_of(F.col("l"))).first()) == (12, ["a", "b"])
     with pytest.raises(Exception, match="no fold"):
         df.select(fold_number(F.lit("fold_0"))).collect()
+
+
+def test_roles_by_hint(spark):
+    from kinetrace.functions.columns import platform_hint
+    from kinetrace.operators import cohort
+
+    rows = [(n, k, v) for n, v in (("ugv_a", 0.0), ("ugv_b", 1.0), ("ugv_c", 2.0), ("rc_2", 9.0), ("rc_1", 1.0)) for k in ("x", "y")]
+    df = spark.createDataFrame(rows, f"{SEQUENCE} string, key string, z double")
+    rc, ugv = platform_hint(SEQUENCE) == "rc", platform_hint(SEQUENCE) == "ugv"
+    r = cohort.cohort_decision(df, rc, ugv).first()
+    assert (r.candidate, r.candidate_distance, r.recommendation) == ("rc_1", 0.0, "merge")
+    assert [x[SEQUENCE] for x in cohort.nearest_neighbours(df, rc).orderBy("neighbour_rank").collect()] == ["ugv_b", "ugv_a", "ugv_c", "rc_2"]
+    for candidate, reference, words in ((F.lit(False), ugv, "no candidate"), (rc, F.col(SEQUENCE) == "ugv_a", "fewer than two")):
+        with pytest.raises(Exception, match=words):
+            cohort.cohort_decision(df, candidate, reference).collect()
+
+
+def test_trim_without_overlap_and_first_parts(spark):
+    imu, gt = (spark.createDataFrame([("s", t) for t in times], f"{SEQUENCE} string, {TIME} long") for times in ((0, 10, 20), (30, 40)))
+    with pytest.raises(Exception, match="no overlap in s"):
+        clean.overlap_trim(imu, gt)[0].collect()
+    df = frame(spark, 300)
+    assert clean.first_seconds(df, 2.0).count() == 101 and clean.first_rows(df, 250).count() == 250
+
+
+def test_pose_csv(spark, tmp_path):
+    (tmp_path / "gt.csv").write_text("timestamp,p_w_b_x,p_w_b_y,p_w_b_z,q_w_b_x,q_w_b_y,q_w_b_z,q_w_b_w\n7,1,2,3,0,0,0,1\n")
+    row = files.read_gt_csv(spark, str(tmp_path / "gt.csv"), "run").first()
+    assert (row[SEQUENCE], row[TIME], row.p_w_b_y, row.q_w_b_w) == ("run", 7, 2.0, 1.0)
+    (tmp_path / "bad.csv").write_text("timestamp,p_w_b_x\n7,1\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        files.read_gt_csv(spark, str(tmp_path / "bad.csv"), "run")
