@@ -170,12 +170,11 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
     model = model or train()
     spark = df.sparkSession
     found = materialize(suspects(df, model, id_col, text_col), "suspect-lines")
-    key = ["doc_id", "row_no", "paragraph"]
-    each = found.select(*key, F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    key = ["row_no", "paragraph"]
 
     columns = [f"w{k}" for k in range(len(CLASSES))]
     weights = spark.createDataFrame([(f, *map(float, row)) for f, row in zip(model.features, model.weights, strict=True)], ", ".join(["gram string", *(f"{c} double" for c in columns)]))
-    sums = each.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(c).alias(c) for c in columns))
+    sums = found.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(c).alias(c) for c in columns))
     powers = sums.select(*key, F.array(*((F.col(c) + float(b)) / model.temperature for c, b in zip(columns, model.bias, strict=True))).alias("z"))
     powers = powers.withColumn("e", F.transform("z", lambda z: F.exp(z - F.array_max("z"))))
     best = F.array_max(F.transform(F.slice("e", 1, len(TEMPLATES)), lambda e, i: F.struct(e.alias("e"), i.alias("i"))))
@@ -186,22 +185,21 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
     judged = judged.select(*key, F.element_at(names, F.col("best.i") + 1).alias("likely"), probability.alias("probability"), sure.alias("sure"))
     judged = judged.where(F.col("probability") >= REPORTS)
 
+    # Only lines that are reported are compared with notices, and with those of their likely family alone.
     own = own_grams()
     notices = [(family, n, len(grams(text)), g, int((family, g) in own)) for family, texts in TEMPLATES.items() for n, text in enumerate(texts) for g in grams(text)]
-    notice_grams = spark.createDataFrame(notices, "family string, notice int, notice_size int, gram string, own int")
-    common = each.join(F.broadcast(notice_grams), "gram").groupBy(*key, "family", "notice", "notice_size", "n_grams").agg(F.count(F.lit(1)).alias("common"), F.max("own").alias("own"))
+    notice_grams = spark.createDataFrame(notices, "likely string, notice int, notice_size int, gram string, own int")
+    lines = found.join(judged, key).withColumn("n_grams", F.size("grams")).withColumn("gram", F.explode("grams")).drop("grams")
+    of_line = [F.first(c).alias(c) for c in ("doc_id", "likely", "probability", "sure", "n_grams")]
+    common = lines.join(F.broadcast(notice_grams), ["likely", "gram"], "left").groupBy(*key, "notice").agg(F.first("notice_size").alias("notice_size"), F.count("notice").alias("common"), F.max("own").alias("own"), *of_line)
     share = F.greatest(F.col("common") / F.col("notice_size"), F.col("common") / F.col("n_grams"))
-    likeness = common.groupBy(*key, "family").agg(F.max(share).alias("similarity"), F.max(F.when(F.col("own") == 1, share)).alias("own_similarity"))
-
-    condition = [judged[k].eqNullSafe(likeness[k]) for k in key] + [judged["likely"] == likeness["family"]]
-    joined = judged.join(likeness, condition, "left")
-    similarity = F.coalesce("similarity", F.lit(0.0))
-    return joined.select(
-        judged["doc_id"],
-        judged["paragraph"],
+    compared = common.withColumn("share", F.when(F.col("common") > 0, share)).groupBy(*key).agg(F.max("share").alias("similarity"), F.max(F.when(F.col("own") == 1, F.col("share"))).alias("own_similarity"), *of_line)
+    return compared.select(
+        "doc_id",
+        "paragraph",
         F.when(F.col("sure"), F.col("likely")).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"),
-        F.round(similarity, 6).alias("similarity"),
+        F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"),
         (F.col("sure") & (F.coalesce("own_similarity", F.lit(0.0)) >= CONFIRMS)).alias("confirmed"),
     )
 
