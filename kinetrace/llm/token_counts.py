@@ -8,15 +8,17 @@ from the shorter ones.  Matches return again and again, so their tables are
 kept, and a text's counts are the running sum over its matches.
 
 ``PrefixCounts.counts`` answers how many tokens any prefix of a text has,
-``truncate`` how much of it fits a budget, without encoding again.
+``truncate`` how much of it fits a budget, without encoding again; the rows of
+``token_counts`` say how many bytes of a text fit the limit.
 
 Defined results: a null text counts as empty, with no tokens; the special token's
 string inside a text is one token, as in the library's default; a text of any
-length is read whole; repeated rows are counted each; an empty table gives no rows.
+length is read whole; other columns may have any name; repeated rows are counted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
-from .pieces import PartCache, byte_alphabet
+from .pieces import SAFE_CUT, PartCache, byte_alphabet
 
 #: Prefixes of matches up to this many bytes are remembered; longer matches take the same steps in arrays of their own.
 REMEMBERED = 200
@@ -205,20 +207,39 @@ def part_totals(tokenizer_file: str, pattern: str) -> PartCache:
     return PartCache(table.part_totals)
 
 
+def bytes_within(text: str, limit: int, parts: PartCache, table: PrefixCounts) -> int:
+    """Bytes of the longest prefix of at most ``limit`` tokens, of a text that has more.
+
+    Parts between safe cuts add up; only the part in which the limit is passed needs the counts of its prefixes.
+    """
+    tokens, begin = 0, 0
+    for end in itertools.chain((m.start() for m in SAFE_CUT.finditer(text)), [len(text)]):
+        part = text[begin:end]
+        known = parts.kept.get(part[1:]) if begin else None
+        n = table.part_totals([part])[0] if known is None else known
+        if tokens + n > limit:
+            inner = np.flatnonzero(table.counts(part) <= limit - tokens)[-1]
+            return len(text[: begin + int(inner)].encode())
+        tokens, begin = tokens + n, end
+    return len(text.encode())
+
+
 def token_counts(df: DataFrame, tokenizer_file: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row, in one pass."""
+    """doc_id, n_bytes, n_tokens, over_limit and keep_bytes (of the longest prefix within the limit) of each row, in one pass."""
     def run(batches):
-        parts = part_totals(tokenizer_file, pattern)
+        parts, table = part_totals(tokenizer_file, pattern), prefix_counts(tokenizer_file, pattern)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             n = [sum(parts.of(t)) for t in texts]
+            size = [len(t.encode()) for t in texts]
+            keep = [bytes_within(t, limit, parts, table) if x > limit else s for t, x, s in zip(texts, n, size, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(keep, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_bytes"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, keep_bytes long")
 
 
 def prefix_table(df: DataFrame, tokenizer_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -162,16 +162,34 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, max_labelled: int = MA
     return fit((r["toxic"], r["text"]) for r in rows.toLocalIterator())
 
 
+def sentence_spans(text: str, weights: _Weights, bias: float):
+    """(start, end, score) of each sentence with words, by bytes."""
+    raw = text.encode().lower()
+    begin = 0
+    for end, following in [*(m.span() for m in SENTENCE.finditer(raw)), (len(raw), len(raw))]:
+        if words := raw[begin:end].split():
+            yield begin, end, noisy_or(np.array([bias + sum(map(weights.__getitem__, set(words)))]))
+        begin = following
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every row."""
+    """(doc_id, score, predicted, worst_start, worst_end, worst_score) of every row.
+
+    Of a document that is predicted toxic the worst sentence is located: its byte span and score, the
+    first of equals; for others they are null.
+    """
     def run(batches):
         weights, bias = model.table(), model.bias
         for batch in slices(batches):
-            scores = [noisy_or(sentence_logits(t, weights, bias)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
+            texts = batch.column(1).to_pylist()
+            scores = [noisy_or(sentence_logits(t, weights, bias)) for t in texts]
+            worst = [max(sentence_spans(t, weights, bias), key=lambda x: x[2], default=(None,) * 3) if s >= threshold else (None,) * 3 for t, s in zip(texts, scores, strict=True)]
+            begin, end, p = zip(*worst, strict=True) if worst else ((),) * 3
+            cells = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(p, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "score", "predicted", "worst_start", "worst_end", "worst_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"doc_id {kind}, score double, predicted int, worst_start long, worst_end long, worst_score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -189,21 +207,10 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, start, end, score): byte spans of the sentences that reach the threshold."""
-    def spans(text: str, weights, bias):
-        raw = text.encode().lower()
-        ends = [m.span() for m in SENTENCE.finditer(raw)] + [(len(raw), len(raw))]
-        begin = 0
-        for end, following in ends:
-            if words := raw[begin:end].split():
-                p = noisy_or(np.array([bias + sum(map(weights.__getitem__, set(words)))]))
-                if p >= threshold:
-                    yield begin, end, p
-            begin = following
-
     def run(batches):
         weights, bias = model.table(), model.bias
         for batch in slices(batches):
-            found = [(row, *span) for row, t in enumerate(batch.column(1).to_pylist()) for span in spans(t, weights, bias)]
+            found = [(row, *span) for row, t in enumerate(batch.column(1).to_pylist()) for span in sentence_spans(t, weights, bias) if span[2] >= threshold]
             row, begin, end, p = zip(*found, strict=True) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "start", "end", "score"])
 
@@ -214,4 +221,4 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
     """Train on the rows that are not held out, and score all."""
     model = train(docs, labels, id_remainder(modulus) != held_out)
-    return score(docs, model, threshold=threshold).select("doc_id", (id_remainder(modulus) == held_out).alias("held_out"), "score", "predicted")
+    return score(docs, model, threshold=threshold).select("doc_id", (id_remainder(modulus) == held_out).alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score")

@@ -70,6 +70,22 @@ def test_token_counts(spark):
     for r in queries.op8_token_counts(spark, DATA).collect():
         n = len(library_ids(want[r.doc_id]))
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(want[r.doc_id].encode()), n > 1024)
+        kept = want[r.doc_id].encode()[: r.keep_bytes].decode()
+        assert len(library_ids(kept)) <= 1024 and (n > 1024 or r.keep_bytes == r.n_bytes)
+
+
+def test_bytes_within_a_limit():
+    """The longest prefix by encoding every prefix with the library."""
+    parts, counter, rng = token_counts.part_totals(TOKENIZER, PATTERN), token_counts.prefix_counts(TOKENIZER, PATTERN), random.Random(8)
+    seen = 0
+    for _ in range(300):
+        text = "".join(rng.choice(SNIPPETS) for _ in range(rng.randrange(1, 14)))
+        limit = rng.randrange(0, 12)
+        if sum(parts.of(text)) > limit:
+            want = max(i for i in range(len(text) + 1) if len(library_ids(text[:i])) <= limit)
+            assert token_counts.bytes_within(text, limit, parts, counter) == len(text[:want].encode()), (text, limit)
+            seen += 1
+    assert seen > 100
 
 
 def test_token_count_edges(spark):

@@ -37,6 +37,18 @@ def test_sentences_are_located(spark):
     assert [(r.doc_id, text.encode()[r.start : r.end].strip()) for r in found] == [(1, b"This is vileness indeed")]
 
 
+def test_worst_sentence_comes_with_the_score(spark):
+    rows = corpus()
+    model = toxicity.fit([(y, t) for _, t, y in rows])
+    text = "Vile is fine here. This is vileness indeed! Käse, vilely and vileness again. More words."
+    found = {r.doc_id: r for r in toxicity.score(docs(spark, {1: text, 2: "w1 w2.", 3: None}), model).collect()}
+    assert text.encode()[found[1].worst_start : found[1].worst_end].strip().startswith("Käse".encode())
+    assert found[1].worst_score <= found[1].score and found[1].predicted == 1
+    assert all(found[k].worst_start is None and found[k].worst_score is None for k in (2, 3))
+    each = [(r.start, r.end, r.score) for r in toxicity.offending_sentences(docs(spark, {1: text}), model).collect()]
+    assert (found[1].worst_start, found[1].worst_end, found[1].worst_score) == max(each, key=lambda x: x[2])
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (4, 0), (4, 1), (99, 1)], "doc_id long, toxic int")
     df = docs(spark, EDGES)
