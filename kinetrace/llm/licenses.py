@@ -149,14 +149,24 @@ def paragraph_grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def known_grams(model: Classifier) -> list[str]:
+    """N-grams that any later step looks at: the model's features and those of the notices."""
+    return sorted({*model.features, *(g for texts in TEMPLATES.values() for t in texts for g in grams(t))})
+
+
 def suspects(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_no, paragraph, grams) of the lines with a word that speaks for a family."""
+    """(doc_id, row_no, paragraph, n_grams, grams) of the lines with a word that speaks for a family.
+
+    ``n_grams`` counts all n-grams of a line; ``grams`` are those that are known, few in prose.
+    """
     speaking = model.speaking_words()
     lines = df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("paragraph", "line"))
     # A cheap test of the whole line comes first; words are split only where it holds.
     lines = lines.where(F.lower("line").rlike(rf"(^|[^a-z0-9])({'|'.join(speaking)})([^a-z0-9]|$)"))
     words = lines.select("doc_id", "row_no", "paragraph", paragraph_words(F.col("line")).alias("words"))
-    return words.where(F.exists("words", lambda w: w.isin(speaking))).select("doc_id", "row_no", "paragraph", paragraph_grams(F.col("words")).alias("grams"))
+    found = words.where(F.exists("words", lambda w: w.isin(speaking))).select("doc_id", "row_no", "paragraph", paragraph_grams(F.col("words")).alias("all"))
+    known = known_grams(model)
+    return found.select("doc_id", "row_no", "paragraph", F.size("all").alias("n_grams"), F.filter("all", lambda g: g.isin(known)).alias("grams"))
 
 
 def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +199,7 @@ def scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id",
     own = own_grams()
     notices = [(family, n, len(grams(text)), g, int((family, g) in own)) for family, texts in TEMPLATES.items() for n, text in enumerate(texts) for g in grams(text)]
     notice_grams = spark.createDataFrame(notices, "likely string, notice int, notice_size int, gram string, own int")
-    lines = found.join(judged, key).withColumn("n_grams", F.size("grams")).withColumn("gram", F.explode("grams")).drop("grams")
+    lines = found.join(judged, key).withColumn("gram", F.explode("grams")).drop("grams")
     of_line = [F.first(c).alias(c) for c in ("doc_id", "likely", "probability", "sure", "n_grams")]
     common = lines.join(F.broadcast(notice_grams), ["likely", "gram"], "left").groupBy(*key, "notice").agg(F.first("notice_size").alias("notice_size"), F.count("notice").alias("common"), F.max("own").alias("own"), *of_line)
     share = F.greatest(F.col("common") / F.col("notice_size"), F.col("common") / F.col("n_grams"))
