@@ -26,13 +26,13 @@ def _folds(spark, d) -> DataFrame:
 def pca_reconstruct(spark, d):
     """Window scores by one model of all sequences."""
     tel = base.telemetry(spark, d)
-    found = models.moments(tel, RAW)
+    found = materialize(models.moments(tel, RAW), "moments")
     model = models.fit(found.select(SEQUENCE).join(F.broadcast(models.total(found, RAW))), RAW)
     return score.window_scores(models.pca_residuals(tel, RAW, model)).select(SEQUENCE, "window_start_idx", "score", "top_group")
 
 
 def _models(tel: DataFrame, least: float) -> DataFrame:
-    return models.fit(models.all_but_own(models.moments(tel, RAW), RAW), RAW, least)
+    return models.fit(models.all_but_own(materialize(models.moments(tel, RAW), "moments"), RAW), RAW, least)
 
 
 def fold_training(spark, d):
