@@ -6,7 +6,7 @@ pattern always starts a match there, so the parts' ids, joined, are the ids of
 the whole text.  Decoding yields raw bytes and needs no valid UTF-8.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are
-encoded each; other columns are not read.  A token run without any safe cut is
+encoded each; other columns are not read and may have any name; an empty table gives no rows.  A token run without any safe cut is
 encoded whole.
 """
 

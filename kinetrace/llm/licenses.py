@@ -15,7 +15,8 @@ meet weights and notices, both fixed tables of some hundred rows, by broadcast.
 Defined results: a null text counts as empty and has no paragraph; a line that
 some family claims with ``REPORTS`` at least, but none with enough, is reported
 as ``unknown``; other lines are no findings; rows repeated in the input are reported
-each; a text of any length is scanned whole; an empty table gives no rows.
+each; a text of any length is scanned whole; an empty table gives no rows; of equally probable families the
+later one in the list of templates is named; other columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ one can be short.
 Defined results: a null text counts as empty and gives the separator alone, as
 does an empty one; documents of any length are cut into as many pieces as they
 need; equal vectors are told apart by row, so a text with very many copies
-spreads over tasks; repeated rows are packed each; an empty table gives no rows.
+spreads over tasks; repeated rows are packed each; an empty table gives no
+rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations

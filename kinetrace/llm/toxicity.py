@@ -13,7 +13,7 @@ Defined results: a null or empty text has no sentence, and scores 0; a label tha
 is null, or whose row is missing, is not learnt from; rows repeated in the labels
 count once, as toxic if any says so; rows repeated in the documents are scored
 each; without any label the score is that of an untrained model, near 0; an empty
-table gives no rows.
+table gives no rows; other columns may have any name; of equally bad sentences the first is the worst.
 """
 
 from __future__ import annotations
