@@ -6,6 +6,34 @@ from kinetrace.llm import licenses, queries
 from kinetrace.llm.license_templates import OTHERS, REWORDED, STRANGERS, STRANGERS_HELD_OUT, TEMPLATES
 
 
+#: Neither trained nor calibrated on.
+UNSEEN_STRANGERS = ["Available under the Creative Commons Attribution-NoDerivatives 4.0 License.", "Licensed under the zlib licence.", "Boost Software License 1.0", "Distributed under the Open Software License 3.0.", "This code is under the Educational Community License, version 2.0."]
+UNSEEN_WORDINGS = {
+    "mit": "Source code is released under the MIT license.",
+    "apache-2.0": "Licensed under the Apache License 2.0, see the file.",
+    "gpl-3.0": "This program is under the GNU General Public License, version 3.",
+    "mpl-2.0": "The files are under the Mozilla Public License, version 2.0.",
+    "cc-by": "This article is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc": "The pictures are licensed under CC BY-NC 4.0.",
+    "all-rights-reserved": "Copyright 2021. All rights reserved.",
+}
+
+
+def test_lists_are_disjoint():
+    seen = {*STRANGERS, *STRANGERS_HELD_OUT, *(t for texts in [*TEMPLATES.values(), *REWORDED.values()] for t in texts)}
+    assert not seen & {*UNSEEN_STRANGERS, *UNSEEN_WORDINGS.values()} and not {*STRANGERS} & {*STRANGERS_HELD_OUT}
+
+
+def test_notices_never_seen(spark):
+    """No stranger is taken for a family; most wordings are named rightly, the rest unknown."""
+    got = licenses.scan(docs(spark, dict(enumerate(UNSEEN_STRANGERS)))).collect()
+    assert [r for r in got if r.family != "unknown" or r.confirmed] == []
+    got = {r.doc_id: r.family for r in licenses.scan(docs(spark, dict(enumerate(UNSEEN_WORDINGS.values())))).collect()}
+    named = [got.get(i) for i in range(len(UNSEEN_WORDINGS))]
+    assert all(n in (f, "unknown", None) for n, f in zip(named, UNSEEN_WORDINGS, strict=True))
+    assert sum(n == f for n, f in zip(named, UNSEEN_WORDINGS, strict=True)) >= 5
+
+
 @pytest.mark.parametrize("family", list(TEMPLATES))
 def test_notices_are_found(spark, family):
     texts = dict(enumerate(TEMPLATES[family]))
