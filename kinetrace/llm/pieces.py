@@ -47,8 +47,12 @@ class PartCache:
         self.values, self.entries, self.kept = values, entries, {}
 
     def of(self, text: str) -> list:
+        return self.parts_of(text)[2]
+
+    def parts_of(self, text: str) -> tuple[str, list[str], list]:
+        """The first part, the others without their leading space, and the values of all."""
         if not text:
-            return []
+            return "", [], []
         head, *rest = text.split(" ")
         kept = self.kept
         found = list(map(kept.get, rest))
@@ -63,7 +67,7 @@ class PartCache:
             fresh = dict(zip(new, self.values([" " + p for p in new]), strict=True))
             found = [fresh[p] if f is None else f for p, f in zip(rest, found, strict=True)]
             kept.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST_KEPT and not p[-1].isspace())
-        return [*self.values([head]), *found]
+        return head, rest, [*self.values([head]), *found]
 
 
 def id_type(path: str) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
-from .pieces import SAFE_CUT, PartCache, byte_alphabet
+from .pieces import PartCache, byte_alphabet
 
 #: Prefixes of matches up to this many bytes are remembered; longer matches take the same steps in arrays of their own.
 REMEMBERED = 200
@@ -207,21 +207,20 @@ def part_totals(tokenizer_file: str, pattern: str) -> PartCache:
     return PartCache(table.part_totals)
 
 
-def bytes_within(text: str, limit: int, parts: PartCache, table: PrefixCounts) -> int:
-    """Bytes of the longest prefix of at most ``limit`` tokens, of a text that has more.
+def bytes_within(head: str, rest: list[str], totals: list[int], limit: int, table: PrefixCounts) -> int:
+    """Bytes of the longest prefix of at most ``limit`` tokens, of a text that has more, from its parts and their totals.
 
-    Parts between safe cuts add up; only the part in which the limit is passed needs the counts of its prefixes.
+    Only the part in which the limit is passed needs the counts of its prefixes.
     """
-    tokens, begin = 0, 0
-    for end in itertools.chain((m.start() for m in SAFE_CUT.finditer(text)), [len(text)]):
-        part = text[begin:end]
-        known = parts.kept.get(part[1:]) if begin else None
-        n = table.part_totals([part])[0] if known is None else known
-        if tokens + n > limit:
-            inner = np.flatnonzero(table.counts(part) <= limit - tokens)[-1]
-            return len(text[: begin + int(inner)].encode())
-        tokens, begin = tokens + n, end
-    return len(text.encode())
+    before = 0
+    for k, upto in enumerate(itertools.accumulate(totals)):
+        if upto > limit:
+            break
+        before = upto
+    part = f" {rest[k - 1]}" if k else head
+    begin = len(" ".join([head, *rest[: k - 1]]).encode()) if k else 0
+    inner = np.flatnonzero(table.counts(part) <= limit - before)[-1]
+    return begin + len(part[: int(inner)].encode())
 
 
 def token_counts(df: DataFrame, tokenizer_file: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,10 +228,12 @@ def token_counts(df: DataFrame, tokenizer_file: str, pattern: str, limit: int =
     def run(batches):
         parts, table = part_totals(tokenizer_file, pattern), prefix_counts(tokenizer_file, pattern)
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            n = [sum(parts.of(t)) for t in texts]
-            size = [len(t.encode()) for t in texts]
-            keep = [bytes_within(t, limit, parts, table) if x > limit else s for t, x, s in zip(texts, n, size, strict=True)]
+            n, size, keep = [], [], []
+            for text in batch.column(1).to_pylist():
+                head, rest, totals = parts.parts_of(text)
+                n.append(sum(totals))
+                size.append(len(text.encode()))
+                keep.append(bytes_within(head, rest, totals, limit, table) if n[-1] > limit else size[-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(keep, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_bytes"],

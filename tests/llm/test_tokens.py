@@ -81,9 +81,10 @@ def test_bytes_within_a_limit():
     for _ in range(300):
         text = "".join(rng.choice(SNIPPETS) for _ in range(rng.randrange(1, 14)))
         limit = rng.randrange(0, 12)
-        if sum(parts.of(text)) > limit:
+        head, rest, totals = parts.parts_of(text)
+        if sum(totals) > limit:
             want = max(i for i in range(len(text) + 1) if len(library_ids(text[:i])) <= limit)
-            assert token_counts.bytes_within(text, limit, parts, counter) == len(text[:want].encode()), (text, limit)
+            assert token_counts.bytes_within(head, rest, totals, limit, counter) == len(text[:want].encode()), (text, limit)
             seen += 1
     assert seen > 100
 
