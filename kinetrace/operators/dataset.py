@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, norm
 from ..functions.contracts import DERIVED, FEATURE_SETS, GT_CONTEXT, MODES, QUATERNION, RAW, SCORE_STRIDE, SEQUENCE, STEP, TIME, TRAIN_STRIDE, WINDOW
+from ..sources.scratch import materialize
 from . import clean, derive, normalize, resample, windows
 
 COLUMNS = [SEQUENCE, TIME, STEP, *RAW, *DERIVED, *GT_CONTEXT]
@@ -209,11 +210,13 @@ class FeatureDataset:
         """Normalizers and windows of all folds; they change with any sequence."""
         rows, folds = self.tables(manifest), normalize.loso_folds(manifest)
         payloads = []
-        for name, columns in FEATURE_SETS.items():
-            for mode in MODES:
-                fitted = normalize.fit_folds(rows, folds, columns, mode)
+        every = list(dict.fromkeys(c for columns in FEATURE_SETS.values() for c in columns))
+        for mode in MODES:
+            fitted = materialize(normalize.fit_folds(rows, folds, every, mode), "fitted")
+            for name, columns in FEATURE_SETS.items():
                 artifact = artifact_name(F.col("fold_name"), F.lit(name), F.lit(mode))
-                payloads.append(normalize.as_payload(fitted, folds, columns, mode).withColumn("artifact", artifact).drop("fold_name"))
+                payload = normalize.as_payload(fitted.where(F.col("column_name").isin(columns)), folds, columns, mode)
+                payloads.append(payload.withColumn("artifact", artifact).drop("fold_name"))
         write_normalizers(reduce(DataFrame.unionByName, payloads), f"{self.root}/normalizers/build={build}")
         split = [windows.fold_windows(folds, windows.window_index(rows, WINDOW, stride)).where(F.col("split_name") == s) for s, stride in (("train", TRAIN_STRIDE), ("validation", SCORE_STRIDE))]
         both = normalize.experiments(split[0].unionByName(split[1]), list(FEATURE_SETS), MODES)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contracts import SEQUENCE
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, left_out_quantiles
 
 
 def loso_folds(df: DataFrame) -> DataFrame:
@@ -24,6 +24,11 @@ def experiments(folds: DataFrame, feature_sets: list[str], modes: list[str]) ->
     return folds.withColumn("feature_set", F.explode(F.array(*map(F.lit, feature_sets)))).withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
 
 
+def _floored(stats: DataFrame) -> DataFrame:
+    """Scales of nearly 0 count as 1."""
+    return stats.withColumn("scale", F.when(F.abs("scale") <= 1e-12, 1.0).otherwise(F.col("scale")))
+
+
 def fit(df: DataFrame, columns: list[str], mode: str, by: list[str]) -> DataFrame:
     """(by..., column_name, center, scale); a scale of nearly 0 counts as 1."""
     if mode not in ("zscore", "robust"):
@@ -33,17 +38,25 @@ def fit(df: DataFrame, columns: list[str], mode: str, by: list[str]) -> DataFram
         stats = long.groupBy(*by, "column_name").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
     else:
         stats = exact_quantiles(long, [*by, "column_name"], "value", [0.25, 0.5, 0.75]).select(*by, "column_name", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
-    return stats.withColumn("scale", F.when(F.abs("scale") <= 1e-12, 1.0).otherwise(F.col("scale")))
+    return _floored(stats)
 
 
 def fit_folds(df: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:
-    """A normalizer per fold, from the sequences it trains on.
+    """A normalizer per fold that leaves one sequence out (``loso_folds``), from all the others.
 
-    Means and deviations are put together from one sum per sequence; quantiles need the rows of each fold.
+    Means and deviations are put together from one sum per sequence, quantiles from counts of
+    cells of values, all less the fold's own: rows are not multiplied by folds.
     """
     sides = folds.select("fold_name", F.explode("train").alias(SEQUENCE))
+    if mode == "robust":
+        known = df.join(folds.select(F.col("validation").alias(SEQUENCE)), SEQUENCE, "left_semi")
+        values = known.unpivot([SEQUENCE], columns, "g", "x").select("g", F.col(SEQUENCE).alias("part"), F.col("x").cast("double").alias("x"))
+        parts = folds.select(F.explode(F.array(*map(F.lit, columns))).alias("g"), F.col("validation").alias("part"))
+        found = left_out_quantiles(values, [0.25, 0.5, 0.75], parts=parts)
+        stats = folds.select("fold_name", F.col("validation").alias("part")).join(found, "part").select("fold_name", F.col("g").alias("column_name"), F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
+        return _floored(stats)
     if mode != "zscore":
-        return fit(df.join(sides, SEQUENCE), columns, mode, ["fold_name"])
+        raise ValueError(f"unknown mode: {mode}")
     # Chan's formula, sequence by sequence: distances to a sequence's mean, then of the means to the fold's.
     own = df.unpivot([SEQUENCE], columns, "column_name", "value").groupBy(SEQUENCE, "column_name").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     each = sides.join(own, SEQUENCE)
@@ -52,7 +65,7 @@ def fit_folds(df: DataFrame, folds: DataFrame, columns: list[str], mode: str) ->
     means = each.groupBy("fold_name", "column_name").agg(F.when(total > 0, center).alias("center"))
     spread = F.sqrt(F.sum(F.col("n") * (F.col("v") + F.pow(F.col("m") - F.col("center"), F.lit(2.0)))) / total)
     stats = each.join(means, ["fold_name", "column_name"]).groupBy("fold_name", "column_name").agg(F.first("center").alias("center"), F.when(total > 0, spread).alias("scale"))
-    return stats.withColumn("scale", F.when(F.abs("scale") <= 1e-12, 1.0).otherwise(F.col("scale")))
+    return _floored(stats)
 
 
 def as_payload(fitted: DataFrame, folds: DataFrame, columns: list[str], mode: str) -> DataFrame:

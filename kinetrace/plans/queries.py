@@ -188,7 +188,8 @@ def normalizer_zscore(spark, d):
 
 
 def normalizer_robust(spark, d):
-    return normalize.fit_folds(base.telemetry(spark, d), _folds(spark, d), RAW, "robust")
+    # Read several times: for the grid of values, the counts of cells, and the cells that matter.
+    return normalize.fit_folds(materialize(base.telemetry(spark, d), "sensor-rows"), _folds(spark, d), RAW, "robust")
 
 
 def normalizer_full_dev(spark, d):
