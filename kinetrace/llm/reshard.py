@@ -215,7 +215,7 @@ def rewrite_affected(df: DataFrame, old_shard: Column, new_shards: int | dict[in
     is pointed to the new one.  Rows are placed by their number in the scan, not by
     id: repeated and null ids are written as often as they occur.  ``df`` must give
     the same rows in the same partitions when it is read twice, as stored
-    tables do.
+    tables do; written shards are counted against the plan, and a difference stops the job.
     """
     rows, narrow, moves, parts = _prepared(df, old_shard, new_shards, text_col, blocks)
     placed = _slotted(_placed(rows, moves), narrow, parts)
@@ -223,6 +223,7 @@ def rewrite_affected(df: DataFrame, old_shard: Column, new_shards: int | dict[in
     out = placed.where(of_affected).select("row", "old_shard", "slot", "shard")
     out.write.partitionBy("shard").parquet(path)
     written = df.sparkSession.read.schema(out.schema).parquet(path)
+    _same_rows(narrow.where(of_affected), written)
     text = F.col(f"row.`{text_col}`").cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size")
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
@@ -231,6 +232,16 @@ def rewrite_affected(df: DataFrame, old_shard: Column, new_shards: int | dict[in
     return seen.union(kept), moves.affected
 
 
+def _same_rows(planned: DataFrame, written: DataFrame) -> None:
+    """Stop where a shard has other numbers of rows, or slots, than planned; texts are not read."""
+    plan = planned.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    there = written.groupBy("shard").agg(F.count(F.lit(1)).alias("there"), F.max("slot").alias("last"))
+    both = plan.join(there, "shard", "full")
+    odd = both.where("rows is null or there is null or rows <> there or last <> rows - 1").select("shard").take(5)
+    if odd:
+        raise RuntimeError(f"rows moved between readings of the table: written shards {sorted(r.shard for r in odd)} are not as planned")
+
+
 def reshard_rest(rows: DataFrame, moves: Transfers, narrow: DataFrame, parts: int, id_col: str) -> DataFrame:
     """The placement of the rows of shards that are not affected."""
     slim = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "text_crc32", "old_shard", "block", "row_no")

@@ -1,6 +1,7 @@
 import itertools
 import zlib
 
+import pytest
 from conftest import DATA
 from helpers import EDGES, docs
 from pyspark.sql import functions as F
@@ -89,3 +90,12 @@ def test_repeated_and_null_ids_are_written_as_often_as_they_occur(spark, tmp_pat
     for k in range(3):
         slots = sorted(r.slot for r in got.where(F.col("shard") == k).collect())
         assert slots == list(range(len(slots)))
+
+
+def test_lost_and_doubled_rows_stop_the_job(spark):
+    planned = spark.createDataFrame([(0,), (0,), (1,)], "shard int")
+    kind = "shard int, slot long"
+    reshard._same_rows(planned, spark.createDataFrame([(0, 0), (0, 1), (1, 0)], kind))
+    for rows in ([(0, 0), (1, 0)], [(0, 0), (0, 1), (1, 0), (1, 1)], [(0, 0), (0, 1)], [(0, 0), (0, 2), (1, 0)], [(0, 0), (0, 1), (1, 0), (2, 0)]):
+        with pytest.raises(RuntimeError, match="not as planned"):
+            reshard._same_rows(planned, spark.createDataFrame(rows, kind))
