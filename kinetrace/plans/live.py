@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import QUATERNION, SEQUENCE, STEP, TIME
 from ..operators import drive, score
-from ..sources.scratch import shared_folder
+from ..sources.scratch import materialize, shared_folder
 from ..streaming import streams
 from ..streaming.ordered import DAY_MS
 from ..streaming.sinks import BatchLog
@@ -114,7 +114,7 @@ def stream_alerts(spark, d):
 
 
 def stream_adaptive(spark, d):
-    prepared = score.adaptive_baseline(_timeline(spark, d)).select(SEQUENCE, "window_end_idx", "score", "trailing_median", "trailing_mad")
+    prepared = score.adaptive_baseline(materialize(_timeline(spark, d), "timeline")).select(SEQUENCE, "window_end_idx", "score", "trailing_median", "trailing_mad")
     out = replay(prepared, lambda s: streams.adaptive_alerts(s, SEQUENCE, LATE_ROWS, z=2.0), "window_end_idx", LATE_ROWS, _ends(prepared, SEQUENCE, "window_end_idx", LATE_ROWS + 1))
     return out.where("not is_late").select(SEQUENCE, "window_end_idx", "alert_active", "alert_onset")
 
@@ -171,7 +171,7 @@ def phase_schedule(spark, d):
 
 def playhead_rows(spark, d):
     """The row of the score timeline that a playhead shows, at three speeds."""
-    timeline = _timeline(spark, d).select(SEQUENCE, "time_s", "window_end_idx", "score", "top_group")
+    timeline = materialize(_timeline(spark, d).select(SEQUENCE, "time_s", "window_end_idx", "score", "top_group"), "timeline")
     heads = drive.playheads(timeline, SEQUENCE, "time_s", PLAYHEAD_S, PLAYHEAD_SPEEDS)
     return drive.nearest(heads, timeline, SEQUENCE, "time_s", ["window_end_idx", "score", "top_group"])
 
