@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import ACCEL, ADAPTIVE_ROWS, GYRO, RAW, SCORE_STRIDE, SEQUENCE, SEVERITY, STEP, TIME, WINDOW
 from ..sources.scratch import materialize
-from .evaluate import quiet_segments, spaced_out
+from .evaluate import quiet_surroundings, spaced_out
 from .inject import DROPOUT_PERIOD, DURATION, HARD_CLIP, JITTER, LAG_ROWS, LEAKAGE, ROTATION_DEG, TARGET, motion_gates, noise_table, robust_scales, warp_table
 
 SEPARATOR = "#"
@@ -30,11 +30,13 @@ def quiet_placements(annotated: DataFrame, rows: DataFrame, kinds: list[str], co
     these the ones with the lowest scores that lie ``gap`` rows apart are chosen, best first.
     """
     lengths = rows.groupBy(SEQUENCE).agg(F.count(F.lit(1)).alias("n"))
-    by_duration = [quiet_segments(annotated, lengths, d, stride).withColumn("duration", F.lit(d)) for d in sorted({DURATION[k] for k in kinds})]
-    quiet = reduce(DataFrame.unionByName, by_duration)
-    named = F.array(*(F.struct(F.lit(k).alias("anomaly_type"), F.lit(DURATION[k]).alias("duration"), motion_gates(k).alias("fits")) for k in kinds))
-    fits = rows.select(SEQUENCE, F.col(STEP).alias("start_index"), F.explode(named).alias("f")).select(SEQUENCE, "start_index", "f.*").where("fits").drop("fits")
-    candidates = materialize(quiet.join(fits, [SEQUENCE, "start_index", "duration"]), "quiet-places")
+    quiet = quiet_surroundings(annotated, lengths, sorted({DURATION[k] for k in kinds}), stride)
+    motion = rows.select(SEQUENCE, F.col(STEP).cast("long").alias("start_index"), *(motion_gates(k).alias(f"fits_{k}") for k in kinds))
+    # The starts are made from few rows by an explode, which the planner takes for few rows: it must not broadcast them.
+    met = quiet.join(motion.hint("merge"), [SEQUENCE, "start_index"])
+    named = F.array(*(F.when(F.col(f"fits_{k}"), F.struct(F.lit(k).alias("anomaly_type"), F.col(f"d{DURATION[k]}").alias("seen"))) for k in kinds))
+    each = met.select(SEQUENCE, "start_index", F.explode(F.filter(named, lambda f: f["seen"].isNotNull())).alias("f"))
+    candidates = materialize(each.select(SEQUENCE, "start_index", "f.anomaly_type", "f.seen.*"), "quiet-places")
     chosen = spaced_out(candidates, count, gap, [SEQUENCE, "anomaly_type"])
     return chosen.select(SEQUENCE, "anomaly_type", F.col("choice").alias("placement_index"), "start_index")
 
@@ -72,7 +74,7 @@ def _edits(df: DataFrame, trials: DataFrame, warps: DataFrame) -> DataFrame:
     out = out.withColumn("after", F.when(F.col("part") > 0, F.col("source") + 1).otherwise(F.col("source")))
     for name in ("source", "after"):
         read = df.select(SEQUENCE, F.col(STEP).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in RAW))
-        out = out.join(read, [SEQUENCE, name])
+        out = out.join(read.hint("merge"), [SEQUENCE, name])
     return out.select(SEQUENCE, "trial", STEP, *((F.col(f"source_{c}") + (F.col(f"after_{c}") - F.col(f"source_{c}")) * F.col("part")).alias(f"read_{c}") for c in RAW))
 
 
@@ -87,9 +89,10 @@ def inject_trials(df: DataFrame, trials: DataFrame, seed: int = 0, placements: i
     warps = [("timestamp_jitter", s, p, i, low, part) for s in JITTER for p in seeds for i, low, part in warp_table(s, seed + p, DURATION["timestamp_jitter"])]
     warp = spark.createDataFrame(warps, "anomaly_type string, severity string, placement_index int, k long, low long, part double")
     wide = trials.withColumn(STEP, F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), start - margin), F.col("end_index") + margin)))
-    base = wide.join(df.select(SEQUENCE, TIME, STEP, *RAW), [SEQUENCE, STEP])
+    # Rows made by an explode of few rows: the planner takes them for few and would send them through the driver.
+    base = wide.join(df.select(SEQUENCE, TIME, STEP, *RAW).hint("merge"), [SEQUENCE, STEP])
     base = base.withColumns({"k": step - start, "inside": step.between(start, F.col("end_index"))})
-    base = base.join(_edits(df, trials, warp), [SEQUENCE, "trial", STEP], "left")
+    base = base.join(_edits(df, trials, warp).hint("merge"), [SEQUENCE, "trial", STEP], "left")
     base = base.join(robust_scales(df, {"gyro": GYRO, "accel": ACCEL, "mixed": ACCEL + GYRO}), SEQUENCE)
     noise = [(p, i, *map(float, row)) for p in seeds for i, row in enumerate(noise_table(seed + p, DURATION["noise_burst"]))]
     table = spark.createDataFrame(noise, ", ".join(["placement_index int", "k long", *(f"noise_{c} double" for c in ACCEL + GYRO)]))

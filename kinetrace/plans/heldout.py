@@ -34,7 +34,7 @@ def _context(spark, d, tel: DataFrame) -> DataFrame:
 
 
 def _adaptive(timeline: DataFrame) -> DataFrame:
-    return adaptive.adaptive_alerts(timeline, k=CONSECUTIVE)
+    return adaptive.adaptive_alerts(materialize(timeline, "timeline"), k=CONSECUTIVE)
 
 
 def heldout_candidates(spark, d):
