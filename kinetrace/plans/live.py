@@ -19,8 +19,8 @@ from ..streaming.ordered import DAY_MS
 from ..streaming.sinks import BatchLog
 from . import base
 
-#: Micro-batches of a query's stream.
-TRIGGERS = 4
+#: Micro-batches of a query's stream at least, and rows of one on average: a key's worker holds those of its key.
+TRIGGERS, TRIGGER_ROWS = 4, 1_000_000
 #: A score that about a fifth of the windows of the test tables exceed.
 STREAM_THRESHOLD = 0.163
 #: By how much records are late at most: rows of the score timeline, seconds of drive rows, milliseconds of commands.
@@ -41,7 +41,7 @@ PLAYHEAD_S, PLAYHEAD_SPEEDS = 600.0, [1, 4, 10]
 
 
 def replay(source: DataFrame, build, time: str, late: float = 0.0, clock: DataFrame | None = None, log: type[BatchLog] | None = None) -> DataFrame:
-    """What ``build`` makes of ``source``, streamed in TRIGGERS micro-batches.
+    """What ``build`` makes of ``source``, streamed in TRIGGERS micro-batches, or more of about TRIGGER_ROWS each.
 
     A row arrives up to ``late`` after its ``time``, by its hash.  ``clock`` has records that
     arrive after all others.  Rows come out in append mode, into files or a log.
@@ -51,12 +51,16 @@ def replay(source: DataFrame, build, time: str, late: float = 0.0, clock: DataFr
     stored = spark.read.schema(source.schema).parquet(f"{folder}/all")
     at = F.col(time).cast("double")
     arrives = at + F.pmod(F.xxhash64(*source.columns), F.lit(1000)) / 1000 * late
-    first, last = stored.agg(F.min(at), F.max(at)).first()
+    first, last, rows = stored.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
     span = (last or 0.0) - (first or 0.0) + late
-    part = F.least(F.lit(TRIGGERS - 1), F.floor((arrives - F.lit(first or 0.0)) * TRIGGERS / F.lit(span * 1.0001 + 1e-9)))
+    triggers = max(TRIGGERS, -(-rows // TRIGGER_ROWS))
+    part = F.least(F.lit(triggers - 1), F.floor((arrives - F.lit(first or 0.0)) * triggers / F.lit(span * 1.0001 + 1e-9))).cast("int")
+    # Dealt once into a folder each, so that a micro-batch reads its own rows and not the whole table again.
+    stored.withColumn("__trigger", part).repartition("__trigger").write.partitionBy("__trigger").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in source.dtypes)}, __trigger int").parquet(f"{folder}/dealt")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for k in range(TRIGGERS):
-        stored.where(part == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    for k in range(triggers):
+        dealt.where(F.col("__trigger") == k).drop("__trigger").repartition(files).write.mode("append").parquet(f"{folder}/in")
     if clock is not None:
         clock.select(*(F.col(n).cast(t) if n in clock.columns else F.lit(None).cast(t).alias(n) for n, t in source.dtypes)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     out = build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))

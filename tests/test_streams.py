@@ -158,3 +158,21 @@ def test_nearest_takes_the_first_of_equals(spark):
     asked = spark.createDataFrame([("s", x) for x in (0.0, 1.0, 2.0, 2.1, 3.0, 6.0, 6.1, 99.0)] + [("none", 1.0)], "k string, at double")
     got = {(r.k, r["at"]): (r.t, r.i) for r in drive.nearest(asked, rows, "k", "t", ["i"]).collect()}
     assert got == {("s", 0.0): (1.0, 1), ("s", 1.0): (1.0, 1), ("s", 2.0): (1.0, 1), ("s", 2.1): (3.0, 2), ("s", 3.0): (3.0, 2), ("s", 6.0): (3.0, 2), ("s", 6.1): (9.0, 4), ("s", 99.0): (9.0, 4), ("none", 1.0): (None, None)}
+
+
+def test_micro_batches_are_bounded(spark, monkeypatch):
+    """A larger table makes more micro-batches, not larger ones, and the same rows."""
+    from kinetrace.plans import live
+
+    monkeypatch.setattr(live, "TRIGGER_ROWS", 30)
+    sizes = []
+
+    class Log(live.BatchLog):
+        def __call__(self, df, batch):
+            sizes.append(df.count())
+            super().__call__(df, batch)
+
+    rows = spark.range(300).selectExpr("id", "cast(id as double) as t")
+    out = live.replay(rows, lambda s: s, "t", late=5.0, log=Log)
+    assert sorted(r["id"] for r in out.collect()) == list(range(300))
+    assert len(sizes) == 10 and max(sizes) <= 60
