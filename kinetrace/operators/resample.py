@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_time, norm
 from ..functions.contracts import ACCEL, GYRO, QUATERNION, SEQUENCE, STEP, TIME
+from ..sources.scratch import materialize
+from . import blocks
 from .clean import repair_quaternion_signs
 from .quantiles import exact_quantiles
 
@@ -25,7 +27,7 @@ def uniform_grid(df: DataFrame, step_ns: int) -> DataFrame:
 def interpolate(grid: DataFrame, source: DataFrame, columns: list[str], clamp_ends: bool) -> DataFrame:
     """Values of ``source`` on the times of ``grid``, between both neighbours.
 
-    Grid and source rows are sorted together, once in each direction; the last row
+    Grid and source rows are sorted together in parts of time, once in each direction; the last row
     before and the first row after are taken over ranges of time, so rows at the
     same time see each other.  Outside the source's span the value is the nearest one if
     ``clamp_ends``, else null.
@@ -34,10 +36,14 @@ def interpolate(grid: DataFrame, source: DataFrame, columns: list[str], clamp_en
     both = source.select(SEQUENCE, TIME, cell.alias("s"), F.lit(False).alias("on_grid")).unionByName(
         grid.select(SEQUENCE, TIME).withColumns({"s": F.lit(None).cast(source.select(cell.alias("s")).schema["s"].dataType), "on_grid": F.lit(True)})
     )
+    # A part gets the source's last row before it and the first one behind it as rows of its own.
+    parted = blocks.by_time(materialize(both, "to-interpolate"), TIME)
+    ends = [blocks.carried(parted, [SEQUENCE], F.col("s"), F.col(TIME), last).select(SEQUENCE, F.col("c.t").alias(TIME), F.col("c").alias("s"), F.lit(False).alias("on_grid"), blocks.PART) for last in (True, False)]
+    both = parted.unionByName(ends[0]).unionByName(ends[1])
     # Both frames grow from their start, so each is one pass; a frame that looks ahead would be quadratic.
-    latest = F.last("s", ignorenulls=True)
-    before = latest.over(in_time().rangeBetween(Window.unboundedPreceding, 0))
-    after = latest.over(Window.partitionBy(SEQUENCE).orderBy(F.desc(TIME)).rangeBetween(Window.unboundedPreceding, 0))
+    latest, keys = F.last("s", ignorenulls=True), [SEQUENCE, blocks.PART]
+    before = latest.over(Window.partitionBy(*keys).orderBy(TIME).rangeBetween(Window.unboundedPreceding, 0))
+    after = latest.over(Window.partitionBy(*keys).orderBy(F.desc(TIME)).rangeBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"a": before, "b": after}).where("on_grid")
     part = F.when(F.col("a.t") == F.col("b.t"), 0.0).otherwise((F.col(TIME) - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import rounded
 from kinetrace.functions.contracts import RAW, SEQUENCE, STEP, TIME
-from kinetrace.operators import adaptive, blocks, evaluate, score
+from kinetrace.operators import adaptive, blocks, evaluate, resample, score
 from kinetrace.plans import base
 
 DATA = "/root/testdata/sf0.01"
@@ -87,3 +87,13 @@ def test_quiet_places_by_brute_force(spark, monkeypatch):
     assert [(r["sequence_name"], r["start_index"]) for r in found] == [key(r) for r in sorted(want)] and found
     for r, w in zip(found, sorted(want), strict=True):
         assert r["region_max_score"] == pytest.approx(w[2], abs=2e-6) and r["baseline_score"] == pytest.approx(w[3], abs=2e-6)
+
+
+@pytest.mark.parametrize("clamp", [True, False])
+def test_interpolation_in_parts(spark, monkeypatch, clamp):
+    """Parts without source rows take their neighbours from far off."""
+    source = spark.createDataFrame([(s, t, float(t * t)) for s in "ab" for t in (10, 11, 12, 500, 501, 900)], f"{SEQUENCE} string, {TIME} long, v double")
+    grid = spark.createDataFrame([(s, t) for s in "abc" for t in range(0, 1000, 7)], f"{SEQUENCE} string, {TIME} long")
+    want = spark_rows(resample.interpolate(grid, source, ["v"], clamp))
+    monkeypatch.setattr(blocks, "TIME_ROWS", 15)
+    assert spark_rows(resample.interpolate(grid, source, ["v"], clamp)) == want and len(want) == 429
