@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, yaw
+from ..sources.scratch import materialize
+from . import blocks
 
 #: Metres a second for one raw unit of speed. Fixed value.
 VISUAL_MPS_PER_RAW = 0.44631542573761773
@@ -207,12 +209,18 @@ def control_ticks(records: DataFrame, key: str, **settings) -> DataFrame:
 
 def gate_opens(rows: DataFrame, key: str, time: str, ready: Column, hold_s: float) -> DataFrame:
     """(key, opened): the first time at which ``ready`` has held for ``hold_s`` without a break."""
-    w = Window.partitionBy(key).orderBy(time)
-    flagged = rows.withColumn("_ready", F.coalesce(ready, F.lit(False)))
-    broken = F.sum((~F.col("_ready")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    islands = flagged.withColumn("_island", broken).where("_ready")
-    held = islands.withColumn("_since", F.min(time).over(Window.partitionBy(key, "_island").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
-    return held.where(F.col(time) - F.col("_since") >= hold_s).groupBy(key).agg(F.min(time).alias("opened"))
+    flagged = rows.select(key, F.col(time).alias("_t"), F.coalesce(ready, F.lit(False)).alias("_ready"))
+    w = Window.partitionBy(key, blocks.PART).orderBy("_t")
+    # Runs are parted by time: a part begins with the row before it, and with the start of what holds there.
+    parted = blocks.by_time(flagged, "_t")
+    before = blocks.carried(parted, [key], F.struct("_t", "_ready"), F.col("_t")).select(key, blocks.PART, "c.*", F.lit(True).alias("_copy"))
+    both = parted.withColumn("_copy", F.lit(False)).unionByName(before)
+    begins = F.when(F.col("_ready") & ~F.coalesce(F.lag("_ready").over(w), F.lit(False)), F.col("_t"))
+    begun = both.withColumn("_begin", begins).where("not _copy")
+    since = blocks.carried(begun, [key], F.col("_begin"), F.col("_begin")).select(key, blocks.PART, F.col("c").alias("_begin"), F.lit(True).alias("_copy"))
+    latest = F.last("_begin", ignorenulls=True).over(Window.partitionBy(key, blocks.PART).orderBy(F.desc("_copy"), "_t").rowsBetween(Window.unboundedPreceding, 0))
+    held = begun.unionByName(since, allowMissingColumns=True).withColumn("_since", latest).where("not _copy and _ready")
+    return held.where(F.col("_t") - F.col("_since") >= hold_s).groupBy(key).agg(F.min("_t").alias("opened"))
 
 
 def phase_schedule(rows: DataFrame, key: str, time: str, ready: Column, hold_s: float, plan: list[tuple[str, float, dict[str, float]]], before: str = "startup", after: str = "done") -> DataFrame:
@@ -223,7 +231,8 @@ def phase_schedule(rows: DataFrame, key: str, time: str, ready: Column, hold_s:
     """
     names, deadlines = list(plan[0][2]), [sum(p[1] for p in plan[: k + 1]) for k in range(len(plan))]
     t = F.col(time) - F.col("opened")
-    found = rows.join(gate_opens(rows, key, time, ready, hold_s), key, "left")
+    # Written, a row a run: its size is known, so rows are not sorted by run for it.
+    found = rows.join(materialize(gate_opens(rows, key, time, ready, hold_s), "gates"), key, "left")
     steps = [(before, plan[0][2], None, t < 0), *((name, command, end - seconds, t < end) for (name, seconds, command), end in zip(plan, deadlines, strict=True))]
 
     def chosen(value):

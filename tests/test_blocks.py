@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import rounded
 from kinetrace.functions.contracts import RAW, SEQUENCE, STEP, TIME
-from kinetrace.operators import adaptive, blocks, evaluate, resample, score
+from kinetrace.operators import adaptive, blocks, drive, evaluate, resample, score
 from kinetrace.plans import base
 
 DATA = "/root/testdata/sf0.01"
@@ -97,3 +97,13 @@ def test_interpolation_in_parts(spark, monkeypatch, clamp):
     want = spark_rows(resample.interpolate(grid, source, ["v"], clamp))
     monkeypatch.setattr(blocks, "TIME_ROWS", 15)
     assert spark_rows(resample.interpolate(grid, source, ["v"], clamp)) == want and len(want) == 429
+
+
+def test_gates_in_parts(spark, monkeypatch):
+    """A gate that opens, or is broken, in another part than it began."""
+    bad = {"a": {3, 40, 41}, "b": set(range(0, 100, 9)), "c": {10}}
+    rows = spark.createDataFrame([(k, float(t), t not in b) for k, b in bad.items() for t in range(100) if (k, t % 50 // 30) != ("c", 1)], "run string, t double, ok boolean")
+    want = [("a", 34.0), ("c", 50.0)]
+    assert spark_rows(drive.gate_opens(rows, "run", "t", F.col("ok"), 30.0).select(F.col("run").alias("a"), F.col("opened").alias("b"))) == want
+    monkeypatch.setattr(blocks, "TIME_ROWS", 12)
+    assert spark_rows(drive.gate_opens(rows, "run", "t", F.col("ok"), 30.0).select(F.col("run").alias("a"), F.col("opened").alias("b"))) == want
