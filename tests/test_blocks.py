@@ -107,3 +107,41 @@ def test_gates_in_parts(spark, monkeypatch):
     assert spark_rows(drive.gate_opens(rows, "run", "t", F.col("ok"), 30.0).select(F.col("run").alias("a"), F.col("opened").alias("b"))) == want
     monkeypatch.setattr(blocks, "TIME_ROWS", 12)
     assert spark_rows(drive.gate_opens(rows, "run", "t", F.col("ok"), 30.0).select(F.col("run").alias("a"), F.col("opened").alias("b"))) == want
+
+
+def test_windows_by_brute_force(spark, monkeypatch):
+    """Nulls count for nothing, NaN is the largest, a window needs all its rows, and parts cut no window."""
+    import random
+
+    rng, columns = random.Random(3), [f"r_{c}" for c in RAW]
+    cell = lambda s, i: None if i % 97 == 5 and s == "a" else float("nan") if (s, i) == ("b", 77) else rng.random()
+    rows = [(s, 10**9 * (i + 1), i, *(cell(s, i) for _ in columns)) for s, first, n in (("a", 0, 700), ("b", 3, 400), ("c", 0, 149)) for i in range(first, first + n)]
+    df = spark.createDataFrame(rows, f"{SEQUENCE} string, {TIME} long, {STEP} long, {', '.join(f'{c} double' for c in columns)}").repartition(5)
+    want = []
+    for s in "ab":
+        own = {r[2]: r for r in rows if r[0] == s}
+        for start in (i for i in own if i % 5 == 0 and i + 149 in own):
+            means = [sum(own[i][3:]) / 10 for i in range(start, start + 150) if None not in own[i][3:]]
+            top = sum(sorted(means, key=lambda x: (x != x, x))[-8:]) / 8
+            want.append((s, start, (start + 149 - min(own)) * 1.0, None if top != top else round(top, 6)))
+    for part in (20_000, 60):
+        monkeypatch.setattr(blocks, "PART_ROWS", part)
+        got = score.window_scores(df).select(SEQUENCE, "window_start_idx", "time_s", F.round("score", 6).alias("z"))
+        assert spark_rows(got.toDF("a", "b", "c", "d")) == sorted(want, key=str)
+
+
+def test_timeline_reads_its_rows_once(spark):
+    """Scores and the times that they are counted from come from one pass over the rows."""
+    assert not any("events" in f for f in _timeline(spark).inputFiles())
+
+
+def test_residuals_of_models_by_hand(spark):
+    """What rows lose when they are projected by their own sequence's model; empty batches and nulls pass."""
+    from kinetrace.operators import models
+
+    made = spark.createDataFrame([("a", [1.0, 2.0], [2.0, 1.0], [0.5, 0.5, 0.5, 0.5]), ("b", [0.0, 0.0], [1.0, 1.0], [1.0, 0.0, 0.0, 0.0])], f"{SEQUENCE} string, mean array<double>, scale array<double>, projector array<double>")
+    rows = spark.createDataFrame([("a", 1, 5.0, 2.0), ("b", 2, 3.0, 4.0), ("b", 3, None, 4.0), ("c", 4, 1.0, 1.0)], f"{SEQUENCE} string, {STEP} int, x double, y double").repartition(9)
+    got = models.pca_residuals(rows, ["x", "y"], made)
+    assert got.columns == [SEQUENCE, STEP, "x", "y", "r_x", "r_y"]
+    assert spark_rows(got.select(F.col(STEP).alias("a"), F.col("r_x").alias("b"), F.col("r_y").alias("c"))) == [(1, 1.0, 1.0), (2, 0.0, 16.0), (3, None, None)]
+    assert models.pca_residuals(rows.where("x > 100"), ["x", "y"], made).count() == 0
