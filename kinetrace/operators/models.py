@@ -2,8 +2,8 @@
 
 Second moments are summed up once per sequence; a fold's are the total less those
 of the sequence it leaves out, so no row is read twice for the folds.  Only a
-matrix of the channels' width goes to numpy, a row per fold, in tasks; scores are column
-expressions over rows that are joined with their fold's model.
+matrix of the channels' width goes to numpy, a row per fold, in tasks; rows are joined
+with their fold's model, and a task projects a batch of them at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +78,24 @@ def fit(moments: DataFrame, columns: list[str], least: float = LEAST_VARIANCE) -
 
 
 def pca_residuals(df: DataFrame, columns: list[str], models: DataFrame, key: str = SEQUENCE) -> DataFrame:
-    """Squared distance of each normalised value to its projection, with the model of the row's ``key``."""
-    width = len(columns)
-    joined = df.join(models.select(F.col(SEQUENCE).alias(key), "mean", "scale", "projector"), key)
-    joined = joined.withColumns({f"z_{c}": (F.col(c) - F.col("mean")[k]) / F.col("scale")[k] for k, c in enumerate(columns)})
-    out = {}
-    for k, c in enumerate(columns):
-        back = sum((F.col("projector")[k * width + j] * F.col(f"z_{o}") for j, o in enumerate(columns) if j), F.col("projector")[k * width] * F.col(f"z_{columns[0]}"))
-        out[f"r_{c}"] = F.pow(F.col(f"z_{c}") - back, F.lit(2.0))
-    return joined.withColumns(out).drop("mean", "scale", "projector", *(f"z_{c}" for c in columns))
+    """Squared distance of each normalised value to its projection, with the model of the row's ``key``; null where a value is null."""
+    width, names = len(columns), df.columns
+
+    def run(batches):
+        for batch in batches:
+            mean, scale, projector = (np.asarray(batch.column(c).flatten()).reshape(-1, size) for c, size in (("mean", width), ("scale", width), ("projector", width * width)))
+            z = [(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) - mean[:, k]) / scale[:, k] for k, c in enumerate(columns)]
+            missing = np.any([batch.column(c).is_null() for c in columns], axis=0)
+            out = []
+            for k in range(width):
+                back = projector[:, k * width] * z[0]
+                for j in range(1, width):
+                    back = back + projector[:, k * width + j] * z[j]
+                out.append(pa.array(np.square(z[k] - back), mask=missing))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + out, [*names, *(f"r_{c}" for c in columns)])
+
+    joined = df.join(models.select(F.col(SEQUENCE).alias(key), "mean", "scale", "projector"), key).select(*names, "mean", "scale", "projector")
+    return joined.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`r_{c}` double" for c in columns)]))
 
 
 def search_trials(spark: SparkSession, grid: dict[str, list], count: int, seed: int) -> DataFrame:
