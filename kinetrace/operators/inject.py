@@ -49,7 +49,8 @@ def robust_scales(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     of = {c: [g for g, columns in groups.items() if c in columns] for c in dict.fromkeys(c for columns in groups.values() for c in columns)}
     cells = F.array(*(F.struct(F.lit(g).alias("g"), F.col(c).alias("x")) for c, gs in of.items() for g in gs))
     long = df.select(SEQUENCE, F.explode(cells).alias("cell")).select(SEQUENCE, "cell.*")
-    middle = exact_quantiles(long, [SEQUENCE, "g"], "x", [0.5]).select(SEQUENCE, "g", F.col("q")[0].alias("m"))
+    # Written, a few rows a sequence: their size is known, so values are not shuffled for them.
+    middle = materialize(exact_quantiles(long, [SEQUENCE, "g"], "x", [0.5]).select(SEQUENCE, "g", F.col("q")[0].alias("m")), "middles")
     far = long.join(middle, [SEQUENCE, "g"]).withColumn("away", F.abs(F.col("x") - F.col("m")))
     far = exact_quantiles(far, [SEQUENCE, "g"], "away", [0.5]).select(SEQUENCE, "g", F.col("q")[0].alias("scale"))
     scale = F.when(F.col("scale") <= 1e-6, 1.0).otherwise(F.col("scale"))
@@ -121,17 +122,19 @@ def inject_in_turn(df: DataFrame, events: DataFrame, plan: list[tuple[str, str]]
     rewritten: only a fault's scales, a number a sequence, are worked out and written before the next one.
     """
     names = [f"__start{k}" for k in range(1, len(plan) + 1)]
+    # Written, a row a sequence, so that rows are not shuffled for them nor faults worked out again.
+    last = materialize(df.groupBy(SEQUENCE).agg(F.max(STEP).alias("__last")), "lengths")
     starts = events.groupBy(SEQUENCE).agg(*(F.max(F.when(F.col("event_order") == k, F.col("start_index"))).alias(n) for k, n in enumerate(names, 1)))
-    out = df.join(starts, SEQUENCE, "left")
+    out = df.join(materialize(starts, "starts"), SEQUENCE, "left")
     for k, (kind, severity) in enumerate(plan):
-        out = inject_at(out.withColumn(START, F.col(names[k])), kind, severity, seed + k, lambda scale: materialize(scale, "scale"))
+        out = inject_at(out.withColumn(START, F.col(names[k])), kind, severity, seed + k, lambda scale: materialize(scale, "scale"), last)
     return out.select(*df.columns)
 
 
-def inject_at(df: DataFrame, kind: str, severity: str, seed: int = 0, keep=lambda scale: scale) -> DataFrame:
+def inject_at(df: DataFrame, kind: str, severity: str, seed: int = 0, keep=lambda scale: scale, last: DataFrame | None = None) -> DataFrame:
     """Write one fault into each sequence, from the row that its column START names; null: nowhere.
 
-    ``keep`` may write the scales, so that they are worked out once.
+    ``keep`` may write the scales, so that they are worked out once; ``last`` has each sequence's last row number, where it is known.
     """
     if kind not in DURATION:
         raise ValueError(f"unknown fault: {kind}")
@@ -139,8 +142,7 @@ def inject_at(df: DataFrame, kind: str, severity: str, seed: int = 0, keep=lambd
         raise ValueError(f"unknown severity: {severity}")
     columns = df.columns
     i, start, spark = F.col(STEP), F.col(START), df.sparkSession
-    counts = df.groupBy(SEQUENCE).agg(F.max(STEP).alias("__last"))
-    df = df.join(counts, SEQUENCE)
+    df = df.join(df.groupBy(SEQUENCE).agg(F.max(STEP).alias("__last")) if last is None else last, SEQUENCE)
     end = F.least(F.col("__last"), start + (DURATION[kind] - 1))
     inside, offset, rows = (i >= start) & (i <= end), i - start, end - start + 1
     group = {"gyro": GYRO, "accel": ACCEL}.get(TARGET[kind], ACCEL + GYRO)

@@ -76,7 +76,7 @@ def replay_timeline(spark, d):
     tel = _rows(spark, d)
     events = inject.demo_schedule(base.lengths(tel), DEMO_PLAN, WINDOW)
     clean = materialize(scored(tel), "clean-timeline")
-    threshold = score.percentile_threshold(clean, 99.0, [SEQUENCE])
+    threshold = materialize(score.percentile_threshold(clean, 99.0, [SEQUENCE]), "thresholds")
     demo = scored(inject.inject_in_turn(tel, events, DEMO_PLAN, seed=7)).join(events.select(SEQUENCE).distinct(), SEQUENCE, "left_semi")
     none = evaluate.timeline_events(score.annotate(clean, threshold, CONSECUTIVE), events.limit(0)).withColumn("replay_mode", F.lit("clean"))
     some = evaluate.timeline_events(score.annotate(demo, threshold, CONSECUTIVE), events).withColumn("replay_mode", F.lit("demo"))
