@@ -58,8 +58,8 @@ LIKELY_AGREEMENT = 48
 #: Counters of shingles in crowded regions, as powers of two: one a shingle, within these bounds; how many are added up together.
 LEAST_COUNTERS, MOST_COUNTERS, COUNTERS_A_PART = 16, 24, 12
 SALTS = 64
-#: Words whose hash a worker keeps.
-CACHE = 1_000_000
+#: Words whose hash a worker keeps; it keeps them for its whole life, beside what later stages load.
+CACHE = 100_000
 
 
 class _WordHashes(dict):
@@ -259,16 +259,17 @@ def shingle_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     parts = 1 << (bits - COUNTERS_A_PART)
 
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _counter(shingles(text, width), bits), 1)
         rows = total.reshape(parts, -1)
         full = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[k].tobytes() for k in full], pa.binary())], ["part", "counts"])
+        for some in (full[i : i + 256] for i in range(0, len(full), 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "counts"])
 
     def add(table):
-        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
     out = np.zeros((parts, 1 << COUNTERS_A_PART), np.int32)

@@ -38,7 +38,7 @@ STEPS, RATE, DECAY, FIRST_BIAS = 200, 0.25, 1e-5, -10.0
 SENTENCE = re.compile(rb"[.!?\n\r]+")
 EDGES = b"\"'`.,;:()[]{}<>*#$%&|-_~^"
 #: Entries of a worker's table of words, which is emptied beyond them.
-CACHE = 500_000
+CACHE = 100_000
 
 
 def word_keys(token: bytes) -> list[int]:

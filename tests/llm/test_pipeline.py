@@ -54,3 +54,36 @@ def test_edges(spark):
     assert packed.groupBy("doc_id").count().count() == len({i for i, _ in EDGES})
     for name, stage in stages.items():
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_tables_of_words_stay_small():
+    """What a worker keeps of words, for stages that come after as well."""
+    import sys
+
+    import numpy as np
+
+    from kinetrace.llm import near_dedup, toxicity
+
+    size = lambda table: sys.getsizeof(table) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in table.items())
+    tables = [near_dedup._WordHashes(), toxicity.Model(np.array([], dtype=np.uint64), np.array([]), 0.0).table()]
+    most = 0
+    for table in tables:
+        for i in range(400_000):
+            table[b"word-%d" % i]
+            most = max(most, len(table))
+    assert sum(map(size, tables)) < 40e6 and most < 200_000
+
+
+def test_batches_to_workers_are_short(spark):
+    """Texts go to workers in short batches, and the session's setting is put back."""
+    import pyarrow as pa
+
+    from kinetrace.llm.common import BATCH_SETTING, materialize
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(BATCH_SETTING)
+    got = materialize(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes").agg({"n": "max", "*": "count"}).first()
+    assert sorted(got) == [5, 1000] and spark.conf.get(BATCH_SETTING) == before
