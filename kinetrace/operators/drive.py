@@ -134,19 +134,36 @@ class CommandShim:
         return self.log(*reading)[-3:]
 
 
+def _of_parts(df: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """A row for each key and part of time, written."""
+    return materialize(df.groupBy(key, blocks.PART).agg(*(v.alias(n) for n, v in values.items())), "parts")
+
+
+def _earlier(key: str, column: str) -> Column:
+    """The last value that is not null in the parts before."""
+    return F.last(column, ignorenulls=True).over(Window.partitionBy(key).orderBy(blocks.PART).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def controlled(ticks: DataFrame, key: str, time: str, **settings) -> DataFrame:
     """TICK_LOG of ticks (key, time, dt, age, speed, steer, acceleration, actual); a null age is stale.
 
     Only the integral depends on ticks before, and it starts anew at every stop.  So
     ticks are parted at stops, and a task carries the integral through the rows of its
-    parts as they come, whatever their number.
+    parts as they come, whatever their number.  Stops are looked for in parts of time where ticks have them (PART).
     """
     s = CommandShim(**settings)
     stale = F.coalesce(F.col("age") > s.timeout_s, F.lit(True))
     df = ticks.withColumns({n: F.when(stale, 0.0).otherwise(F.col(c)) for n, c in (("desired_speed", "speed"), ("desired_steer", "steer"), ("desired_acceleration", "acceleration"))})
     stopped = F.abs("desired_speed") < s.deadband
-    w = Window.partitionBy(key).orderBy(time)
-    df = df.withColumns({"speed_error": F.col("desired_speed") - F.col("actual"), "_stopped": stopped, "_part": F.sum(stopped.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    df = df.withColumns({"speed_error": F.col("desired_speed") - F.col("actual"), "_stopped": stopped})
+    if blocks.PART in df.columns:
+        # Runs are named by the stop that they follow; a part gets the last one of the parts before.
+        before = _of_parts(df, key, {"_stop": F.max(F.when(F.col("_stopped"), F.col(time)))}).select(key, blocks.PART, _earlier(key, "_stop").alias("_stop"))
+        w = Window.partitionBy(key, blocks.PART).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last(F.when(F.col("_stopped"), F.col(time)), ignorenulls=True).over(w)
+        df = df.join(before, [key, blocks.PART]).withColumn("_part", F.coalesce(last, "_stop", F.lit(-1))).drop("_stop", blocks.PART)
+    else:
+        df = df.withColumn("_part", F.sum(F.col("_stopped").cast("long")).over(Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("_step", F.when(stopped, None).otherwise(F.col("speed_error") * F.col("dt")))
 
     def run(frames):
@@ -192,18 +209,26 @@ def control_ticks(records: DataFrame, key: str, **settings) -> DataFrame:
 
     Ticks lie on a grid of TICK_MS from a robot's first record.  Each record makes the ticks up to
     the next one, at most those of HOLD_MS, with what is newest then; so there is no
-    tick in a pause, and no join.  Of several records of a kind at one time the largest counts.
+    tick in a pause.  Records go in parts of time, so no task sorts a robot's whole log.  Of several records of a kind at one time the largest counts.
     """
     command, odometry = F.col("kind") == "command", F.col("kind") == "odometry"
     at = records.groupBy(key, "at_ms").agg(F.max(F.when(command, F.struct("at_ms", "speed", "steer", "acceleration"))).alias("c"), F.max(F.when(odometry, F.struct("at_ms", "vx"))).alias("o"))
-    w = Window.partitionBy(key).orderBy("at_ms")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    now = at.withColumns({"c": F.last("c", ignorenulls=True).over(upto), "o": F.last("o", ignorenulls=True).over(upto), "t0": F.first("at_ms").over(upto), "next": F.lead("at_ms").over(w)})
+    parted = blocks.by_time(materialize(at, "records"), "at_ms")
+    # What a part takes from the others: the newest of each kind before it, the next record behind it, and the robot's first.
+    ends = _of_parts(parted, key, {"c1": F.max("c"), "o1": F.max("o"), "a": F.min("at_ms")})
+    parts = Window.partitionBy(key).orderBy(blocks.PART)
+    ends = ends.select(key, blocks.PART, _earlier(key, "c1").alias("c0"), _earlier(key, "o1").alias("o0"), F.first("a").over(parts).alias("t0"), F.lead("a").over(parts).alias("behind"))
+    w = Window.partitionBy(key, blocks.PART).orderBy("at_ms")
+    newest = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), f"{c}0")
+    now = parted.join(ends, [key, blocks.PART]).withColumns({"c": newest("c"), "o": newest("o"), "next": F.coalesce(F.lead("at_ms").over(w), "behind")})
     first = F.ceil((F.col("at_ms") - F.col("t0")) / TICK_MS)
     last = F.floor((F.least(F.col("next") - 1, F.col("at_ms") + HOLD_MS) - F.col("t0")) / TICK_MS)
-    ticks = now.where(last >= first).withColumn("n", F.explode(F.sequence(first, last))).withColumn("tick_ms", F.col("t0") + F.col("n") * TICK_MS)
-    dt = F.greatest((F.col("tick_ms") - F.lag("tick_ms").over(Window.partitionBy(key).orderBy("tick_ms"))) / 1000, F.lit(1e-6))
-    read = ticks.select(key, "tick_ms", F.coalesce(dt, F.lit(1e-6)).alias("dt"), ((F.col("tick_ms") - F.col("c.at_ms")) / 1000).alias("age"), *(F.coalesce(f"c.{n}", F.lit(0.0)).alias(n) for n in ("speed", "steer", "acceleration")), (-F.coalesce("o.vx", F.lit(0.0))).alias("actual"))
+    now = materialize(now.select(key, blocks.PART, "c", "o", "t0", first.alias("n0"), last.alias("n1")).where("n1 >= n0"), "records-with-ticks")
+    before = _of_parts(now, key, {"_tick": F.max(F.col("t0") + F.col("n1") * TICK_MS)}).select(key, blocks.PART, _earlier(key, "_tick").alias("_tick"))
+    ticks = now.join(before, [key, blocks.PART]).withColumn("n", F.explode(F.sequence("n0", "n1"))).withColumn("tick_ms", F.col("t0") + F.col("n") * TICK_MS)
+    earlier = F.coalesce(F.lag("tick_ms").over(Window.partitionBy(key, blocks.PART).orderBy("tick_ms")), "_tick")
+    dt = F.greatest((F.col("tick_ms") - earlier) / 1000, F.lit(1e-6))
+    read = ticks.select(key, blocks.PART, "tick_ms", F.coalesce(dt, F.lit(1e-6)).alias("dt"), ((F.col("tick_ms") - F.col("c.at_ms")) / 1000).alias("age"), *(F.coalesce(f"c.{n}", F.lit(0.0)).alias(n) for n in ("speed", "steer", "acceleration")), (-F.coalesce("o.vx", F.lit(0.0))).alias("actual"))
     return controlled(read, key, "tick_ms", **settings).select(key, "tick_ms", *TICK_LOG, F.col("age").alias("command_age_s"))
 
 

@@ -145,3 +145,17 @@ def test_residuals_of_models_by_hand(spark):
     assert got.columns == [SEQUENCE, STEP, "x", "y", "r_x", "r_y"]
     assert spark_rows(got.select(F.col(STEP).alias("a"), F.col("r_x").alias("b"), F.col("r_y").alias("c"))) == [(1, 1.0, 1.0), (2, 0.0, 16.0), (3, None, None)]
     assert models.pca_residuals(rows.where("x > 100"), ["x", "y"], made).count() == 0
+
+
+def test_control_ticks_in_parts(spark, monkeypatch):
+    """Commands, pauses and stops that reach over parts of few records; no window takes a robot's whole log."""
+    from kinetrace.plans import live
+
+    records = live.command_records(spark, DATA).where("at_ms % 7 <> 3")
+    whole = spark_rows(rounded(drive.control_ticks(records, "run")))
+    monkeypatch.setattr(blocks, "TIME_ROWS", 500)
+    parts = drive.control_ticks(records, "run")
+    assert spark_rows(rounded(parts)) == whole and len(whole) > 1000
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    ticks = [line for line in plan.splitlines() if "Window [lag(tick_ms" in line]
+    assert ticks and all("__part" in line for line in ticks)
