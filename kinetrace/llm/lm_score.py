@@ -63,9 +63,17 @@ _ANSWERS = "sender long, path long, totals binary, known long, tokens long"
 def in_order(keys: np.ndarray) -> np.ndarray:
     """The places of 64-bit keys in the order of their upper half at least; the lower bits make room for the place."""
     bits = np.uint64(max(1, len(keys)).bit_length())
-    packed = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    packed = keys >> bits
+    packed <<= bits
+    packed |= np.arange(len(keys), dtype=np.uint64)
     packed.sort()
-    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    packed &= (np.uint64(1) << bits) - np.uint64(1)
+    return packed.astype(index_type(len(keys)))
+
+
+def index_type(size: int):
+    """The type of places among ``size`` things: most of a block's memory are such."""
+    return np.int32 if size < 1 << 31 else np.int64
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,72 +81,112 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = len(values).bit_length()
     if not len(values) or int(values.max()).bit_length() + bits > 63:
         return np.unique(values, return_inverse=True)
-    packed = (values << bits) | np.arange(len(values))  # sorting numbers is faster than sorting places
+    packed = values << bits  # sorting numbers is faster than sorting places
+    packed |= np.arange(len(values))
     packed.sort()
-    place, packed = packed & ((1 << bits) - 1), packed >> bits
+    kind = index_type(len(values))
+    place = (packed & ((1 << bits) - 1)).astype(kind)
+    packed >>= bits
     first = np.concatenate([[True], packed[1:] != packed[:-1]])
-    inverse = np.empty(len(values), np.int32)
-    inverse[place] = np.cumsum(first) - 1
+    inverse = np.empty(len(values), kind)
+    inverse[place] = np.cumsum(first, dtype=kind) - 1
     return packed[first], inverse
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text: how many, each one's place among the distinct ones, and the hashes of these."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = split.offsets.to_numpy()
+    n_words = np.diff(before[ends - ends[0]])
+    del split, before
+    words = words.filter(real)
+    coded = words.dictionary_encode()
+    del words
+    hashes = np.array([*map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False).tolist())], dtype=np.uint64)
+    return n_words, coded.indices.to_numpy(), hashes
+
+
+def _mix(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their contexts and last words; both are used up."""
+    before ^= before >> np.uint64(31)
+    before *= np.uint64(0x9E3779B97F4A7C15)
+    word *= np.uint64(0xBF58476D1CE4E5B9)
+    before += word
+    before ^= before >> np.uint64(29)
+    before *= np.uint64(0x94D049BB133111EB)
+    before ^= before >> np.uint64(32)
+    return before
+
+
 class BlockGrams:
     """The n-grams of a block's texts, as numbers from 0 for each length; words 0 and 1 are start and end."""
 
     def __init__(self, texts: pa.Array, order: int):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-        words = split.flatten()
-        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[real]
-        coded = words.filter(pa.array(real)).dictionary_encode()
-        n_words = np.bincount(owner, minlength=len(texts))
+        n_words, indices, hashes = _split(texts)
         self.order, self.lengths = order, n_words + 1
         #: Where each text's start stands, and the word at every place.
         self.begins = np.cumsum(n_words + 2) - (n_words + 2)
-        self.flat = np.empty(len(owner) + 2 * len(texts), dtype=np.int32)
+        self.flat = np.empty(len(indices) + 2 * len(texts), dtype=np.int32)
         self.flat[self.begins], self.flat[self.begins + self.lengths] = 0, 1
         inner = np.ones(len(self.flat), bool)
         inner[self.begins] = inner[self.begins + self.lengths] = False
-        self.flat[inner] = coded.indices.to_numpy() + 2
-        distinct_words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        mixed = np.array([START, END, *map(xxhash.xxh3_64_intdigest, distinct_words)], dtype=np.uint64)
-        place = np.arange(len(self.flat)) - np.repeat(self.begins, self.lengths + 1)
-        words, self.n_words = mixed, len(mixed)
-        #: For each length: hashes, context, last word and longest suffix of the distinct n-grams; the n-gram that ends at each place, or -1.
-        self.hashes, self.context, self.last, self.suffix, self.at = [(words << np.uint64(1)) | np.uint64(1)], [None], [np.arange(len(words))], [None], [self.flat]
+        self.flat[inner] = indices
+        self.flat[inner] += 2
+        del indices, inner
+        pa.default_memory_pool().release_unused()
+        words = mixed = np.concatenate([np.array([START, END], np.uint64), hashes])
+        self.n_words = len(words)
+        #: For each length: number, context, last word and longest suffix of the distinct n-grams; the n-gram that ends at each place, or -1.
+        self.sizes, self.context, self.last, self.suffix, self.at = [len(words)], [None], [np.arange(len(words), dtype=np.int32)], [None], [self.flat]
+        keys = [((words << np.uint64(1)) | np.uint64(1))[1:]]  # all but the start's
         for n in range(2, order + 1):
-            here = np.flatnonzero(place >= n - 1)
-            pairs, inverse = distinct(self.at[-1][here - 1].astype(np.int64) * len(words) + self.flat[here])
-            context, last = np.divmod(pairs, len(words))
-            before = mixed[context]
-            mixed = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[last] * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(32)
-            suffix = np.empty(len(pairs), np.int32)
+            whole = np.ones(len(self.flat), bool)
+            for i in range(n - 1):
+                whole[self.begins + np.minimum(i, self.lengths)] = False
+            here = np.flatnonzero(whole).astype(index_type(len(whole)))
+            values = self.at[-1][here - 1].astype(np.int64)
+            values *= len(words)
+            values += self.flat[here]
+            pairs, inverse = distinct(values)
+            del values, whole
+            context = (pairs // len(words)).astype(self.at[-1].dtype)
+            last = (pairs % len(words)).astype(np.int32)
+            suffix = np.empty(len(pairs), self.at[-1].dtype)
             suffix[inverse] = self.at[-1][here]
-            at = np.full(len(self.flat), -1, np.int32)
+            at = np.full(len(self.flat), -1, inverse.dtype)
             at[here] = inverse
-            self.hashes.append(mixed << np.uint64(1))  # even, those of words are odd
+            del pairs, inverse, here
+            mixed = _mix(mixed[context], words[last])
+            keys.append(mixed << np.uint64(1))  # even, those of words are odd
+            self.sizes.append(len(mixed))
             self.context.append(context)
             self.last.append(last)
             self.suffix.append(suffix)
             self.at.append(at)
+        del mixed
         #: The hashes of all n-grams but the start's, in order, and the places of the n-grams, shorter ones first, in it.
-        keys = np.concatenate(self.hashes)[1:]
+        keys = np.concatenate(keys)
         self.places = in_order(keys)
         self.keys = keys[self.places]
 
     def counts(self, training: np.ndarray) -> np.ndarray:
         """How often each of ``keys`` occurs in the training texts."""
         learnt = np.repeat(training, self.lengths + 1)
-        by_length = [np.bincount(at[learnt & (at >= 0)], minlength=len(hashes)) for at, hashes in zip(self.at, self.hashes, strict=True)]
+        by_length = [np.bincount(at[learnt & (at >= 0)], minlength=size) for at, size in zip(self.at, self.sizes, strict=True)]
         return np.concatenate(by_length)[1:][self.places].astype(np.uint64)
 
+    def forget_keys(self) -> None:
+        """Free what only requests and answers need."""
+        self.keys = self.places = None
+
     def by_length(self, totals: np.ndarray) -> list[np.ndarray]:
         """Totals of ``keys`` as one array for each length."""
         out = np.zeros(len(totals) + 1, np.uint64)
         out[self.places + 1] = totals
-        return np.split(out, np.cumsum([len(h) for h in self.hashes])[:-1])
+        return np.split(out, np.cumsum(self.sizes)[:-1])
 
 
 class BlockAutomaton:
@@ -149,36 +197,53 @@ class BlockAutomaton:
 
     def __init__(self, grams: BlockGrams, totals: list[np.ndarray], known: int, tokens: int, strengths: tuple[float, ...]):
         places = tokens + known + 1
-        p = (totals[0].astype(float) + 1) / places
+        kind = index_type(sum(grams.sizes))
         self.unknown = -np.log10(places)
-        # A context's count: how often a token follows it. The end has no follower, each training text has one start.
-        contexts = [totals[n].astype(float) for n in range(len(strengths))]
-        if contexts:
-            contexts[0][0] = totals[0][1]
-        states, fails, weights, n_states = [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
-        for n, count in enumerate(contexts):
+
+        def followed(n):
+            """How often a token follows each context. The end has no follower, each training text has one start."""
+            count = totals[n].astype(float)
+            if n == 0:
+                count[0] = totals[0][1]
+            return count
+
+        states, fails, weights, n_states = [], [np.zeros(1, kind)], [np.zeros(1)], 1
+        for n in range(len(strengths)):
+            count = followed(n)
             is_state = (count > 0) & (grams.last[n] != 1)
-            shorter = states[-1][grams.suffix[n]] if n else np.zeros(len(count), np.int64)
-            states.append(np.where(is_state, n_states + np.cumsum(is_state) - 1, shorter))
+            shorter = states[-1][grams.suffix[n]] if n else np.zeros(len(count), kind)
+            number = np.cumsum(is_state, dtype=kind)
+            number += n_states - 1
+            states.append(np.where(is_state, number, shorter))
             fails.append(shorter[is_state])
             weights.append(np.log10(strengths[n] / (count[is_state] + strengths[n])))
-            n_states += int(is_state.sum())
+            n_states += len(fails[-1])
+            del count, is_state, shorter, number
         self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(weights)
         self.first = int(states[0][0]) if states else 0
-        sources, words, logs, following = [], [], [], []
+        # N-grams are sorted by context and last word, and states numbered in that order: so are the arcs.
+        arcs = sum(int(np.count_nonzero(count)) for count in totals)
+        self.word, self.log, self.following = np.empty(arcs, np.int32), np.empty(arcs), np.empty(arcs, kind)
+        degree, begin, p = np.zeros(n_states, kind), 0, (totals[0].astype(float) + 1) / places
         for n, count in enumerate(totals):
             if n:
                 weight, context = strengths[n - 1], grams.context[n]
-                p = (count + weight * p[grams.suffix[n]]) / (contexts[n - 1][context] + weight)
-            seen = np.flatnonzero(count > 0)
-            sources.append(states[n - 1][grams.context[n][seen]] if n else np.zeros(len(seen), np.int64))
-            words.append(grams.last[n][seen])
-            logs.append(np.log10(p[seen]))
-            following.append(states[n][seen] if n < len(states) else states[n - 1][grams.suffix[n][seen]] if n else np.zeros(len(seen), np.int64))
-        # N-grams are sorted by context and last word, and states numbered in that order: so are the arcs.
-        self.word, self.log, self.following = np.concatenate(words), np.concatenate(logs), np.concatenate(following)
+                p = p[grams.suffix[n]]
+                p *= weight
+                p += count
+                p /= (followed(n - 1) + weight)[context]
+            seen = np.flatnonzero(count).astype(kind)
+            here, begin = slice(begin, begin + len(seen)), begin + len(seen)
+            self.word[here] = grams.last[n][seen]
+            self.log[here] = p[seen]
+            if n:
+                degree += np.bincount(states[n - 1][grams.context[n][seen]], minlength=n_states).astype(kind)
+            else:
+                degree[0] += len(seen)
+            self.following[here] = states[n][seen] if n < len(states) else states[n - 1][grams.suffix[n][seen]] if n else 0
+        np.log10(self.log, out=self.log)
         #: Where the arcs of each state begin.
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(sources), minlength=n_states))])
+        self.begin = np.concatenate([np.zeros(1, kind), np.cumsum(degree, dtype=kind)])
         self.grams = grams
 
     def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -341,11 +406,16 @@ def _parts(sender: int, path: int, keys: np.ndarray, counts: np.ndarray, used: i
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The senders' distinct keys, in no order, their summed counts, and each sender's places among them."""
-    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-    counts = [unpack_counts(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
-    inverse, merged = pd.factorize(np.concatenate(keys))
-    totals = np.bincount(inverse, np.concatenate(counts), len(merged)).astype(np.uint64)
-    return merged, totals, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    keys = np.concatenate(keys)
+    counts = np.empty(len(keys))
+    for part, raw in zip(np.split(counts, ends), table.column("counts"), strict=True):
+        part[:] = unpack_counts(raw.as_py(), len(part))
+    inverse, merged = pd.factorize(keys)
+    del keys
+    totals = np.bincount(inverse, counts, len(merged)).astype(np.uint64)
+    return merged, totals, np.split(inverse, ends)
 
 
 def _answers(table: pa.Table, totals: np.ndarray, places: list[np.ndarray], known: int, tokens: int) -> pa.Table:
@@ -424,12 +494,14 @@ def lm_scores(
     def run(packed, answers):
         docs = _unpacked(packed.column("docs")[0].as_py())
         grams = BlockGrams(docs.column("text").combine_chunks(), order)
+        docs = docs.drop_columns("text")
         bounds, totals = _bounds(grams.keys, 0, bits), np.zeros(len(grams.keys), np.uint64)
-        for path, raw in zip(answers.column("path").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+        for path, raw in zip(answers.column("path").to_pylist(), answers.column("totals"), strict=True):
             a, b = bounds[path], bounds[path + 1]
-            totals[a:b] = unpack_counts(raw, b - a)
+            totals[a:b] = unpack_counts(raw.as_py(), b - a)
         known, tokens = (int(pc.sum(answers.column(c)).as_py()) for c in ("known", "tokens"))
         totals = grams.by_length(totals)
+        grams.forget_keys()
         document = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
         count = totals[0][np.delete(grams.flat, grams.begins)].astype(float)
         score = BlockAutomaton(grams, totals, known, tokens, strengths).scores()

@@ -131,6 +131,29 @@ def test_request_rows_grow_with_the_blocks(spark):
         assert asked.count() == 4 * lm_score.pack_blocks(rows, 1000).count()
 
 
+def test_a_block_takes_few_bytes_for_an_n_gram():
+    """A worker holds a block's n-grams and its automaton at once; two workers share an executor."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    chosen, words = random.Random(3), [f"w{i}" for i in range(20_000)]
+    texts = pa.array([" ".join(chosen.choices(words, k=300)) for _ in range(300)])
+    tracemalloc.start()
+    try:
+        grams = lm_score.BlockGrams(texts, 3)
+        n, (_, building) = len(grams.keys), tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        totals = grams.by_length(grams.counts(np.ones(300, bool)))
+        grams.forget_keys()
+        lm_score.BlockAutomaton(grams, totals, 10, 10, (2000.0, 20.0))
+        _, both = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert building < 65 * n and both < 110 * n
+
+
 def test_empty_table(spark):
     assert lm_score.score_documents(docs(spark, EDGES).limit(0)).count() == 0
 
