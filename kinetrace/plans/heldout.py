@@ -20,7 +20,7 @@ STRETCH = {"gt_speed_mps": 1000.0, "gt_vertical_speed_mps": 300.0, "gt_yaw_rate_
 
 
 def scored(df: DataFrame) -> DataFrame:
-    return score.window_scores(score.trailing_mean_residuals(df))
+    return score.trailing_mean_scores(df)
 
 
 def _rows(spark, d) -> DataFrame:

@@ -107,7 +107,7 @@ def stream_odom(spark, d):
 
 
 def _timeline(spark, d):
-    return score.window_scores(score.trailing_mean_residuals(base.telemetry(spark, d)))
+    return score.trailing_mean_scores(base.telemetry(spark, d))
 
 
 def stream_alerts(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions.columns import rounded
 from kinetrace.functions.contracts import RAW, SEQUENCE, STEP, TIME
 from kinetrace.operators import adaptive, blocks, drive, evaluate, resample, score
-from kinetrace.plans import base
+from kinetrace.plans import base, queries
 
 DATA = "/root/testdata/sf0.01"
 
@@ -130,6 +130,22 @@ def test_windows_by_brute_force(spark, monkeypatch):
         assert spark_rows(got.toDF("a", "b", "c", "d")) == sorted(want, key=str)
 
 
+def test_trailing_means_are_found_where_windows_are_cut(spark, monkeypatch, telemetry):
+    """The same scores as by residuals of rows, with nulls and NaN, in parts of few rows; the plan sorts and frames rows for their numbers only."""
+    holes = {c: F.when(F.col(STEP) % m == 3, None).when((F.col(STEP) == 20 * m) & (F.col("event_id") % 2 == 0), float("nan")).otherwise(F.col(c)) for c, m in zip(RAW[:4], (2, 7, 11, 13), strict=True)}
+    df, plans = telemetry.withColumns(holes).withColumn(RAW[5], F.when(F.col(STEP) > 60, F.col(RAW[5]))), []
+    want = spark_rows(score.window_scores(score.trailing_mean_residuals(df)))
+    written = score.materialize
+    monkeypatch.setattr(score, "materialize", lambda rows, name: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or written(rows, name))
+    for part in (20_000, 60):
+        monkeypatch.setattr(blocks, "PART_ROWS", part)
+        assert spark_rows(score.trailing_mean_scores(df)) == want and len(want) > 500
+    base_plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count("Window [") == base_plan.count("Window [") > 0 for plan in plans)
+    queries.score_threshold(spark, DATA)
+    assert len(plans) == 3 and "avg(" not in plans[2]
+
+
 def test_timeline_reads_its_rows_once(spark):
     """Scores and the times that they are counted from come from one pass over the rows."""
     assert not any("events" in f for f in _timeline(spark).inputFiles())
