@@ -51,8 +51,14 @@ def clamp(value: Column, limit: float) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, without negative zero, so that sums compare whatever their order."""
-    return df.select(*((F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema))
+    """Doubles rounded, without negative zero, so that sums compare whatever their order.
+
+    Values are scaled and rounded to a whole number, as in SQL; ``F.round`` goes by
+    the shortest decimal, which falls on the other side of some ties.
+    """
+    scale = 10.0**digits
+    one = lambda c: F.when(F.abs(c) < 1e300, F.round(F.col(c) * scale) / scale).otherwise(F.col(c)) + F.lit(0.0)
+    return df.select(*(one(f.name).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema))
 
 
 def platform_hint(name: str | Column) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
+from kinetrace.functions.columns import rounded
 from kinetrace.operators import evaluate
 from kinetrace.plans import oracle, queries
 
@@ -74,3 +75,17 @@ def test_leaderboard_equals_its_sql_on_ties(spark, taxes, tmp_path):
     assert sorted(got.columns) == names
     assert spark_rows(got) == want
     assert len({r[names.index("clean_alerts_per_min")] for r in want}) == 2
+
+
+def test_ties_are_rounded_as_in_sql(spark):
+    rng = np.random.default_rng(1)
+    ties = (2 * np.arange(20_000) + 1) * 5 / 10**7
+    values = pd.DataFrame({"x": np.concatenate([ties, -ties, ties + 37, rng.normal(size=1000), rng.normal(size=1000) * 1e12, [0.0, -0.0, -1e-9, 1e300, -1e308, np.inf, -np.inf]])})
+    con = duckdb.connect()
+    con.register("v", values)
+    want = con.execute("SELECT x, round(x, 6) + 0.0 AS r FROM v").df()
+    got = rounded(spark.createDataFrame(values).select(F.struct("x").alias("of"), "x")).toPandas()
+    pairs = sorted(zip((r["x"] for r in got["of"]), got["x"]))
+    assert pairs == sorted(zip(want["x"], want["r"]))
+    odd = rounded(spark.createDataFrame([(float("nan"), 1), (None, 2)], "x double, n int")).collect()
+    assert np.isnan(odd[0].x) and odd[1].x is None and odd[0].n == 1
