@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +130,21 @@ class CommandShim:
             raw = self.sign * limit(forward + back, self.max_speed)
         return speed, actual, error, steer, acceleration, forward, back, raw, limit(steer, self.max_steer), self.sign * limit(acceleration, self.max_acceleration)
 
+    def logs(self, dt: np.ndarray, age: np.ndarray, speed: np.ndarray, steer: np.ndarray, acceleration: np.ndarray, actual: np.ndarray) -> list[np.ndarray]:
+        """``log`` of many ticks at once; only the integral goes on from one to the next.  An age that is NaN is stale."""
+        fresh, most = age <= self.timeout_s, self.integral_limit
+        speed, steer, acceleration = (np.where(fresh, v, 0.0) for v in (speed, steer, acceleration))
+        error, stopped = speed - actual, np.abs(speed) < self.deadband
+        off, integral, sums = stopped | (self.feedback != "pi"), self.integral, []
+        for step, anew in zip((error * dt).tolist(), off.tolist(), strict=True):
+            integral = 0.0 if anew else max(-most, min(most, integral + step))
+            sums.append(integral)
+        self.integral = integral
+        back = np.where(off, 0.0, self.kp * error + self.ki * np.array(sums, dtype=float))
+        forward = np.where(stopped, 0.0, speed / VISUAL_MPS_PER_RAW)
+        raw = np.where(stopped, 0.0, self.sign * np.clip(forward + back, -self.max_speed, self.max_speed))
+        return [speed, actual, error, steer, acceleration, forward, back, raw, np.clip(steer, -self.max_steer, self.max_steer), self.sign * np.clip(acceleration, -self.max_acceleration, self.max_acceleration)]
+
     def tick(self, *reading: float) -> tuple[float, float, float]:
         """Raw speed, steering and acceleration."""
         return self.log(*reading)[-3:]

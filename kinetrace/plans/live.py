@@ -55,10 +55,10 @@ def replay(source: DataFrame, build, time: str, late: float = 0.0, clock: DataFr
     span = (last or 0.0) - (first or 0.0) + late
     triggers = max(TRIGGERS, -(-rows // TRIGGER_ROWS))
     part = F.least(F.lit(triggers - 1), F.floor((arrives - F.lit(first or 0.0)) * triggers / F.lit(span * 1.0001 + 1e-9))).cast("int")
-    # Dealt once into a folder each, so that a micro-batch reads its own rows and not the whole table again.
-    stored.withColumn("__trigger", part).repartition("__trigger").write.partitionBy("__trigger").parquet(f"{folder}/dealt")
-    dealt = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in source.dtypes)}, __trigger int").parquet(f"{folder}/dealt")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt once into a folder each, so that a micro-batch reads its own rows and not the whole table again; by several tasks each, as there may be fewer micro-batches than cores.
+    stored.withColumn("__trigger", part).repartition("__trigger", F.pmod(F.xxhash64(*source.columns), F.lit(files))).write.partitionBy("__trigger").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in source.dtypes)}, __trigger int").parquet(f"{folder}/dealt")
     for k in range(triggers):
         dealt.where(F.col("__trigger") == k).drop("__trigger").repartition(files).write.mode("append").parquet(f"{folder}/in")
     if clock is not None:

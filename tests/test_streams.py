@@ -94,6 +94,33 @@ def test_command_state_drops_and_counts_what_is_late(spark, tmp_path):
     assert _told(got.where(f"tick_ms < {safe}")) == _told(want.where(f"tick_ms < {safe}"))
 
 
+def test_ticks_come_while_records_do(spark):
+    """A robot does not gather its records until the stream ends: each micro-batch makes the ticks up to the watermark."""
+    records, sizes = _records(spark), []
+
+    class Log(BatchLog):
+        def __call__(self, df, batch):
+            super().__call__(df, batch)
+            sizes.append(df.sparkSession.read.parquet(f"{self.path}/rows/batch={batch}").count())
+
+    clock = live._ends(records.select(F.lit("#clock").alias("run"), "at_ms", F.lit("odometry").alias("kind")), "run", "at_ms", 3_600_000).withColumns({"at": F.timestamp_millis("at_ms"), "kind": F.lit("odometry")})
+    out = live.replay(records, lambda s: streams.command_state(s, "run", "at", "4 seconds"), "at", 4.0, clock, Log)
+    assert _told(out) == _told(drive.control_ticks(records, "run"))
+    assert sum(n > 0 for n in sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_of_records_at_one_time_the_largest_counts(spark):
+    """Whatever order they come in, and where values are missing, as in the batch form."""
+    fields = [F.when(F.col("id") % k != 0, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(19)) / 10 - 0.9).alias(n) for k, n in ((5, "speed"), (7, "steer"), (9, "acceleration"), (4, "vx"))]
+    records = spark.range(600).select(F.lit("r").alias("run"), (F.floor(F.col("id") / 3) * 170 + ordered.DAY_MS).alias("at_ms"), F.when(F.pmod(F.xxhash64("id"), F.lit(3)) > 0, "command").otherwise("odometry").alias("kind"), *fields)
+    records = records.withColumn("at", F.timestamp_millis("at_ms")).localCheckpoint()
+    clock = records.agg((F.max("at_ms") + 3_600_000).alias("at_ms")).withColumns({"at": F.timestamp_millis("at_ms"), "run": F.lit("#clock"), "kind": F.lit("odometry")})
+    want = _told(drive.control_ticks(records, "run"))
+    for mixed in (records, records.orderBy(F.xxhash64("at_ms", "speed", "vx"))):
+        out = live.replay(mixed, lambda s: streams.command_state(s, "run", "at", "4 seconds"), "at", 4.0, clock, BatchLog)
+        assert _told(out.where("run = 'r'")) == want and len(want) > 500
+
+
 def _told(df):
     return sorted((r.run, r.tick_ms, round(r.raw_speed, 9), round(r.raw_steer, 9), round(r.raw_acceleration, 9)) for r in df.collect())
 
