@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,24 @@ from ..functions.columns import require_columns
 from ..functions.contracts import GT_POSITION, GT_QUATERNION, RAW, SEQUENCE, TIME
 
 GT_MEMBER = "ground_truth_path.csv"
+#: Bytes of a split that holds one row group of a Parquet file where these are not smaller.
+SPLIT_BYTES = 1 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are read in splits of SPLIT_BYTES, whatever the cores, in jobs that run inside.
+
+    Spark reads a row group with the split in which its middle lies, so ``_metadata.file_block_start``
+    then tells row groups apart that are not smaller.
+    """
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _contract(df: DataFrame, name: str, columns: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions.columns import rounded
 from kinetrace.operators import evaluate
 from kinetrace.plans import oracle, queries
+from kinetrace.sources import files
 
 ROWS, TIE = 640, 0.0390625
 
@@ -77,6 +78,26 @@ def test_leaderboard_equals_its_sql_on_ties(spark, taxes, tmp_path):
     assert len({r[names.index("clean_alerts_per_min")] for r in want}) == 2
 
 
+def test_sums_are_added_by_row_groups(spark, tmp_path, monkeypatch):
+    """As engines that read row groups side by side add them: each by itself, whatever splits the session has."""
+    monkeypatch.setattr(files, "SPLIT_BYTES", 1 << 14)
+    rng, suppliers, half = np.random.default_rng(11), 400, 128_000
+    deal = rng.permutation(np.repeat(np.arange(suppliers), ROWS))
+    at = [iter((cents(rng, 8, 2500) / 100).tolist()) for _ in range(suppliers)]
+    tax = np.array([next(at[s]) for s in deal])
+    items = pd.DataFrame({"l_suppkey": deal, "l_linenumber": np.int32(1), "l_quantity": rng.integers(1, 51, len(deal)) * 1.0, "l_discount": 0.05, "l_tax": tax})
+    items.to_parquet(tmp_path / "lineitem.parquet", index=False, row_group_size=half)
+    rows = [np.flatnonzero(deal == s) for s in range(suppliers)]
+    whole = [added(tax[k]) for k in rows]
+    one_by_one = lambda x: np.add.accumulate(x)[-1]
+    parted = [(one_by_one(tax[k[k < half]]) + one_by_one(tax[k[k >= half]])) / ROWS for k in rows]
+    got = {r.experiment_id: r.clean_alerts_per_min for r in queries.leaderboard(spark, str(tmp_path)).collect()}
+    want = [np.floor(v * 1e6 + 0.5) / 1e6 for v in parted]
+    assert [got[s] for s in range(suppliers)] == want
+    assert want != [np.floor(v * 1e6 + 0.5) / 1e6 for v in whole]
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) > 1 << 14
+
+
 def test_ties_are_rounded_as_in_sql(spark):
     rng = np.random.default_rng(1)
     ties = (2 * np.arange(20_000) + 1) * 5 / 10**7
